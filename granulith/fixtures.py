@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granulith import constants as K
 from granulith.functions import gates
-from granulith.session import join_lookup, tune
+from granulith.session import join_lookup, settle, spread_small_scan, tune
 
 IMAGES_SQL = """
 select s_suppkey as image_id,
@@ -126,7 +126,10 @@ class Workbench:
     @cached_property
     def mapped(self) -> DataFrame:
         """Particles with the mapping's own columns, before any floor."""
-        raw = self._sql(RAW_PARTICLES_SQL, lineitem=self.table("lineitem"))
+        source = self.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag")
+        source = spread_small_scan(source, ["l_orderkey", "l_partkey"])
+        raw = self._sql(RAW_PARTICLES_SQL, lineitem=source)
         looked_up = self.images.select("image_id", "nm_per_px", "detector", "structure", "pipeline")
         joined = join_lookup(raw, looked_up, ["image_id"], spread=["particle_id"])
         return self.spark.sql(f"select {PARTICLE_COLUMNS_SQL} from {{r}} r", r=joined)
@@ -136,14 +139,13 @@ class Workbench:
         """Model-shaped particles, before any floor."""
         weights = [F.col(f"w{i}") for i in range(4)]
         total = F.col("_total")
-        return (self.mapped.withColumn("_total", weights[0] + weights[1] + weights[2] + weights[3])
-                .withColumns({
-            "pattern_probs": F.when(total.isNotNull(), F.array(*[w / total for w in weights]))
-                              .otherwise(F.array().cast("array<double>")),
-            "user_measurable": F.lit(None).cast("boolean"),
-            "unclassified": F.lit(False),
-            "user_solid": F.lit(False),
-        }).drop("w0", "w1", "w2", "w3", "_total"))
+        weighed = self.mapped.withColumn("_total", weights[0] + weights[1] + weights[2] + weights[3])
+        probs = (F.when(total.isNotNull(), F.array(*[w / total for w in weights]))
+                 .otherwise(F.array().cast("array<double>")))
+        return (settle(weighed, {"pattern_probs": probs})
+                .withColumns({"user_measurable": F.lit(None).cast("boolean"),
+                              "unclassified": F.lit(False), "user_solid": F.lit(False)})
+                .drop("w0", "w1", "w2", "w3", "_total"))
 
     @cached_property
     def counted(self) -> DataFrame:

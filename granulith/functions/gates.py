@@ -9,6 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granulith import constants as K
+from granulith.session import settle
 
 
 def aspect_ratio() -> Column:
@@ -105,18 +106,18 @@ def reclassify(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
     sure = F.col("facet_frac") >= threshold(thresholds, "nopattern_solid_conf")
     dim = F.col("bright") < K.PATTERN_MIN_BRIGHT
     drop = F.col("_judged") & (F.col("_named") != "") & dim
-    return (df.withColumn("_solid", solid)
+    staged = (df.withColumn("_solid", solid)
             .withColumn("_judged", judged)
             .withColumn("_guess", F.when(F.col("_judged"), size_aware_pattern(thresholds)).otherwise(""))
             .withColumn("_named", F.when(weak_janus, "").otherwise(F.col("_guess")))
-            .withColumns({
-                "excluded": drop,
-                "pattern": F.when(drop, "").otherwise(F.col("_named")),
-                "is_solid": F.when(drop, False)
-                             .when(F.col("_judged") & (F.col("_named") == ""), sure)
-                             .otherwise(F.col("_solid")),
-            })
-            .drop("_solid", "_judged", "_guess", "_named"))
+            .withColumn("_drop", drop))
+    return settle(staged, {
+        "excluded": F.col("_drop"),
+        "pattern": F.when(F.col("_drop"), "").otherwise(F.col("_named")),
+        "is_solid": F.when(F.col("_drop"), False)
+                     .when(F.col("_judged") & (F.col("_named") == ""), sure)
+                     .otherwise(F.col("_solid")),
+    }).drop("_solid", "_judged", "_guess", "_named", "_drop")
 
 
 def count_floor(min_diam_nm: float = 0.0) -> Column:

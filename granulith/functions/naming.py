@@ -1 +1,112 @@
-"""placeholder"""
+"""Reading sample, group and spelling out of free-form file names."""
+
+from pyspark.sql import Column, functions as F
+
+# Known words and the folder each one stands for.
+REGION_WORDS = {"alt": "Alt", "asagi": "Alt", "ust": "Üst", "uest": "Üst", "yukari": "Üst",
+                "karisik": "Karışık", "mixed": "Karışık"}
+PATTERN_ALIASES = ["janus", "stripe", "striped", "cizgili", "lamellar", "lameller", "lamella",
+                   "composite", "kompozit", "undercooled", "under cooled", "asiri sogutulmus",
+                   "as produced", "asproduced", "uretildigi gibi"]
+PATTERNED = "Patterned"
+UNSORTED = "Unsorted"
+DASHES = "-–—"
+PREFIXED = rf"(?:^|[|/\\_])\s*(\p{{L}}{{1,4}})\s*(?:[{DASHES}]\s*|\s+)(\d{{1,3}})(?!\d)"
+LEADING = r"^\s*(\d{1,3})(?!\d)"
+
+# Letters whose mark is dropped when names are compared (composed forms; marks
+# that come separately are removed by range).
+_PLAIN = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ",
+          "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő",
+          "r": "ŕŗř", "s": "śŝşšș", "t": "ţťț", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž"}
+_FROM = "".join(_PLAIN.values())
+_TO = "".join(k * len(v) for k, v in _PLAIN.items())
+
+
+def fold(s: Column) -> Column:
+    """Lower case, no marks, separators as single spaces; all Turkish i's become "i"."""
+    t = F.translate(s, "İI", "ii")
+    t = F.regexp_replace(F.lower(t), "[\\u0300-\\u036f]", "")
+    t = F.translate(t, _FROM, _TO)
+    t = F.regexp_replace(t, rf"[|_/\\{DASHES}.,()\[\]*]+", " ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def _has(folded: Column, word: str) -> Column:
+    return folded.rlike(rf"(?<![a-z0-9]){word}(?![a-z])")
+
+
+def region(folded: Column) -> Column:
+    """Folder of the longest known region word present; null when there is none."""
+    out = F.lit(None).cast("string")
+    for word in sorted(REGION_WORDS, key=len):           # the last `when` added is tried first
+        out = F.when(_has(folded, word), REGION_WORDS[word]).otherwise(out)
+    return out
+
+
+def has_pattern_word(folded: Column) -> Column:
+    return folded.rlike("(?<![a-z0-9])(?:" + "|".join(PATTERN_ALIASES) + ")(?![a-z])")
+
+
+def _found(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def sample_prefix(stem: Column) -> Column:
+    return _found(F.regexp_extract(stem, PREFIXED, 1))
+
+
+def sample_number(stem: Column) -> Column:
+    """Two-digit sample number: after a letter code, leading, or alone between separators."""
+    parts = F.transform(F.split(stem, r"[|/\\_]+"), lambda p: F.trim(p))
+    alone = F.try_element_at(F.filter(parts, lambda p: p.rlike(r"^\d{1,3}$")), F.lit(1))
+    n = F.coalesce(_found(F.regexp_extract(stem, PREFIXED, 2)),
+                   _found(F.regexp_extract(stem, LEADING, 1)), alone)
+    return F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)
+
+
+def leftover(stem: Column) -> Column:
+    """What is left of a name without its sample marker and photo index; null if nothing readable."""
+    marked = stem.rlike(PREFIXED)
+    with_code = _replace_first(stem, PREFIXED)
+    with_number = _replace_first(stem, LEADING)
+    rest = F.when(marked, with_code).otherwise(with_number)
+    rest = F.regexp_replace(rest, r"[|/\\_]+", " ")
+    rest = F.regexp_replace(rest, f"[{DASHES}]+", " ")
+    rest = F.regexp_replace(rest, r"\s+", " ")
+    rest = F.regexp_replace(rest, rf"^[ {DASHES}.,*#~+]+|[ {DASHES}.,*#~+]+$", "")
+    rest = F.trim(F.regexp_replace(rest, r"(?<=\p{L})\d{1,3}\s*$|(?<!\S)\d{1,3}\s*$", ""))
+    return F.when(rest.rlike(r"[\p{L}\p{N}]"), rest)
+
+
+def _replace_first(s: Column, pattern: str) -> Column:
+    """Replace the first match by a space: the lazy head makes the match the earliest one."""
+    at = F.regexp_instr(s, F.lit(pattern))
+    hit = F.regexp_extract(s, pattern, 0)
+    head = F.substring(s, F.lit(1), at - 1)
+    tail = F.substring(s, at + F.length(hit), F.length(s))
+    return F.when(at > 0, F.concat(head, F.lit(" "), tail)).otherwise(s)
+
+
+def group(stem: Column) -> Column:
+    """struct(name, key, known): region folder, "Patterned", or the leftover text."""
+    folded = fold(stem)
+    reg = region(folded)
+    rest = leftover(stem)
+    name = F.when(reg.isNotNull(), reg).when(has_pattern_word(folded), PATTERNED).otherwise(rest)
+    known = reg.isNotNull() | has_pattern_word(folded)
+    return F.struct(name.alias("name"), fold(name).alias("key"), known.alias("known"))
+
+
+def safe_name(s: Column) -> Column:
+    """A file name without characters that file systems refuse."""
+    t = F.trim(F.regexp_replace(s, r'[\\/:*?"<>|]', "_"))
+    return F.when(t == "", "export").otherwise(t)
+
+
+def image_number(stem: Column, title: Column) -> Column:
+    """".3": the first number after the title, or "" when there is none."""
+    suffix = F.when(F.startswith(stem, title),
+                    F.substring(stem, F.length(title) + 1, F.length(stem))).otherwise(stem)
+    n = F.regexp_extract(suffix, r"(\d+)", 1)
+    return F.when(n != "", F.concat(F.lit("."), n)).otherwise("")

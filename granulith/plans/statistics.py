@@ -10,8 +10,17 @@ from granulith.plans.registry import query
 SEL = ["selection_id"]
 
 
-def rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df, digits=6, fine=("d10", "d50", "d90", "median_nm"), single=()):
+    """Round doubles for comparison: summation order differs between engines.
+
+    Interpolated percentiles carry more exact decimals; means of few decimal
+    values can sit exactly between two decimals, so they go to single precision.
+    """
+    def one(c):
+        if c in single:
+            return F.col(c).cast("float").cast("double").alias(c)
+        return F.round(c, 8 if c in fine else digits).alias(c)
+    return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _M = "case when measured then diam_nm end"
@@ -22,9 +31,9 @@ IMAGE_STATS = """select {key}, count(*) as count_total, count(case when measured
  count(case when excluded then 1 end) as n_excluded, bool_or(classifiable and w0 is not null) as has_patterns,
  count(case when is_solid and pattern='janus' then 1 end) as n_janus, count(case when is_solid and pattern='stripe' then 1 end) as n_stripe,
  count(case when is_solid and pattern='lamellar' then 1 end) as n_lamellar, count(case when is_solid and pattern='composite' then 1 end) as n_composite,
- round(coalesce(avg({m}),0e0),6) as mean_nm, round(coalesce(stddev_pop({m}),0e0),6) as std_nm,
+ cast(cast(coalesce(avg({m}),0e0) as float) as double) as mean_nm, round(coalesce(stddev_pop({m}),0e0),6) as std_nm,
  round(coalesce(min({m}),0e0),6) as min_nm, round(coalesce(max({m}),0e0),6) as max_nm,
- round(coalesce(quantile_cont({m}, 0.5),0e0),6) as median_nm from {src} group by {key}"""
+ round(coalesce(quantile_cont({m}, 0.5),0e0),8) as median_nm from {src} group by {key}"""
 E1 = IMAGE_STATS.format(key="image_id", m=_M, src="decided")
 E2 = IMAGE_STATS.format(key="selection_id", m=_M, src="selected")
 
@@ -47,20 +56,21 @@ E11 = """select selection_id, segment, n_total, n, round(number_share,6) as numb
 
 @query("e00_size_report", VOL + f""", st as ({E2}), dv as (select selection_id, quantile_cont(diam_nm,0.1) as d10, quantile_cont(diam_nm,0.9) as d90
   from selected where measured group by selection_id)
- select s.selection_id, s.count_total, s.count_measured, s.mean_nm, s.std_nm, s.median_nm, round(d10,6) as d10, round(d90,6) as d90,
+ select s.selection_id, s.count_total, s.count_measured, s.mean_nm, s.std_nm, s.median_nm, round(d10,8) as d10, round(d90,8) as d90,
   v.segment, v.n, round(v.volume_share,6) as volume_share, round(v.ci_half,6) as ci_half
  from st s left join dv on s.selection_id=dv.selection_id left join vshares v on s.selection_id=v.selection_id""")
 def _(w):
     """Sizes, D-values and volume shares of every selection: the flagship."""
     df = w.selected
     sizes = stats.image_stats(df, SEL).select(*SEL, "count_total", "count_measured", "mean_nm", "std_nm", "median_nm")
-    return rounded(sizes.join(stats.d_values(df, SEL).select(*SEL, "d10", "d90"), SEL, "left")
-                   .join(volume.volume_shares(df, SEL).select(*SEL, "segment", "n", "volume_share", "ci_half"), SEL, "left"))
+    dv = stats.d_values(df, SEL).select(*SEL, "d10", "d90")
+    return rounded(sizes.join(dv, SEL, "left")
+                   .join(volume.volume_shares(df, SEL).select(*SEL, "segment", "n", "volume_share", "ci_half"), SEL, "left"), single=["mean_nm"])
 
 
 @query("e01_image_stats", E1)
 def _(w):
-    return rounded(stats.image_stats(w.decided, ["image_id"]))
+    return rounded(stats.image_stats(w.decided, ["image_id"]), single=["mean_nm"])
 
 
 @query("e02_pooled_stats", f""", base as ({E2}), det as (select selection_id, count(*) as n_images,
@@ -70,7 +80,7 @@ def _(w):
  select b.*, n_images, n_classifiable_images, detector from base b join det d on b.selection_id=d.selection_id""")
 def _(w):
     pooled = stats.image_stats(w.selected, SEL).join(stats.pooled_detectors(w.selected, SEL), SEL)
-    return rounded(pooled)
+    return rounded(pooled, single=["mean_nm"])
 
 
 @query("e03_flat_and_excluded", """select image_id, count(case when excluded then 1 end) as n_excluded,
@@ -94,21 +104,21 @@ def _(w):
     return stats.pooled_title(titles, ["pool"])
 
 
-@query("e05_d_values", """select selection_id, round(d[1],6) as d10, round(d[2],6) as d50, round(d[3],6) as d90,
- round(case when d[2]<>0 then (d[3]-d[1])/d[2] else 0e0 end,6) as span
+@query("e05_d_values", """select selection_id, round(d[1],8) as d10, round(d[2],8) as d50, round(d[3],8) as d90,
+ round(case when d[2]<>0 then (d[3]-d[1])/d[2] else 0e0 end,8) as span
  from (select selection_id, quantile_cont(diam_nm,[0.1,0.5,0.9]) as d from selected where measured group by selection_id)""")
 def _(w):
-    return rounded(stats.d_values(w.selected, SEL))
+    return rounded(stats.d_values(w.selected, SEL), 8)
 
 
 _CLS = "case when classifiable and diam_nm<>0 and measured then case when not is_solid then 'undercooled' when pattern<>'' then pattern end end"
 
 
 @query("e06_class_sizes", f"""select selection_id, cls, n, mean_nm, min_nm, max_nm from (select *, count(*) over (partition by selection_id) as k from
- (select selection_id, cls, count(*) as n, round(avg(diam_nm),6) as mean_nm, round(min(diam_nm),6) as min_nm, round(max(diam_nm),6) as max_nm
+ (select selection_id, cls, count(*) as n, cast(cast(avg(diam_nm) as float) as double) as mean_nm, round(min(diam_nm),6) as min_nm, round(max(diam_nm),6) as max_nm
   from (select selection_id, diam_nm, {_CLS} as cls from selected) where cls is not null group by selection_id, cls)) where k>1""")
 def _(w):
-    return rounded(stats.class_sizes(w.selected, SEL))
+    return rounded(stats.class_sizes(w.selected, SEL), single=["mean_nm"])
 
 
 CLASS_COUNTS = f""", cc0 as (select selection_id, count(case when measured then 1 end) as measured, cast(0 as bigint) as unclassified,
@@ -133,15 +143,15 @@ SPHER = f""", sm as (select *, case when classifiable and is_solid then 'solid'
  sp0 as (select selection_id, 'all' as filter, '' as value, circ from sm
   union all select selection_id, 'class', cls, circ from sm where cls is not null
   union all select selection_id, 'state', state, circ from sm where state is not null),
- sp as (select selection_id, filter, value, avg(least(1e0, greatest(0e0, (circ-85e-2)/15e-2))) as mean_score,
+ sp as (select selection_id, filter, value, avg(case when circ is not null then least(1e0, greatest(0e0, (circ-85e-2)/15e-2)) end) as mean_score,
   avg(circ) as raw_circularity, count(circ) as n_scored, count(*) as total from sp0 group by selection_id, filter, value)
 """
 
 
-@query("e08_sphericity", SPHER + """select selection_id, filter, value, round(mean_score,6) as mean_score,
- round(raw_circularity,6) as raw_circularity, n_scored, total from sp""")
+@query("e08_sphericity", SPHER + """select selection_id, filter, value, cast(cast(mean_score as float) as double) as mean_score,
+ cast(cast(raw_circularity as float) as double) as raw_circularity, n_scored, total from sp""")
 def _(w):
-    return rounded(stats.sphericity(w.selected, SEL))
+    return rounded(stats.sphericity(w.selected, SEL), single=["mean_score", "raw_circularity"])
 
 
 SPLIT = """, split as (select selection_id, count(case when is_solid then 1 end) as n_solid, count(case when not is_solid then 1 end) as n_undercooled,
@@ -151,10 +161,10 @@ SPLIT = """, split as (select selection_id, count(case when is_solid then 1 end)
 """
 
 
-@query("e09_solid_split", SPLIT + """select selection_id, n_solid, n_undercooled, round(mean_solid,6) as mean_solid,
- round(mean_undercooled,6) as mean_undercooled from split""")
+@query("e09_solid_split", SPLIT + """select selection_id, n_solid, n_undercooled, cast(cast(mean_solid as float) as double) as mean_solid,
+ cast(cast(mean_undercooled as float) as double) as mean_undercooled from split""")
 def _(w):
-    return rounded(stats.solid_split(w.selected, SEL))
+    return rounded(stats.solid_split(w.selected, SEL), single=["mean_solid", "mean_undercooled"])
 
 
 @query("e10_majority_solid", SPLIT + """, r as (select s.selection_id, diam_nm, is_solid,
@@ -198,16 +208,16 @@ def _(w):
    {{'tile':'mean_size','value':mean,'share':null::double}}, {{'tile':'sphericity','value':mean_score,'share':scored}}]) from clp
   union all select selection_id, 'split', unnest([{{'tile':'solid','value':n_solid::double,'share':n_solid*1e0/(n_solid+n_undercooled)}}, {{'tile':'undercooled','value':n_undercooled::double,'share':n_undercooled*1e0/(n_solid+n_undercooled)}},
    {{'tile':'mean','value':mean,'share':null::double}}, {{'tile':'d10','value':d10,'share':null::double}}, {{'tile':'d50','value':d50,'share':null::double}}, {{'tile':'d90','value':d90,'share':null::double}}]) from spl)
- select selection_id, view, t.tile as tile, round(t.value,6) as value, round(t.share,6) as share from u
- union all select selection_id, 'volume', segment, round(volume_share,6), round(ci_half,6) from vshares where segment<>'nopattern'""")
+ select selection_id, view, t.tile as tile, cast(cast(t.value as float) as double) as value, round(t.share,6) as share from u
+ union all select selection_id, 'volume', segment, cast(cast(volume_share as float) as double), round(ci_half,6) from vshares where segment<>'nopattern'""")
 def _(w):
-    return rounded(tiles.tiles(w.selected, SEL))
+    return rounded(tiles.tiles(w.selected, SEL), single=["value"])
 
 
 @query("e14_range_share", """select selection_id, count(case when diam_nm>=1e2 and diam_nm<15e1 then 1 end) as k, count(*) as n,
- round(avg(case when diam_nm>=1e2 and diam_nm<15e1 then diam_nm end),6) as mean_inside from selected where measured group by selection_id""")
+ cast(cast(avg(case when diam_nm>=1e2 and diam_nm<15e1 then diam_nm end) as float) as double) as mean_inside from selected where measured group by selection_id""")
 def _(w):
-    return rounded(stats.range_share(w.selected, SEL, 100.0, 150.0))
+    return rounded(stats.range_share(w.selected, SEL, 100.0, 150.0), single=["mean_inside"])
 
 
 AXIS = """, ax0 as (select {key}, min(diam_nm) as mn, max(diam_nm) as mx from {src} group by {key}),
@@ -305,10 +315,10 @@ def _(w):
     return histogram.axis_helpers(w.selected.where(gates.measurable()), SEL)
 
 
-@query("h01_pool_images", """select selection_id, count(distinct image_id) as n_images, count(*) as n_particles, round(sum(diam_nm),4) as sum_nm
+@query("h01_pool_images", """select selection_id, count(distinct image_id) as n_images, count(*) as n_particles, cast(cast(sum(diam_nm) as float) as double) as sum_nm
  from selected group by selection_id""")
 def _(w):
     per_image = w.scaled.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("diam_nm").alias("s"))
     return (w.selections.join(per_image, "image_id").groupBy("selection_id")
             .agg(F.count("*").alias("n_images"), F.sum("n").alias("n_particles"),
-                 F.round(F.sum("s"), 4).alias("sum_nm")))
+                 F.sum("s").cast("float").cast("double").alias("sum_nm")))

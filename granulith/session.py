@@ -32,6 +32,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def settle(df: DataFrame, columns: dict) -> DataFrame:
+    """Add columns whose expressions must not be copied into later filters.
+
+    Catalyst replaces a filtered column by its definition when it pushes the
+    filter down, which multiplies a long rule chain. Generator output is left
+    alone, so the chain is computed once per row and filtered by value.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
+def spread_small_scan(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread an input of fewer files than cores before row-heavy work; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) * 2 <= cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for written intermediates; a temporary one only when unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
