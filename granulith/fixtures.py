@@ -84,7 +84,9 @@ select s_suppkey as image_id, 1536 as width_px, 100 + s_suppkey*7%200 as bar_px,
   when 5 then 'det 5 pm' when 6 then '0m' else '??' end as label_ocr,
  case s_suppkey%5 when 0 then '16 000 x' when 1 then '12 O00 x' when 2 then '5 000 x' when 3 then '' else '1 600 x' end as mag_ocr,
  case when s_suppkey%7=0 then '20.7 µm' else '' end as hfw_ocr,
- case when s_suppkey%2=0 then 'BIOMATEN' else 'METU' end as plate_ocr
+ case when s_suppkey%2=0 then 'BIOMATEN' else 'METU' end as plate_ocr,
+ case s_nationkey%4 when 1 then '' when 2 then 'etd x' else 'CBS' end as det_ocr,
+ case when s_suppkey%10=9 then '10.00 kV 40 000 X 1.00e-2 Pa' else '' end as hv_ocr
 from supplier
 """
 
@@ -184,6 +186,22 @@ class Workbench:
         return (join_lookup(rows, sets, ["image_id"], spread=["label_id"])
                 .withColumn("set_name", F.explode("sets")).drop("sets"))
 
+    @cached_property
+    def saved(self) -> DataFrame:
+        """Labels the photos were added to the training set with."""
+        return self.labels.where("set_name = 'train'").select(
+            "image_id", F.col("label_id").alias("particle_id"), F.col("class").alias("cls"))
+
+    @cached_property
+    def clicks(self) -> DataFrame:
+        """Current label clicks on a part of the saved labels, some of them changed."""
+        return self.saved.where("particle_id % 2 = 0").withColumn(
+            "cls", F.when(F.col("particle_id") % 4 == 0, "stripe").otherwise(F.col("cls")))
+
+    @cached_property
+    def blanks(self) -> DataFrame:
+        return self.images.where("image_id % 7 = 0").select("image_id")
+
     @cached_property
     def overrides(self) -> DataFrame:
         return self._sql(OVERRIDES_SQL, particles=self.mapped)
@@ -227,6 +245,9 @@ scaled as (select * from decided where nm_per_px > 0),
 selections as ({SELECTIONS_SQL}),
 selected as (select s.*, selection_id from scaled s join selections t on s.image_id=t.image_id),
 truth_labels as (select l.*, cls.set_name from ({LABEL_ROWS_SQL}) l join ({LABEL_SETS_SQL}) cls on l.image_id=cls.image_id),
+saved as (select image_id, label_id as particle_id, class as cls from truth_labels where set_name='train'),
+clicks as (select image_id, particle_id, case when particle_id%4=0 then 'stripe' else cls end as cls from saved where particle_id%2=0),
+blanks as (select image_id from images where image_id%7=0),
 overrides as ({OVERRIDES_SQL}),
 scale_readings_raw as ({SCALE_RAW_SQL}),
 curve_points as ({CURVE_SQL})

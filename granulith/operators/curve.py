@@ -95,16 +95,19 @@ def export_table(points: DataFrame, by_instrument: DataFrame, instruments: list[
             .withColumnsRenamed({"frac": "fraction_of_pool", "n_train": "particles_train"}))
 
 
-def keep_newest(runs: DataFrame, keys: list[str], ts: str, keep: int = K.HISTORY_KEEP) -> DataFrame:
+def keep_newest(runs: DataFrame, keys: list[str], ts: str, keep: int = K.HISTORY_KEEP,
+                tie: str | None = None) -> DataFrame:
     """History retention. The small limit is applied before the shuffle as well as after it."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(ts))
+    w = Window.partitionBy(*keys).orderBy(F.desc(ts), *([F.desc(tie)] if tie else []))
     return runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 
 
 def keep_snapshots(snaps: DataFrame, keys: list[str], ts: str, rows: str, keep: int = K.SNAPSHOT_KEEP) -> DataFrame:
     """The newest few snapshots plus the fullest one (the oldest of equally full ones)."""
     newest = keep_newest(snaps, keys, ts, keep)
-    full = (snaps.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in snaps.columns if c not in keys]),
-                                              F.struct(F.col(rows), -F.unix_micros(F.col(ts)))).alias("_f"))
-            .select(*keys, "_f.*"))
+    rest = [c for c in snaps.columns if c not in keys]
+    full = (snaps.groupBy(*keys)
+            .agg(F.max(F.struct(F.col(rows).alias("_r"), (-F.unix_micros(F.col(ts))).alias("_t"),
+                                F.struct(*rest).alias("_row"))).alias("_f"))
+            .select(*keys, "_f._row.*"))
     return newest.unionByName(full.select(*newest.columns)).distinct()

@@ -86,12 +86,12 @@ def distributed_row_number(df: DataFrame, group: list[str], order: list[Column],
     keys = group or ["_one"]
     if not group:
         stored = stored.withColumn("_one", F.lit(1))
-    counts = stored.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    offsets = counts.withColumn("_before", _before(keys, "_range", F.col("_n")))
+    counts = stored.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    offsets = counts.withColumn("_before", _before(keys, "_range", F.col("_rows")))
     if size:
-        offsets = offsets.withColumn(size, F.sum("_n").over(Window.partitionBy(*keys)))
+        offsets = offsets.withColumn(size, F.sum("_rows").over(Window.partitionBy(*keys)))
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return (stored.join(offsets.drop("_n"), keys + ["_range"])
+    return (stored.join(offsets.drop("_rows"), keys + ["_range"])
             .withColumn(name, (inside + F.col("_before")).cast("long"))
             .drop("_range", "_before", "_one"))
 

@@ -8,11 +8,11 @@ from granulith.operators.ranking import distributed_row_number
 from granulith.session import join_lookup
 
 
-def pick_spread(particles: DataFrame, keys: list[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """k clean particles spread over the size range, one per band of the 5-95 % order.
+def spread_bands(particles: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """Candidates with their size band: k bands over the 5-95 % part of the size order.
 
-    Clean = measured and not elongated; with fewer than k of those the measured
-    ones, then all. Up to k candidates are all returned (band = their position).
+    Candidates are clean particles (measured and not elongated); with fewer than k
+    of those the measured ones, then all. Up to k candidates get a band each.
     """
     m = particles.withColumn("_meas", gates.measurable())
     m = m.withColumn("_clean", F.col("_meas") & (gates.aspect_ratio() >= 0.72))
@@ -27,18 +27,26 @@ def pick_spread(particles: DataFrame, keys: list[str], k: int = 5, seed: int = 0
     lo = F.floor(F.col("_n") * 0.05)
     hi = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95))
     narrow = (hi - lo) >= k
-    start, width = F.when(narrow, lo).otherwise(0), F.when(narrow, hi - lo).otherwise(F.col("_n"))
+    r = r.withColumns({"_start": F.when(narrow, lo).otherwise(0),
+                       "_width": F.when(narrow, hi - lo).otherwise(F.col("_n"))})
     at = pos - F.col("_start")
-    # the band of a position: the last band whose left edge is not beyond it
+    # the last band whose left edge floor(width * band / k) is not beyond the position
     band = F.floor(((at + 1) * k - 1) / F.col("_width"))
-    r = r.withColumns({"_start": start, "_width": width})
-    r = r.withColumn("band", F.when(F.col("_n") <= k, pos).otherwise(band))
-    inside = (F.col("_n") <= k) | ((at >= 0) & (at < F.col("_width")))
-    drawn = (r.where(inside).groupBy(*keys, "band")
-             .agg(F.min_by(F.struct("particle_id", "diam_nm"),
-                           F.struct(F.xxhash64("particle_id", F.lit(seed)), F.col("particle_id"))).alias("_p"),
-                  F.min("_start").alias("_start")))
-    return drawn.select(*keys, F.col("band").cast("int").alias("band"), "_p.particle_id", "_p.diam_nm")
+    few = F.col("_n") <= k
+    return (r.where(few | ((at >= 0) & (at < F.col("_width"))))
+            .select(*keys, "particle_id", "diam_nm", F.when(few, pos).otherwise(band).cast("int").alias("band")))
+
+
+def draw(bands: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
+    """One seeded pick per band; another seed re-rolls the set."""
+    return (bands.groupBy(*keys, "band")
+            .agg(F.min(F.struct(F.xxhash64("particle_id", F.lit(seed)).alias("_h"), "particle_id", "diam_nm")).alias("_p"))
+            .select(*keys, "band", "_p.particle_id", "_p.diam_nm"))
+
+
+def pick_spread(particles: DataFrame, keys: list[str], k: int = 5, seed: int = 0) -> DataFrame:
+    """k clean particles spread over the size range, one per band."""
+    return draw(spread_bands(particles, keys, k), keys, seed)
 
 
 def _shuffled(photos: DataFrame, order) -> DataFrame:

@@ -83,6 +83,12 @@ def hfw_npp(fields: Column, width: Column) -> Column:
     return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(0.0))
 
 
+def _three_digits(v: Column) -> Column:
+    """A number with three significant digits and no trailing zeros, as text."""
+    step = F.pow(F.lit(10.0), 2 - F.floor(F.log10(v)))
+    return F.regexp_replace((F.rint(v * step) / step).cast("string"), r"\.0$", "")
+
+
 def read_bar(raw: DataFrame) -> DataFrame:
     """Bar and field width to one reading; the field width outranks the bar.
 
@@ -104,7 +110,9 @@ def read_bar(raw: DataFrame) -> DataFrame:
         F.when(has_hfw, F.col("hfw_npp")).when(bar_ok, F.col("bar_npp")).otherwise(0.0).alias("nm_per_px"),
         F.when(bar_ok, F.col("label_nm")).when(has_hfw, F.col("hfw_npp") * F.col("width_px"))
          .otherwise(0.0).alias("label_nm"),
-        F.when(bar_ok, F.col("label_text")).otherwise("").alias("label_text"),
+        F.when(bar_ok, F.col("label_text")).when(has_hfw, F.concat(
+            F.lit("HFW "), _three_digits(F.col("hfw_npp") * F.col("width_px") / 1000), F.lit(" µm")))
+         .otherwise("").alias("label_text"),
         (has_hfw | bar_ok).alias("ok"), F.when(has_hfw, "HFW").otherwise("bar").alias("source"),
         note.alias("note"), (F.col("hfw_npp") * F.col("width_px")).alias("hfw_nm"),
         detector(F.col("fields")).alias("detector"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["decisions", "statistics"]
+AREAS = ["decisions", "statistics", "labelling", "evaluation", "scales", "filing", "curves", "pixels", "storage"]
 
 
 def _load() -> None:

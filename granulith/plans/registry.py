@@ -18,6 +18,8 @@ def query(name: str, oracle: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = ORACLE_CTES + oracle
+            # some statements walk a log step by step
+            head = ORACLE_CTES.replace("with images", "with recursive images", 1) if "recursive" in oracle else ORACLE_CTES
+            ORACLES[name] = head + oracle.replace("/*recursive*/", "")
         return fn
     return register

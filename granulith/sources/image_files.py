@@ -9,6 +9,10 @@ def inventory(spark: SparkSession, *folders: str) -> DataFrame:
     """path, modified and size of every image beneath the folders, each once."""
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
              .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")))
+    return only_images(found.withColumn("path", F.regexp_replace("path", "^file:/+", "/")))
+
+
+def only_images(files: DataFrame) -> DataFrame:
+    """Rows whose path has an image extension, each path once."""
     pattern = r"(?i)\.(" + "|".join(K.IMAGE_EXTENSIONS) + ")$"
-    return (found.where(F.col("path").rlike(pattern))
-            .withColumn("path", F.regexp_replace("path", "^file:/+", "/")).dropDuplicates(["path"]))
+    return files.where(F.col("path").rlike(pattern)).dropDuplicates(["path"])
