@@ -5,12 +5,11 @@ it. Those counts per photo are small, and leaving a photo out is a subtraction
 from the totals, so no photo is ever refitted row by row.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granulith import constants as K
 from granulith.functions import gates
+from granulith.session import write_and_read
 
 FIRST, LAST = K.GRID_PERCENT
 
@@ -119,15 +118,14 @@ def leave_one_out(cuts: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """One report row per threshold; `value` is the cut to adopt or the one that stays."""
-    inputs = fit_inputs(rows, thresholds)
-    cuts = cut_counts(inputs)
+    # 455 rows per photo at most, used four times: written once instead of recounted
+    cuts = write_and_read(cut_counts(fit_inputs(rows, thresholds)), "cuts")
     loo, best = leave_one_out(cuts), best_cuts(cuts)
     both = (cuts.where(F.col("cut") == FIRST).groupBy("name")
             .agg(F.sum("p_all").alias("_pos"), F.sum("n_all").alias("_neg")))
-    names = reduce(DataFrame.unionAll, [
-        rows.sparkSession.range(1).select(F.lit(n).alias("name"),
-                                          F.lit(gates.threshold(thresholds, n)).alias("current"))
-        for n in K.DEFAULT_THRESHOLDS])
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(gates.threshold(thresholds, n)).alias("current"))
+        for n in K.DEFAULT_THRESHOLDS])).alias("d")).select("d.*")
     whole = (loo.where("name = 'facet_thresh'")
              .select(F.col("n_rows").alias("_all_rows"), F.col("n_photos").alias("_all_photos")))
     out = (names.join(loo, "name", "left").join(best, "name", "left").join(both, "name", "left")

@@ -75,7 +75,7 @@ def golden_train_conflicts(labels: DataFrame) -> DataFrame:
 
 def refuse_golden(new: DataFrame, golden: DataFrame) -> DataFrame:
     """Labels that may be saved for training: a golden photo is never trained on."""
-    return new.join(golden.select("image_id").distinct(), "image_id", "left_anti")
+    return join_lookup(new, golden.select("image_id").distinct(), ["image_id"], "left_anti", spread=["label_id"])
 
 
 def instrument_golden(detector: Column) -> Column:

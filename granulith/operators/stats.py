@@ -38,9 +38,11 @@ def pattern_count(name: str) -> Column:
     return F.count_if(F.col("is_solid") & (F.col("pattern") == name)).alias(f"n_{name}")
 
 
-def image_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+def image_stats(df: DataFrame, keys: list[str], percentiles: dict[str, float] | None = None) -> DataFrame:
     """One row per key: counts over all particles, sizes over measured ones.
 
+    `percentiles` adds more order statistics of the measured sizes to the median.
+
     n_solid / n_flat are null unless some image of the key is classifiable and
     cover classifiable images only; excluded and unclear rows are neither.
     """
@@ -57,8 +59,9 @@ def image_stats(df: DataFrame, keys: list[str]) -> DataFrame:
         *[pattern_count(p) for p in K.PATTERNS],
         _zero(F.avg(_d()), "mean_nm"), _zero(F.stddev_pop(_d()), "std_nm"),
         _zero(F.min(_d()), "min_nm"), _zero(F.max(_d()), "max_nm"))
-    median = exact_quantiles(df.where(gates.measurable()), keys, "diam_nm", {"median_nm": 0.5})
-    return (base.join(median, keys, "left")
+    wanted = {"median_nm": 0.5, **(percentiles or {})}
+    order = exact_quantiles(df.where(gates.measurable()), keys, "diam_nm", wanted)
+    return (base.join(order, keys, "left")
             .withColumn("median_nm", F.coalesce("median_nm", F.lit(0.0))))
 
 
@@ -129,16 +132,21 @@ def sphericity(df: DataFrame, keys: list[str]) -> DataFrame:
          .withColumn("_ok", gates.spherical_measurable())
          .withColumn("_score", F.when(F.col("_ok"), gates.sphericity_score()))
          .withColumn("_circ", F.when(F.col("_ok"), gates.circularity())))
+    # one row per key, class and state; the filters only regroup those
+    cells = m.groupBy(*keys, "cls", "state").agg(
+        F.sum("_score").alias("_score"), F.sum("_circ").alias("_circ"),
+        F.count_if("_ok").alias("_n"), F.count("*").alias("_t"))
     filters = F.explode(F.array(
         F.struct(F.lit("all").alias("filter"), F.lit("").alias("value")),
         F.struct(F.lit("class").alias("filter"), F.col("cls").alias("value")),
         F.struct(F.lit("state").alias("filter"), F.col("state").alias("value"))))
-    return (m.select(*keys, filters.alias("_f"), "_ok", "_score", "_circ")
-            .select(*keys, "_f.filter", "_f.value", "_ok", "_score", "_circ")
-            .where("value is not null")
-            .groupBy(*keys, "filter", "value").agg(
-                F.avg("_score").alias("mean_score"), F.avg("_circ").alias("raw_circularity"),
-                F.count_if("_ok").alias("n_scored"), F.count("*").alias("total")))
+    agg = (cells.select("*", filters.alias("_f")).where("_f.value is not null")
+           .groupBy(*keys, "_f.filter", "_f.value").agg(
+               F.sum("_score").alias("_score"), F.sum("_circ").alias("_circ"),
+               F.sum("_n").alias("n_scored"), F.sum("_t").alias("total")))
+    n = F.nullif(F.col("n_scored"), F.lit(0))
+    return agg.select(*keys, "filter", "value", (F.col("_score") / n).alias("mean_score"),
+                      (F.col("_circ") / n).alias("raw_circularity"), "n_scored", "total")
 
 
 def solid_split(df: DataFrame, keys: list[str]) -> DataFrame:

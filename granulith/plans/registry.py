@@ -1,11 +1,19 @@
 """Registry of the runnable queries and the SQL each is checked against."""
 
+from functools import lru_cache
+
 from granulith.fixtures import ORACLE_CTES, Workbench
 
 QUERIES = {}
 ORACLES = {}
 
 
+@lru_cache(maxsize=4)
+def _workbench(spark, sf_dir: str) -> Workbench:
+    """Queries of one session share the lazy table definitions (plans, not data)."""
+    return Workbench(spark, sf_dir)
+
+
 def query(name: str, oracle: str | None = None):
     """Register `fn(workbench) -> DataFrame`; `oracle` continues the shared table expressions."""
     def register(fn):
@@ -13,7 +21,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark, sf_dir):
-            return fn(Workbench(spark, sf_dir))
+            return fn(_workbench(spark, str(sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

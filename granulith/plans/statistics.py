@@ -62,10 +62,10 @@ E11 = """select selection_id, segment, n_total, n, round(number_share,6) as numb
 def _(w):
     """Sizes, D-values and volume shares of every selection: the flagship."""
     df = w.selected
-    sizes = stats.image_stats(df, SEL).select(*SEL, "count_total", "count_measured", "mean_nm", "std_nm", "median_nm")
-    dv = stats.d_values(df, SEL).select(*SEL, "d10", "d90")
-    return rounded(sizes.join(dv, SEL, "left")
-                   .join(volume.volume_shares(df, SEL).select(*SEL, "segment", "n", "volume_share", "ci_half"), SEL, "left"), single=["mean_nm"])
+    sizes = stats.image_stats(df, SEL, {"d10": 0.1, "d90": 0.9}).select(
+        *SEL, "count_total", "count_measured", "mean_nm", "std_nm", "median_nm", "d10", "d90")
+    shares = volume.volume_shares(df, SEL).select(*SEL, "segment", "n", "volume_share", "ci_half")
+    return rounded(sizes.join(shares, SEL, "left"), single=["mean_nm"])
 
 
 @query("e01_image_stats", E1)

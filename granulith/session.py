@@ -75,8 +75,12 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _size_estimate(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _size_bound(df: DataFrame) -> int | None:
+    """Estimated size of a frame; None where the plan multiplies rows, which estimates do not see."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in ("Generate ", "Expand ")):
+        return None
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def _broadcast_limit(spark: SparkSession) -> int:
@@ -88,7 +92,7 @@ def _broadcast_limit(spark: SparkSession) -> int:
 
 def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
                 spread: list[str] | None = None) -> DataFrame:
-    """Join a fact table to a lookup that holds one row per key.
+    """Join a fact table to a lookup that holds one row per key (any rows for semi and anti joins).
 
     The lookup is broadcast only if its estimated size is within the session's
     broadcast limit. Otherwise the lookup (orders of magnitude fewer rows than
@@ -97,7 +101,8 @@ def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("a lookup join keeps the fact side")
-    if _size_estimate(lookup) <= _broadcast_limit(fact.sparkSession):
+    size = _size_bound(lookup)
+    if size is not None and size <= _broadcast_limit(fact.sparkSession):
         return fact.join(F.broadcast(lookup), keys, how)
     spread_cols = spread or [c for c in fact.columns if c not in keys]
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread_cols), F.lit(SALTS)).cast("int"))

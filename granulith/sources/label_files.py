@@ -51,5 +51,5 @@ def save_confirmed(labels: DataFrame, golden: DataFrame, path: str) -> None:
 
     `labels` and `golden` carry image_id; labels also carries the partition column `stem`.
     """
-    (refuse_golden(labels, golden).write.mode("overwrite")
+    (refuse_golden(labels, golden).hint("rebalance", "stem").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("stem").parquet(path))

@@ -17,7 +17,8 @@ def load_particles(spark: SparkSession, path: str, images: DataFrame) -> DataFra
 def save_particles(particles: DataFrame, path: str) -> None:
     """Store by image bucket: a bounded number of folders, pruned when an image is read."""
     bucket = F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("int")
-    (particles.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path))
+    # rebalancing merges small writes and splits a bucket that one huge image fills
+    (particles.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
 def export_csv(particles: DataFrame, path: str, by_image: bool = False) -> None:

@@ -21,7 +21,10 @@ def decide(particles: DataFrame) -> DataFrame:
 
 def start(spark: SparkSession, schema: T.StructType, source: str, table: str, checkpoint: str,
           prepare=decide, files_per_batch: int = 1000, **options: str) -> StreamingQuery:
-    """Run over everything new under `source`, then stop; call again for the next round."""
+    """Run over everything new under `source`, then stop; call again for the next round.
+
+    Batch numbers order the deliveries, so one table belongs to one checkpoint.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     for name, value in options.items():
         reader = reader.option(name, value)
