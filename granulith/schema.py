@@ -1,33 +1,34 @@
-"""Table schemas of the particle model."""
+"""Table schemas of the particle model, as DDL texts (readers take them as they are)."""
 
-from pyspark.sql import types as T
-
-IMAGES = T.StructType.fromDDL(
+IMAGES = (
     "image_id long, image string, nm_per_px double, detector string, structure double, "
     "pipeline string, width_px int, height_px int")
 
-PARTICLES = T.StructType.fromDDL(
+PARTICLES = (
     "image_id long, particle_id long, cx double, cy double, diam_px double, diam_nm double, "
     "major_px double, minor_px double, angle double, solidity double, facet_frac double, "
     "edge_cut double, touches_edge boolean, perim_px double, bright double, "
     "pattern_probs array<double>, user_measurable boolean, is_solid boolean, pattern string, "
     "excluded boolean, unclassified boolean, user_solid boolean")
 
-LABEL_DOCUMENT = T.StructType.fromDDL(
+LABEL_DOCUMENT = (
     "image string, stem string, detector string, nm_per_px double, confirmed string, "
     "signature string, labels array<struct<id:string,class:string,source:string,cx:double,"
     "cy:double,diam_nm:double,model_cls:string,conf:double,rank:int,n_items:int>>")
 
-OVERRIDES = T.StructType.fromDDL(
+OVERRIDES = (
     "image_id long, particle_id long, kind string, value string")
 
-SCALE_READINGS = T.StructType.fromDDL(
+SCALE_READINGS = (
     "image_id long, nm_per_px double, bar_px int, label_nm double, label_text string, ok boolean, "
     "note string, detector string, source string, hfw_nm double, mag long, mag_npp double, "
     "check string, instrument string, label_read string, version int")
 
-THRESHOLDS = T.StructType.fromDDL("name string, value string")
+THRESHOLDS = (
+    "name string, value string")
 
-LIBRARY = T.StructType.fromDDL("path string, name string, trail array<string>")
+LIBRARY = (
+    "path string, name string, trail array<string>")
 
-LABEL_PIXELS = T.StructType.fromDDL("image_id long, y int, x int, label int, grey int")
+LABEL_PIXELS = (
+    "image_id long, y int, x int, label int, grey int")

@@ -1,0 +1,204 @@
+"""Scales, names, library, regions, sources, streaming and plan shapes."""
+
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from granulith import constants as K, plans
+from granulith.functions import naming as N
+from granulith.operators import curve, library, naming, regions, scale
+from granulith.sources import history, image_files, label_files, library_files, session_tables
+from granulith.streaming import ingest
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_scale_labels(spark):
+    rows = [("5um", 5000.0), ("2uu nm", 200.0), ("500 nmx", None), ("det 5 pm", 5000.0), ("1 m", 1000.0),
+            ("0m", None), ("2,5 µm", 2500.0), ("5 μm", 5000.0), ("1 mm", 1e6), ("??", None)]
+    df = spark.createDataFrame(rows, "s string, v double")
+    assert df.where(~scale.parse_label(F.col("s")).eqNullSafe(F.col("v"))).collect() == []
+
+
+def test_magnification_sources(spark):
+    rows = [({"MAG": "16 000 x"}, 16000), ({"MAGN": "12 O00 x"}, 12000), ({"MAG": "5"}, 0), ({"X": "no"}, 0),
+            ({"HV": "10.00 kV 40 000 X 1.00e-2 Pa"}, 40000)]
+    df = spark.createDataFrame(rows, "f map<string,string>, v long")
+    assert [r[0] for r in df.select(scale.magnification(F.col("f"))).collect()] == [v for _, v in rows]
+
+
+def test_cross_check_outcomes(spark):
+    npp = 413e6 / (1536 * 16000)                      # what the magnification implies
+
+    def row(i, label, bar, hfw=None):
+        f = {"MAG": "16 000 x", "LOGO": "Biomaten"}
+        if hfw:
+            f["HFW"] = hfw
+        return (i, 1536, bar, label, f)
+
+    bar = round(5000 / npp)
+    df = spark.createDataFrame([row(1, "5 um", bar), row(2, "3 um", bar), row(3, "500 nm", bar), row(4, "??", bar),
+                                row(5, "7 um", 100), row(6, "5 um", bar, "20.7 um")],
+                               "image_id long, width_px int, bar_px int, label_ocr string, fields map<string,string>")
+    got = {r.image_id: r for r in scale.cross_check(scale.read_bar(df)).collect()}
+    assert [got[i].check for i in range(1, 7)] == ["agree", "label_fixed", "mag_misread", "mag_only", "conflict", ""]
+    assert got[2].label_nm == 5000.0 and got[2].label_text == "5 µm" and got[2].label_read == "3 µm"
+    assert got[4].nm_per_px == pytest.approx(npp) and got[6].source == "HFW"
+
+
+def test_names(spark):
+    rows = [("UÖ - 13 Alt1", "UÖ", "13", "Alt"), ("05 | Büyükler | Janus 9", None, "05", "Patterned"),
+            ("Janus 12 | 05 | Büyükler", None, "05", "Patterned"), ("TD - 13 x 5 cm 2", "TD", "13", "x 5 cm"),
+            ("UÖ - 03 Karışık 1", "UÖ", "03", "Karışık"), ("alternatif 2", None, None, "alternatif"),
+            ("12", None, "12", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, stem string, p string, n string, g string")
+    got = naming.parsed(df).orderBy("i").collect()
+    assert [(r.prefix, r.num, r.name) for r in got] == [r[1:] for r in rows]
+    assert df.limit(1).select(N.fold(F.lit("KARIŞIK_Üst"))).collect()[0][0] == "karisik ust"
+
+
+def test_one_off_leftovers_make_no_folder(spark):
+    df = spark.createDataFrame([("a", "UÖ - 01 foo 1"), ("b", "UÖ - 01 foo 2"), ("c", "UÖ - 01 bar 1"), ("d", "02 alt"),
+                                ("e", "zzz")], "path string, stem string")
+    got = {r.path: (r.sample, r.folder) for r in naming.plan(df, "path").collect()}
+    assert got == {"a": ("UÖ - 01", "foo"), "b": ("UÖ - 01", "foo"), "c": ("UÖ - 01", None),
+                   "d": ("UÖ - 02", "Alt"), "e": ("Unsorted", None)}
+
+
+def test_rename_healing(spark):
+    f = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    present = f("/d/Sample A 3.jpg", "/d/Sample B 4.jpg", "/d/Sample BB 4.jpg", "/d/Taken 3.jpg", "/e/Sample old 3.jpg")
+    missing = f("/d/Sample old 3.jpg", "/d/Sample B x 4.jpg", "/d/Sample C 4.jpg", "/d/Abc 3.jpg")
+    got = {r.old_path: r.new_path for r in library.find_renamed(missing, present, f("/d/Taken 3.jpg")).collect()}
+    assert got == {"/d/Sample old 3.jpg": "/d/Sample A 3.jpg", "/d/Sample B x 4.jpg": "/d/Sample B 4.jpg"}
+
+
+def _pixels(spark, shapes, h=40, w=50):
+    rows = [(1, y, x, lab, 10 * lab + 100) for lab, f in shapes.items() for y in range(h) for x in range(w) if f(y, x)]
+    seen = {(r[1], r[2]) for r in rows}
+    rows += [(1, y, x, 0, 50) for y in range(h) for x in range(w) if (y, x) not in seen]
+    return spark.createDataFrame(rows, "image_id long, y int, x int, label int, grey int")
+
+
+SHAPES = {1: lambda y, x: (y - 12) ** 2 + (x - 12) ** 2 <= 49, 2: lambda y, x: 30 <= y <= 36 and 5 <= x <= 8,
+          3: lambda y, x: (5 <= y <= 20 and 30 <= x <= 33) or (17 <= y <= 20 and 30 <= x <= 45)}
+
+
+def test_region_properties(spark):
+    px = _pixels(spark, SHAPES)
+    images = spark.createDataFrame([(1, 50, 40)], "image_id long, width_px int, height_px int")
+    b = {r.label: r for r in regions.basics(px, images).collect()}
+    assert b[2].area == 28 and (b[2].cx, b[2].cy) == (6.5, 33.0) and not b[2].touches_edge
+    assert b[1].major_px == pytest.approx(b[1].minor_px) and b[2].major_px == pytest.approx(4 * np.sqrt(4.0))
+    per = {r.label: r.perim_px for r in regions.perimeter(px).collect()}
+    assert 4 * np.pi * b[1].area / per[1] ** 2 == pytest.approx(1.0, abs=0.08)       # a disc is round
+    bright = {r.label: r.bright for r in regions.brightness(px, regions.basics(px, images)).collect()}
+    assert bright[2] == 70.0
+
+
+def _hull_count(pts):
+    """Pixels inside all half planes through pairs of side midpoints."""
+    corners = np.unique((pts[:, None] + np.array([(0, .5), (0, -.5), (.5, 0), (-.5, 0)])).reshape(-1, 2), axis=0)
+    planes = []
+    for a in corners:
+        d = corners - a
+        for n in np.stack([d[:, 1], -d[:, 0]], 1):
+            if n.any() and ((corners - a) @ n <= 1e-9).all():
+                planes.append((n, n @ a))
+    grid = np.array([(y, x) for y in range(40) for x in range(50)])
+    return int(np.all([grid @ n <= c + 1e-9 for n, c in planes], axis=0).sum())
+
+
+def test_solidity_equals_brute_force(spark):
+    got = {r.label: r.solidity for r in regions.solidity(_pixels(spark, SHAPES)).collect()}
+    for lab, f in SHAPES.items():
+        pts = np.array([(y, x) for y in range(40) for x in range(50) if f(y, x)], float)
+        assert got[lab] == pytest.approx(len(pts) / _hull_count(pts))
+
+
+def test_power_law_recovers_parameters(spark):
+    n = [100.0, 200.0, 400.0, 800.0, 1600.0]
+    rows = [(1, i / 5, 0, x, 0.9 - 0.8 * x ** -0.5) for i, x in enumerate(n)] + [(2, i / 5, 0, 100.0, 0.5) for i in range(5)]
+    pts = spark.createDataFrame(rows, "run_id int, frac double, draw int, n_train double, acc double")
+    got = {r.run_id: r for r in curve.fit(pts, ["run_id"]).collect()}
+    assert set(got) == {1}                                       # one size only: nothing to fit
+    assert (got[1].a, got[1].b, got[1].c) == pytest.approx((0.9, 0.8, 0.5), rel=1e-6)
+
+
+def test_image_inventory(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.jpg", "sub/b.TIFF", "c.txt", "sub/d.png"):
+        (tmp_path / name).write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1] for r in image_files.inventory(spark, str(tmp_path), str(tmp_path / "sub")).collect()}
+    assert got == {"a.jpg", "b.TIFF", "d.png"}
+
+
+def test_label_files(spark, tmp_path):
+    doc = {"stem": "p", "detector": "CBS", "confirmed": "2026-01-02 03:04", "labels": [
+        {"id": 1, "class": "janus", "cx": 1.0, "cy": 2.0}, {"id": "x", "class": "janus"}, {"id": 3, "class": "exclude"}]}
+    (tmp_path / "p.labels.json").write_text(json.dumps(doc, indent=1))
+    rows = label_files.read_labels(spark, str(tmp_path))
+    assert sorted(r.label_id for r in rows.collect()) == [1, 3]
+    assert [r.label_id for r in label_files.read_golden(spark, str(tmp_path)).collect()] == [1]
+    named, gone = label_files.split_excluded(rows)
+    assert (named.count(), gone.count()) == (1, 1)
+
+
+def test_library_roundtrip(spark, tmp_path):
+    tree = {"tree": [{"type": "folder", "name": "A", "children": [
+        {"type": "image", "name": "x", "path": "/x"}, {"type": "folder", "name": "B", "children": [
+            {"type": "image", "name": "y", "path": "/y"}]}]}, {"type": "image", "name": "z", "path": "/z"}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "library.json").write_text(json.dumps(tree))
+    flat = library_files.read_library(spark, str(tmp_path / "in"))
+    want = {("/x", ("A",)), ("/y", ("A", "B")), ("/z", ())}
+    assert {(r.path, tuple(r.trail)) for r in flat.collect()} == want
+    library_files.library_documents(flat).write.text(str(tmp_path / "out"))
+    back = library_files.read_library(spark, str(tmp_path / "out"))
+    assert {(r.path, tuple(r.trail)) for r in back.collect()} == want
+
+
+def test_history_and_guard(spark, tmp_path):
+    runs = spark.range(60).select(F.lit("s").alias("scope"), F.timestamp_seconds("id").alias("ts"), "id")
+    history.append_run(runs.where("id < 30"), str(tmp_path / "h"))
+    history.append_run(runs.where("id >= 30"), str(tmp_path / "h"))
+    kept = history.load_history(spark, str(tmp_path / "h"), ["scope"])
+    assert {r.id for r in kept.collect()} == set(range(20, 60))
+    root = str(tmp_path / "v")
+    assert session_tables.guarded_overwrite(runs, root, "1", None) == "1"
+    assert session_tables.guarded_overwrite(runs.limit(0), root, "2", "1") == "1"
+
+
+def test_redelivery_replaces(spark, tmp_path, make):
+    inbox, table, marks = (str(tmp_path / n) for n in ("inbox", "table", "marks"))
+    first = make([{"image_id": i % 2, "diam_nm": 400.0 + i} for i in range(10)])
+    second = make([{"image_id": 1, "particle_id": 100, "diam_nm": 300.0}])
+    for part in (first, second):
+        part.write.mode("append").parquet(inbox)
+        ingest.start(spark, first.schema, inbox, table, marks).awaitTermination()
+    ingest.start(spark, first.schema, inbox, table, marks).awaitTermination()       # nothing new
+    got = {r.image_id: r.count_total for r in ingest.running_stats(ingest.latest(spark, table)).collect()}
+    assert got == {0: 5, 1: 1}
+
+
+# --- plans ---------------------------------------------------------------------------
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decisions_stay_in_the_jvm_and_prune(spark):
+    text = _plan(plans.queries()["b03_measurable"](spark, SF))
+    assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    assert "PushedFilters: [IsNotNull" in text and "l_shipdate" not in text
+
+
+@pytest.mark.parametrize("name", ["d07_match_labels", "e11_volume_shares", "f13_power_law", "i04_group"])
+def test_no_products_or_python(spark, name):
+    text = _plan(plans.queries()[name](spark, SF))
+    assert "Python" not in text and "CartesianProduct" not in text
+
+
+def test_retention_limits_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in _plan(plans.queries()["a05_run_history"](spark, SF))
