@@ -13,7 +13,7 @@ def _rows(df: DataFrame, keys: list[str]) -> DataFrame:
             .where("segment is not null").withColumn("w", d * d * d))
 
 
-def _ratio(total_n: Column, total_w: Column, total_w2: Column, n: Column, w: Column, w2: Column) -> dict:
+def ratio(total_n: Column, total_w: Column, total_w2: Column, n: Column, w: Column, w2: Column) -> dict:
     """Shares and the delta-method half-width from sums alone.
 
     sum (w (z - p))^2 = (1 - 2p) * sum_in w^2 + p^2 * sum w^2, so no second pass.
@@ -41,7 +41,7 @@ def volume_shares(df: DataFrame, keys: list[str]) -> DataFrame:
     present = sum((F.when(F.col(f"n_{s}") > 0, 1).otherwise(0) for s in K.VOLUME_SEGMENTS), F.lit(0))
 
     def entry(name: str, n: Column, w: Column, w2: Column) -> Column:
-        r = _ratio(F.col("n_total"), F.col("_w"), F.col("_w2"), n, w, w2)
+        r = ratio(F.col("n_total"), F.col("_w"), F.col("_w2"), n, w, w2)
         return F.struct(F.lit(name).alias("segment"), n.alias("n"), *[v.alias(k) for k, v in r.items()])
 
     entries = [entry(s, F.col(f"n_{s}"), F.col(f"w_{s}"), F.col(f"w2_{s}")) for s in K.VOLUME_SEGMENTS]

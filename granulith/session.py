@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SALTS = 32
+SMALL_SCAN = 64 << 20
 
 
 def build_session(master: str, app: str = "granulith", shuffle_partitions: int | None = None,
@@ -44,9 +45,11 @@ def settle(df: DataFrame, columns: dict) -> DataFrame:
 
 
 def spread_small_scan(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread an input of fewer files than cores before row-heavy work; larger inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) * 2 <= cores else df
+    """Spread a small input that may be one row group before row-heavy work; others are left alone."""
+    size = _size_bound(df)
+    if size is None or size > SMALL_SCAN:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:
