@@ -10,6 +10,8 @@ PATTERN_ALIASES = ["janus", "stripe", "striped", "cizgili", "lamellar", "lamelle
                    "as produced", "asproduced", "uretildigi gibi"]
 PATTERNED = "Patterned"
 UNSORTED = "Unsorted"
+
+# How a sample is written in a file name (letter code and number, or a leading number).
 DASHES = r"\-–—"
 PREFIXED = rf"(?:^|[|/\\_])\s*(\p{{L}}{{1,4}})\s*(?:[{DASHES}]\s*|\s+)(\d{{1,3}})(?!\d)"
 LEADING = r"^\s*(\d{1,3})(?!\d)"

@@ -8,14 +8,20 @@ from granulith import constants as K
 LABEL_DIGITS = ("uoqzsbglit", "0002589111")
 MAG_DIGITS = ("OoDQlI|SB", "000011158")
 
+# How labels, magnifications and detector names are written on the info bar.
+LABEL_PATTERN = r"(?U)([0-9uoqzsbgli.,]+?)\s*(nm|µm|um|pm|mm|m)\b"
+MAG_PATTERN = r"^\s*([\dOoDQlIS|B][\dOoDQlIS|B ]*)"
+MAG_SIGN_PATTERN = r"(?U)(\d[\dOo ]*)\s*[xX×]\b"
+MAG_RANGE = (10, 2000000)
+DETECTOR_PATTERN = "(CBS|ETD|SE2|INLENS|BSE|TLD|SE)"
+
 
 def _label_parts(text: Column) -> tuple[Column, Column]:
     t = F.lower(F.replace(text, F.lit("μ"), F.lit("µ")))
     # the token grows only as far as the unit allows, so "5um" is 5 µm and not 50 m
-    pattern = r"(?U)([0-9uoqzsbgli.,]+?)\s*(nm|µm|um|pm|mm|m)\b"
-    raw = F.translate(F.regexp_extract(t, pattern, 1), *LABEL_DIGITS)
+    raw = F.translate(F.regexp_extract(t, LABEL_PATTERN, 1), *LABEL_DIGITS)
     raw = F.regexp_replace(F.translate(raw, ",", "."), r"^\.+|\.+$", "")
-    return raw, F.regexp_extract(t, pattern, 2)
+    return raw, F.regexp_extract(t, LABEL_PATTERN, 2)
 
 
 def _unit_nm(unit: Column) -> Column:
@@ -41,16 +47,16 @@ def label_text(text: Column) -> Column:
 
 
 def _mag_value(text: Column) -> Column:
-    digits = F.regexp_extract(text, r"^\s*([\dOoDQlIS|B][\dOoDQlIS|B ]*)", 1)
+    digits = F.regexp_extract(text, MAG_PATTERN, 1)
     n = F.replace(F.translate(digits, *MAG_DIGITS), F.lit(" "), F.lit("")).try_cast("long")
-    return F.when((n >= 10) & (n <= 2000000), n)
+    return F.when(n.between(*MAG_RANGE), n)
 
 
 def magnification(fields: Column) -> Column:
     """From the MAG field, else from the number before an x sign in any field; 0 = none."""
     mags = F.map_values(F.map_filter(fields, lambda k, v: F.startswith(k, F.lit("MAG"))))
     signs = F.flatten(F.transform(F.map_values(fields), lambda v: F.regexp_extract_all(
-        v, F.lit(r"(?U)(\d[\dOo ]*)\s*[xX×]\b"), F.lit(1))))
+        v, F.lit(MAG_SIGN_PATTERN), F.lit(1))))
     texts = F.when(F.size(mags) > 0, mags).otherwise(signs)
     first = F.try_element_at(F.array_compact(F.transform(texts, _mag_value)), F.lit(1))
     return F.coalesce(first, F.lit(0))
@@ -59,7 +65,7 @@ def magnification(fields: Column) -> Column:
 def detector(fields: Column) -> Column:
     cells = F.map_values(F.map_filter(fields, lambda k, v: F.startswith(k, F.lit("DET"))))
     names = F.filter(F.transform(cells, lambda v: F.regexp_extract(
-        F.upper(v), "(CBS|ETD|SE2|INLENS|BSE|TLD|SE)", 1)), lambda v: v != "")
+        F.upper(v), DETECTOR_PATTERN, 1)), lambda v: v != "")
     return F.coalesce(F.try_element_at(names, F.lit(1)), F.lit(""))
 
 

@@ -123,3 +123,10 @@ def test_pool_is_the_union(make):
     single = stats.size_summary(df, ["image_id"]).agg(F.sum("count_measured")).collect()[0][0]
     pool = stats.size_summary(df.withColumn("s", F.lit(1)), ["s"]).collect()[0].count_measured
     assert single == pool == 60
+
+
+def test_sketch_is_close_to_exact(make):
+    d, _, df = particles(make, 500, 11)
+    exact = stats.d_values(df, ["selection_id"]).collect()[0]
+    sketch = stats.d_values_approx(df, ["selection_id"]).collect()[0]
+    assert [sketch.d10, sketch.d50, sketch.d90] == pytest.approx([exact.d10, exact.d50, exact.d90], rel=0.05)
