@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import rule_ledger
+from granulith.llm import prefix_viterbi, rule_ledger, wu_manber
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +45,35 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     rows = rule_ledger.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~rule_ledger.passes(1)).alias("base_failed"), rule_ledger.passes(2).alias("kept"))
+
+
+@register(oracle=r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+ b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+ pats as (select distinct item_id, len(list_slice(w, i, i + 9)) as m, list_slice(w, i, i + 9) as p
+   from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+ pos as (select r, m, list_slice(w, i, i + m - 1) as p, i from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i
+   from d, (select distinct m from pats) where len(w) >= m)),
+ occ as (select pos.r, pos.i, pos.m, pats.item_id from pos join pats on pos.m = pats.m and pos.p = pats.p),
+ hit as (select r, count(distinct i + k) as n_hit from (select r, i, unnest(range(0, m)) as k from (select distinct r, i, m from occ)) group by r),
+ its as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+   from (select distinct r, item_id from occ) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 as contaminated from d left join hit using (r) left join its using (r)""")
+def op8_wu_manber(spark, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = wu_manber.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@register()
+def op9_prefix_viterbi(spark, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives the text again."""
+    return prefix_viterbi.encode(table(spark, sf_dir, "documents"), TOKENIZER, check=True)
