@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import prefix_viterbi, rule_ledger, wu_manber
+from granulith.llm import line_chunks, prefix_viterbi, rule_ledger, toxicity, warc, wu_manber
 
 QUERIES = {}
 ORACLES = {}
@@ -77,3 +77,50 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 def op9_prefix_viterbi(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text again."""
     return prefix_viterbi.encode(table(spark, sf_dir, "documents"), TOKENIZER, check=True)
+
+
+LINE_CHUNKS_SQL = """
+with ln as (select doc_id, i, line, ('0x' || left(md5(line), 8))::bigint as h from
+   (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i
+    from documents where text is not null)),
+ ro as (select *, (h + 31 * lag(h, 1, 0) over w + 961 * lag(h, 2, 0) over w) % 4294967291 as r from ln
+   window w as (partition by doc_id order by i)),
+ en as (select *, i > 0 and r < lag(r) over w and r <= lead(r) over w as e from ro window w as (partition by doc_id order by i)),
+ st as (select *, coalesce(sum((e)::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as g from en),
+ ct as (select *, (row_number() over (partition by doc_id, g order by i) - 1) // 8 as k from st),
+ ch as (select doc_id, g, k, string_agg(line, chr(10) order by i) as chunk, count(*) as n from ct group by doc_id, g, k),
+ nu as (select *, row_number() over (partition by doc_id order by g, k) - 1 as no from ch),
+ mk as (select *, n > 1 and row_number() over (partition by chunk order by doc_id, no) > 1 as gone from nu)
+"""
+
+
+@register(oracle=LINE_CHUNKS_SQL + """
+select d.doc_id, coalesce(sum(n), 0)::bigint as n_lines, count(no) as n_chunks, count(*) filter (gone) as n_removed_chunks,
+ coalesce(sum(n) filter (gone), 0)::bigint as n_removed_lines,
+ case when any_value(text) is not null then sha256(coalesce(string_agg(chunk, chr(10) order by no) filter (not gone), '')) end as kept_sha256
+from documents d left join mk using (doc_id) group by d.doc_id""")
+def op2_line_chunks(spark, sf_dir: str) -> DataFrame:
+    """Chunks of lines that stand earlier, removed from every document."""
+    out = line_chunks.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines",
+                      F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@register()
+def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document by the model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register(oracle="""
+with p as (select page_id, coalesce(html, '') as html from pages),
+ g as (select html, max(page_id) as keeper from p group by html)
+select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest,
+ case when strlen(html) >= 1000 and page_id < keeper then 'revisit' else 'response' end as record_type,
+ case when strlen(html) >= 1000 and page_id < keeper then keeper end as refers_to
+from p join g using (html)""")
+def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
