@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import line_chunks, prefix_viterbi, rule_ledger, toxicity, warc, wu_manber
+from granulith.llm import line_chunks, prefix_viterbi, rule_ledger, superminhash, toxicity, warc, wu_manber
 
 QUERIES = {}
 ORACLES = {}
@@ -124,3 +124,20 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Pages written to archives and read back."""
     archives = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register(oracle=r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select distinct doc_id, list_slice(w, i, i + 4) as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i
+   from w where len(w) > 0)),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ e as (select a.doc_id as a, b.doc_id as b from (select a.doc_id, b.doc_id as other, count(*) as c from s a join s b using (s)
+   where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id) p join n a on a.doc_id = p.doc_id join n b on b.doc_id = p.other
+   where 100 * c >= 75 * (a.n + b.n - c)),
+ r as (select doc_id, doc_id as c from n union select e.a, r.c from r join e on e.b = r.doc_id where r.c < e.a)
+select w.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, w.doc_id) as component_id, coalesce(c, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join (select doc_id, min(c) as c from r group by doc_id) using (doc_id)""")
+def op7_superminhash(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of every document."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
