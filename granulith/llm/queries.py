@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import line_chunks, prefix_viterbi, rule_ledger, superminhash, toxicity, warc, wu_manber
+from granulith.llm import (line_chunks, prefix_viterbi, recompression, rule_ledger, run_index, superminhash, toxicity, warc,
+                            wu_manber)
 
 QUERIES = {}
 ORACLES = {}
@@ -141,3 +142,26 @@ from w left join n using (doc_id) left join (select doc_id, min(c) as c from r g
 def op7_superminhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of every document."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op5_run_index(spark, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by 100-byte strings that start earlier."""
+    return run_index.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register(oracle=r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) as h
+   from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+ f as (select h, min(doc_id) as first from s group by h having count(*) > 1),
+ g as (select distinct doc_id, i + k as i from (select doc_id, i, unnest(range(0, 50)) as k from s join f using (h) where doc_id > first)),
+ u as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+ m as (select u.doc_id, x, u.i, g.i is not null as gone from u left join g using (doc_id, i)),
+ a as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(x, ' ' order by i) filter (not gone) as kept
+   from m group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join a using (doc_id)""")
+def op10_recompression(spark, sf_dir: str) -> DataFrame:
+    """Words of every document covered by windows of 50 words of an earlier document."""
+    return recompression.dedup(table(spark, sf_dir, "documents")).drop("kept")
