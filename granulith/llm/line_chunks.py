@@ -8,6 +8,8 @@ have been compared.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from granulith.session import write_and_read
+
 #: Weights of the line and the lines before it in the rolling hash, and its modulus.
 FACTORS = [1, 31, 961]
 MODULUS = 4294967291
@@ -55,7 +57,8 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
         "doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(chunks_of(F.col("text"))).alias("no", "chunk"))
     own = own.where(F.contains("chunk", F.lit("\n"))).withColumn("h", F.xxhash64("chunk"))
     again = own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = own.join(again, "h", "left_semi")
+    # written once: both sides below read it, and the first of each chunk is combined before the shuffle
+    found = write_and_read(own.join(again, "h", "left_semi"), "chunks")
     # the chunk itself is a key: equal hashes of different texts stay apart
     first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").drop("n")
