@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import (line_chunks, prefix_viterbi, recompression, rule_ledger, run_index, superminhash, toxicity, warc,
+from granulith.llm import (context_tree, line_chunks, prefix_viterbi, recompression, rule_ledger, run_index, superminhash, toxicity, warc,
                             wu_manber)
 
 QUERIES = {}
@@ -165,3 +165,9 @@ from d left join a using (doc_id)""")
 def op10_recompression(spark, sf_dir: str) -> DataFrame:
     """Words of every document covered by windows of 50 words of an earlier document."""
     return recompression.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register()
+def op1_context_tree(spark, sf_dir: str) -> DataFrame:
+    """Base and context-tree scores of every document."""
+    return context_tree.score(table(spark, sf_dir, "documents"))
