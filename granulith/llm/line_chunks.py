@@ -66,6 +66,24 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "row_hash").agg(F.collect_set("no").alias("gone"))
 
 
+def _cut(docs: DataFrame) -> DataFrame:
+    """docs with `_chunk_gone`, the numbers of the chunks to remove (null for none); joined per text, not per id."""
+    gone = removed_chunks(docs).select(F.col("doc_id").alias("_chunk_doc"), F.col("row_hash").alias("_chunk_row"), F.col("gone").alias("_chunk_gone"))
+    on = (F.col("doc_id") == F.col("_chunk_doc")) & (F.xxhash64("text") == F.col("_chunk_row"))
+    return docs.join(gone, on, "left").drop("_chunk_doc", "_chunk_row")
+
+
+def _chosen(keep: bool) -> Column:
+    """The chunks that stay, or those that go."""
+    return F.filter(chunks_of(F.col("text")), lambda c, i: F.array_contains("_chunk_gone", i) != F.lit(keep))
+
+
+def apply(docs: DataFrame) -> DataFrame:
+    """docs, all columns and rows as they were, with the removed chunks cut out of `text`. See `dedup`."""
+    text = F.when(F.col("_chunk_gone").isNull(), F.col("text")).otherwise(F.array_join(_chosen(True), "\n"))
+    return _cut(docs).withColumn("text", text).select(docs.columns)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines (long), and text, what is left.
 
@@ -74,22 +92,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     one place: none removes the other's chunks. Further columns are not read. A chunk that most documents share is
     combined before the shuffle; where its rows meet for the comparison they are joined, not gathered.
     """
-    rows = docs.select("doc_id", "text").withColumn("row_hash", F.xxhash64("text"))
-    gone = removed_chunks(docs)
-    out = rows.join(gone, ["doc_id", "row_hash"], "left")
-
-    def struct_of(chunks):
-        drop = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
-        left = F.filter(chunks, lambda c, i: ~F.array_contains(drop, i))
-        return F.struct(F.size(chunks).cast("long").alias("n_chunks"), F.array_join(left, "\n").alias("text"), F.aggregate(
-            F.filter(chunks, lambda c, i: F.array_contains(drop, i)), F.lit(0).cast("long"),
-            lambda n, c: n + _lines(c)).alias("n_removed_lines"))
-
-    cut = F.when(F.col("gone").isNotNull(), F.transform(F.array(chunks_of(F.col("text"))), struct_of)[0]).otherwise(
-        F.struct(F.coalesce(F.size(chunks_of(F.col("text"))).cast("long"), F.lit(0).cast("long")).alias("n_chunks"),
-                 F.col("text"), F.lit(0).cast("long").alias("n_removed_lines")))
-    return out.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed_chunks"), cut.alias("cut")
-    ).select("doc_id", "n_lines", F.greatest("cut.n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "n_removed_chunks",
-             "cut.n_removed_lines", "cut.text")
+    zero = F.lit(0).cast("long")
+    lost = F.when(F.col("_chunk_gone").isNull(), zero).otherwise(F.aggregate(_chosen(False), zero, lambda n, c: n + _lines(c)))
+    return _cut(docs.select("doc_id", "text")).select(
+        "doc_id", F.coalesce(_lines(F.col("text")).cast("long"), zero).alias("n_lines"),
+        F.when(F.col("text").isNull(), zero).otherwise(F.size(chunks_of(F.col("text"))).cast("long")).alias("n_chunks"),
+        F.when(F.col("_chunk_gone").isNull(), zero).otherwise(F.size("_chunk_gone").cast("long")).alias("n_removed_chunks"),
+        lost.alias("n_removed_lines"),
+        F.when(F.col("_chunk_gone").isNull(), F.col("text")).otherwise(F.array_join(_chosen(True), "\n")).alias("text"))

@@ -180,3 +180,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they were, whose text is not predicted to be toxic."""
+    def run(batches):
+        for block in flat.blocks(batches):
+            s = model.score(*_block_slots(block), len(block))
+            yield block.batch.slice(block.lo, len(block)).filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -173,3 +173,20 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k, items in enumerate(parts):
         out = out.mapInArrow(scan(items, k > 0, k + 1 < len(parts)), schema)
     return out.drop("text")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they were, that hold no window of the benchmark."""
+    def only(items):
+        def run(batches):
+            search = Search(items)
+            for block in flat.blocks(batches):
+                words = flat.Words(block, flat.letters_table())
+                hit, _ = search.block(words)
+                clean = np.bincount(words.text_of()[hit], minlength=len(block)) == 0
+                yield block.batch.slice(block.lo, len(block)).filter(pa.array(clean))
+        return run
+
+    for items in _passes(benchmark):
+        docs = docs.mapInArrow(only(items), docs.schema)
+    return docs
