@@ -1,5 +1,7 @@
 """Reading sample, group and spelling out of free-form file names."""
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # Known words and the folder each one stands for.
@@ -15,6 +17,9 @@ UNSORTED = "Unsorted"
 DASHES = r"\-–—"
 PREFIXED = rf"(?:^|[|/\\_])\s*(\p{{L}}{{1,4}})\s*(?:[{DASHES}]\s*|\s+)(\d{{1,3}})(?!\d)"
 LEADING = r"^\s*(\d{1,3})(?!\d)"
+# What separates words, stands around a name and numbers a photo.
+TIDY = [(r"[|/\\_]+", " "), (rf"[{DASHES}]+", " "), (r"\s+", " "), (rf"^[ {DASHES}.,*#~+]+|[ {DASHES}.,*#~+]+$", ""),
+        (r"(?<=\p{L})\d{1,3}\s*$|(?<!\S)\d{1,3}\s*$", "")]
 
 # Letters whose mark is dropped when names are compared (composed forms; marks
 # that come separately are removed by range).
@@ -25,6 +30,20 @@ _FROM = "".join(_PLAIN.values())
 _TO = "".join(k * len(v) for k, v in _PLAIN.items())
 
 
+# Letter and separate mark of every composed Latin letter, simpler letters first.
+_COMPOSED = [("".join(chr(int(x, 16)) for x in unicodedata.decomposition(chr(c)).split()), chr(c))
+             for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+             if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))
+             and unicodedata.normalize("NFC", chr(c)) == chr(c)]
+
+
+def composed(s: Column) -> Column:
+    """Letters with separate marks, as some systems write file names, as single letters."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("apart"), F.lit(b).alias("one")) for a, b in _COMPOSED if len(a) == 2])
+    return F.when(s.rlike("[\\u0300-\\u036f]"), F.aggregate(
+        pairs, s, lambda acc, p: F.replace(acc, p["apart"], p["one"]))).otherwise(s)
+
+
 def fold(s: Column) -> Column:
     """Lower case, no marks, separators as single spaces; all Turkish i's become "i"."""
     t = F.translate(s, "İI", "ii")
@@ -54,12 +73,21 @@ def _found(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _read(stem: Column, reading) -> Column:
+    """`reading` of the composed name; a lambda binds the name once, so it is not composed again for each use."""
+    return F.transform(F.array(composed(stem)), reading)[0]
+
+
 def sample_prefix(stem: Column) -> Column:
-    return _found(F.regexp_extract(stem, PREFIXED, 1))
+    return _read(stem, lambda s: _found(F.regexp_extract(s, PREFIXED, 1)))
 
 
 def sample_number(stem: Column) -> Column:
     """Two-digit sample number: after a letter code, leading, or alone between separators."""
+    return _read(stem, _sample_number)
+
+
+def _sample_number(stem: Column) -> Column:
     parts = F.transform(F.split(stem, r"[|/\\_]+"), lambda p: F.trim(p))
     alone = F.try_element_at(F.filter(parts, lambda p: p.rlike(r"^\d{1,3}$")), F.lit(1))
     n = F.coalesce(_found(F.regexp_extract(stem, PREFIXED, 2)),
@@ -69,15 +97,17 @@ def sample_number(stem: Column) -> Column:
 
 def leftover(stem: Column) -> Column:
     """What is left of a name without its sample marker and photo index; null if nothing readable."""
+    return _read(stem, _leftover)
+
+
+def _leftover(stem: Column) -> Column:
     marked = stem.rlike(PREFIXED)
     with_code = _replace_first(stem, PREFIXED)
     with_number = _replace_first(stem, LEADING)
     rest = F.when(marked, with_code).otherwise(with_number)
-    rest = F.regexp_replace(rest, r"[|/\\_]+", " ")
-    rest = F.regexp_replace(rest, f"[{DASHES}]+", " ")
-    rest = F.regexp_replace(rest, r"\s+", " ")
-    rest = F.regexp_replace(rest, rf"^[ {DASHES}.,*#~+]+|[ {DASHES}.,*#~+]+$", "")
-    rest = F.trim(F.regexp_replace(rest, r"(?<=\p{L})\d{1,3}\s*$|(?<!\S)\d{1,3}\s*$", ""))
+    for pattern, by in TIDY:
+        rest = F.regexp_replace(rest, pattern, by)
+    rest = F.trim(rest)
     return F.when(rest.rlike(r"[\p{L}\p{N}]"), rest)
 
 
@@ -92,9 +122,13 @@ def _replace_first(s: Column, pattern: str) -> Column:
 
 def group(stem: Column) -> Column:
     """struct(name, key, known): region folder, "Patterned", or the leftover text."""
+    return _read(stem, _group)
+
+
+def _group(stem: Column) -> Column:
     folded = fold(stem)
     reg = region(folded)
-    rest = leftover(stem)
+    rest = _leftover(stem)
     name = F.when(reg.isNotNull(), reg).when(has_pattern_word(folded), PATTERNED).otherwise(rest)
     known = reg.isNotNull() | has_pattern_word(folded)
     return F.struct(name.alias("name"), fold(name).alias("key"), known.alias("known"))

@@ -4,6 +4,8 @@ from pyspark.sql import Column, functions as F
 
 # The category words a photo title ends on, with their ASCII spellings.
 CATEGORY_WORDS = ["karışık", "karisik", "üst", "ust", "alt"]
+# Fixed value: what counts as a number in an entry field.
+NUMBER = r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity|nan)$"
 
 
 def stem(name: Column) -> Column:
@@ -29,8 +31,9 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """A number typed by hand: decimal comma allowed, blank or invalid is null."""
-    return F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double")
+    """A number typed by hand: decimal comma and single underscores between digits allowed, blank or invalid is null."""
+    plain = F.replace(F.trim(text), F.lit(","), F.lit("."))
+    return F.when(plain.rlike(NUMBER), F.replace(plain, F.lit("_"), F.lit(""))).try_cast("double")
 
 
 def whole(value: Column) -> Column:
@@ -70,11 +73,12 @@ def range_sentence(k: Column, n: Column, mean: Column, lo: float | None, hi: flo
 
 
 def natural_key(s: Column) -> Column:
-    """Sort key under which "Janus 2" comes before "Janus 10"."""
+    """Sort key under which "Janus 2" comes before "Janus 10"; numbers of any length, their digit count in front."""
     from granulith.functions.naming import fold
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
     parts = F.regexp_extract_all(s, F.lit(r"(\d+|\D+)"), F.lit(1))
     keyed = F.transform(parts, lambda p: F.when(
         p.rlike(r"^\d+$"),
-        F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), F.lit(20), F.lit("0")))
+        F.concat(F.lpad(F.length(digits(p)).cast("string"), F.lit(10), F.lit("0")), digits(p)))
         .otherwise(fold(p)))
     return F.array_join(keyed, "\u0001")

@@ -7,7 +7,6 @@ from granulith.functions import classes, gates
 from granulith.session import join_lookup
 
 KEY = ["image_id", "particle_id"]
-CHUNK = 65536
 
 
 def effective(particles: DataFrame, clicks: DataFrame, blanks: DataFrame) -> DataFrame:
@@ -88,30 +87,19 @@ def instrument_curve(detector: Column, readable: Column) -> Column:
 
 
 def signature(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Fingerprint of a label set: sha1 over "id:class" in id order, then "id:x" for excluded ids.
+    """Fingerprint of a label set, whatever its size and order.
 
-    Ids are hashed in ranges of CHUNK; a photo that fits one range per part (any
-    hand-labelled photo) gives the plain sha1 of the whole text, a larger one
-    the sha1 of its range hashes, so no unbounded list is ever built.
+    Each label's text "id:class" ("id:x" for an excluded one) is hashed; the count
+    and the sums of four parts of the hashes are hashed again. The sums combine
+    before the shuffle, so no list of a photo's labels is ever built.
     """
-    entry = F.concat(F.col("particle_id").cast("string"), F.lit(":"),
-                     F.when(F.col("cls") == "exclude", "x").otherwise(F.col("cls")))
-    parts = labels.select(
-        *keys, (F.col("cls") == "exclude").cast("int").alias("_part"),
-        F.col("particle_id").alias("_pid"), entry.alias("_e"),
-        F.pmod(F.xxhash64("particle_id"), F.lit(64)).alias("_salt"))
-    sizes = (parts.groupBy(*keys, "_part", "_salt").agg(F.count("*").alias("_n"))
-             .groupBy(*keys).agg(F.sum("_n").alias("_size")))
-    sized = join_lookup(parts, sizes, keys, "inner", spread=["_pid"])
-    chunk = F.when(F.col("_size") <= CHUNK, 0).otherwise(F.floor(F.col("_pid") / CHUNK))
-    text = (sized.withColumn("_chunk", chunk).groupBy(*keys, "_size", "_part", "_chunk")
-            .agg(F.array_sort(F.collect_list(F.struct("_pid", "_e"))).alias("_l"))
-            .withColumn("_text", F.array_join(F.transform("_l", lambda x: x["_e"]), "|")))
-    piece = F.when(F.col("_size") <= CHUNK, F.col("_text")).otherwise(F.sha1("_text"))
-    joined = (text.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("_part", "_chunk", piece.alias("_p")))).alias("_l"), F.sum(F.size("_l")).alias("n_labels")))
-    whole = F.array_join(F.transform("_l", lambda x: x["_p"]), "|")
-    return joined.select(*keys, "n_labels", F.substring(F.sha1(whole), 1, 16).alias("signature"))
+    entry = F.md5(F.concat(F.col("particle_id").cast("string"), F.lit(":"),
+                           F.when(F.col("cls") == "exclude", "x").otherwise(F.col("cls"))))
+    part = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")
+    sums = labels.select(*keys, entry.alias("_h")).groupBy(*keys).agg(
+        F.count("*").alias("n_labels"), *[F.sum(part(i)).alias(f"_s{i}") for i in range(4)])
+    text = F.concat_ws(":", "n_labels", *[f"_s{i}" for i in range(4)])
+    return sums.select(*keys, "n_labels", F.substring(F.sha1(text), 1, 16).alias("signature"))
 
 
 def training_state(images: DataFrame, saved: DataFrame, current: DataFrame) -> DataFrame:

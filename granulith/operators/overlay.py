@@ -45,6 +45,7 @@ def apply_view(particles: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 # --- click logs -----------------------------------------------------------------
+# Where a second click on a class leads.
 UNSURE_OF = {"undercooled": "unknown", **{p: f"solid:{p}" for p in K.PATTERNS}}
 CLICKS = ["undercooled", *K.PATTERNS, "solid", "exclude"]
 OVERRIDE_VALUES = ["", "undercooled", *K.PATTERNS, "solid", "unknown", *[f"solid:{p}" for p in K.PATTERNS]]
@@ -67,6 +68,16 @@ def _click(state: int, cls: str) -> int:
     return OVERRIDE_VALUES.index(value) + named * _N
 
 
+def resolve_solid(log: DataFrame, particles: DataFrame) -> DataFrame:
+    """Click log whose "solid" clicks carry the pattern that the model finds credible for a solid particle.
+
+    Without a credible pattern the click stays "solid"; on an unknown particle it is void.
+    """
+    named = particles.select(*KEY, gates.solidify_pattern().alias("_solid"))
+    return (log.join(named, KEY, "left").withColumn("cls", F.when(F.col("cls") == "solid", F.col("_solid")).otherwise(F.col("cls")))
+            .where("cls is not null").drop("_solid"))
+
+
 def fold_class_clicks(log: DataFrame) -> DataFrame:
     """Final override per particle of a click log (image_id, particle_id, seq, cls).
 

@@ -22,12 +22,6 @@ def overlay(scopes: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
                     F.col("value").isNotNull().alias("fitted")))
 
 
-def in_force(thresholds: DataFrame) -> dict[str, float]:
-    """The five values of one scope, for use as literals (a fixed, five-row result)."""
-    return {r["name"]: r["value"] for r in thresholds.select("name", "value").limit(
-        len(K.DEFAULT_THRESHOLDS)).collect()}
-
-
 def pipeline_stamp(weights: list[Column], thresholds: dict[str, float]) -> Column:
     """Short identity of the rules, the model files and the thresholds in force."""
     parts = [F.lit(f"v{K.PIPELINE_VERSION}"), *weights]

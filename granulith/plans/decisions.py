@@ -165,9 +165,10 @@ def _(w):
             .select(*IDS, classes.rule_note(F.col("label")).alias("note")))
 
 
-# Spellings that exercise the title and naming rules.
-NAMES = ["UÖ - 13 Alt1", "05 | Büyükler | Janus 9", "Janus 12 | 05 | Büyükler", "TD - 13 x 5 cm 2",
-         "UÖ - 03 Karışık 1", "KARIŞIK 4", "alternatif 2", ""]
+# Spellings that exercise the title and naming rules: composed, and the same with separate marks; long numbers.
+NAMES = ["ÄK - 11 Alt2", "07 | Große | Janus 3", "Janus 8 | 07 | Große", "QB - 11 y 2 mm 4", "ÄK - 02 Karışık 5", "KARIŞIK 9",
+         "alternierend 6", "", "A\u0308K - 11 Alt2", "A\u0308K - 02 Karıs\u0327ık 5", "KARIS\u0327IK 9", "U\u0308st 3 | 04",
+         "a 123456789012345678901", "a 123456789012345678902", "a 0012345678901234567890"]
 NAMES_SQL = " union all ".join(f"select {i} as variant, '{n}' as extra" for i, n in enumerate(NAMES))
 
 
@@ -235,13 +236,15 @@ def _(w):
                     F.coalesce("n_particles", F.lit(0)).alias("n_particles")))
 
 
-@query("b22_number_entry", """select ok, ln, image_id, particle_id, case when pk%5=4 then null when pk%5=3 then null
-  else cast(k2 as double)/10e0 end as value
+@query("b22_number_entry", """select ok, ln, image_id, particle_id, case when pk%5=4 then null when pk%5<3 then cast(k2 as double)/10e0
+  when pk%15=8 then 1e3 when pk%15=13 then null when ok%4=0 then 15e1 end as value
  from (select *, (ok%1000)*10 + pk%10 as k2 from particles)""")
 def _(w):
     tenths = (F.col("ok") % 1000) * 10 + F.col("pk") % 10
     plain = F.concat((F.floor(tenths / 10)).cast("string"), F.lit(","), (tenths % 10).cast("string"))
-    typed = (F.when(F.col("pk") % 5 == 4, "  ").when(F.col("pk") % 5 == 3, "12..x")
+    typed = (F.when(F.col("pk") % 5 == 4, "  ").when(F.col("pk") % 15 == 8, "1_000")
+             .when(F.col("pk") % 15 == 13, F.element_at(F.array(*map(F.lit, ("12d", "5f", "12..x", "1__0"))), (F.col("ok") % 4 + 1).cast("int")))
+             .when(F.col("pk") % 5 == 3, F.element_at(F.array(*map(F.lit, ("1.5e2", "0x10", "7L", "_1"))), (F.col("ok") % 4 + 1).cast("int")))
              .when(F.col("pk") % 5 == 2, F.concat(F.lit(" "), F.replace(plain, F.lit(","), F.lit(".")), F.lit(" ")))
              .otherwise(plain))
     return w.particles.select("ok", "ln", *IDS, text.parse_number(typed).alias("value"))

@@ -14,11 +14,11 @@ _LEAD = "'^\\s*(\\d{1,3})(?:[^\\d]|$)'"
 _W = "regexp_matches(f, '(^|[^a-z0-9])({})([^a-z]|$)')"
 _REG = " ".join(f"when {_W.format(k)} then '{N.REGION_WORDS[k]}'" for k in sorted(N.REGION_WORDS, key=len, reverse=True))
 _PATS = "|".join(N.PATTERN_ALIASES)
-FILED = NAMED_SQL + f""", p0 as (select image_id, variant, stem, lpad(cast(image_id as varchar),12,'0')||':'||cast(variant as varchar) as path, {FOLD.format(x='stem')} as f,
+FILED = NAMED_SQL + f""", p0 as (select image_id, variant, stem, lpad(cast(image_id as varchar),20,'0')||':'||cast(variant as varchar) as path, {FOLD.format(x='stem')} as f,
    nullif(regexp_extract(stem, {_PRE}, 1),'') as prefix,
    coalesce(nullif(regexp_extract(stem, {_PRE}, 2),''), nullif(regexp_extract(stem, {_LEAD}, 1),''),
     list_filter(list_transform(string_split_regex(stem,'[|/\\\\_]+'), lambda x: trim(x)), lambda x: regexp_full_match(x,'\\d{{1,3}}'))[1]) as n0,
-   case when regexp_matches(stem, {_PRE}) then regexp_replace(stem, '(?:^|[|/\\\\_])\\s*(\\p{{L}}{{1,4}})\\s*(?:[-–—]\\s*|\\s+)(\\d{{1,3}})', ' ') else regexp_replace(stem, '^\\s*(\\d{{1,3}})', ' ') end as rest0 from named_images),
+   case when regexp_matches(stem, {_PRE}) then regexp_replace(stem, '(?:^|[|/\\\\_])\\s*(\\p{{L}}{{1,4}})\\s*(?:[-–—]\\s*|\\s+)(\\d{{1,3}})', ' ') else regexp_replace(stem, '^\\s*(\\d{{1,3}})', ' ') end as rest0 from (select image_id, variant, nfc_normalize(stem) as stem from named_images)),
  p1 as (select *, case when length(n0)<2 then lpad(n0,2,'0') else n0 end as num,
    trim(trim(regexp_replace(regexp_replace(regexp_replace(rest0,'[|/\\\\_]+',' ','g'),'[-–—]+',' ','g'),'\\s+',' ','g')), ' -–—.,*#~+') as rest1 from p0),
  p2 as (select *, trim(regexp_replace(regexp_replace(rest1, '(\\p{{L}})\\d{{1,3}}\\s*$', '\\1'), '(^|\\s)\\d{{1,3}}\\s*$', '')) as rest2,
@@ -38,7 +38,7 @@ FILED = NAMED_SQL + f""", p0 as (select image_id, variant, stem, lpad(cast(image
 
 def photos(w):
     return named_images(w).withColumn("path", F.concat(
-        F.lpad(F.col("image_id").cast("string"), 12, "0"), F.lit(":"), F.col("variant").cast("string")))
+        F.lpad(F.col("image_id").cast("string"), 20, "0"), F.lit(":"), F.col("variant").cast("string")))
 
 
 @query("i01_fold", NAMED_SQL + f"select image_id, variant, {FOLD.format(x='stem')} as folded from named_images")
@@ -84,7 +84,7 @@ def _(w):
     return naming.export_names(w.images.select("image_id", stem.alias("stem"), text.clean_title(stem).alias("title")), "line")
 
 
-_KEYED = f"""list_aggregate(list_transform(regexp_extract_all(stem,'(\\d+|\\D+)'), lambda x: case when regexp_full_match(x,'\\d+') then lpad(regexp_replace(x,'^0+(\\d)','\\1'),20,'0') else {FOLD.format(x='x')} end), 'string_agg', chr(1))"""
+_KEYED = f"""list_aggregate(list_transform(regexp_extract_all(stem,'(\\d+|\\D+)'), lambda x: case when regexp_full_match(x,'\\d+') then lpad(cast(length(regexp_replace(x,'^0+(\\d)','\\1')) as varchar),10,'0')||regexp_replace(x,'^0+(\\d)','\\1') else {FOLD.format(x='x')} end), 'string_agg', chr(1))"""
 
 
 @query("g06_natural_key", NAMED_SQL + f"select image_id, variant, coalesce({_KEYED},'') as sort_key from named_images")

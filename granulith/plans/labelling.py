@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from granulith import constants as K
+from granulith.fixtures import _ELIGIBLE
 from granulith.functions import classes, gates
 from granulith.operators import calibrate, histogram, labels, match, overlay
 from granulith.plans.registry import query
@@ -34,16 +35,17 @@ def _(w):
 
 
 def click_log(w):
-    """Repeated class clicks on every seventh order's particles."""
-    rows = w.particles.where("ok % 7 = 0").select(*KEY, "pk", F.explode(
+    """Repeated class clicks on every particle."""
+    rows = w.decided.select(*KEY, "pk", F.explode(
         F.sequence(F.lit(0), (F.col("pk") % 5).cast("int"))).alias("seq"))
     i = ((F.col("pk") + F.floor(F.col("seq") / 2)) % len(overlay.CLICKS)).cast("int")
     return rows.select(*KEY, "seq", F.element_at(F.array(*[F.lit(c) for c in overlay.CLICKS]), i + 1).alias("cls"))
 
 
-@query("d02_class_clicks", """/*recursive*/, log as (select image_id, particle_id, cast(seq as int) as seq,
-  ['undercooled','janus','stripe','lamellar','composite','solid','exclude'][cast((pk + seq//2)%7 as int)+1] as cls
-  from (select *, unnest(range(0, pk%5+1)) as seq from particles where ok%7=0)),
+@query("d02_class_clicks", f"""/*recursive*/, log as (select image_id, particle_id, seq, case when cls<>'solid' then cls
+   when w0 is not null and {_ELIGIBLE} and named0<>'' and bright>=-30e0 then named0 else 'solid' end as cls
+  from (select *, cast(sq as int) as seq, ['undercooled','janus','stripe','lamellar','composite','solid','exclude'][cast((pk + sq//2)%7 as int)+1] as cls
+   from (select *, unnest(range(0, pk%5+1)) as sq from decided))),
  f(image_id, particle_id, seq, value, named, exc) as (
   select distinct image_id, particle_id, -1, '', false, false from log
   union all
@@ -56,18 +58,19 @@ def click_log(w):
  select fin.image_id, fin.particle_id, nullif(value,'') as value, exc as view_excluded, (fin.named and not measured) as measure_include, fin.named as lifts_measure_exclude
  from fin join decided d on fin.image_id=d.image_id and fin.particle_id=d.particle_id""")
 def _(w):
-    return overlay.include_on_classify(overlay.fold_class_clicks(click_log(w)), w.decided)
+    log = overlay.resolve_solid(click_log(w), w.decided)
+    return overlay.include_on_classify(overlay.fold_class_clicks(log), w.decided)
 
 
 @query("d03_toggle_measured", _PIV + """/*recursive*/, tog as (select d.image_id, d.particle_id, cast(1+d.pk%3 as int) as n, measured as m,
-   coalesce(inc,false) as i, coalesce(mexc,false) as e from decided d left join piv p on d.image_id=p.image_id and d.particle_id=p.particle_id where d.ok%9=0),
+   coalesce(inc,false) as i, coalesce(mexc,false) as e from decided d left join piv p on d.image_id=p.image_id and d.particle_id=p.particle_id),
  f(image_id, particle_id, k, n, m, i, e) as (select image_id, particle_id, 0, n, m, i, e from tog
   union all select image_id, particle_id, k+1, n, m,
    case when not e and (i or m) then false when e then i else true end,
    case when not e and (i or m) then not i else false end from f where k<n)
  select image_id, particle_id, cast(n as bigint) as n_clicks, i as measure_include, e as measure_exclude from f where k=n""")
 def _(w):
-    toggles = w.decided.where("ok % 9 = 0").select(*KEY, F.explode(
+    toggles = w.decided.select(*KEY, F.explode(
         F.sequence(F.lit(0), (F.col("pk") % 3).cast("int"))).alias("click"))
     return overlay.toggle_measured(w.decided, toggles, w.overrides)
 
@@ -233,8 +236,9 @@ def _(w):
     return labels.missing_ids(w.saved, w.decided.where("ok % 10 <> 0"))
 
 
-SIG = """select {key}, count(*) as n_labels, substr(sha1(concat_ws('|', string_agg(case when cls<>'exclude' then concat(particle_id, ':', cls) end, '|' order by particle_id),
-  string_agg(case when cls='exclude' then concat(particle_id, ':x') end, '|' order by particle_id))),1,16) as signature from {src} group by {key}"""
+SIG = """select {key}, count(*) as n_labels, substr(sha1(concat_ws(':', count(*), sum(('0x' || h[1:8])::bigint), sum(('0x' || h[9:16])::bigint),
+  sum(('0x' || h[17:24])::bigint), sum(('0x' || h[25:32])::bigint))),1,16) as signature
+ from (select *, md5(concat(particle_id, ':', case when cls='exclude' then 'x' else cls end)) as h from {src}) group by {key}"""
 
 
 @query("f17_signature", SIG.format(key="image_id", src="saved"))

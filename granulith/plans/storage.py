@@ -23,13 +23,17 @@ def _(w):
     return stored.select(*KEY, "is_solid", "pattern", gates.measurable().alias("measured"))
 
 
-@query("a02_image_files", LIB_SQL + "select distinct path from (select path from lib where image_id%4<>0 union all select replace(path,'.jpeg','.TIFF') from lib where image_id%4=0)")
+@query("a02_image_files", LIB_SQL + "select distinct path, strlen(path) as size from (select path from lib where image_id%4<>0 union all select replace(path,'.jpeg','.TIFF') from lib where image_id%4=0)")
 def _(w):
-    lib = shelf(w)
+    """Files of the library, photos and others, written under a folder and found again by its scan."""
+    lib, root = shelf(w), scratch_path(w.spark, "photos")
     named = lambda ext: F.regexp_replace("path", r"\.jpeg$", ext).alias("path")
-    files = (lib.where("image_id % 4 <> 0").select("path").unionAll(lib.where("image_id % 4 <> 0").select("path"))
-             .unionAll(lib.where("image_id % 4 = 0").select(named(".TIFF"))).unionAll(lib.select(named(".labels.json"))))
-    return image_files.only_images(files)
+    files = (lib.where("image_id % 4 <> 0").select("path").unionAll(lib.where("image_id % 4 = 0").select(named(".TIFF")))
+             .unionAll(lib.select(named(".labels.json"))).distinct())
+    image_files.place(files, root)
+    found = image_files.inventory(w.spark, root)
+    plain = F.regexp_replace(F.lit(root), "^file:/+", "/")
+    return found.select(F.substring("path", F.length(plain) + 1, F.length("path")).alias("path"), "size")
 
 
 def written_labels(w):
@@ -76,12 +80,17 @@ def _(w):
         F.count_if(F.coalesce("pattern", F.lit("")) != "").alias("n_pattern"))
 
 
-@query("a08_library_tree", LIB_SQL + "select path, name, trail[1] as sample, trail[2] as folder from lib")
+@query("a08_library_tree", LIB_SQL + """select path, name, trail[1] as sample, trail[2] as folder, case when image_id%4=0 then 9 else 2 end as depth,
+ case when image_id%4=0 then 'in [7] "x"' else trail[2] end as deepest from lib""")
 def _(w):
+    """Photos two and nine folders deep, written as documents and read back."""
     path = scratch_path(w.spark, "library")
-    library_files.library_documents(shelf(w)).write.text(path)
+    deep = F.concat("trail", F.array(*[F.lit(f'in [{i}] "x"') for i in range(1, 8)]))
+    lib = shelf(w).withColumn("trail", F.when(F.col("image_id") % 4 == 0, deep).otherwise(F.col("trail")))
+    library_files.library_documents(lib).write.text(path)
     return library_files.read_library(w.spark, path).select(
-        "path", "name", F.get("trail", 0).alias("sample"), F.get("trail", 1).alias("folder"))
+        "path", "name", F.get("trail", 0).alias("sample"), F.get("trail", 1).alias("folder"),
+        F.size("trail").alias("depth"), F.try_element_at("trail", F.lit(-1)).alias("deepest"))
 
 
 @query("a08b_count_images", LIB_SQL + "select trail[1] as folder, count(*) as n_images from lib group by trail[1]")
@@ -89,14 +98,16 @@ def _(w):
     return library_files.count_images(shelf(w))
 
 
-@query("a09_guarded_overwrite", """select 'v1' as version, count(*) as n_rows from overrides union all select 'v2', count(*) from overrides where image_id%2=0""")
+@query("a09_guarded_overwrite", """select version, state, count(*) as n_rows from overrides cross join
+ (values (10,'in force',10), (4,'snapshot',100), (6,'snapshot',40), (7,'snapshot',30), (8,'snapshot',20), (9,'snapshot',15)) v(version, state, part)
+ where particle_id%100 < part group by version, state""")
 def _(w):
-    """v1 full, v2 smaller, then an empty save that must leave v2 in force."""
+    """Ten saves that grow and shrink, then an empty one: what is in force, and the snapshots that are kept."""
     root = scratch_path(w.spark, "store")
-    first = session_tables.guarded_overwrite(w.overrides, root, "v1", None)
-    second = session_tables.guarded_overwrite(w.overrides.where("image_id % 2 = 0"), root, "v2", first)
-    third = session_tables.guarded_overwrite(w.overrides.limit(0), root, "v3", second)
-    return session_tables.snapshot_rows(w.spark, root).where(F.col("version") <= third)
+    for part in (11, 50, 100, 100, 50, 40, 30, 20, 15, 10):
+        session_tables.guarded_save(w.overrides.where(f"particle_id % 100 < {part}"), root)
+    session_tables.guarded_save(w.overrides.limit(0), root)
+    return session_tables.stored_versions(w.spark, root)
 
 
 @query("a10_save_confirmed", """select image_id, count(*) as n, count(case when class='exclude' then 1 end) as n_excluded from truth_labels where set_name='train'

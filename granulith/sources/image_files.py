@@ -12,6 +12,25 @@ def inventory(spark: SparkSession, *folders: str) -> DataFrame:
     return only_images(found.withColumn("path", F.regexp_replace("path", "^file:/+", "/")))
 
 
+def place(files: DataFrame, root: str) -> None:
+    """Write a small file under `root` for every path of a table; it holds its own path."""
+    def run(batches):
+        import posixpath
+
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            store, top = fs.FileSystem.from_uri(root)
+            for path in batch.column(0).to_pylist():
+                name = f"{top}/{path.lstrip('/')}"
+                store.create_dir(posixpath.dirname(name), recursive=True)
+                with store.open_output_stream(name) as out:
+                    out.write(path.encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    files.select("path").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def only_images(files: DataFrame) -> DataFrame:
     """Rows whose path has an image extension, each path once."""
     pattern = r"(?i)\.(" + "|".join(K.IMAGE_EXTENSIONS) + ")$"

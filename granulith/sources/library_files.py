@@ -4,8 +4,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-DEPTH = 6
-
 
 def _node_type(depth: int) -> T.StructType:
     fields = [T.StructField(n, T.StringType()) for n in ("type", "name", "path")]
@@ -14,8 +12,19 @@ def _node_type(depth: int) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_library(spark: SparkSession, path: str, depth: int = DEPTH) -> DataFrame:
-    """Flatten folder documents down to a bounded depth; the trail lists the folders from the top."""
+def _depth(spark: SparkSession, path: str) -> int:
+    """Levels of folders in the deepest document: open brackets outside of quoted text."""
+    quoted = r'"(?:[^"\\\\]|\\\\.)*"'
+    marks = F.split(F.regexp_replace(F.regexp_replace("value", quoted, ""), r"[^\[\]]", ""), "")
+    level = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, m: F.struct(
+        (a["now"] + F.when(m == "[", 1).when(m == "]", -1).otherwise(0)).alias("now"),
+        F.greatest(a["most"], a["now"] + F.when(m == "[", 1).otherwise(0)).alias("most")))
+    return max(0, (spark.read.text(path).agg(F.max(level["most"])).first()[0] or 0) - 1)
+
+
+def read_library(spark: SparkSession, path: str) -> DataFrame:
+    """Flatten folder documents of any depth; the trail lists the folders from the top."""
+    depth = _depth(spark, path)
     tree = T.StructType([T.StructField("tree", T.ArrayType(_node_type(depth)))])
     level = (spark.read.schema(tree).json(path)
              .select(F.explode("tree").alias("n"), F.array().cast("array<string>").alias("trail")))

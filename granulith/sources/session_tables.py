@@ -1,8 +1,12 @@
 """Stored analyses: load with orphan removal, export, guarded overwrite with snapshots."""
 
+import datetime
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granulith import schema
+from granulith.operators.curve import keep_snapshots
 from granulith.session import join_lookup
 
 BUCKETS = 256
@@ -30,24 +34,46 @@ def export_csv(particles: DataFrame, path: str, by_image: bool = False) -> None:
     (w.partitionBy("image_id") if by_image else w).csv(path)
 
 
-def guarded_overwrite(df: DataFrame, root: str, version: str, previous: str | None) -> str:
-    """Write a new version; an empty result never replaces a version that has rows.
+LEDGER = "store string, version int, ts timestamp, n_rows long, state string"
+
+
+def _ledger(spark: SparkSession, root: str) -> list:
+    """One row per save of the store; a store has few, so they are read on the driver."""
+    try:
+        return sorted(spark.read.schema(LEDGER).parquet(f"{root}/ledger").collect(), key=lambda r: r.version)
+    except AnalysisException:
+        return []
+
+
+def guarded_save(df: DataFrame, root: str) -> int:
+    """Save a new version of a store and return the version in force.
 
-    Versions live side by side under `root`, so the one before is still there
-    when a save turns out to have lost rows. Returns the version in force.
+    An empty result never replaces a version that has rows. A save that loses rows leaves the version before as a
+    snapshot; the newest four snapshots and the fullest one are kept, other versions are no longer listed.
     """
     spark = df.sparkSession
-    if previous is not None and df.isEmpty():
-        if not spark.read.parquet(f"{root}/version={previous}").isEmpty():
-            return previous
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    saves = _ledger(spark, root)
+    now = next((r for r in saves if r.state == "in force"), None)
+    version = 1 + max((r.version for r in saves), default=0)
+    path = f"{root}/version={version}"
+    df.write.mode("overwrite").parquet(path)
+    n = spark.read.parquet(path).count()
+    if n == 0 and now is not None and now.n_rows:
+        return now.version
+    rows = [(root, r.version, r.ts, r.n_rows, "snapshot" if r.n_rows > n else "past") if r is now else tuple(r) for r in saves]
+    snapshots = spark.createDataFrame([r for r in rows if r[4] == "snapshot"], LEDGER)
+    kept = {r.version for r in keep_snapshots(snapshots, ["store"], "ts", "n_rows").collect()}
+    rows = [r for r in rows if r[1] in kept] + [(root, version, datetime.datetime.now(), n, "in force")]
+    spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{root}/ledger")
     return version
 
 
-def snapshot_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Row count per stored version."""
-    return (spark.read.parquet(root).groupBy(F.col("version").cast("string").alias("version"))
-            .agg(F.count("*").alias("n_rows")))
+def stored_versions(spark: SparkSession, root: str) -> DataFrame:
+    """version, state and row count of the version in force and the snapshots kept, counted in the stored files."""
+    listed = spark.read.schema(LEDGER).parquet(f"{root}/ledger").select("version", "state")
+    counted = spark.read.option("basePath", root).parquet(f"{root}/version=*").groupBy("version").agg(F.count("*").alias("n_rows"))
+    return listed.join(counted.withColumn("version", F.col("version").cast("int")), "version", "left").select(
+        "version", "state", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def shrinking_saves(saves: DataFrame) -> DataFrame:

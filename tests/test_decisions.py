@@ -73,7 +73,10 @@ def test_texts(spark):
     shares = spark.createDataFrame([(0, 0, "—"), (1, 1000, "<1%"), (999, 1000, ">99%"), (5, 200, "2%"),
                                     (7, 200, "4%"), (0, 5, "0%"), (5, 5, "100%")], "k long, n long, t string")
     assert shares.where(text.share_text(F.col("k"), F.col("n")) != F.col("t")).count() == 0
-    typed = spark.createDataFrame([("1,5", 1.5), (" 2 ", 2.0), ("", None), ("a", None)], "s string, v double")
+    typed = spark.createDataFrame([("1,5", 1.5), (" 2 ", 2.0), ("", None), ("a", None), ("12d", None), ("5f", None), ("1_000", 1000.0), ("1__0", None),
+                                   (".5_1", 0.51), ("5.", 5.0), ("1e3", 1000.0), ("-2,5", -2.5), ("0x1p3", None)], "s string, v double")
     assert typed.where(~text.parse_number(F.col("s")).eqNullSafe(F.col("v"))).count() == 0
     key = spark.createDataFrame([("Janus 10",), ("Janus 2",), ("janus 1",)], "s string")
     assert [r.s for r in key.orderBy(text.natural_key(F.col("s"))).collect()] == ["janus 1", "Janus 2", "Janus 10"]
+    long = spark.createDataFrame([("a 123456789012345678902",), ("a 123456789012345678901",), ("a 0012345678901234567890",)], "s string")
+    assert [r.s[-3:] for r in long.orderBy(text.natural_key(F.col("s"))).collect()] == ["890", "901", "902"]

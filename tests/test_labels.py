@@ -153,15 +153,18 @@ def test_too_few_photos_score_nothing(spark):
     assert got.fit_score is None and got.n_photos == 3
 
 
-def test_signature(spark, monkeypatch):
-    rows = [(1, i, "exclude" if i % 5 == 0 else "janus") for i in range(3, 40)]
-    df = spark.createDataFrame(rows, "image_id long, particle_id long, cls string")
-    text = "|".join([f"{i}:{c}" for _, i, c in rows if c != "exclude"] + [f"{i}:x" for _, i, c in rows if c == "exclude"])
-    assert labels.signature(df, ["image_id"]).collect()[0].signature == hashlib.sha1(text.encode()).hexdigest()[:16]
-    monkeypatch.setattr(labels, "CHUNK", 8)                      # a large photo: stable and order-free
-    a = labels.signature(df, ["image_id"]).collect()[0].signature
-    b = labels.signature(df.orderBy(F.desc("particle_id")), ["image_id"]).collect()[0].signature
-    assert a == b
+@pytest.mark.parametrize("n", [37, 70_001])
+def test_signature(spark, n):
+    """One formula for small and large photos, whatever the order; a single changed label shows."""
+    df = spark.range(3, n + 3).selectExpr("1L as image_id", "id as particle_id", "if(id % 5 = 0, 'exclude', 'janus') as cls")
+    sums = [0] * 4
+    for i in range(3, n + 3):
+        h = hashlib.md5(f"{i}:{'x' if i % 5 == 0 else 'janus'}".encode()).hexdigest()
+        sums = [s + int(h[8 * k:8 * k + 8], 16) for k, s in enumerate(sums)]
+    text = ":".join(map(str, [n, *sums]))
+    own = lambda d: labels.signature(d, ["image_id"]).collect()[0].signature
+    assert own(df) == hashlib.sha1(text.encode()).hexdigest()[:16] == own(df.orderBy(F.desc("particle_id")))
+    assert own(df.withColumn("cls", F.when(F.col("particle_id") == 7, "stripe").otherwise(F.col("cls")))) != own(df)
 
 
 def test_verdicts_are_idempotent(spark):

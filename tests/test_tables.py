@@ -156,6 +156,9 @@ def test_library_roundtrip(spark, tmp_path):
     want = {("/x", ("A",)), ("/y", ("A", "B")), ("/z", ())}
     assert {(r.path, tuple(r.trail)) for r in flat.collect()} == want
     library_files.library_documents(flat).write.text(str(tmp_path / "out"))
+    deep = flat.union(spark.createDataFrame([("/w", "w", [f'"[{i}' for i in range(9)])], flat.schema))
+    library_files.library_documents(deep).write.text(str(tmp_path / "deep"))
+    assert {r.path: list(r.trail) for r in library_files.read_library(spark, str(tmp_path / "deep")).collect()}["/w"] == [f'"[{i}' for i in range(9)]
     back = library_files.read_library(spark, str(tmp_path / "out"))
     assert {(r.path, tuple(r.trail)) for r in back.collect()} == want
 
@@ -167,8 +170,11 @@ def test_history_and_guard(spark, tmp_path):
     kept = history.load_history(spark, str(tmp_path / "h"), ["scope"])
     assert {r.id for r in kept.collect()} == set(range(20, 60))
     root = str(tmp_path / "v")
-    assert session_tables.guarded_overwrite(runs, root, "1", None) == "1"
-    assert session_tables.guarded_overwrite(runs.limit(0), root, "2", "1") == "1"
+    sizes = [3, 60, 50, 40, 30, 20, 10, 9, 8]
+    assert [session_tables.guarded_save(runs.where(f"id < {n}"), root) for n in sizes] == list(range(1, 10))
+    assert session_tables.guarded_save(runs.limit(0), root) == 9
+    got = {(r.version, r.state, r.n_rows) for r in session_tables.stored_versions(spark, root).collect()}
+    assert got == {(9, "in force", 8), (2, "snapshot", 60), (5, "snapshot", 30), (6, "snapshot", 20), (7, "snapshot", 10), (8, "snapshot", 9)}
 
 
 def test_redelivery_replaces(spark, tmp_path, make):
