@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granulith import constants as K
 from granulith.functions import gates
-from granulith.session import join_lookup, settle, spread_small_scan, tune
+from granulith.session import join_lookup, settle, tune
 
 IMAGES_SQL = """
 select s_suppkey as image_id,
@@ -91,10 +91,10 @@ from supplier
 """
 
 CURVE_SQL = """
-select n_nationkey as run_id, frac, draw, cast(600*frac*(1+n_nationkey%3) as int) as n_train,
- round(86e-2 - (1+n_nationkey%4)*5e-1/sqrt(600*frac*(1+n_nationkey%3)) + draw*1e-3, 6) as acc,
- round(95e-2 - frac*(n_nationkey%5)*1e-2, 6) as acc_train
-from nation cross join (select 2e-1 as frac, 0 as draw union all select 2e-1, 1 union all select 4e-1, 0 union all select 4e-1, 1
+select c_custkey as run_id, frac, draw, cast(600*frac*(1+c_custkey%3) as int) as n_train,
+ round(86e-2 - (1+c_custkey%4)*5e-1/sqrt(600*frac*(1+c_custkey%3)) + draw*1e-3, 6) as acc,
+ round(95e-2 - frac*(c_custkey%5)*1e-2, 6) as acc_train
+from customer cross join (select 2e-1 as frac, 0 as draw union all select 2e-1, 1 union all select 4e-1, 0 union all select 4e-1, 1
  union all select 6e-1, 0 union all select 8e-1, 0 union all select 1e0, 0) f
 """
 
@@ -130,10 +130,9 @@ class Workbench:
         """Particles with the mapping's own columns, before any floor."""
         source = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag")
-        source = spread_small_scan(source, ["l_orderkey", "l_partkey"])
         raw = self._sql(RAW_PARTICLES_SQL, lineitem=source)
         looked_up = self.images.select("image_id", "nm_per_px", "detector", "structure", "pipeline")
-        joined = join_lookup(raw, looked_up, ["image_id"], spread=["particle_id"])
+        joined = join_lookup(raw, looked_up, ["image_id"])
         return self.spark.sql(f"select {PARTICLE_COLUMNS_SQL} from {{r}} r", r=joined)
 
     @cached_property
@@ -173,7 +172,7 @@ class Workbench:
             F.concat(F.lit("image-"), F.col("image_id").cast("string")),
             F.concat(F.lit("group-"), (F.col("image_id") % 5).cast("string")),
             F.lit("all")).alias("ids"))
-        return (join_lookup(self.scaled, memberships, ["image_id"], spread=["particle_id"])
+        return (join_lookup(self.scaled, memberships, ["image_id"])
                 .withColumn("selection_id", F.explode("ids")).drop("ids"))
 
     @cached_property
@@ -183,7 +182,7 @@ class Workbench:
             F.col("image_id") % 20 == 0, F.array(F.lit("golden"), F.lit("train")))
             .when(F.col("image_id") % 4 == 0, F.array(F.lit("golden")))
             .otherwise(F.array(F.lit("train"))).alias("sets"))
-        return (join_lookup(rows, sets, ["image_id"], spread=["label_id"])
+        return (join_lookup(rows, sets, ["image_id"])
                 .withColumn("set_name", F.explode("sets")).drop("sets"))
 
     @cached_property
@@ -212,7 +211,7 @@ class Workbench:
 
     @cached_property
     def curve_points(self) -> DataFrame:
-        return self._sql(CURVE_SQL, nation=self.table("nation"))
+        return self._sql(CURVE_SQL, customer=self.table("customer"))
 
 
 # --- the same tables as common table expressions for the checking engine ------

@@ -13,7 +13,7 @@ def effective(particles: DataFrame, clicks: DataFrame, blanks: DataFrame) -> Dat
     """The label each particle would be saved with: the model's answer, overruled by clicks."""
     offered = join_lookup(
         particles.where(F.col("classifiable") & ~F.col("excluded") & gates.measurable()),
-        blanks.select("image_id"), ["image_id"], "left_anti", spread=["particle_id"])
+        blanks.select("image_id"), ["image_id"], "left_anti")
     model = (offered.select(*KEY, F.when(~F.col("is_solid"), "undercooled")
                             .when(F.col("pattern") != "", F.col("pattern")).alias("_m"))
              .where("_m is not null"))
@@ -61,7 +61,7 @@ def crop_measurable(crops: DataFrame, particles: DataFrame) -> DataFrame:
              .groupBy("image_id", "_d").agg(F.bool_and("_m").alias("_all"), F.bool_or("_m").alias("_any"))
              .where("_all = _any").drop("_any"))
     keyed = crops.withColumn("_d", F.col("diam_nm").cast("float"))
-    return (join_lookup(keyed, table, ["image_id", "_d"], "left", spread=["label_id"])
+    return (join_lookup(keyed, table, ["image_id", "_d"], "left")
             .withColumn("measurable", F.coalesce("_all", F.lit(False)))
             .withColumn("known", F.col("_all").isNotNull()).drop("_all", "_d"))
 
@@ -74,7 +74,7 @@ def golden_train_conflicts(labels: DataFrame) -> DataFrame:
 
 def refuse_golden(new: DataFrame, golden: DataFrame) -> DataFrame:
     """Labels that may be saved for training: a golden photo is never trained on."""
-    return join_lookup(new, golden.select("image_id").distinct(), ["image_id"], "left_anti", spread=["label_id"])
+    return join_lookup(new, golden.select("image_id").distinct(), ["image_id"], "left_anti")
 
 
 def instrument_golden(detector: Column) -> Column:
@@ -131,7 +131,7 @@ def training_summary(labels: DataFrame) -> DataFrame:
     agg = per_photo.groupBy("set_name", "class").agg(
         F.sum("_n").alias("n"), F.count("*").alias("n_photos"))
     totals = agg.groupBy("set_name").agg(F.sum("n").alias("_total"), F.count("*").alias("_k"))
-    return (join_lookup(agg, totals, ["set_name"], spread=["class"])
+    return (join_lookup(agg, totals, ["set_name"])
             .select("set_name", "class", "n", "n_photos",
                     (F.col("_total") / (F.lit(len(K.PATTERNS)) * F.col("n"))).alias("weight"),
                     ((F.col("_total") >= K.TRAIN_MIN_ROWS) & (F.col("_k") >= 2)).alias("trainable")))

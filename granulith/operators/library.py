@@ -67,7 +67,7 @@ def find_renamed(missing: DataFrame, present: DataFrame, claimed: DataFrame) ->
     lost = _file_parts(missing).withColumn("_num", F.coalesce("_num", F.lit("")))
     asked = lost.select(F.col("path").alias("old_path"), "_dir", "_ext", "_num",
                         starts(F.col("_stem")).alias("_start"))
-    hits = join_lookup(asked, table, ["_dir", "_ext", "_num", "_start"], spread=["old_path"])
+    hits = join_lookup(asked, table, ["_dir", "_ext", "_num", "_start"])
     best = hits.groupBy("old_path").agg(
         F.max(F.struct(F.length("_start").alias("_l"), F.col("_n"), F.col("new_path"))).alias("_b"))
     return best.where("_b._n = 1").select("old_path", F.col("_b.new_path").alias("new_path"))
@@ -76,7 +76,6 @@ def find_renamed(missing: DataFrame, present: DataFrame, claimed: DataFrame) ->
 def apply_renames(store: DataFrame, renames: DataFrame, known: DataFrame) -> DataFrame:
     """Re-key a store by path and keep only rows of known photos."""
     r = renames.select(F.col("old_path").alias("path"), F.col("new_path").alias("_new"))
-    spread = [c for c in store.columns if c != "path"]
-    moved = (join_lookup(store, r, ["path"], "left", spread=spread)
+    moved = (join_lookup(store, r, ["path"], "left")
              .withColumn("path", F.coalesce("_new", "path")).drop("_new"))
-    return join_lookup(moved, known.select("path").distinct(), ["path"], "left_semi", spread=spread)
+    return join_lookup(moved, known.select("path").distinct(), ["path"], "left_semi")

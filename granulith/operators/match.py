@@ -42,7 +42,7 @@ def match_labels(labels: DataFrame, particles: DataFrame, pixels: DataFrame | No
     best = (candidates.groupBy("image_id", "cx", "cy")
             .agg(F.min(F.struct("_d2", "particle_id")).alias("_b"))
             .select("image_id", "cx", "cy", F.col("_b.particle_id").alias("particle_id")))
-    return join_lookup(labels, best, ["image_id", "cx", "cy"], "left", spread=["label_id"])
+    return join_lookup(labels, best, ["image_id", "cx", "cy"], "left")
 
 
 def at_points(points: DataFrame, pixels: DataFrame) -> DataFrame:

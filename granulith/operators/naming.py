@@ -36,9 +36,9 @@ def plan(photos: DataFrame, path: str) -> DataFrame:
     grouped = p.where("num is not null and key is not null")
     shared = grouped.groupBy("num", "key").agg(F.count("*").alias("_members"))
     spelled = _commonest(grouped, ["key"], "name", path, "_spelling")
-    out = join_lookup(p, codes, ["num"], "left", spread=[path])
-    out = join_lookup(out, shared, ["num", "key"], "left", spread=[path])
-    out = join_lookup(out, spelled, ["key"], "left", spread=[path])
+    out = join_lookup(p, codes, ["num"], "left")
+    out = join_lookup(out, shared, ["num", "key"], "left")
+    out = join_lookup(out, spelled, ["key"], "left")
     out = out.crossJoin(F.broadcast(lone))                    # one row
     code = F.coalesce("_code", "_lone")
     sample = F.when(F.col("num").isNull(), N.UNSORTED).when(

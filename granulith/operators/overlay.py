@@ -161,25 +161,24 @@ def accept_model(clicks: DataFrame, particles: DataFrame, asked: DataFrame) -> D
 
 def clear_class(clicks: DataFrame, images: DataFrame, cls: str) -> DataFrame:
     """Drop every label of one class on the given images."""
-    hit = join_lookup(clicks, images.select("image_id").withColumn("_hit", F.lit(True)), ["image_id"], "left",
-                      spread=["particle_id"])
+    hit = join_lookup(clicks, images.select("image_id").withColumn("_hit", F.lit(True)), ["image_id"], "left")
     return hit.where(F.col("_hit").isNull() | (F.col("cls") != cls)).drop("_hit")
 
 
 def clear_photo(clicks: DataFrame, blanks: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop all labels of the images and blank them, so the model's prefill stays hidden too."""
-    left = join_lookup(clicks, images.select("image_id"), ["image_id"], "left_anti", spread=["particle_id"])
+    left = join_lookup(clicks, images.select("image_id"), ["image_id"], "left_anti")
     return left, blanks.select("image_id").union(images.select("image_id")).distinct()
 
 
 def after_reanalysis(overrides: DataFrame, reanalysed: DataFrame) -> DataFrame:
     """A re-analysed photo loses every correction: its particle ids mean something else now."""
-    return join_lookup(overrides, reanalysed.select("image_id"), ["image_id"], "left_anti", spread=["particle_id"])
+    return join_lookup(overrides, reanalysed.select("image_id"), ["image_id"], "left_anti")
 
 
 def pending_corrections(overrides: DataFrame, images: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Corrections per store, photos touched and how many of the photos are safely confirmed."""
-    asked = join_lookup(overrides, images.select("image_id"), ["image_id"], "left_semi", spread=["particle_id"])
+    asked = join_lookup(overrides, images.select("image_id"), ["image_id"], "left_semi")
     touched = asked.groupBy("kind", "image_id").agg(F.count("*").alias("n"))
     safe = confirmed.select("image_id").distinct().withColumn("_safe", F.lit(True))
     return (touched.join(safe, "image_id", "left").groupBy("kind").agg(

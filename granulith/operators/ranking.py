@@ -27,14 +27,19 @@ def _before(keys: list[str], order: str, count: Column, descending: bool = False
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per key, one column per entry of `probs`.
 
-    1. count per (key, bin); 2. running counts name the bins that hold the two
-    neighbouring ranks of each percentile; 3. only those bins are read again,
-    collapsed to distinct values, and ranked.
+    Rows become counts per distinct value once, combined before the shuffle, and
+    both steps work on those: 1. running counts per (key, bin) name the bins that
+    hold the two neighbouring ranks of each percentile; 2. the values of those
+    bins are ranked. A frequent value is one row from the start.
     """
     v = (df.select(*keys, F.col(value).alias("_v"))
          .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
          .withColumn("_bin", value_bin(F.col("_v"))))
-    hist = v.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    # the join below would add these filters to its own branch, and the two branches would no longer share one shuffle
+    for c in (*keys, "_bin"):
+        v = v.where(F.col(c).isNotNull())
+    v = v.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    hist = v.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))
     bins = (hist.withColumn("_before", _before(keys, "_bin", F.col("_n")))
             .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))))
 
@@ -55,7 +60,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         wanted = wanted | holds(low(p)) | holds(high(p))
     targets = bins.where(wanted).select(*keys, "_bin", "_before", "_total")
     detail = (v.join(targets, keys + ["_bin"])
-              .groupBy(*keys, "_bin", "_before", "_total", "_v").agg(F.count("*").alias("_c"))
               .withColumn("_start", F.col("_before") + _before(keys + ["_bin"], "_v", F.col("_c"))))
 
     def at(r: Column) -> Column:

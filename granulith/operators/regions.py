@@ -1,17 +1,16 @@
 """Region properties from label masks stored as pixels (image_id, y, x, label, grey).
 
 Everything is a grouped sum over pixels; only the convex hull of a region, from
-its already reduced row ends, needs a grouped Python step.
+its already reduced row ends, needs Python.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from granulith import constants as K
-from granulith.operators.ranking import exact_quantiles
 from granulith.session import join_lookup
 
 REGION = ["image_id", "label"]
@@ -28,7 +27,7 @@ def basics(pixels: DataFrame, images: DataFrame) -> DataFrame:
     4 * sqrt(eigenvalue). `images` gives width_px and height_px.
     """
     sized = join_lookup(foreground(pixels), images.select("image_id", "width_px", "height_px"),
-                        ["image_id"], spread=["y", "x"])
+                        ["image_id"])
     on_edge = ((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("height_px") - 1)
                | (F.col("x") == F.col("width_px") - 1))
     g = sized.groupBy(*REGION, "width_px", "height_px").agg(
@@ -55,18 +54,17 @@ def perimeter(pixels: DataFrame) -> DataFrame:
     """Four-direction Crofton perimeter per region.
 
     Crossings of the region border along rows, columns and both diagonals are
-    counted by joining each pixel with its neighbour; a line of pixels enters
-    and leaves a region equally often, so starts are counted and doubled.
+    counted; a line of pixels enters and leaves a region equally often, so starts
+    are counted and doubled. Every pixel marks itself and the pixels that follow
+    it; the marks of a position are combined as bits before the shuffle.
     """
-    fg = foreground(pixels).select(*REGION, "y", "x")
-    here = fg.withColumn("_s", F.explode(F.array(*[
-        F.struct(F.lit(d).alias("d"), (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"))
-        for d, dy, dx in ((0, 0, 1), (1, 1, 0), (2, 1, 1), (3, 1, -1))])))
-    before = here.select(*REGION, "_s.d", "_s.y", "_s.x")          # the previous pixel of each line
-    filled = fg.select(*REGION, "y", "x").withColumn("_f", F.lit(1))
-    starts = (before.join(filled, REGION + ["y", "x"], "left").where("_f is null")
-              .groupBy(*REGION).agg(F.count_if(F.col("d") <= 1).alias("_straight"),
-                                    F.count_if(F.col("d") >= 2).alias("_diagonal")))
+    here, follows = 1, ((2, 0, 1), (4, 1, 0), (8, 1, 1), (16, 1, -1))
+    marks = F.array(F.struct(F.lit(here).alias("bit"), "y", "x"), *[
+        F.struct(F.lit(bit).alias("bit"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for bit, dy, dx in follows])
+    seen = (foreground(pixels).select(*REGION, F.inline(marks)).groupBy(*REGION, "y", "x")
+            .agg(F.bit_or("bit").alias("_b")).where(F.col("_b").bitwiseAND(F.lit(here)) != 0))
+    missing = lambda bit: F.count_if(F.col("_b").bitwiseAND(F.lit(bit)) == 0)
+    starts = seen.groupBy(*REGION).agg((missing(2) + missing(4)).alias("_straight"), (missing(8) + missing(16)).alias("_diagonal"))
     # line spacing 1 along rows and columns, 1/sqrt(2) along diagonals; both ends of a run count
     return starts.select(*REGION, (F.lit(math.pi / 4) * (
         F.col("_straight") + F.col("_diagonal") / math.sqrt(2.0))).alias("perim_px"))
@@ -117,24 +115,33 @@ def solidity(pixels: DataFrame) -> DataFrame:
     """Area / pixels inside the convex hull.
 
     Only the two ends of each row can lie on the hull, so a region sends its
-    height, not its area, to the grouped step; a region never exceeds its image.
+    height, not its area, to Python, many regions in one batch; a region never
+    exceeds its image.
     """
     ends = (foreground(pixels).groupBy(*REGION, "y")
             .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n")))
+    rows = ends.groupBy(*REGION).agg(F.sum("n").alias("_area"), F.collect_list(F.struct("y", "x0", "x1")).alias("_rows"))
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x0, x1 = (pdf[c].to_numpy(float) for c in ("y", "x0", "x1"))
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "label": [pdf["label"].iloc[0]],
-                             "solidity": [pdf["n"].sum() / _hull_pixels(y, x0, x1)]})
+    @F.pandas_udf("long")
+    def hull(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
+        return pd.Series([_hull_pixels(*(np.asarray(v, float) for v in r)) for r in zip(y, x0, x1)], dtype="int64")
 
-    return ends.groupBy(*REGION).applyInPandas(hull, "image_id long, label int, solidity double")
+    return rows.select(*REGION, (F.col("_area") / hull("_rows.y", "_rows.x0", "_rows.x1")).alias("solidity"))
+
+
+def median_grey(pixels: DataFrame) -> DataFrame:
+    """Median grey per image; pixels become counts per grey value before the shuffle, of which an image has few."""
+    counts = pixels.groupBy("image_id", "grey").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("image_id")
+    counts = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("grey"))).withColumn("_at", (F.sum("_n").over(w) - 1) / 2)
+    low = F.min(F.when(F.col("_upto") > F.floor("_at"), F.col("grey")))
+    high = F.min(F.when(F.col("_upto") > F.ceil("_at"), F.col("grey")))
+    return counts.groupBy("image_id").agg(((low + high) / 2.0).alias("median_grey"))
 
 
 def brightness(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     """Mean grey of each region minus the image's median grey (background included)."""
-    median = exact_quantiles(pixels.withColumn("_g", F.col("grey").cast("double")), ["image_id"], "_g",
-                             {"median_grey": 0.5})
-    return (join_lookup(regions, median, ["image_id"], spread=["label"])
+    return (join_lookup(regions, median_grey(pixels), ["image_id"])
             .withColumn("bright", F.col("mean_grey") - F.col("median_grey")))
 
 
@@ -146,7 +153,7 @@ def small_candidates(candidates: DataFrame, occupied: DataFrame, images: DataFra
     npp = F.when(F.col("nm_per_px") > 0, F.col("nm_per_px")).otherwise(K.SMALL_DEFAULT_NM_PER_PX)
     disc = lambda nm: F.lit(math.pi) * F.pow(0.5 * nm / npp, 2)
     perim = F.when(F.col("perim_px") > 0, F.col("perim_px")).otherwise(1.0)
-    kept = (join_lookup(candidates, images.select("image_id", "nm_per_px"), ["image_id"], spread=["label"])
+    kept = (join_lookup(candidates, images.select("image_id", "nm_per_px"), ["image_id"])
             .where((F.col("area") >= F.greatest(F.lit(K.MIN_COUNT_AREA_PX), disc(K.SMALL_MIN_NM)))
                    & (F.col("area") <= disc(K.SMALL_MAX_NM))
                    & (4 * math.pi * F.col("area") / (perim * perim) >= K.SMALL_MIN_CIRCULARITY)

@@ -17,7 +17,7 @@ def spread_bands(particles: DataFrame, keys: list[str], k: int = 5) -> DataFrame
     m = particles.withColumn("_meas", gates.measurable())
     m = m.withColumn("_clean", F.col("_meas") & (gates.aspect_ratio() >= 0.72))
     sizes = m.groupBy(*keys).agg(F.count_if("_clean").alias("_nc"), F.count_if("_meas").alias("_nm"))
-    tagged = join_lookup(m, sizes, keys, "inner", spread=["particle_id"])
+    tagged = join_lookup(m, sizes, keys, "inner")
     chosen = tagged.where(F.when(F.col("_nc") >= k, F.col("_clean"))
                           .when(F.col("_nm") > 0, F.col("_meas")).otherwise(F.lit(True)))
     r = distributed_row_number(

@@ -55,12 +55,16 @@ def volume_shares(df: DataFrame, keys: list[str]) -> DataFrame:
 def half_volume_count(df: DataFrame, keys: list[str]) -> DataFrame:
     """How many of the largest particles hold half the volume.
 
-    Bin sums find the one bin where the running volume crosses the half; only
-    that bin is read again, as distinct diameters with counts.
+    Rows become counts per volume once, combined before the shuffle. Bin sums find
+    the one bin where the running volume crosses the half; only its volumes are ranked.
     """
     rows = _rows(df, keys).withColumn("_bin", value_bin(F.col("diam_nm")))
+    # the join below would add these filters to its own branch, and the two branches would no longer share one shuffle
+    for c in (*keys, "_bin"):
+        rows = rows.where(F.col(c).isNotNull())
+    rows = (rows.groupBy(*keys, "_bin", "w", "segment").agg(F.count("*").alias("_c")))
     bins = rows.groupBy(*keys, "_bin").agg(
-        F.count("*").alias("_n"), F.sum("w").alias("_w"),
+        F.sum("_c").alias("_n"), F.sum(F.col("w") * F.col("_c")).alias("_w"),
         F.collect_set("segment").alias("_segs"))
     down = (Window.partitionBy(*keys).orderBy(F.desc("_bin"))
             .rowsBetween(Window.unboundedPreceding, -1))
@@ -72,7 +76,7 @@ def half_volume_count(df: DataFrame, keys: list[str]) -> DataFrame:
            .where((F.col("_segments") > 1) & (F.col("_w0") < F.col("_half"))
                   & (F.col("_w0") + F.col("_w") >= F.col("_half"))))
     inside = (rows.join(cut.select(*keys, "_bin", "_n0", "_w0", "_half"), keys + ["_bin"])
-              .groupBy(*keys, "_bin", "_n0", "_w0", "_half", "w").agg(F.count("*").alias("_c")))
+              .groupBy(*keys, "_bin", "_n0", "_w0", "_half", "w").agg(F.sum("_c").alias("_c")))
     down_in = (Window.partitionBy(*keys, "_bin").orderBy(F.desc("w"))
                .rowsBetween(Window.unboundedPreceding, -1))
     start = F.col("_w0") + F.coalesce(F.sum(F.col("w") * F.col("_c")).over(down_in), F.lit(0.0))

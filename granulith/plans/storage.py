@@ -123,10 +123,11 @@ def _(w):
         F.count("*").alias("n"), F.count_if(F.col("class") == "exclude").alias("n_excluded"))
 
 
-@query("j01_incremental_ingest", """select image_id, count(*) as count_total, count(case when measured then 1 end) as count_measured,
- cast(cast(avg(case when measured then diam_nm end) as float) as double) as mean_nm from decided group by image_id""")
+@query("j01_incremental_ingest", """, ov as (select image_id, count(*) as n_overrides from overrides where image_id%4<>0 group by image_id)
+ select d.*, coalesce(n_overrides, 0) as n_overrides from (select image_id, count(*) as count_total, count(case when measured then 1 end) as count_measured,
+ cast(cast(avg(case when measured then diam_nm end) as float) as double) as mean_nm from decided group by image_id) d left join ov on ov.image_id=d.image_id""")
 def _(w):
-    """One stream over an inbox: the whole table first, then a part of the photos again."""
+    """One stream over an inbox: the whole table first, then corrections, then a part of the photos again."""
     from granulith.fixtures import Workbench
     inbox, table, marks = (scratch_path(w.spark, n) for n in ("inbox", "ingested", "marks"))
     source = w.table("lineitem")
@@ -136,8 +137,13 @@ def _(w):
         bench.table = lambda name, own=bench.table: batch if name == "lineitem" else own(name)
         return ingest.decide(bench.particles)
 
+    edits = scratch_path(w.spark, "edits")
     for delivery in (source, source.where("l_suppkey % 4 = 0")):
         delivery.write.mode("append").parquet(inbox)
-        ingest.start(w.spark, source.schema, inbox, table, marks, prepare).awaitTermination()
+        if delivery is not source:
+            w.overrides.write.parquet(f"{edits}/batch_id=0")
+        ingest.start(w.spark, source.schema, inbox, table, marks, prepare, None if delivery is source else edits).awaitTermination()
     stats = ingest.running_stats(ingest.latest(w.spark, table))
-    return rounded(stats.select("image_id", "count_total", "count_measured", "mean_nm"), single=["mean_nm"])
+    left = ingest.current_overrides(w.spark, edits).groupBy("image_id").agg(F.count("*").alias("n_overrides"))
+    out = stats.join(left, "image_id", "left").withColumn("n_overrides", F.coalesce("n_overrides", F.lit(0)))
+    return rounded(out.select("image_id", "count_total", "count_measured", "mean_nm", "n_overrides"), single=["mean_nm"])

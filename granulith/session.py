@@ -5,9 +5,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SALTS = 32
-SMALL_SCAN = 64 << 20
-
 
 def build_session(master: str, app: str = "granulith", shuffle_partitions: int | None = None,
                   memory: str = "8g") -> SparkSession:
@@ -30,8 +27,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
     Generated methods above 8000 bytes of bytecode are never compiled by the
     JVM's optimiser, so such a stage is better split into per-operator code.
+    A skewed join is split even where the next step then needs one more shuffle.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
@@ -46,14 +45,6 @@ def settle(df: DataFrame, columns: dict) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], made)
 
 
-def spread_small_scan(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread a small input that may be one row group before row-heavy work; others are left alone."""
-    size = _size_bound(df)
-    if size is None or size > SMALL_SCAN:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for written intermediates; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -82,36 +73,12 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _size_bound(df: DataFrame) -> int | None:
-    """Estimated size of a frame; None where the plan multiplies rows, which estimates do not see."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if any(node in plan.toString() for node in ("Generate ", "Expand ")):
-        return None
-    return int(str(plan.stats().sizeInBytes()))
-
-
-def _broadcast_limit(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = text[:-1] if text.endswith("b") else text
-    return int(text[:-1]) * units[text[-1]] if text[-1:] in units else int(text)
-
-
-def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
-                spread: list[str] | None = None) -> DataFrame:
+def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a fact table to a lookup that holds one row per key (any rows for semi and anti joins).
 
-    The lookup is broadcast only if its estimated size is within the session's
-    broadcast limit. Otherwise the lookup (orders of magnitude fewer rows than
-    the facts) is repeated once per salt and the facts are salted, so a key that
-    owns a third of the facts is spread over many tasks.
+    A plain equi-join, whatever the sizes: the adaptive planner sends the lookup around only if its measured size is
+    within the session's broadcast limit, and splits a key that owns a large part of the facts (see `tune`).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("a lookup join keeps the fact side")
-    size = _size_bound(lookup)
-    if size is not None and size <= _broadcast_limit(fact.sparkSession):
-        return fact.join(F.broadcast(lookup), keys, how)
-    spread_cols = spread or [c for c in fact.columns if c not in keys]
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread_cols), F.lit(SALTS)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, keys + ["_salt"], how).drop("_salt")
+    return fact.join(lookup, keys, how)

@@ -39,7 +39,7 @@ def label_documents(labels: DataFrame, slice_ids: int = 10000) -> DataFrame:
     sizes = (labels.groupBy("stem", F.pmod(F.xxhash64("label_id"), F.lit(64)).alias("_s")).agg(F.count("*").alias("_n"))
              .groupBy("stem").agg((F.floor(F.sum("_n") / slice_ids) + 1).alias("_slices")))
     from granulith.session import join_lookup
-    sized = join_lookup(labels, sizes, ["stem"], spread=["label_id"]).withColumn("_part", part)
+    sized = join_lookup(labels, sizes, ["stem"]).withColumn("_part", part)
     return (sized.groupBy("stem", "_part").agg(
         F.min("detector").alias("detector"), F.min("nm_per_px").alias("nm_per_px"),
         F.date_format(F.max("confirmed"), "yyyy-MM-dd HH:mm").alias("confirmed"),

@@ -15,7 +15,7 @@ BUCKETS = 256
 def load_particles(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
     """Stored particles of known images. Columns added later than the file are null."""
     stored = spark.read.schema(schema.PARTICLES).parquet(path)
-    return join_lookup(stored, images.select("image_id"), ["image_id"], "left_semi", spread=["particle_id"])
+    return join_lookup(stored, images.select("image_id"), ["image_id"], "left_semi")
 
 
 def save_particles(particles: DataFrame, path: str) -> None:

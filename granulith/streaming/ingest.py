@@ -1,16 +1,18 @@
 """Incremental ingest of newly analysed photos with Structured Streaming.
 
-Each micro-batch decides its particles and writes them as one partition of an
-append-only table. The newest delivery of a photo wins on read, so a re-delivered
-photo replaces its rows and a replayed batch overwrites only itself.
+Each micro-batch decides its particles and replaces the photos it delivers in the image buckets it touches.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from granulith.functions import gates
 from granulith.operators.overlay import after_reanalysis
-from granulith.session import join_lookup
+from granulith.session import write_and_read
+
+#: Parts of a stored table; a delivery rewrites those its photos fall into.
+BUCKETS = 64
 
 
 def decide(particles: DataFrame) -> DataFrame:
@@ -19,39 +21,71 @@ def decide(particles: DataFrame) -> DataFrame:
     return gates.reclassify(counted).withColumn("measured", gates.measurable())
 
 
+def _newest(spark: SparkSession, path: str, before: int | None, keys: list[str]) -> tuple[DataFrame | None, list]:
+    """A stored table, and its newest version per partition of `keys`: rows of few numbers, from the folder names."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None, []
+    known = rows if before is None else rows.where(F.col("batch_id") < before)
+    return rows, known.groupBy(*keys).agg(F.max("batch_id").alias("batch_id")).collect()
+
+
+def _versions(rows: DataFrame, newest: list) -> DataFrame:
+    """Rows of the given partitions; the condition is on partition columns, so other files are not opened."""
+    keep = F.lit(False)
+    for r in newest:
+        one = F.lit(True)
+        for k, v in r.asDict().items():
+            one = one & (F.col(k) == v)
+        keep = keep | one
+    return rows.where(keep)
+
+
 def start(spark: SparkSession, schema: T.StructType, source: str, table: str, checkpoint: str,
-          prepare=decide, files_per_batch: int = 1000, **options: str) -> StreamingQuery:
+          prepare=decide, overrides: str | None = None, files_per_batch: int = 1000, **options: str) -> StreamingQuery:
     """Run over everything new under `source`, then stop; call again for the next round.
 
-    Batch numbers order the deliveries, so one table belongs to one checkpoint.
+    A batch rewrites only the image buckets it touches, as a new version beside the one before, with the delivered
+    photos replaced; so every bucket holds each photo once and a read never sees old deliveries. The corrections under
+    `overrides` lose the delivered photos in the same batch. Batch numbers order the versions, so one table belongs to
+    one checkpoint; a replayed batch reads the versions before it and overwrites only its own.
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     for name, value in options.items():
         reader = reader.option(name, value)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (prepare(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table))
+        session = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("int")
+        new = write_and_read(prepare(batch).withColumn("bucket", bucket), "delivery")
+        images = new.select("image_id", "bucket").distinct()
+        touched = {r.bucket for r in images.select("bucket").distinct().collect()}
+        stored, newest = _newest(session, table, batch_id, ["bucket"])
+        newest = [r for r in newest if r.bucket in touched]
+        if newest:
+            old = _versions(stored, newest).drop("batch_id").join(images, ["image_id", "bucket"], "left_anti")
+            new = old.unionByName(new, allowMissingColumns=True)
+        (new.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(table))
+        if overrides is not None:
+            left = after_reanalysis(current_overrides(session, overrides, batch_id), images)
+            left.write.mode("overwrite").parquet(f"{overrides}/batch_id={batch_id}")
 
     return (reader.parquet(source).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest delivery of every photo."""
-    rows = spark.read.parquet(table)
-    newest = rows.groupBy("image_id").agg(F.max("batch_id").alias("batch_id"))
-    return join_lookup(rows, newest, ["image_id", "batch_id"], "left_semi", spread=["particle_id"])
-
-
-def delivered(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    """Photos of one batch."""
-    return spark.read.parquet(table).where(F.col("batch_id") == batch_id).select("image_id").distinct()
+    """The newest delivery of every photo: the newest version of every bucket."""
+    rows, newest = _newest(spark, table, None, ["bucket"])
+    return _versions(rows, newest)
 
 
-def surviving_overrides(overrides: DataFrame, redelivered: DataFrame) -> DataFrame:
-    """A re-delivered photo loses its corrections."""
-    return after_reanalysis(overrides, redelivered)
+def current_overrides(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Corrections in force: the newest version stored, or the newest before a batch."""
+    rows, newest = _newest(spark, path, before, [])
+    return _versions(rows, [r for r in newest if r.batch_id is not None]).drop("batch_id")
 
 
 def running_stats(stream: DataFrame) -> DataFrame:

@@ -79,22 +79,31 @@ def test_match_equals_brute_force(spark, masks):
     assert got == {lab[1]: want(lab) for lab in labs}
 
 
-def test_salted_lookup_gives_the_same(spark):
-    labs = spark.range(2000).select((F.col("id") % 3).alias("image_id"), F.col("id").alias("label_id"),
-                                    (F.col("id") % 50).cast("double").alias("cx"), F.lit(1.0).alias("cy"))
-    parts = spark.range(40).select((F.col("id") % 3).alias("image_id"), F.col("id").alias("particle_id"),
-                                   F.col("id").cast("double").alias("cx"), F.lit(0.0).alias("cy"))
-    plain = match.match_labels(labs, parts)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_image_is_split_at_run_time(spark):
+    """One image owns a third of the labels: no copies of the other side, the same result, and a split join."""
+    labs = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000 + 2).alias("image_id"),
+                                      F.col("id").alias("label_id"), (F.col("id") % 50).cast("double").alias("cx"), F.lit(1.0).alias("cy"))
+    parts = spark.range(20_000).select((F.col("id") % 5001 + 1).alias("image_id"), F.col("id").alias("particle_id"),
+                                       (F.col("id") % 50).cast("double").alias("cx"), F.lit(0.0).alias("cy"))
+    plain = match.match_labels(labs, parts).orderBy("label_id").collect()
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
-        salted = match.match_labels(labs, parts)
-        assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
-        assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-        refused = labels.refuse_golden(labs, spark.createDataFrame([(1,)], "image_id long"))
-        assert refused.count() == labs.where("image_id <> 1").count()
+        joined = labels.refuse_golden(labs, parts.where("image_id < 3"))
+        assert joined.count() == labs.where("image_id >= 3").count()
+        hot = labs.join(parts.select("image_id").distinct(), "image_id")
+        df = match.match_labels(labs, parts)
+        got = df.collect()
+        plan = df._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
+        assert "explode(sequence(0, 31" not in plan and hot.count() == labs.count()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_metrics_rules(spark):

@@ -187,6 +187,16 @@ def test_redelivery_replaces(spark, tmp_path, make):
     ingest.start(spark, first.schema, inbox, table, marks).awaitTermination()       # nothing new
     got = {r.image_id: r.count_total for r in ingest.running_stats(ingest.latest(spark, table)).collect()}
     assert got == {0: 5, 1: 1}
+    # the second delivery rewrote the one bucket it touches
+    versions = spark.read.parquet(table).select("bucket", "batch_id").distinct().collect()
+    assert len(versions) == 3 and len({r.bucket for r in versions}) == 2
+    # corrections of a delivered photo go in the same batch, and only those
+    edits = str(tmp_path / "edits")
+    spark.createDataFrame([(0, 1, "class", "janus"), (1, 1, "class", "janus")],
+                          "image_id long, particle_id long, kind string, value string").write.parquet(f"{edits}/batch_id=1")
+    second.write.mode("append").parquet(inbox)
+    ingest.start(spark, first.schema, inbox, table, marks, overrides=edits).awaitTermination()
+    assert [r.image_id for r in ingest.current_overrides(spark, edits).collect()] == [0]
 
 
 # --- plans ---------------------------------------------------------------------------
