@@ -10,10 +10,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes that separate words: space and the five controls from tab to carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 ONE = np.uint64(1)
+BATCH_ROWS = 1024
+
+
+def in_small_batches(df):
+    """df, its session set to hand rows to Python in small batches: texts are long, and several copies of a batch live
+    on both sides of the border."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

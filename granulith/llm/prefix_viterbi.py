@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from granulith.llm import flat
+
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Distinct words a task keeps from block to block before it starts anew.
-KEPT_WORDS = 3 << 17
-KEPT_PAIRS = 3 << 17
-BLOCK_CHARS = 4 << 20
+KEPT_WORDS = 1 << 17
+KEPT_PAIRS = 1 << 17
+BLOCK_CHARS = 2 << 20
 UNIGRAM = 1
 
 
@@ -144,10 +146,11 @@ def ragged(values: np.ndarray, at: np.ndarray, lens: np.ndarray, codes: np.ndarr
 
 
 class Encoder:
-    """Encodes blocks of texts; keeps the segmentations of earlier blocks up to a bound."""
+    """Encodes the blocks of one task; keeps the segmentations of earlier blocks up to a bound."""
 
     def __init__(self, model: bytes):
-        self.v = Vocabulary(model)
+        self.v = _vocabulary(model)
+        self.v.stays.clear()
         self.code: dict[str, int] = {}
         self.rows: list[tuple[int, ...]] = []
 
@@ -171,8 +174,8 @@ class Encoder:
         used, codes = np.unique(own, return_inverse=True)
         rows = [self.rows[i] for i in used]
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((i for r in rows for i in r), np.int32)
-        ids, n = ragged(flat, np.cumsum(lens) - lens, lens, codes)
+        pieces = np.fromiter((i for r in rows for i in r), np.int32)
+        ids, n = ragged(pieces, np.cumsum(lens) - lens, lens, codes)
         per_unit = np.concatenate([[0], np.cumsum(n)])
         at = np.cumsum([0, *map(len, units)])
         return ids, np.diff(per_unit[at])
@@ -188,14 +191,15 @@ class Encoder:
         return data[keep], np.diff(ends)
 
 
-_encoders: dict[bytes, Encoder] = {}
+_vocabularies: dict[bytes, Vocabulary] = {}
 
 
-def _encoder(model: bytes) -> Encoder:
-    if model not in _encoders:
-        _encoders.clear()
-        _encoders[model] = Encoder(model)
-    return _encoders[model]
+def _vocabulary(model: bytes) -> Vocabulary:
+    """The last model's vocabulary stays with the process; what a task has encoded goes with the task."""
+    if model not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[model] = Vocabulary(model)
+    return _vocabularies[model]
 
 
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
@@ -224,9 +228,10 @@ def encode(docs: DataFrame, model_path: str, check: bool = False) -> DataFrame:
     rows are independent (repeated rows and null ids are rows like others), nothing is shuffled.
     """
     model = read_model(model_path)
+    docs = flat.in_small_batches(docs)
 
     def run(batches):
-        enc = _encoder(model)
+        enc = Encoder(model)
         for batch in batches:
             size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for part in _slices(batch, size, BLOCK_CHARS):
@@ -251,7 +256,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     model = read_model(model_path)
 
     def run(batches):
-        enc = _encoder(model)
+        enc = Encoder(model)
         for batch in batches:
             size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for part in _slices(batch, size, BLOCK_CHARS):

@@ -86,7 +86,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES)
-    measured = docs.select("doc_id", "text").mapInArrow(_measure, schema)
+    measured = flat.in_small_batches(docs).select("doc_id", "text").mapInArrow(_measure, schema)
     rules = failures()
     bits = [F.when(rules[r], F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)]
     total = bits[0]

@@ -77,7 +77,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` pairs of numbers, so the side to send around is bounded
-    joined = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("toxic", "text")
+    joined = flat.in_small_batches(docs).select("doc_id", "text").join(F.broadcast(own), "doc_id").select("toxic", "text")
     return joined.mapInArrow(_features, "toxic int, slots array<int>")
 
 
@@ -178,15 +178,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield flat.records(["doc_id", "score", "predicted"],
                                [block.column("doc_id"), s, (s >= 0.5).astype(np.int32)])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    out = flat.in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns as they were, whose text is not predicted to be toxic."""
-    def run(batches):
-        for block in flat.blocks(batches):
-            s = model.score(*_block_slots(block), len(block))
-            yield block.batch.slice(block.lo, len(block)).filter(pa.array(s < 0.5))
+    def clean(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0, bool), *[
+            model.score(*_block_slots(b), len(b)) < 0.5 for b in flat.blocks(iter([batch]))]]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # only the text goes to Python and only the answer comes back; the rows stay where they are
+    return flat.in_small_batches(docs).where(F.arrow_udf(clean, "boolean")("text"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from granulith.llm import flat
 from granulith.session import scratch_path, write_and_read
 
 #: Frame that carries a dictionary in front of the records.
@@ -92,7 +93,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     is new in every attempt of a task, and only archives listed by the attempt that ended count, so lost executors
     leave unlisted files, never half-read ones.
     """
-    spark = pages.sparkSession
+    spark = flat.in_small_batches(pages).sparkSession
     folder = folder or scratch_path(spark, "warc")
     rows = pages.select("page_id", "url", "html").join(roles(pages).select("page_id", "refers_to"), "page_id", "left")
 

@@ -7,7 +7,7 @@ with this last block is compared word by word, and the words' bytes once more.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from granulith.llm import flat
 
@@ -143,7 +143,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text string, n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
-    out = docs.select("doc_id", "text")
+    out = flat.in_small_batches(docs).select("doc_id", "text")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(items, again, keep_text):
@@ -178,15 +178,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they were, that hold no window of the benchmark."""
     def only(items):
-        def run(batches):
-            search = Search(items)
-            for block in flat.blocks(batches):
+        search = Search(items)
+
+        def clean(text: pa.Array) -> pa.Array:
+            out = [np.zeros(0, bool)]
+            for block in flat.blocks(iter([pa.RecordBatch.from_arrays([text], names=["text"])])):
                 words = flat.Words(block, flat.letters_table())
-                hit, _ = search.block(words)
-                clean = np.bincount(words.text_of()[hit], minlength=len(block)) == 0
-                yield block.batch.slice(block.lo, len(block)).filter(pa.array(clean))
-        return run
+                out.append(np.bincount(words.text_of()[search.block(words)[0]], minlength=len(block)) == 0)
+            return pa.array(np.concatenate(out))
+        return F.arrow_udf(clean, "boolean")
 
+    # only the text goes to Python and only the answer comes back; the rows stay where they are
+    docs = flat.in_small_batches(docs)
     for items in _passes(benchmark):
-        docs = docs.mapInArrow(only(items), docs.schema)
+        docs = docs.where(only(items)("text"))
     return docs
