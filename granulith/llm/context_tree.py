@@ -112,7 +112,7 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """`log10[state, symbol]` and `step[state, symbol]`; `symbol[byte]` maps bytes, those never seen to the last one."""
+    """`log10[state, byte]` and `step[state, symbol]`; `symbol[byte]` numbers the bytes seen, all others are the last one."""
 
     def __init__(self, depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray):
         """Counts n of (context of `depth` bytes, next byte); contexts with a node, the empty one included."""
@@ -175,9 +175,7 @@ class Model:
                 at = np.where(on, self.parent[at], at)
                 p = np.where(on[:, None], stay[at] * estimate[at] + (1 - stay[at]) * p, p)
             out += np.log10(p).astype(np.float32) @ one.T + np.log10(1 - p).astype(np.float32) @ zero.T
-        unseen = np.setdiff1d(bits, seen)
-        last = out[:, unseen].min(axis=1, keepdims=True) if len(unseen) else np.zeros((size, 0), np.float32)
-        return np.ascontiguousarray(np.concatenate([out[:, seen], last], axis=1))
+        return out
 
     def _steps(self, seen: np.ndarray) -> np.ndarray:
         """The longest context with a node after one more byte; a byte never seen leads to the root."""
@@ -210,10 +208,9 @@ class Model:
             pos = lane + t
             on = slice(None, int(np.searchsorted(pos, len(data))))
             pos = np.maximum(pos[on], 0)
-            where = state[on] * width + sym[pos]
             if t >= 0:
-                out[pos] = log10[where]
-            state[on] = step[where]
+                out[pos] = log10[state[on] << 8 | data[pos]]
+            state[on] = step[state[on] * width + sym[pos]]
         return out
 
 
@@ -240,7 +237,7 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows count as often as they stand. Without training texts all decisions are even. The counts of the most
     frequent words reach every task; those of all others are joined per word and text.
     """
-    spark = docs.sparkSession
+    spark = flat.in_small_batches(docs).sparkSession
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     counts = write_and_read(counted(docs), "counts")
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
