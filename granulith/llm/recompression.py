@@ -4,8 +4,8 @@ In each round runs of one token get a name, then pairs whose first token falls i
 the right class of that round. A name is a hash of what it stands for, so all tasks give one string one name without
 speaking to each other. Inside equal windows the tokens become equal names except near the borders: a round touches at
 most the first and last token of the part that is still certain, and a name stands for at most 8 words, so in a window
-of 50 words the names that reach into the 26 middle ones are the same wherever the window stands. The smallest of them
-files the window; windows that share it are then compared.
+of 50 words the names that reach into the 26 middle ones are the same wherever the window stands. The smallest of them,
+with the words around it, files the window; windows that share a file are then compared.
 """
 
 import hashlib
@@ -22,6 +22,8 @@ WIDTH = 50
 ROUNDS = [2, 4]
 #: Words at each end of a window whose names may depend on what is outside: a run and a pair in each round.
 MARGIN = sum(cap + cap for cap in ROUNDS)
+#: Words before and from an anchor that lie in every window it files: a name reaches back by less than twice the last cap.
+BEFORE, FROM = MARGIN - 2 * ROUNDS[-1] + 1, MARGIN + 1
 
 
 def rename(tokens: np.ndarray, length: np.ndarray, first: np.ndarray, cap: int, number: int):
@@ -66,7 +68,10 @@ def stretches(block: flat.Block):
     name = np.repeat(flat.mix(tokens), length)
     begin = np.repeat(np.cumsum(length) - length, length)
     where = _least(name, WIDTH - 2 * MARGIN)[starts + MARGIN]
-    key, anchor = name[where], begin[where]
+    anchor = begin[where]
+    # short names are common: the words around that the windows share make the key of a file as rare as a repeat
+    around = flat.window_hashes(value, BEFORE + FROM)
+    key = flat.mix(name[where] + around[anchor - BEFORE])
     head = np.ones(len(starts), bool)
     head[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     one = np.flatnonzero(head)
