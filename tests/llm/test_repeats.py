@@ -76,8 +76,17 @@ def test_one_hot_passage_with_other_neighbours(make_docs, words):
     assert sorted(tuple(r)[:5] for r in run_index.dedup(make_docs(rows)).collect()) == sorted(brute_bytes(rows))
 
 
-def test_anchor_with_more_rows_than_are_held(monkeypatch):
-    """Reduction of an anchor's rows in parts finds what it finds at once."""
+def test_anchors_with_more_rows_than_are_held(make_docs, corpus, words, monkeypatch):
+    """Reduction and comparison in small parts find what they find at once."""
+    monkeypatch.setattr(repeats, "HELD_ROWS", 8)
+    monkeypatch.setattr(repeats, "COMPARE_BYTES", 2000)
+    got = [tuple(r)[:5] for r in run_index.dedup(make_docs(corpus)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_bytes(corpus), key=repr)
+    got = [tuple(r)[:4] for r in recompression.dedup(make_docs(corpus)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_words(corpus, words), key=repr)
+
+
+def test_reduction_keeps_the_first_of_each_stretch():
     rng = np.random.default_rng(1)
     n = 5000
     h, s = np.sort(rng.integers(0, 3, n)), rng.integers(0, 40, n)
