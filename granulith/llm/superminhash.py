@@ -170,21 +170,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     if dict(docs.dtypes)["doc_id"] != "bigint":
         raise ValueError("doc_id must be a long")
-    signed = write_and_read(docs.select("doc_id", "text").mapInArrow(
+    signed = write_and_read(flat.in_small_batches(docs).select("doc_id", "text").mapInArrow(
         _sign, "doc_id long, n_shingles long, n_bytes long, set_a long, set_b long, bands array<long>"), "signatures")
     filled = signed.where("doc_id is not null and n_shingles > 0")
-    alike = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # counts are written, so that the joins with them have plain inputs and can split what very many texts share
+    alike = write_and_read(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     copies = filled.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     one = filled.join(alike.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi")
     band = one.select("doc_id", "n_bytes", F.explode("bands").alias("h"))
-    full = band.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    member = write_and_read(band.join(full.select("h", "pivot"), "h").select("doc_id", "n_bytes", "pivot").distinct(), "members")
-    blocks = member.groupBy("pivot").agg(F.ceil(F.sum("n_bytes") / GROUP_BYTES).cast("int").alias("n_blocks"))
+    full = band.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("h", "pivot")
+    member = write_and_read(band.join(write_and_read(full, "bands"), "h").select("doc_id", "n_bytes", "pivot").distinct(), "members")
+    blocks = write_and_read(member.groupBy("pivot").agg(F.ceil(F.sum("n_bytes") / GROUP_BYTES).cast("int").alias("n_blocks")), "blocks")
     placed = member.join(blocks, "pivot").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.greatest("n_blocks", F.lit(1))).cast("int"))
     placed = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.greatest("n_blocks", F.lit(1)) - 1)))
     placed = placed.select("doc_id", F.col("pivot").alias("g1"), F.least("b", "x").alias("g2"), F.greatest("b", "x").alias("g3"))
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(placed, "doc_id")
+    # the plan must not depend on the size: a small table of members would be sent around, a large one shuffled
+    texts = docs.where("doc_id is not null").select("doc_id", "text").join(placed.hint("merge"), "doc_id")
     links = texts.select("g1", "g2", "g3", "doc_id", "text").repartition("g1", "g2", "g3").sortWithinPartitions(
         "g1", "g2", "g3").mapInArrow(_verify, "a long, b long")
     found = components(copies.union(links))
