@@ -144,7 +144,21 @@ def op7_superminhash(spark, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register()
+@register(oracle="""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+ part as (select doc_id, c, substr(x, 2000 * c + 1, 2198) as y from (select doc_id, x, unnest(range(0, (len(x) // 2 - 100) // 1000 + 1)) as c
+   from d where len(x) >= 200)),
+ w as (select doc_id, 1000 * c + j as i, md5(substr(y, 2 * j + 1, 200)) as h from (select *, unnest(range(0, len(y) // 2 - 99)) as j from part)),
+ f as (select h, min(struct_pack(d := doc_id, i := i)) as first from w group by h having count(*) > 1),
+ g as (select w.doc_id, w.i from w join f using (h) where w.doc_id > first.d or (w.doc_id = first.d and w.i > first.i)),
+ r as (select doc_id, i, sum((n)::int) over (partition by doc_id order by i) as k from
+   (select *, coalesce(i - lag(i) over (partition by doc_id order by i) > 100, true) as n from g)),
+ s as (select doc_id, min(i) as s, max(i) + 100 as e from r group by doc_id, k),
+ p as (select *, lag(e, 1, 0) over (partition by doc_id order by s) as b from s),
+ k as (select doc_id, sum(e - s) as n_removed, count(*) as n_spans, max(e) as e,
+   string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' order by s) as kept from p join d using (doc_id) group by doc_id)
+select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+ sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(e, 0) + 1))) as kept_sha256 from d left join k using (doc_id)""")
 def op5_run_index(spark, sf_dir: str) -> DataFrame:
     """Bytes of every document covered by 100-byte strings that start earlier."""
     return run_index.dedup(table(spark, sf_dir, "documents")).drop("kept")
