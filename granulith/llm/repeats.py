@@ -61,7 +61,7 @@ def reduce_stretches(h, s, doc, place, within: bool, hot: bool = False):
 
 def _rows(kind, h, doc, place, s=None):
     return flat.records(["kind", "h", "s", "doc_id", "place"], [
-        np.full(len(h), kind, np.int8), h.astype(np.int64), (s if s is not None else np.zeros(len(h))).astype(np.int64), doc, place])
+        np.full(len(h), kind, np.int8), h.view(np.int64), (s if s is not None else np.zeros(len(h))).astype(np.int64), doc, place])
 
 
 SCHEMA = "kind byte, h long, s long, doc_id long, place long"
@@ -79,7 +79,8 @@ def removed(docs: DataFrame, method, within: bool) -> DataFrame:
             h, s, place = h.view(np.int64), s.view(np.int64), _place(row, start, n)
             order, gone, _ = reduce_stretches(h, s, doc, place, within)
             h, s, doc, place = h[order], s[order], doc[order], place[order]
-            yield _rows(GONE, s[gone], doc[gone], place[gone])
+            # these are decided and only pass through, so they are dealt out by their own place, not by what they share
+            yield _rows(GONE, flat.mix(place[gone].view(np.uint64) ^ flat.mix(doc[gone].view(np.uint64))), doc[gone], place[gone])
             keep = ~gone
             yield _rows(STRETCH, h[keep], doc[keep], place[keep], s[keep])
 
@@ -207,6 +208,7 @@ def rewrite(docs: DataFrame, method, within: bool, schema: str) -> DataFrame:
     """Every row of docs with its removed spans applied by `method.finish`."""
     if dict(docs.dtypes)["doc_id"] != "bigint":
         raise ValueError("doc_id must be a long")
+    docs = flat.in_small_batches(docs)
     spans = removed(docs, method, within).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     rows = packed(docs).join(spans, ["doc_id", "row"], "left")
 
