@@ -14,7 +14,7 @@ from granulith.llm import flat
 #: Labelled rows the model is fitted on, at most: those with the smallest hash of the id.
 FIT_ROWS = 20_000
 #: Words a score may use, at most.
-FEATURES = 1024
+FEATURES = 512
 #: A word enters if toxic texts hold it more or less often than others by so many standard errors.
 EVIDENCE = 5.0
 SWAP_WEIGHT = 10.0
@@ -145,10 +145,13 @@ def train(toxic: np.ndarray, at: np.ndarray, slots: np.ndarray, swap_weight: flo
     w[-1] = base
     fixed = swap_weight * swaps / max(1, len(terms)) + np.diag(ridge)
     for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (q - y) + fixed @ w
-        curve = (x * (q * (1 - q))[:, None].astype(np.float32)).T @ x + fixed
-        step = np.linalg.solve(curve.astype(float), gradient)
+        gradient, curve = fixed @ w, fixed.copy()
+        for lo in range(0, n, 1024):  # a part of the rows at a time, as the sums need
+            part = x[lo:lo + 1024]
+            q = 1 / (1 + np.exp(-np.clip(part @ w.astype(np.float32), -30, 30).astype(float)))
+            gradient += part.T @ (q - y[lo:lo + 1024]).astype(np.float32)
+            curve += part.T @ (part * (q * (1 - q))[:, None].astype(np.float32))
+        step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-6:
             break
