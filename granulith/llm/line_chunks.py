@@ -56,13 +56,15 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
     own = docs.where("doc_id is not null and text is not null").select(
         "doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(chunks_of(F.col("text"))).alias("no", "chunk"))
     own = own.where(F.contains("chunk", F.lit("\n"))).withColumn("h", F.xxhash64("chunk"))
-    again = own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join below has plain inputs on both sides and can split a hash that very many chunks have;
+    # the joins are the same at every size, where a small table of hashes would be sent around instead
+    again = write_and_read(own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     # written once: both sides below read it, and the first of each chunk is combined before the shuffle
-    found = write_and_read(own.join(again, "h", "left_semi"), "chunks")
+    found = write_and_read(own.join(again.hint("merge"), "h", "left_semi"), "chunks")
     # the chunk itself is a key: equal hashes of different texts stay apart
     first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
-    later = found.join(first, ["h", "chunk"]).where(F.struct("doc_id", "no") > F.col("first"))
+    first = write_and_read(first.where("n > 1").drop("n"), "firsts")
+    later = found.join(first.hint("merge"), ["h", "chunk"]).where(F.struct("doc_id", "no") > F.col("first"))
     return later.groupBy("doc_id", "row_hash").agg(F.collect_set("no").alias("gone"))
 
 
@@ -70,7 +72,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     """docs with `_chunk_gone`, the numbers of the chunks to remove (null for none); joined per text, not per id."""
     gone = removed_chunks(docs).select(F.col("doc_id").alias("_chunk_doc"), F.col("row_hash").alias("_chunk_row"), F.col("gone").alias("_chunk_gone"))
     on = (F.col("doc_id") == F.col("_chunk_doc")) & (F.xxhash64("text") == F.col("_chunk_row"))
-    return docs.join(gone, on, "left").drop("_chunk_doc", "_chunk_row")
+    return docs.join(gone.hint("merge"), on, "left").drop("_chunk_doc", "_chunk_row")
 
 
 def _chosen(keep: bool) -> Column:
