@@ -30,9 +30,9 @@ _FROM = "".join(_PLAIN.values())
 _TO = "".join(k * len(v) for k, v in _PLAIN.items())
 
 
-# Letter and separate mark of every composed Latin letter, simpler letters first.
+# Letter and separate mark of the composed letters of European Latin alphabets (U+00C0 to U+017F).
 _COMPOSED = [("".join(chr(int(x, 16)) for x in unicodedata.decomposition(chr(c)).split()), chr(c))
-             for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+             for c in range(0xC0, 0x180)
              if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))
              and unicodedata.normalize("NFC", chr(c)) == chr(c)]
 
