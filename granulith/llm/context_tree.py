@@ -5,27 +5,38 @@ eight binary decisions, and each decision node has a context tree of its own ove
 its own Krichevsky-Trofimov estimate half and half with the product of its children, from the deepest contexts to the
 root, so all depths up to DEPTH take part and the corpus decides their weights.
 
-Counts are of all training texts. A context has a node of its own if it stands before at least one in 2**SHARE of the
-training bytes, so there are at most 2**SHARE nodes per depth whatever the corpus; the other contexts of a node share
-one leaf. The nodes' final byte probabilities and the steps between nodes are two arrays that every task gets.
+Counts are of all training texts, and every context that stands in one has a node. The model is a table, never one
+array: strings of DEPTH + 1 bytes are dealt out by their last two context bytes, below which a tree is whole within a
+task, and what is left above are two levels of at most 256 contexts. Some megabytes of texts (a unit) send their
+distinct strings to the tasks with these trees, packed, and get one number for each back.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from granulith.llm import flat
 from granulith.session import write_and_read
 
 DEPTH = 5
-SHARE = 17
+#: A context has a node if it stands before one in 2**SHARE training bytes: at 62, any that stands before one at all.
+SHARE = 62
 END = 255
 #: Most frequent words whose counts every task gets; the counts of the others are joined.
 TOP_WORDS = 1 << 16
 #: Token that closes each text in the base model.
 END_TOKEN = np.int64(0x454E44)
 MERGE = 3 << 20
-LANE = 256
+#: Bytes scored with one set of strings, and strings of whole trees worked on together.
+UNIT_BYTES = 16 << 20
+HELD_STRINGS = 1 << 18
+#: Strings in one row of a request.
+ROW_STRINGS = 1 << 13
 WORD, GRAM = 0, 1
 
 
@@ -61,8 +72,19 @@ def _merged(parts):
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each byte of the texts of `stream` with the DEPTH bytes before it, as a number, text by text."""
+    code = np.zeros(len(data) - DEPTH, np.int64)
+    for j in range(DEPTH + 1):
+        code = code << 8 | data[j:len(data) - DEPTH + j]
+    scored = np.ones(len(code), bool)  # the padding in front of each text is context only
+    scored[(at[1:-1, None] - DEPTH + np.arange(DEPTH)).ravel()] = False
+    return code[scored]
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): words by hash and strings of DEPTH + 1 bytes in the training texts, summed in tasks first."""
+    """(kind, key, n): words by hash in the training texts and strings of DEPTH + 1 bytes in all texts, with their number
+    in the training texts, summed in tasks first."""
     def run(batches):
         parts = {WORD: [], GRAM: []}
 
@@ -75,15 +97,14 @@ def counted(docs: DataFrame) -> DataFrame:
 
         for block in flat.blocks(batches):
             words = flat.Words(block, flat.lower_table())
-            k, n = np.unique(words.hashes().view(np.int64), return_counts=True)
-            parts[WORD] += [(k, n), (np.array([END_TOKEN]), np.array([len(block)]))]
+            learn = ~block.column("held").to_numpy(zero_copy_only=False)
+            if learn.any():
+                k, n = np.unique(words.hashes().view(np.int64)[learn[words.text_of()]], return_counts=True)
+                parts[WORD] += [(k, n), (np.array([END_TOKEN]), np.array([learn.sum()]))]
             data, at = stream(words)
-            code = np.zeros(len(data) - DEPTH, np.int64)
-            for j in range(DEPTH + 1):
-                code = code << 8 | data[j:len(data) - DEPTH + j]
-            scored = np.ones(len(data), bool)  # the padding in front of each text is context only
-            scored[(at[:-1, None] + np.arange(DEPTH)).ravel()] = False
-            parts[GRAM].append(np.unique(code[scored[DEPTH:]], return_counts=True))
+            k, i = np.unique(strings(data, at), return_inverse=True)
+            n = np.bincount(i, np.repeat(learn, np.diff(at) - DEPTH), minlength=len(k))
+            parts[GRAM].append((k, n.astype(np.int64)))
             for kind in parts:
                 if sum(len(k) for k, _ in parts[kind]) > MERGE:
                     parts[kind] = [_merged(parts[kind])]
@@ -93,7 +114,7 @@ def counted(docs: DataFrame) -> DataFrame:
             if parts[kind]:
                 yield from rows(kind)
 
-    made = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "kind byte, key long, n long")
+    made = docs.select("text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, "kind byte, key long, n long")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -111,122 +132,190 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
 
 
-class Model:
-    """`log10[state, byte]` and `step[state, symbol]`; `symbol[byte]` numbers the bytes seen, all others are the last one."""
-
-    def __init__(self, depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray):
-        """Counts n of (context of `depth` bytes, next byte); contexts with a node, the empty one included."""
-        seen = np.unique(byte)
-        self.symbol = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.int16)
-        self.symbol[seen] = np.arange(len(seen))
-        key = np.stack([depth, context], 1) if len(depth) else np.zeros((1, 2), np.int64)
-        nodes, row = np.unique(key, axis=0, return_inverse=True)  # by depth, then context
-        self.depth, self.context = nodes[:, 0], nodes[:, 1]
-        size = len(nodes)
-        counts = np.zeros((size, 256), np.float32 if size > 1 << 14 else np.float64)
-        counts[row.ravel(), byte] = n
-        self.level = np.searchsorted(self.depth, np.arange(DEPTH + 2))
-        self.parent = np.zeros(size, np.int64)
-        for d in range(1, DEPTH + 1):
-            mine, up = slice(self.level[d], self.level[d + 1]), self.level[d - 1]
-            shorter = self.context[mine] & ((1 << 8 * (d - 1)) - 1)
-            self.parent[mine] = up + np.searchsorted(self.context[up:self.level[d]], shorter)
-        self.log10 = self._probabilities(counts, seen)
-        self.step = self._steps(seen)
-
-    def _probabilities(self, counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        size, half = len(self.depth), np.log(0.5)
-        out = np.zeros((size, 256), np.float32)
-        bits = np.arange(256)
-        used = sorted({(1 << j) | (int(b) >> (8 - j)) for b in seen for j in range(8)})
-        whole = {(1 << j) | (b >> (8 - j)) for b in range(256) for j in range(8)}
-        for t in whole - set(used):  # decisions never met are even
-            j = t.bit_length() - 1
-            out[:, (bits >> (8 - j)) == t - (1 << j)] += np.log10(0.5)
-        for lo in range(0, len(used), 16):
-            part = used[lo:lo + 16]
-            zero, one = np.zeros((256, len(part)), np.float32), np.zeros((256, len(part)), np.float32)
-            for c, t in enumerate(part):
-                j = t.bit_length() - 1
-                under = (bits >> (8 - j)) == t - (1 << j)
-                bit = (bits >> (7 - j)) & 1
-                zero[under & (bit == 0), c] = one[under & (bit == 1), c] = 1
-            a, b = (counts @ zero).astype(float), (counts @ one).astype(float)
-            rest_a, rest_b = a.copy(), b.copy()
-            np.subtract.at(rest_a, self.parent[1:], a[1:])
-            np.subtract.at(rest_b, self.parent[1:], b[1:])
-            rest_a, rest_b = np.maximum(rest_a, 0), np.maximum(rest_b, 0)
-            own = log_kt(a, b)
-            below = log_kt(rest_a, rest_b)
-            mixed = own.copy()
-            for d in range(DEPTH, -1, -1):
-                mine = slice(self.level[d], self.level[d + 1])
-                if d < DEPTH:
-                    mixed[mine] = np.logaddexp(half + own[mine], half + below[mine])
-                if d:
-                    np.add.at(below, self.parent[mine], mixed[mine])
-            stay = np.exp(half + own - mixed)
-            estimate = (b + 0.5) / (a + b + 1)
-            leaf = (rest_b + 0.5) / (rest_a + rest_b + 1)
-            p = np.where((self.depth < DEPTH)[:, None], stay * estimate + (1 - stay) * leaf, estimate)
-            at = np.arange(size)
-            for _ in range(DEPTH):  # each node's prediction is mixed into those of its ancestors
-                on = self.depth[at] > 0
-                at = np.where(on, self.parent[at], at)
-                p = np.where(on[:, None], stay[at] * estimate[at] + (1 - stay[at]) * p, p)
-            out += np.log10(p).astype(np.float32) @ one.T + np.log10(1 - p).astype(np.float32) @ zero.T
-        return out
-
-    def _steps(self, seen: np.ndarray) -> np.ndarray:
-        """The longest context with a node after one more byte; a byte never seen leads to the root."""
-        out = np.zeros((len(self.depth), len(seen) + (len(seen) < 256)), np.int32)
-        for d in range(DEPTH + 1):
-            mine = slice(self.level[d], self.level[d + 1])
-            if d:
-                out[mine] = out[self.parent[mine]]
-            if d == DEPTH or mine.start == mine.stop:
-                continue
-            deeper = self.context[self.level[d + 1]:self.level[d + 2]]
-            if not len(deeper):
-                continue
-            longer = self.context[mine][:, None] << 8 | seen.astype(np.int64)[None, :]
-            i = np.minimum(np.searchsorted(deeper, longer), len(deeper) - 1)
-            own = out[mine]
-            own[:, :len(seen)] = np.where(deeper[i] == longer, self.level[d + 1] + i, own[:, :len(seen)])
-            out[mine] = own
-        return out
-
-    def score(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte of a stream; lanes of LANE bytes go on side by side, each after a run-up of
-        DEPTH bytes, which is all that its state depends on."""
-        sym = self.symbol[data].astype(np.int64)
-        out, width = np.zeros(len(data), np.float32), self.step.shape[1]
-        lane = np.arange(0, len(data), LANE)
-        state = np.zeros(len(lane), np.int64)
-        step, log10 = self.step.reshape(-1), self.log10.reshape(-1)
-        for t in range(-DEPTH, LANE):
-            pos = lane + t
-            on = slice(None, int(np.searchsorted(pos, len(data))))
-            pos = np.maximum(pos[on], 0)
-            if t >= 0:
-                out[pos] = log10[state[on] << 8 | data[pos]]
-            state[on] = step[state[on] * width + sym[pos]]
-        return out
-
-
-def fit(counts: DataFrame) -> Model:
-    """The model of a table of counts: all depths summed from the longest strings, then contexts that are frequent
-    enough. What reaches the driver is bounded by the nodes, at most 2**SHARE per depth."""
+def _evidence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`log_kt`, exactly zero where nothing was counted."""
+    out, on = np.zeros(a.shape), a + b > 0
+    out[on] = log_kt(a[on], b[on])
+    return out
+
+
+def _mix(a, b, below, rest_a, rest_b):
+    """Of nodes with counts a, b whose children give `below`: log probability, own share, estimate, estimate of the leaf
+    that children without a node share."""
+    own, half = _evidence(a, b), np.log(0.5)
+    mixed = np.logaddexp(half + own, half + below + _evidence(rest_a, rest_b))
+    return mixed, np.exp(half + own - mixed), (b + 0.5) / (a + b + 1), (rest_b + 0.5) / (rest_a + rest_b + 1)
+
+
+def _trees(code: np.ndarray, n: np.ndarray, least: int):
+    """Per bit of the last byte, the trees below contexts of two bytes: bit and row of each string, and of each row
+    (context of DEPTH bytes, bits before) its node of depth 2 and the probability of a one there."""
+    big = {}
+    for d in range(2, DEPTH + 1):
+        _, i = np.unique(code >> 8 & (1 << 8 * d) - 1, return_inverse=True)
+        big[d] = np.bincount(i, n)[i] >= least
+    byte = code & 255
+    for j in range(8):
+        bit = byte >> 7 - j & 1
+        key, at, row = np.unique(code >> 8 << 8 | 1 << j | byte >> 8 - j, return_index=True, return_inverse=True)
+        a, b = np.bincount(row, n * (1 - bit)), np.bincount(row, n * bit)
+        mixed, p, node, up = _evidence(a, b), (b + 0.5) / (a + b + 1), big[DEPTH][at], np.arange(len(key))
+        for d in range(DEPTH - 1, 1, -1):
+            key, first, i = np.unique((key >> 8 & (1 << 8 * d) - 1) << 8 | key & 255, return_index=True, return_inverse=True)
+            size, rest = len(key), ~node
+            below, rest_a, rest_b = (np.bincount(i, x, size) for x in (mixed * node, a * rest, b * rest))
+            a, b = np.bincount(i, a, size), np.bincount(i, b, size)
+            mixed, stay, estimate, leaf = _mix(a, b, below, rest_a, rest_b)
+            deep, up = np.where(node[up], p, leaf[i[up]]), i[up]
+            p = stay[up] * estimate[up] + (1 - stay[up]) * deep
+            at = at[first]
+            node = big[d][at]
+        yield bit, row, up, p, key, a, b, mixed, node
+
+
+def _whole_trees(batches):
+    """(code, n) of all strings below some contexts of two bytes; rows come sorted by these."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        size += batch.num_rows
+        if size >= HELD_STRINGS:
+            suffix, code, n = (np.concatenate(x) for x in zip(*held))
+            last = int(np.searchsorted(suffix, suffix[-1]))
+            if last:
+                yield code[:last], n[:last]
+            held, size = [(suffix[last:], code[last:], n[last:])], 0
+    if held:
+        _, code, n = (np.concatenate(x) for x in zip(*held))
+        if len(code):
+            yield code, n
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted numbers as compressed byte planes of their steps."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def _requests(unit: int, keys: np.ndarray, shift: int):
+    """(unit, bucket, keys) of a unit's sorted distinct strings."""
+    bucket = ((keys >> 8 & 65535) * 40503 & 65535) >> shift
+    order = np.argsort(bucket, kind="stable")
+    keys, bucket = keys[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    for lo, hi in zip(first, [*first[1:], len(keys)]):
+        for at in range(lo, hi, ROW_STRINGS):
+            yield unit, int(bucket[lo]), _pack(keys[at:min(hi, at + ROW_STRINGS)])
+
+
+def _runs(batches, *names):
+    """Stretches of a batch's rows with equal values of two columns: the values and a slice of the batch."""
+    for batch in batches:
+        x, y = (batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in names)
+        cut = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(x)]):
+            if lo < hi:
+                yield x[lo], y[lo], batch.slice(lo, hi - lo)
+
+
+def bucket_shift(counts: DataFrame) -> int:
+    """Buckets are the upper bits of a 16-bit hash of two context bytes; how many bits to drop for about HELD_STRINGS each."""
+    return 16 - min(16, max(4, (counts.where(F.col("kind") == GRAM).count() // HELD_STRINGS).bit_length()))
+
+
+def answers(counts: DataFrame, requests: DataFrame, shift: int) -> DataFrame:
+    """(unit, keys, p) for (unit, bucket, keys): log10 of the probability of each string's last byte after those before it."""
     grams = counts.where(F.col("kind") == GRAM)
-    depths = grams.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d"))
-    depths = depths.select("d", F.expr("(key >> 8) & (shiftleft(1L, 8 * d) - 1)").alias("context"),
-                           F.expr("cast(key & 255 as int)").alias("byte"), "n")
-    depths = depths.groupBy("d", "context", "byte").agg(F.sum("n").alias("n"))
     total = grams.agg(F.sum("n")).first()[0] or 0
-    nodes = depths.groupBy("d", "context").agg(F.sum("n").alias("all")).where(
-        (F.col("all") * (1 << SHARE) >= total) | (F.col("d") == 0)).select("d", "context")
-    got = depths.join(nodes, ["d", "context"]).toArrow()
-    return Model(*(got.column(c).to_numpy().astype(np.int64) for c in ("d", "context", "byte", "n")))
+    least = max(1, -(-total >> SHARE))
+    dealt = grams.select(F.expr("(key >> 8) & 65535").alias("suffix"), "key", "n").repartition("suffix").sortWithinPartitions("suffix")
+
+    def sums(batches):
+        for code, n in _whole_trees(batches):
+            for _, _, _, _, key, a, b, mixed, node in _trees(code, n, least):
+                k, i = np.unique((key >> 8 & 255) << 8 | key & 255, return_inverse=True)
+                yield flat.records(["k", "a", "b", "mixed", "rest_a", "rest_b"], [k, *(
+                    np.bincount(i, x, len(k)) for x in (a, b, mixed * node, a * ~node, b * ~node))])
+
+    # at most 256 contexts of one byte with 255 decisions each
+    got = dealt.mapInArrow(sums, "k long, a double, b double, mixed double, rest_a double, rest_b double").groupBy("k").agg(
+        *(F.sum(c).alias(c) for c in ("a", "b", "mixed", "rest_a", "rest_b"))).toArrow()
+    a, b, below, rest_a, rest_b = np.zeros((5, 256, 256))
+    k = got.column("k").to_numpy()
+    for x, name in ((a, "a"), (b, "b"), (below, "mixed"), (rest_a, "rest_a"), (rest_b, "rest_b")):
+        x.reshape(-1)[k] = got.column(name).to_numpy()
+    node = (a + b)[:, 1] >= least
+    mixed, *one = _mix(a, b, below, rest_a, rest_b)
+    rest = ~node[:, None]
+    _, *root = _mix(a.sum(0), b.sum(0), (mixed * node[:, None]).sum(0), (a * rest).sum(0), (b * rest).sum(0))
+    head = grams.sparkSession.sparkContext.broadcast((node, one, root))
+
+    def logs(code, n):
+        node1, (stay1, estimate1, leaf1), (stay0, estimate0, leaf0) = head.value
+        out = np.zeros(len(code))
+        for bit, row, up, p, key, _, _, _, node2 in _trees(code, n, least):
+            c, t = (key >> 8 & 255)[up], (key & 255)[up]
+            p = stay1[c, t] * estimate1[c, t] + (1 - stay1[c, t]) * np.where(node2[up], p, leaf1[c, t])
+            p = stay0[t] * estimate0[t] + (1 - stay0[t]) * np.where(node1[c], p, leaf0[t])
+            out += np.log10(np.where(bit == 1, p[row], 1 - p[row]))
+        return out.astype(np.float32)
+
+    def run(batches):
+        bucket, parts, code, p = None, [], None, None
+        for own, asked, rows in _runs(batches, "bucket", "asked"):
+            if own != bucket:
+                bucket, parts, code = own, [], None
+            column = dict(zip(rows.schema.names, rows.columns))
+            if not asked:
+                parts.append((column["key"].to_numpy(), column["n"].to_numpy()))
+                continue
+            if code is None:
+                code, n = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(code)
+                code, parts = code[order], []
+                p = logs(code, n[order])
+            got = []
+            for packed in column["keys"].to_pylist():
+                keys = _unpack(packed)
+                i = np.minimum(np.searchsorted(code, keys), len(code) - 1)
+                if (code[i] != keys).any():
+                    raise ValueError("a string that was not counted")
+                got.append(p[i].tobytes())
+            yield flat.records(["unit", "keys", "p"], [column["unit"], column["keys"], pa.array(got, pa.binary())])
+
+    trees = grams.select(F.expr(f"cast((((key >> 8) & 65535) * 40503 & 65535) >> {shift} as int)").alias("bucket"),
+                         F.lit(False).alias("asked"), "key", "n", F.lit(0).cast("long").alias("unit"), F.lit(None).cast("binary").alias("keys"))
+    asked = requests.select("bucket", F.lit(True).alias("asked"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"),
+                            "unit", "keys")
+    return trees.union(asked).repartition("bucket").sortWithinPartitions("bucket", "asked").mapInArrow(
+        run, "unit long, keys binary, p binary")
+
+
+def _scored(batches):
+    """Texts with the sum of their strings' logarithms; per unit, the answers come before its texts."""
+    unit, parts, key, p = None, [], None, None
+    d = zstandard.ZstdDecompressor()
+    for own, is_text, rows in _runs(batches, "unit", "is_text"):
+        if own != unit:
+            unit, parts, key = own, [], None
+        column = dict(zip(rows.schema.names, rows.columns))
+        if not is_text:
+            parts += zip(map(_unpack, column["keys"].to_pylist()), (np.frombuffer(x, np.float32) for x in column["p"].to_pylist()))
+            continue
+        if key is None:
+            key, p = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key)
+            key, p, parts = key[order], p[order], []
+        field = {f.name: column["text"].field(f.name) for f in column["text"].type}
+        data = [d.decompress(x) for x in field.pop("data").to_pylist()]
+        at = np.cumsum([0, *map(len, data)])
+        code = strings(np.frombuffer(b"".join(data), np.uint8), at)
+        score = np.bincount(np.repeat(np.arange(len(data)), np.diff(at) - DEPTH), p[np.searchsorted(key, code)], len(data))
+        yield flat.records([*field, "score"], [*field.values(), score])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -246,12 +335,22 @@ def score(docs: DataFrame) -> DataFrame:
     top = words.orderBy(F.desc("c"), "word").limit(TOP_WORDS).toArrow()
     key, c = top.column("word").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(key)
-    model = spark.sparkContext.broadcast((fit(counts), key[order], c[order]))
+    shift = bucket_shift(counts)
+    most = spark.sparkContext.broadcast((key[order], c[order]))
     floor = float(np.log10(tokens + kinds + 1))
     rest = kinds > len(key)
 
     def run(batches):
-        m, top, top_n = model.value
+        top, top_n = most.value
+        unit, size, met = uuid.uuid4().int >> 65, 0, []
+        z = zstandard.ZstdCompressor(level=3)
+
+        def ask():
+            keys = np.unique(np.concatenate(met))
+            rows = [{"unit": u, "bucket": k, "keys": x} for u, k, x in _requests(unit, keys, shift)]
+            for lo in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_pylist(rows[lo:lo + 64], schema)
+
         for block in flat.blocks(batches):
             ws = flat.Words(block, flat.lower_table())
             n = len(block)
@@ -264,8 +363,8 @@ def score(docs: DataFrame) -> DataFrame:
             if j < len(top) and top[j] == END_TOKEN:
                 gain, n_known = gain + np.log10(top_n[j] + 1.0), n_known + 1
             data, at = stream(ws)
-            p = np.concatenate([[0.0], np.cumsum(m.score(data).astype(float))])
-            scored = p[at[1:]] - p[at[:-1] + DEPTH]
+            met.append(np.unique(strings(data, at)))
+            raw = data.tobytes()
             # words outside the top with their number in each text
             pair = np.flatnonzero(~known) if rest else np.zeros(0, np.int64)
             pair = pair[np.lexsort((h[pair], text[pair]))]
@@ -273,21 +372,36 @@ def score(docs: DataFrame) -> DataFrame:
             head[1:] = (h[pair[1:]] != h[pair[:-1]]) | (text[pair[1:]] != text[pair[:-1]])
             first = np.flatnonzero(head)
             tf = np.diff(np.append(first, len(pair)))
-            ends = pa.array(np.searchsorted(text[pair[first]], np.arange(n + 1)), pa.int32())
-            yield flat.records(["doc_id", "row", "n_tokens", "known", "gain", "score", "n_bytes", "word", "tf"], [
-                block.column("doc_id"), block.column("row"), ws.counts() + 1, n_known, gain, scored,
-                np.diff(at) - DEPTH, pa.ListArray.from_arrays(ends, pa.array(h[pair[first]])),
-                pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))])
+            last = pa.array(np.searchsorted(text[pair[first]], np.arange(n + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                block.column("doc_id"), block.column("row"), pa.array(ws.counts() + 1), pa.array(n_known), pa.array(gain),
+                pa.array(np.diff(at) - DEPTH), pa.array([z.compress(raw[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary()),
+                pa.array(np.full(n, unit)), pa.ListArray.from_arrays(last, pa.array(h[pair[first]])),
+                pa.ListArray.from_arrays(last, pa.array(tf, pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                schema=schema)
+            size += len(data)
+            if size >= UNIT_BYTES:
+                yield from ask()
+                unit, size, met = uuid.uuid4().int >> 65, 0, []
+        if met:
+            yield from ask()
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = write_and_read(rows.mapInArrow(run, (
-        f"doc_id {kind}, row long, n_tokens long, known long, gain double, score double, n_bytes long, "
-        "word array<long>, tf array<int>")), "scored")
-    rare = scored.select("doc_id", "row", F.explode(F.arrays_zip("word", "tf")).alias("w")).select(
+    own = f"doc_id {kind}, row long, n_tokens long, known long, gain double, n_bytes long"
+    made = f"{own}, data binary, unit long, word array<long>, tf array<int>, bucket int, keys binary"
+    schema = to_arrow_schema(_parse_datatype_string(made))
+    both = write_and_read(rows.mapInArrow(run, made), "texts")
+    texts = both.where("bucket is null")
+    answered = answers(counts, both.where("bucket is not null").select("unit", "bucket", "keys"), shift)
+    text = F.struct("doc_id", "row", "n_tokens", "known", "gain", "n_bytes", "data")
+    scored = texts.select("unit", F.lit(True).alias("is_text"), text.alias("text")).unionByName(
+        answered.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
+    scored = scored.repartition("unit").sortWithinPartitions("unit", "is_text").mapInArrow(_scored, f"{own}, score double")
+    rare = texts.select("doc_id", "row", F.explode(F.arrays_zip("word", "tf")).alias("w")).select(
         "doc_id", "row", "w.word", "w.tf").distinct()
     found = rare.join(words, "word").groupBy("doc_id", "row").agg(
         F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more_gain"), F.sum("tf").alias("more_known"))
-    a, b = scored.drop("word", "tf").alias("a"), found.alias("b")
+    a, b = scored.alias("a"), found.alias("b")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row") == F.col("b.row")), "left")
     return out.select(
         "a.doc_id", held_out(F.col("a.doc_id")).alias("held_out"), "a.n_tokens",

@@ -254,3 +254,40 @@ def test_toxicity_without_labels(make_docs, spark):
     model = toxicity.fit(make_docs([(1, "a")]), none)
     assert {r.score for r in toxicity.score(make_docs([(1, "a"), (2, None)]), model).collect()} == {0.5}
     assert toxicity.score(make_docs([]), model).collect() == []
+
+
+def test_context_tree_keeps_rare_contexts(make_docs, words):
+    learn, ask = ([i for i in range(400) if (zlib.crc32(str(i).encode()) % 7 == 2) == out] for out in (False, True))
+    rows = [(learn[0], "qzxvk"), *((i, "aaaa" * 200) for i in learn[1:201]), (ask[0], "qzxvk"), (ask[1], "zxvkj aa")]
+    got = {r.doc_id: r.score for r in context_tree.score(make_docs(rows)).collect()}
+
+    def by_depth(text):
+        """The recursion of `brute_score` on counts; every context that stands in a training text has a node."""
+        count = collections.Counter()
+        for i, t in rows:
+            x = b"\xff" * 5 + t.encode() + b"\xff"
+            count.update((x[k - 5:k], x[k]) for k in range(5, len(x)) if i in learn)
+        kt = lambda a, b: math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+        def tree(pairs, d, path):
+            a, b = (sum(n for _, y, n in pairs if y == v) for v in (0, 1))
+            if d == 5 or not pairs:
+                return kt(a, b), (b + .5) / (a + b + 1)
+            below, deep = 0.0, .5
+            for k in {c[4 - d:] for c, _, _ in pairs}:
+                v = tree([x for x in pairs if x[0][4 - d:] == k], d + 1, path)
+                below, deep = below + v[0], v[1] if k == path[4 - d:] else deep
+            mixed = np.logaddexp(math.log(.5) + kt(a, b), math.log(.5) + below)
+            stay = math.exp(math.log(.5) + kt(a, b) - mixed)
+            return mixed, stay * (b + .5) / (a + b + 1) + (1 - stay) * deep
+
+        x, out = b"\xff" * 5 + text.encode() + b"\xff", 0.0
+        for i in range(5, len(x)):
+            for j in range(8):
+                pairs = [(c, y >> 7 - j & 1, n) for (c, y), n in count.items() if y >> 8 - j == x[i] >> 8 - j]
+                p = tree(pairs, 0, x[i - 5:i])[1]
+                out += math.log10(p if x[i] >> 7 - j & 1 else 1 - p)
+        return out
+
+    for i, t in rows[-2:] + rows[:1]:
+        assert got[i] == pytest.approx(by_depth(t), rel=1e-6)
