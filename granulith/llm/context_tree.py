@@ -332,13 +332,14 @@ def score(docs: DataFrame) -> DataFrame:
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     tokens, kinds = words.agg(F.sum("c"), F.count("*")).first()
     tokens, kinds = tokens or 0, kinds or 0
-    top = words.orderBy(F.desc("c"), "word").limit(TOP_WORDS).toArrow()
+    ends = words.where(F.col("word") == int(END_TOKEN)).agg(F.sum("c")).first()[0] or 0  # known to every text, however rare
+    top = words.where(F.col("word") != int(END_TOKEN)).orderBy(F.desc("c"), "word").limit(TOP_WORDS).toArrow()
     key, c = top.column("word").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(key)
     shift = bucket_shift(counts)
     most = spark.sparkContext.broadcast((key[order], c[order]))
     floor = float(np.log10(tokens + kinds + 1))
-    rest = kinds > len(key)
+    rest = kinds - (ends > 0) > len(key)
 
     def run(batches):
         top, top_n = most.value
@@ -359,9 +360,8 @@ def score(docs: DataFrame) -> DataFrame:
             known = top[i] == h if len(top) else np.zeros(len(h), bool)
             gain = np.bincount(text[known], np.log10(top_n[i[known]] + 1.0), minlength=n) if len(top) else np.zeros(n)
             n_known = np.bincount(text[known], minlength=n)
-            j = np.searchsorted(top, END_TOKEN)
-            if j < len(top) and top[j] == END_TOKEN:
-                gain, n_known = gain + np.log10(top_n[j] + 1.0), n_known + 1
+            if ends:
+                gain, n_known = gain + np.log10(ends + 1.0), n_known + 1
             data, at = stream(ws)
             met.append(np.unique(strings(data, at)))
             raw = data.tobytes()

@@ -291,3 +291,11 @@ def test_context_tree_keeps_rare_contexts(make_docs, words):
 
     for i, t in rows[-2:] + rows[:1]:
         assert got[i] == pytest.approx(by_depth(t), rel=1e-6)
+
+
+def test_end_is_known_beside_any_list_of_words(make_docs, monkeypatch):
+    monkeypatch.setattr(context_tree, "TOP_WORDS", 1)
+    only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    r = context_tree.score(make_docs([(only, "a a a b b c")])).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (7, 7, 7)
+    assert r.base_score == pytest.approx(math.log10(4) * 3 + math.log10(3) * 2 + math.log10(2) * 2 - 7 * math.log10(7 + 4 + 1))
