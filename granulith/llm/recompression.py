@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from granulith.llm import flat, repeats
-from granulith.llm.run_index import _least
+from granulith.llm.run_index import OTHER_VALUE, _least
 
 WIDTH = 50
 #: Longest run, in words, that is named in a round; a pair then doubles that.
@@ -97,6 +97,16 @@ def contents(block: flat.Block, text, start, n) -> list[bytes]:
     return out
 
 
+def window_keys(block: flat.Block, text, start):
+    """Two hashes of the words of the window at each start."""
+    words = flat.Words(block, flat.plain_table())
+    p, out = words.at[text] + start, []
+    for table in (flat.BYTE_VALUE, OTHER_VALUE):
+        value = flat.stretch(flat.prefix(table[block.data]), words.start, words.end)
+        out.append(flat.stretch(flat.prefix(value), p, p + WIDTH))
+    return out
+
+
 def compare(h, doc, start, n, content: list[bytes], within: bool):
     """(content, offset, length) of the spans of windows that start in a text of a smaller doc_id too."""
     lens = n.astype(np.int64) - 1 + WIDTH
@@ -159,4 +169,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 class Method:
     WIDTH = WIDTH
-    stretches, contents, compare, finish = map(staticmethod, (stretches, contents, compare, finish))
+    stretches, contents, window_keys, compare, finish = map(staticmethod, (stretches, contents, window_keys, compare, finish))

@@ -6,7 +6,8 @@ travel as one row (a stretch) of a few numbers. Then:
 
 1. equal stretches are reduced to the first, in each task before the shuffle and after it; the others are removed whole;
 2. an anchor that is left with different stretches may still hold equal windows at their borders: only these stretches'
-   contents are fetched and compared, window by window;
+   contents are fetched and compared, window by window; where they are too many for one task, each window goes to the
+   first under two hashes of its own;
 3. the removed spans of a text are gathered and the text is rewritten.
 """
 
@@ -23,6 +24,8 @@ ROW_BITS = (1 << 23) - 1
 HELD_ROWS = 1 << 20
 GONE, STRETCH = 0, 1
 COMPARE_BYTES = 1 << 20
+#: Units of one anchor's different stretches that are compared in one task; beyond, its windows are compared one by one.
+FULL_UNITS = 1 << 20
 
 
 def _place(row, start, n):
@@ -126,8 +129,28 @@ def removed(docs: DataFrame, method, within: bool) -> DataFrame:
              "n": F.col("place").bitwiseAND(F.lit(0xFF)).cast("int")}
     known = known.withColumns(place)
     whole = known.where(F.col("kind") == GONE).select("doc_id", "row", "start", (F.col("n") - 1 + method.WIDTH).alias("length"))
-    borders = known.where(F.col("kind") == STRETCH).groupBy("doc_id", "row").agg(
-        F.collect_list(F.struct("h", "start", "n")).alias("stretches"))
+    left = known.where(F.col("kind") == STRETCH)
+    full = write_and_read(left.groupBy("h").agg(F.sum(F.col("n") - 1 + method.WIDTH).alias("units")).where(
+        F.col("units") > FULL_UNITS).select("h"), "full")  # one in FULL_UNITS units of the corpus at most
+    some_full = not full.isEmpty()
+
+    def texts_of(part):
+        borders = part.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "start", "n")).alias("stretches"))
+        return packed(docs.where("doc_id is not null and text is not null")).join(borders, ["doc_id", "row"])
+
+    def windows(batches):
+        for block in unpacked(batches):
+            lists = block.column("stretches")
+            item = lists.flatten()
+            text = np.repeat(np.arange(len(block)), np.diff(lists.offsets.to_numpy()))
+            start, n = item.field("start").to_numpy(), item.field("n").to_numpy().astype(np.int64)
+            text, start = np.repeat(text, n), np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            a, b = method.window_keys(block, text, start)
+            doc, row = (block.column(c).to_numpy()[text] for c in ("doc_id", "row"))
+            for lo in range(0, len(text), 1 << 14):
+                cut = slice(lo, lo + (1 << 14))
+                yield flat.records(["a", "b", "doc_id", "row", "start"], [
+                    a[cut].view(np.int64), b[cut].view(np.int64), doc[cut], row[cut], start[cut]])
 
     def fetch(batches):
         for block in unpacked(batches):
@@ -169,10 +192,20 @@ def removed(docs: DataFrame, method, within: bool) -> DataFrame:
             yield work(pa.Table.from_batches(held))
 
     spans = "doc_id long, row int, start long, length long"
-    content = packed(docs.where("doc_id is not null and text is not null")).join(borders, ["doc_id", "row"]).mapInArrow(
+    content = texts_of(left.join(F.broadcast(full), "h", "left_anti") if some_full else left).mapInArrow(
         fetch, "h long, doc_id long, row int, start long, n int, content binary")
     partial = content.repartition("h").sortWithinPartitions("h").mapInArrow(compare, spans)
-    return whole.select("doc_id", "row", "start", F.col("length").cast("long").alias("length")).union(partial)
+    out = whole.select("doc_id", "row", "start", F.col("length").cast("long").alias("length")).union(partial)
+    if not some_full:
+        return out
+    # a window that very many texts share is one key: its first is found in parts, and the adaptive join splits the rest
+    each = texts_of(left.join(F.broadcast(full), "h", "left_semi")).mapInArrow(windows, "a long, b long, doc_id long, row int, start long")
+    each = write_and_read(each, "windows")
+    first = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    later = F.col("doc_id") > F.col("first.doc_id")
+    if within:
+        later |= (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") > F.col("first.start"))
+    return out.union(each.join(first, ["a", "b"]).where(later).select("doc_id", "row", "start", F.lit(method.WIDTH).cast("long")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

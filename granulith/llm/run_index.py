@@ -130,6 +130,16 @@ def contents(block: flat.Block, text, start, n) -> list[bytes]:
     return [raw[b:e] for b, e in zip(begin.tolist(), (begin + n - 1 + WIDTH).tolist())]
 
 
+#: Byte values of the second of two hashes of a window.
+OTHER_VALUE = flat.mix(flat.BYTE_VALUE ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def window_keys(block: flat.Block, text, start):
+    """Two hashes of the window at each start."""
+    p = block.bounds[text] + start
+    return tuple(flat.stretch(flat.prefix(t[block.data]), p, p + WIDTH) for t in (flat.BYTE_VALUE, OTHER_VALUE))
+
+
 def compare(h, doc, start, n, content: list[bytes], within: bool):
     """(content, offset, length) of the spans of windows that another content holds earlier."""
     lens = np.fromiter(map(len, content), np.int64, len(content))
@@ -182,4 +192,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 class Method:
     WIDTH = WIDTH
-    stretches, contents, compare, finish = map(staticmethod, (stretches, contents, compare, finish))
+    stretches, contents, window_keys, compare, finish = map(staticmethod, (stretches, contents, window_keys, compare, finish))

@@ -136,3 +136,18 @@ def test_names_do_not_depend_on_the_surroundings():
         return name[at].tolist(), begin[at].tolist()
     seen = {str(middle(rng.integers(0, 4, k), rng.integers(0, 4, 29 - k))) for k in range(30)}
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("limit", [0, 400])
+def test_overfull_anchors_are_split_by_window(make_docs, corpus, words, monkeypatch, limit):
+    """No task compares more of one anchor than the limit; the windows that are split off give the same spans."""
+    monkeypatch.setattr(repeats, "FULL_UNITS", limit)
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = corpus + [(1000 + i, f"a{i} b{i} " * 9 + passage + f" c{i} d{i}" * 9) for i in range(40)]
+    if not limit:  # every anchor is over-full, so a comparison would be of a whole anchor
+        for op in (run_index, recompression):
+            monkeypatch.setattr(op.Method, "compare", staticmethod(lambda *a: 1 / 0))
+    got = [tuple(r)[:5] for r in run_index.dedup(make_docs(rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_bytes(rows), key=repr)
+    got = [tuple(r)[:4] for r in recompression.dedup(make_docs(rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_words(rows, words), key=repr)
