@@ -1,7 +1,5 @@
 """Reading sample, group and spelling out of free-form file names."""
 
-import unicodedata
-
 from pyspark.sql import Column, functions as F
 
 # Known words and the folder each one stands for.
@@ -30,18 +28,11 @@ _FROM = "".join(_PLAIN.values())
 _TO = "".join(k * len(v) for k, v in _PLAIN.items())
 
 
-# Letter and separate mark of the composed letters of European Latin alphabets (U+00C0 to U+017F).
-_COMPOSED = [("".join(chr(int(x, 16)) for x in unicodedata.decomposition(chr(c)).split()), chr(c))
-             for c in range(0xC0, 0x180)
-             if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))
-             and unicodedata.normalize("NFC", chr(c)) == chr(c)]
-
-
 def composed(s: Column) -> Column:
-    """Letters with separate marks, as some systems write file names, as single letters."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("apart"), F.lit(b).alias("one")) for a, b in _COMPOSED if len(a) == 2])
-    return F.when(s.rlike("[\\u0300-\\u036f]"), F.aggregate(
-        pairs, s, lambda acc, p: F.replace(acc, p["apart"], p["one"]))).otherwise(s)
+    """Letters with separate marks, as some systems write file names, as single letters: NFC of any script, by the ICU
+    library that Spark brings."""
+    return F.when(s.rlike("[^\\x00-\\x7f]"), F.reflect(
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), s, F.lit(False))).otherwise(s)
 
 
 def fold(s: Column) -> Column:

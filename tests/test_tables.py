@@ -1,6 +1,7 @@
 """Scales, names, library, regions, sources, streaming and plan shapes."""
 
 import json
+import unicodedata
 
 import numpy as np
 import pytest
@@ -218,3 +219,15 @@ def test_no_products_or_python(spark, name):
 
 def test_retention_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in _plan(plans.queries()["a05_run_history"](spark, SF))
+
+
+def test_names_are_composed_in_full(spark):
+    """Every letter that has a composed form, and names with Romanian, Vietnamese and Cyrillic letters."""
+    letters = [unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x30000) if unicodedata.decomposition(chr(c))]
+    letters += [unicodedata.normalize("NFD", x) for x in ("\uac01", "e\u0302\u0323", "plain")]
+    got = spark.createDataFrame([(x,) for x in letters], "s string").select("s", N.composed(F.col("s")).alias("c")).collect()
+    assert all(r.c == unicodedata.normalize("NFC", r.s) for r in got)
+    stems = ["s\u0326t\u0326 - 05", "e\u0302\u0301 - 3 | 04", "a\u030cb 7", "\u0438\u0306 - 12"]
+    rows = spark.createDataFrame([(x,) for x in stems], "s string").select(
+        N.sample_prefix(F.col("s")), N.sample_number(F.col("s"))).collect()
+    assert [tuple(r) for r in rows] == [("\u0219\u021b", "05"), ("\u1ebf", "03"), ("\u01ceb", "07"), ("\u0439", "12")]
