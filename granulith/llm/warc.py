@@ -95,7 +95,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = flat.in_small_batches(pages).sparkSession
     folder = folder or scratch_path(spark, "warc")
-    rows = pages.select("page_id", "url", "html").join(roles(pages).select("page_id", "refers_to"), "page_id", "left")
+    # rows of one id may hold different payloads, each with a role of its own
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"))
+    rows = rows.join(roles(pages), ["page_id", "digest"], "left")
 
     def close(records, count):
         filesystem, path = _filesystem(folder)

@@ -159,6 +159,16 @@ def test_archives_round_trip(pages):
     assert warc.read(warc.write(pages.limit(0))).collect() == []
 
 
+def test_a_page_fetched_twice_keeps_both_payloads(spark):
+    long, other, lone = "a" * 2000, "b" * 1500, "c" * 1200
+    rows = [(1, long), (2, long), (1, other), (3, other), (1, "short"), (1, lone)]
+    got = warc.read(warc.write(spark.createDataFrame([(i, "u", x) for i, x in rows], "page_id long, url string, html string"))).collect()
+    want = [(1, "revisit", 2, None), (2, "response", None, long), (1, "revisit", 3, None), (3, "response", None, other),
+            (1, "response", None, "short"), (1, "response", None, lone)]
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload).decode()) for r in got), key=repr) == sorted(want, key=repr)
+
+
+
 def test_records_are_frames_of_their_own():
     import io
 
