@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import (context_tree, line_chunks, prefix_viterbi, recompression, rule_ledger, run_index, superminhash, toxicity, warc,
-                            wu_manber)
+from granulith.llm import (context_tree, importance, line_chunks, prefix_viterbi, recompression, rule_ledger, run_index, superminhash,
+                            toxicity, warc, wu_manber)
 
 QUERIES = {}
 ORACLES = {}
@@ -185,3 +185,34 @@ def op10_recompression(spark, sf_dir: str) -> DataFrame:
 def op1_context_tree(spark, sf_dir: str) -> DataFrame:
     """Base and context-tree scores of every document."""
     return context_tree.score(table(spark, sf_dir, "documents"))
+
+
+@register(oracle=r"""
+with recursive bits as (select i, i as c, 0 as k from range(256) t(i)
+  union all select i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 from bits where k < 8),
+ tab as (select list(c order by i) as t from bits where k = 8),
+ d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+ b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+ df as (select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d),
+ bf as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b),
+ u as (select f, hex(encode(f)) as x from (select f from df union select f from bf)),
+ k as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+   lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 as bucket from u, tab),
+ dk as (select r, bucket from df join k using (f)),
+ s as (select bucket, count(*) as s from dk group by bucket),
+ t as (select bucket, count(*) as t from bf join k using (f) group by bucket),
+ n as (select (select count(*) from df) as ns, (select count(*) from bf) as nt),
+ g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ns + 10000)::double / ((s + 1)::double * (nt + 10000)::double)))::bigint as gain
+   from s left join t using (bucket), n),
+ wt as (select r, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from dk join g using (bucket) group by r),
+ sc as (select r, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0)
+   + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id::varchar), 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+   from d left join wt using (r)),
+ ok as (select r, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from sc where n_words >= 20)
+select doc_id, n_features::bigint as n_features, weight, score, case when rank <= 25 * n // 100 then rank end as rank
+from sc left join ok using (r)""")
+def op13_importance(spark, sf_dir: str) -> DataFrame:
+    """Draw of a quarter of the documents, towards the benchmark's word runs."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
