@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import (context_tree, importance, line_chunks, prefix_viterbi, recompression, rule_ledger, run_index, superminhash,
-                            toxicity, warc, wu_manber)
+from granulith.llm import (context_tree, importance, line_chunks, packing, prefix_viterbi, recompression, rule_ledger,
+                            run_index, superminhash, toxicity, warc, wu_manber)
 
 QUERIES = {}
 ORACLES = {}
@@ -216,3 +216,14 @@ from sc left join ok using (r)""")
 def op13_importance(spark, sf_dir: str) -> DataFrame:
     """Draw of a quarter of the documents, towards the benchmark's word runs."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+@register()
+def op11_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of every document in windows of four lengths."""
+    import public_tokenizers
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
