@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.llm import (context_tree, importance, line_chunks, packing, prefix_viterbi, recompression, rule_ledger,
+from granulith.llm import (context_tree, hard_negatives, importance, line_chunks, packing, prefix_viterbi, recompression, rule_ledger,
                             run_index, superminhash, toxicity, warc, wu_manber)
 
 QUERIES = {}
@@ -227,3 +227,23 @@ def op11_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+@register(oracle="""
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+   list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ a as (select vec_id as anchor_id, label as l, q as aq from r where vec_id % 100 = 0),
+ s as (select anchor_id, vec_id, label = l as same, list_dot_product(aq, q)::bigint as score from a, r where anchor_id <> vec_id),
+ pn as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same),
+ p as (select anchor_id, vec_id as positive_id, score as positive_score from pn where place <= 5),
+ n as (select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+   row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10""")
+def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth vector; every seventh label is off by one."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
