@@ -109,6 +109,9 @@ union all select image_id, 'all' as selection_id from images
 class Workbench:
     """Lazily built tables over one scale-factor directory."""
 
+    #: Columns of `lineitem` that the raw particles keep.
+    carried: tuple[str, ...] = ()
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = str(sf_dir).rstrip("/")
@@ -129,11 +132,12 @@ class Workbench:
     def mapped(self) -> DataFrame:
         """Particles with the mapping's own columns, before any floor."""
         source = self.table("lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag")
-        raw = self._sql(RAW_PARTICLES_SQL, lineitem=source)
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag", *self.carried)
+        more = "".join(f", {c}" for c in self.carried)
+        raw = self._sql(RAW_PARTICLES_SQL.replace("\nfrom lineitem", f"{more}\nfrom lineitem"), lineitem=source)
         looked_up = self.images.select("image_id", "nm_per_px", "detector", "structure", "pipeline")
         joined = join_lookup(raw, looked_up, ["image_id"])
-        return self.spark.sql(f"select {PARTICLE_COLUMNS_SQL} from {{r}} r", r=joined)
+        return self.spark.sql(f"select {PARTICLE_COLUMNS_SQL}{more} from {{r}} r", r=joined)
 
     @cached_property
     def particles(self) -> DataFrame:

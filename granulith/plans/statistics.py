@@ -24,7 +24,8 @@ def rounded(df, digits=6, fine=("d10", "d50", "d90", "median_nm"), single=()):
 
 
 _M = "case when measured then diam_nm end"
-IMAGE_STATS = """select {key}, count(*) as count_total, count(case when measured then 1 end) as count_measured,
+#: Statistics that merge, per {key} of {src}; the median goes with them in IMAGE_STATS.
+IMAGE_SUMS = """select {key}, count(*) as count_total, count(case when measured then 1 end) as count_measured,
  bool_or(classifiable) as classifiable,
  case when bool_or(classifiable) then count(case when classifiable and is_solid then 1 end) end as n_solid,
  case when bool_or(classifiable) then count(case when classifiable and not is_solid and not excluded then 1 end) end as n_flat,
@@ -32,8 +33,8 @@ IMAGE_STATS = """select {key}, count(*) as count_total, count(case when measured
  count(case when is_solid and pattern='janus' then 1 end) as n_janus, count(case when is_solid and pattern='stripe' then 1 end) as n_stripe,
  count(case when is_solid and pattern='lamellar' then 1 end) as n_lamellar, count(case when is_solid and pattern='composite' then 1 end) as n_composite,
  cast(cast(coalesce(avg({m}),0e0) as float) as double) as mean_nm, round(coalesce(stddev_pop({m}),0e0),6) as std_nm,
- round(coalesce(min({m}),0e0),6) as min_nm, round(coalesce(max({m}),0e0),6) as max_nm,
- round(coalesce(quantile_cont({m}, 0.5),0e0),8) as median_nm from {src} group by {key}"""
+ round(coalesce(min({m}),0e0),6) as min_nm, round(coalesce(max({m}),0e0),6) as max_nm{more} from {src} group by {key}"""
+IMAGE_STATS = IMAGE_SUMS.replace("{more}", ", round(coalesce(quantile_cont({m}, 0.5),0e0),8) as median_nm")
 E1 = IMAGE_STATS.format(key="image_id", m=_M, src="decided")
 E2 = IMAGE_STATS.format(key="selection_id", m=_M, src="selected")
 

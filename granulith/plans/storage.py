@@ -7,7 +7,7 @@ from granulith.operators import labels as L
 from granulith.plans.filing import LIB_SQL, shelf
 from granulith.plans.registry import query
 from granulith.plans.scales import RAW, readings
-from granulith.plans.statistics import rounded
+from granulith.plans.statistics import _M, IMAGE_SUMS, rounded
 from granulith.session import scratch_path
 from granulith.sources import image_files, label_files, library_files, scale_cache, session_tables
 from granulith.streaming import ingest
@@ -123,27 +123,33 @@ def _(w):
         F.count("*").alias("n"), F.count_if(F.col("class") == "exclude").alias("n_excluded"))
 
 
-@query("j01_incremental_ingest", """, ov as (select image_id, count(*) as n_overrides from overrides where image_id%4<>0 group by image_id)
- select d.*, coalesce(n_overrides, 0) as n_overrides from (select image_id, count(*) as count_total, count(case when measured then 1 end) as count_measured,
- cast(cast(avg(case when measured then diam_nm end) as float) as double) as mean_nm from decided group by image_id) d left join ov on ov.image_id=d.image_id""")
+@query("j01_incremental_ingest", ", ov as (select image_id, count(*) as n_overrides from overrides where image_id%4<>0 group by image_id), st as ("
+       + IMAGE_SUMS.format(key="image_id", m=_M, src="decided", more="") + """)
+ select st.*, case when image_id%4=0 then 1 else 0 end as delivery, count_total as n_stored, coalesce(n_overrides, 0) as n_overrides
+ from st left join ov using (image_id)""")
 def _(w):
-    """One stream over an inbox: the whole table first, then corrections, then a part of the photos again."""
+    """Two streams over an inbox: the whole table first, then corrections, then a part of the photos again, cut differently.
+
+    The statistics are what the stateful stream wrote, after a restart from its checkpoint.
+    """
     from granulith.fixtures import Workbench
-    inbox, table, marks = (scratch_path(w.spark, n) for n in ("inbox", "ingested", "marks"))
+    inbox, table, totals, edits, marks, more_marks = (scratch_path(w.spark, n) for n in ("inbox", "ingested", "totals", "edits", "marks", "marks"))
     source = w.table("lineitem")
 
     def prepare(batch):
         bench = Workbench(batch.sparkSession, w.sf_dir)
+        bench.carried = ("delivery",)
         bench.table = lambda name, own=bench.table: batch if name == "lineitem" else own(name)
         return ingest.decide(bench.particles)
 
-    edits = scratch_path(w.spark, "edits")
-    for delivery in (source, source.where("l_suppkey % 4 = 0")):
-        delivery.write.mode("append").parquet(inbox)
-        if delivery is not source:
-            w.overrides.write.parquet(f"{edits}/batch_id=0")
-        ingest.start(w.spark, source.schema, inbox, table, marks, prepare, None if delivery is source else edits).awaitTermination()
-    stats = ingest.running_stats(ingest.latest(w.spark, table))
-    left = ingest.current_overrides(w.spark, edits).groupBy("image_id").agg(F.count("*").alias("n_overrides"))
-    out = stats.join(left, "image_id", "left").withColumn("n_overrides", F.coalesce("n_overrides", F.lit(0)))
-    return rounded(out.select("image_id", "count_total", "count_measured", "mean_nm", "n_overrides"), single=["mean_nm"])
+    for number, delivery in enumerate((source, source.where("l_suppkey % 4 = 0").repartition(3, "l_orderkey"))):
+        delivery.write.parquet(f"{inbox}/delivery={number}")
+        if number:
+            ingest.save_overrides(w.overrides, table, edits)
+        # a delivery of several files comes in several batches
+        ingest.start(w.spark, source.schema, inbox, table, marks, prepare, files_per_batch=2).awaitTermination()
+        ingest.run_stats(w.spark, source.schema, inbox, totals, more_marks, prepare, files_per_batch=2).awaitTermination()
+    stored = ingest.latest(w.spark, table).groupBy("image_id").agg(F.count("*").alias("n_stored"))
+    left = ingest.current_overrides(w.spark, table, edits).groupBy("image_id").agg(F.count("*").alias("n_overrides"))
+    out = ingest.stats_now(w.spark, totals).join(stored, "image_id", "left").join(left, "image_id", "left")
+    return rounded(out.withColumn("n_overrides", F.coalesce("n_overrides", F.lit(0))), single=["mean_nm"])

@@ -1,96 +1,156 @@
 """Incremental ingest of newly analysed photos with Structured Streaming.
 
-Each micro-batch decides its particles and replaces the photos it delivers in the image buckets it touches.
+Photos arrive as particle files in folders `delivery=N`; a photo that comes again in a later delivery replaces what was
+there. Two streams read the same inbox, each with its own checkpoint: `start` stores the decided particles, `run_stats`
+keeps each photo's size statistics in a state store.
 """
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granulith import constants as K, schema as S
 from granulith.functions import gates
-from granulith.operators.overlay import after_reanalysis
 from granulith.session import write_and_read
-
-#: Parts of a stored table; a delivery rewrites those its photos fall into.
-BUCKETS = 64
+from granulith.streaming import parts
 
 
 def decide(particles: DataFrame) -> DataFrame:
-    """Floors, classifiability, classes and the measured flag of raw particle rows."""
-    counted = particles.where(gates.count_floor()).withColumn("classifiable", gates.classifiable())
-    return gates.reclassify(counted).withColumn("measured", gates.measurable())
+    """`counted` (the count floors), classifiability, classes and the measured flag of raw particle rows."""
+    known = particles.withColumns({"counted": F.coalesce(gates.count_floor(), F.lit(False)), "classifiable": gates.classifiable()})
+    return gates.reclassify(known).withColumn("measured", gates.measurable())
 
 
-def _newest(spark: SparkSession, path: str, before: int | None, keys: list[str]) -> tuple[DataFrame | None, list]:
-    """A stored table, and its newest version per partition of `keys`: rows of few numbers, from the folder names."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
-        return None, []
-    known = rows if before is None else rows.where(F.col("batch_id") < before)
-    return rows, known.groupBy(*keys).agg(F.max("batch_id").alias("batch_id")).collect()
+def _inbox(spark: SparkSession, schema: T.StructType, source: str, files_per_batch: int, options: dict) -> DataFrame:
+    reader = spark.readStream.schema(T.StructType(list(schema.fields)).add("delivery", "long")).option("maxFilesPerTrigger", files_per_batch)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader.parquet(source)
 
 
-def _versions(rows: DataFrame, newest: list) -> DataFrame:
-    """Rows of the given partitions; the condition is on partition columns, so other files are not opened."""
-    keep = F.lit(False)
-    for r in newest:
-        one = F.lit(True)
-        for k, v in r.asDict().items():
-            one = one & (F.col(k) == v)
-        keep = keep | one
-    return rows.where(keep)
+def _run(stream: DataFrame, write, checkpoint: str, mode: str) -> StreamingQuery:
+    return (stream.writeStream.foreachBatch(write).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def start(spark: SparkSession, schema: T.StructType, source: str, table: str, checkpoint: str,
-          prepare=decide, overrides: str | None = None, files_per_batch: int = 1000, **options: str) -> StreamingQuery:
-    """Run over everything new under `source`, then stop; call again for the next round.
+          prepare=decide, files_per_batch: int = 1000, fold_every: int = parts.FOLD_EVERY, **options: str) -> StreamingQuery:
+    """Store everything new under `source`, then stop; call again for the next round.
 
-    A batch rewrites only the image buckets it touches, as a new version beside the one before, with the delivered
-    photos replaced; so every bucket holds each photo once and a read never sees old deliveries. The corrections under
-    `overrides` lose the delivered photos in the same batch. Batch numbers order the versions, so one table belongs to
-    one checkpoint; a replayed batch reads the versions before it and overwrites only its own.
+    `prepare` decides raw rows and keeps `delivery`. A batch writes its own particles and one index row for each photo, see
+    `parts`; photos left without a counted particle are emptied too. Batch numbers name the parts, so one table belongs to
+    one checkpoint.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    for name, value in options.items():
-        reader = reader.option(name, value)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("int")
-        new = write_and_read(prepare(batch).withColumn("bucket", bucket), "delivery")
-        images = new.select("image_id", "bucket").distinct()
-        touched = {r.bucket for r in images.select("bucket").distinct().collect()}
-        stored, newest = _newest(session, table, batch_id, ["bucket"])
-        newest = [r for r in newest if r.bucket in touched]
-        if newest:
-            old = _versions(stored, newest).drop("batch_id").join(images, ["image_id", "bucket"], "left_anti")
-            new = old.unionByName(new, allowMissingColumns=True)
-        (new.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(table))
-        if overrides is not None:
-            left = after_reanalysis(current_overrides(session, overrides, batch_id), images)
-            left.write.mode("overwrite").parquet(f"{overrides}/batch_id={batch_id}")
-
-    return (reader.parquet(source).writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        decided = prepare(batch).withColumnRenamed("delivery", "version")
+        parts.put(decided.where("counted").drop("counted"), decided, table, batch_id, fold_every)
+
+    return _run(_inbox(spark, schema, source, files_per_batch, options), write, checkpoint, "append")
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest delivery of every photo: the newest version of every bucket."""
-    rows, newest = _newest(spark, table, None, ["bucket"])
-    return _versions(rows, newest)
+    """The newest delivery of every photo; no rows if nothing is stored."""
+    rows = parts.current(spark, table)
+    return spark.createDataFrame([], S.PARTICLES + ", version long") if rows is None else rows
 
 
-def current_overrides(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Corrections in force: the newest version stored, or the newest before a batch."""
-    rows, newest = _newest(spark, path, before, [])
-    return _versions(rows, [r for r in newest if r.batch_id is not None]).drop("batch_id")
+# --- corrections ---------------------------------------------------------------------
+def save_overrides(overrides: DataFrame, table: str, path: str) -> None:
+    """Append corrections, each with the delivery of its photo that it was made on (-1: not stored yet)."""
+    now = parts.newest(overrides.sparkSession, table)
+    (overrides.join(now, "image_id", "left").withColumn("version", F.coalesce("version", F.lit(-1)))
+     .write.mode("append").parquet(path))
+
+
+def current_overrides(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """Corrections in force. A newer delivery of a photo voids those made before it: its particle ids mean something else.
+
+    Nothing is rewritten for that; the index of deliveries decides. Without a store of corrections there are none.
+    """
+    stored = parts._read(spark, path)
+    if stored is None:
+        return spark.createDataFrame([], S.OVERRIDES)
+    now = parts.newest(spark, table).withColumnRenamed("version", "_now")
+    return (stored.join(now, "image_id", "left").where(F.col("version") == F.coalesce("_now", F.lit(-1))).drop("version", "_now"))
+
+
+# --- running statistics ---------------------------------------------------------------
+_COUNTS = ["count_total", "count_measured", "n_solid", "n_flat", "n_excluded", *[f"n_{p}" for p in K.PATTERNS]]
+_SIZES = ["mean_nm", "m2", "min_nm", "max_nm"]
+_STATE = ("delivery long, classifiable boolean, has_patterns boolean, " + ", ".join(f"{c} long" for c in _COUNTS)
+          + ", " + ", ".join(f"{c} double" for c in _SIZES))
+_FIELDS = [f.split()[0] for f in _STATE.split(", ")]
+STATS = ("image_id long, delivery long, classifiable boolean, has_patterns boolean, " + ", ".join(f"{c} long" for c in _COUNTS)
+         + ", mean_nm double, std_nm double, min_nm double, max_nm double")
+
+
+def _add(s: dict, rows: pd.DataFrame) -> None:
+    """Merge rows of one photo into its state; means and squared deviations merge without cancellation."""
+    flat = rows.classifiable & ~rows.is_solid & ~rows.excluded & ~rows.unclassified
+    s["count_total"] += len(rows)
+    s["n_solid"] += int((rows.classifiable & rows.is_solid).sum())
+    s["n_flat"] += int(flat.sum())
+    s["n_excluded"] += int(rows.excluded.sum())
+    s["classifiable"] |= bool(rows.classifiable.any())
+    s["has_patterns"] |= bool((rows.classifiable & rows.has_probs).any())
+    for p in K.PATTERNS:
+        s[f"n_{p}"] += int((rows.is_solid & (rows.pattern == p)).sum())
+    sizes = rows.diam_nm[rows.measured].dropna()
+    if len(sizes):
+        held, n = s["count_measured"], s["count_measured"] + len(sizes)
+        mean = float(sizes.mean())
+        apart = mean - s["mean_nm"]
+        s["m2"] += float(((sizes - mean) ** 2).sum()) + apart * apart * held * len(sizes) / n
+        s["mean_nm"] += apart * len(sizes) / n
+        s["min_nm"] = min(s["min_nm"], float(sizes.min())) if held else float(sizes.min())
+        s["max_nm"] = max(s["max_nm"], float(sizes.max()))
+    s["count_measured"] += int(rows.measured.sum())
+
+
+def _update(key, frames, state: GroupState):
+    """State of a photo after a batch: a newer delivery starts anew, the same one adds, an older one is left out."""
+    s = dict(zip(_FIELDS, state.get)) if state.exists else None
+    for rows in frames:
+        newest = int(rows.delivery.max())
+        if s is None or newest > s["delivery"]:
+            s = dict.fromkeys(_FIELDS, 0) | dict.fromkeys(_SIZES, 0.0) | {"delivery": newest, "classifiable": False, "has_patterns": False}
+        rows = rows[(rows.delivery == s["delivery"]) & rows.counted]
+        if len(rows):
+            _add(s, rows)
+    state.update(tuple(s[f] for f in _FIELDS))
+    n = s["count_measured"]
+    out = {"image_id": key[0], **s, "std_nm": (s["m2"] / n) ** 0.5 if n else 0.0}
+    if not s["classifiable"]:
+        out |= {"n_solid": None, "n_flat": None}
+    yield pd.DataFrame([[out[f.split()[0]] for f in STATS.split(", ")]], columns=[f.split()[0] for f in STATS.split(", ")], dtype=object)
+
+
+def running_stats(decided: DataFrame) -> DataFrame:
+    """Size and class statistics of each photo of a streaming frame of decided rows, kept in the state store.
+
+    A photo's row comes again whenever a batch brings it (update mode). The order statistics are not among them: they
+    can't be kept in bounded state. Photos of any size pass in pieces of an Arrow batch.
+    """
+    flags = ["counted", "measured", "classifiable", "is_solid", "excluded", "unclassified"]
+    rows = decided.select("image_id", "delivery", "diam_nm", F.coalesce("pattern", F.lit("")).alias("pattern"),
+                          F.coalesce(gates.has_probs(), F.lit(False)).alias("has_probs"), *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])
+    return rows.groupBy("image_id").applyInPandasWithState(_update, STATS, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_stats(spark: SparkSession, schema: T.StructType, source: str, table: str, checkpoint: str,
+              prepare=decide, files_per_batch: int = 1000, fold_every: int = parts.FOLD_EVERY, **options: str) -> StreamingQuery:
+    """Bring the statistics of every photo under `source` up to date in `table`, then stop; a later call goes on from the
+    checkpoint's state. A batch writes the photos it changes."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # written once: each action on the batch would run the stateful step again
+        rows = write_and_read(batch.withColumn("version", F.lit(batch_id).cast("long")), "stats")
+        parts.put(rows, rows, table, batch_id, fold_every)
+
+    return _run(running_stats(prepare(_inbox(spark, schema, source, files_per_batch, options))), write, checkpoint, "update")
 
 
-def running_stats(stream: DataFrame) -> DataFrame:
-    """Per-photo running statistics for a streaming frame of decided particles (update mode)."""
-    d = F.when(F.col("measured"), F.col("diam_nm"))
-    return stream.groupBy("image_id").agg(
-        F.count("*").alias("count_total"), F.count_if("measured").alias("count_measured"),
-        F.avg(d).alias("mean_nm"), F.min(d).alias("min_nm"), F.max(d).alias("max_nm"))
+def stats_now(spark: SparkSession, table: str) -> DataFrame:
+    """The newest statistics of every photo; no rows if there are none."""
+    rows = parts.current(spark, table)
+    return spark.createDataFrame([], STATS) if rows is None else rows.drop("version")

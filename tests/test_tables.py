@@ -1,6 +1,8 @@
 """Scales, names, library, regions, sources, streaming and plan shapes."""
 
 import json
+import pathlib
+import random
 import unicodedata
 
 import numpy as np
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 
 from granulith import constants as K, plans
 from granulith.functions import naming as N
-from granulith.operators import curve, library, naming, regions, scale
+from granulith.operators import curve, library, naming, regions, scale, stats
 from granulith.sources import history, image_files, label_files, library_files, session_tables
-from granulith.streaming import ingest
+from granulith.streaming import ingest, parts
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,26 +180,105 @@ def test_history_and_guard(spark, tmp_path):
     assert got == {(9, "in force", 8), (2, "snapshot", 60), (5, "snapshot", 30), (6, "snapshot", 20), (7, "snapshot", 10), (8, "snapshot", 9)}
 
 
+def _size(folder):
+    return sum(f.stat().st_size for f in pathlib.Path(folder).rglob("*.parquet"))
+
+
+def _deliver(spark, rows, inbox, number, *runs):
+    rows.write.mode("append").parquet(f"{inbox}/delivery={number}")
+    for run in runs:
+        run().awaitTermination()
+
+
 def test_redelivery_replaces(spark, tmp_path, make):
-    inbox, table, marks = (str(tmp_path / n) for n in ("inbox", "table", "marks"))
+    inbox, table, marks, edits = (str(tmp_path / n) for n in ("inbox", "table", "marks", "edits"))
     first = make([{"image_id": i % 2, "diam_nm": 400.0 + i} for i in range(10)])
     second = make([{"image_id": 1, "particle_id": 100, "diam_nm": 300.0}])
-    for part in (first, second):
-        part.write.mode("append").parquet(inbox)
-        ingest.start(spark, first.schema, inbox, table, marks).awaitTermination()
-    ingest.start(spark, first.schema, inbox, table, marks).awaitTermination()       # nothing new
-    got = {r.image_id: r.count_total for r in ingest.running_stats(ingest.latest(spark, table)).collect()}
-    assert got == {0: 5, 1: 1}
-    # the second delivery rewrote the one bucket it touches
-    versions = spark.read.parquet(table).select("bucket", "batch_id").distinct().collect()
-    assert len(versions) == 3 and len({r.bucket for r in versions}) == 2
-    # corrections of a delivered photo go in the same batch, and only those
-    edits = str(tmp_path / "edits")
-    spark.createDataFrame([(0, 1, "class", "janus"), (1, 1, "class", "janus")],
-                          "image_id long, particle_id long, kind string, value string").write.parquet(f"{edits}/batch_id=1")
-    second.write.mode("append").parquet(inbox)
-    ingest.start(spark, first.schema, inbox, table, marks, overrides=edits).awaitTermination()
-    assert [r.image_id for r in ingest.current_overrides(spark, edits).collect()] == [0]
+    run = lambda: ingest.start(spark, first.schema, inbox, table, marks)
+    assert ingest.latest(spark, table).count() == ingest.current_overrides(spark, table, edits).count() == 0     # nothing is stored yet
+    _deliver(spark, first, inbox, 0, run)
+    made = spark.createDataFrame([(0, 1, "class", "janus"), (1, 1, "class", "janus"), (7, 1, "class", "solid")],
+                                 "image_id long, particle_id long, kind string, value string")
+    ingest.save_overrides(made, table, edits)
+    _deliver(spark, second, inbox, 1, run, run)                    # the second run finds nothing new
+    assert {r[0]: r[1] for r in ingest.latest(spark, table).groupBy("image_id").count().collect()} == {0: 5, 1: 1}
+    # corrections of a delivered photo are void, and only those
+    assert {r.image_id for r in ingest.current_overrides(spark, table, edits).collect()} == {0, 7}
+    ingest.save_overrides(made.where("image_id = 1"), table, edits)
+    assert {r.image_id for r in ingest.current_overrides(spark, table, edits).collect()} == {0, 1, 7}
+    # the first delivery arrives late once more: it changes nothing for photo 1 and adds to photo 0
+    _deliver(spark, first, inbox, 0, run)
+    assert {r[0]: r[1] for r in ingest.latest(spark, table).groupBy("image_id").count().collect()} == {0: 10, 1: 1}
+    # a delivery without a countable particle empties the photo
+    _deliver(spark, make([{"image_id": 0, "diam_px": 1.0}]), inbox, 2, run)
+    assert {r.image_id for r in ingest.latest(spark, table).collect()} == {1}
+
+
+def test_first_delivery_without_particles(spark, tmp_path, make):
+    inbox, table, marks = (str(tmp_path / n) for n in ("inbox", "table", "marks"))
+    rows = make([{"image_id": 3, "diam_px": 1.0}])
+    _deliver(spark, rows, inbox, 0, lambda: ingest.start(spark, rows.schema, inbox, table, marks))
+    assert ingest.latest(spark, table).count() == 0
+
+
+def test_bytes_follow_the_delivery(spark, tmp_path, make):
+    inbox, table, marks = (str(tmp_path / n) for n in ("inbox", "table", "marks"))
+    photos = make([{"image_id": i % 400, "particle_id": i, "diam_nm": 400.0 + i % 977} for i in range(40_000)])
+    run = lambda: ingest.start(spark, photos.schema, inbox, table, marks)
+    _deliver(spark, photos, inbox, 0, run)
+    _deliver(spark, photos.where("image_id < 4"), inbox, 1, run)
+    whole, little = (_size(f"{table}/rows/batch_id={n}") + _size(f"{table}/index/batch_id={n}") for n in (0, 1))
+    assert little < whole / 10
+    assert ingest.latest(spark, table).count() == 40_000
+
+
+def test_parts_fold(spark, tmp_path):
+    """Mostly superseded parts are taken over and deleted; a replayed batch writes the same again."""
+    r = random.Random(4)
+    root, truth = str(tmp_path / "store"), {}
+    for batch in range(24):
+        images = r.sample(range(30), 12 if batch % 5 else 30)
+        version = {i: batch - r.choice([0, 0, 3]) for i in images}
+        rows = spark.createDataFrame([(i, version[i], batch * 100 + k) for i in images for k in range(i % 4)] or [], "image_id long, version long, x long")
+        brought = spark.createDataFrame(list(version.items()), "image_id long, version long")
+        for _ in range(1 + (batch in (11, 12))):
+            parts.put(rows, brought, root, batch, fold_every=4)
+        for i in images:
+            was, held = truth.get(i, (-9, []))
+            if version[i] >= was:
+                truth[i] = version[i], (held if version[i] == was else []) + [batch * 100 + k for k in range(i % 4)]
+        got = sorted((x.image_id, x.version, x.x) for x in parts.current(spark, root).collect())
+        assert got == sorted((i, v, x) for i, (v, xs) in truth.items() for x in xs)
+    assert {x.image_id: x.version for x in parts.newest(spark, root).collect()} == {i: v for i, (v, _) in truth.items()}
+    assert len(list(pathlib.Path(root, "rows").iterdir())) < 14
+
+
+def test_running_stats(spark, tmp_path, make):
+    """The stream's state against one pass over what each photo's newest delivery holds, with deliveries cut into batches."""
+    r = random.Random(8)
+    inbox, table, marks = (str(tmp_path / n) for n in ("inbox", "table", "marks"))
+    kinds = ["CBS", "ETD", ""]
+    rows = lambda images, n: [{"image_id": i, "particle_id": k, "diam_nm": r.uniform(100, 2000), "diam_px": r.choice([2.0, 30.0]), "bright": r.uniform(-50, 0),
+                               "facet_frac": r.random(), "detector": kinds[i % 3], "pattern_probs": r.choice([[], [.9, .05, .03, .02]])}
+                              for i in images for k in range(n)]
+    schema, newest = None, {}
+    for number, images in enumerate([range(8), [1, 2, 3], [3, 4], [5]]):
+        delivery = rows(images, 1 if images == [5] else 40)
+        if images == [5]:
+            delivery[0]["diam_px"] = 1.0                           # nothing countable is left of photo 5
+        newest |= {i: [x for x in delivery if x["image_id"] == i] for i in images}
+        df = make(delivery).repartition(3)
+        schema = df.schema
+        _deliver(spark, df, inbox, number, lambda: ingest.run_stats(spark, schema, inbox, table, marks, files_per_batch=1, fold_every=3))
+    want = {x.image_id: x for x in stats.image_stats(ingest.decide(make([x for xs in newest.values() for x in xs])).where("counted"), ["image_id"]).collect()}
+    got = {x.image_id: x for x in ingest.stats_now(spark, table).collect()}
+    assert set(got) == set(range(8)) and got[5].count_total == 0 and got[5].std_nm == 0.0 and 5 not in want
+    for i, w in want.items():
+        for c in ("count_total", "count_measured", "classifiable", "n_solid", "n_flat", "n_excluded", "has_patterns", "n_janus", "n_composite"):
+            assert got[i][c] == w[c], (i, c)
+        for c in ("mean_nm", "std_nm", "min_nm", "max_nm"):
+            assert got[i][c] == pytest.approx(w[c], rel=1e-9)
+    assert got[3].delivery == 2 and got[1].delivery == 1 and got[0].delivery == 0
 
 
 # --- plans ---------------------------------------------------------------------------
