@@ -10,6 +10,7 @@ closes the last ones with windows of shrinking powers of two. No window is padde
 """
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +28,69 @@ STEP_TOKENS = 1 << 16
 BLOCK_BYTES = 4 << 20
 #: Tasks or groups whose leftovers meet in one group.
 FAN = 16
-#: Distinct words and ids a task keeps from block to block.
-KEPT_WORDS, KEPT_IDS = 1 << 17, 1 << 21
+#: Distinct units and ids a task keeps from block to block before it starts anew.
+KEPT_UNITS, KEPT_IDS = 1 << 20, 1 << 23
 EMITTED = 1024
 
 
 class Words:
-    """Ids of texts by a tokenizer whose tokens never cross white space, so each distinct word is tokenised once."""
+    """Ids of texts by a tokenizer whose tokens never cross ASCII white space.
+
+    A word is a unit of its own; one of plain ASCII, without an apostrophe or "<", is cut further where letters meet other
+    characters and its letters are lowered, as the tokenizer does itself. Each distinct unit is tokenised once a task.
+    """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"           # the task has one core
         self.tokenizer = Tokenizer.from_str(model)
+        self.merges = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.held = 0
+        self.kept, self.at = array("I"), array("q", [0])
+
+    def _learn(self, units: list[bytes]) -> None:
+        plain = [u for u in units if u.isalpha() and u.islower()]
+        for u in plain:
+            self._keep(u, [t.id for t in self.merges.tokenize(u.decode())])
+        rest = [u for u in units if not (u.isalpha() and u.islower())]
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo: lo + 4096]
+            for u, e in zip(some, self.tokenizer.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)):
+                self._keep(u, e.ids)
+
+    def _keep(self, unit: bytes, ids: list[int]) -> None:
+        self.code[unit] = len(self.code)
+        self.kept.extend(ids)
+        self.at.append(len(self.kept))
 
     def ids(self, block: flat.Block, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block end to end, each text's followed by `end`, and how many each text has."""
         w = flat.Words(block, flat.plain_table())
-        sizes = np.concatenate([[0], np.cumsum(w.end - w.start)])
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(sizes.astype(np.int64)),
-                                                                           pa.py_buffer(np.ascontiguousarray(block.data[w.inside]))]).dictionary_encode()
-        if len(self.code) > KEPT_WORDS or self.held > KEPT_IDS:
+        size = w.end - w.start
+        odd = np.concatenate([[0], np.cumsum((block.data >= 128) | (block.data == 39) | (block.data == 60))])
+        plain = np.repeat(odd[w.end] == odd[w.start], size)
+        chars = block.data[w.inside]
+        upper = (chars >= 65) & (chars <= 90)
+        letter = upper | (chars >= 97) & (chars <= 122)
+        chars[upper & plain] += 32
+        begin = np.concatenate([[0], np.cumsum(size)])
+        cut = np.zeros(len(chars), bool)
+        cut[1:] = plain[1:] & (letter[1:] != letter[:-1])
+        cut[begin[:-1]] = True
+        start = np.flatnonzero(cut)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [
+            None, pa.py_buffer(np.append(start, len(chars)).astype(np.int64)), pa.py_buffer(chars)]).dictionary_encode()
+        if len(self.code) > KEPT_UNITS or len(self.kept) > KEPT_IDS:
             self.forget()
-        distinct = words.dictionary.to_pylist()
-        new = [d for d in distinct if d not in self.code]
-        for lo in range(0, len(new), 4096):
-            some = new[lo: lo + 4096]
-            for d, e in zip(some, self.tokenizer.encode_batch([d.decode() for d in some], add_special_tokens=False)):
-                self.code[d] = len(self.rows)
-                self.rows.append(np.array(e.ids, np.uint32))
-                self.held += len(e.ids)
-        rows = [self.rows[self.code[d]] for d in distinct]
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        pieces = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-        ids, n = ragged(pieces, np.cumsum(lens) - lens, lens, words.indices.to_numpy().astype(np.int64))
-        ends = np.concatenate([[0], np.cumsum(n)])[w.at][1:]
+        distinct = units.dictionary.to_pylist()
+        self._learn([u for u in distinct if u not in self.code])
+        code = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))
+        at = np.array(self.at)
+        ids, n = ragged(np.array(self.kept), at[:-1], np.diff(at), code[units.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, begin[w.at])][1:]
         counts = np.diff(np.concatenate([[0], ends])) + 1
         return np.insert(ids, ends, end).astype("<u4"), counts
 
