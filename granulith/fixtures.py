@@ -170,14 +170,12 @@ class Workbench:
         return self._sql(SELECTIONS_SQL, images=self.images)
 
     @cached_property
-    def selected(self) -> DataFrame:
-        """Scaled particles, once for every selection that holds their image."""
-        memberships = self.images.select("image_id", F.array(
+    def members(self) -> DataFrame:
+        """The images of every selection."""
+        return self.images.select("image_id", F.explode(F.array(
             F.concat(F.lit("image-"), F.col("image_id").cast("string")),
             F.concat(F.lit("group-"), (F.col("image_id") % 5).cast("string")),
-            F.lit("all")).alias("ids"))
-        return (join_lookup(self.scaled, memberships, ["image_id"])
-                .withColumn("selection_id", F.explode("ids")).drop("ids"))
+            F.lit("all"))).alias("selection_id"))
 
     @cached_property
     def labels(self) -> DataFrame:

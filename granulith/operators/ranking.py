@@ -7,13 +7,16 @@ are small and combine on the map side, and only bins are ever sorted.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from granulith.operators import cells
 from granulith.session import write_and_read
 
-BINS_PER_E = 1024
+#: A coarse bin is about 1.6 % wide and holds 1024 fine ones.
+FINE_BITS = 10
+BINS_PER_E = 64 << FINE_BITS
 
 
 def value_bin(value: Column) -> Column:
-    """Order-preserving bin of a double: about 0.1 % relative width, any sign."""
+    """Order-preserving fine bin of a double, any sign."""
     scaled = F.floor(F.log1p(F.abs(value)) * BINS_PER_E)
     return F.when(value < 0, -scaled - 1).otherwise(scaled).cast("long")
 
@@ -24,52 +27,74 @@ def _before(keys: list[str], order: str, count: Column, descending: bool = False
     return F.coalesce(F.sum(count).over(w), F.lit(0))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles per key, one column per entry of `probs`.
+def drill(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], pick, members: DataFrame | None = None,
+          descending: bool = False) -> list[DataFrame]:
+    """Running sums along a value, opened only where they matter: [coarse bins, fine bins, distinct values].
 
-    Rows become counts per distinct value once, combined before the shuffle, and
-    both steps work on those: 1. running counts per (key, bin) name the bins that
-    hold the two neighbouring ranks of each percentile; 2. the values of those
-    bins are ranked. A frequent value is one row from the start.
+    The rows' value and measures (row-level numbers) are stored once. A photo's rows become sums per coarse bin, photos'
+    sums become the selection's, and `pick` keeps the bins to open; only rows of those are read again, for fine bins and
+    then for values. Each level has the keys, `low` (the smallest value), the sums, `before_*` (sums over all that comes
+    earlier in the order) and `all_*` (sums of the key). A coarse bin holds 1024 fine ones, so no window is long.
     """
-    v = (df.select(*keys, F.col(value).alias("_v"))
+    u, names = cells.unit(keys, members), list(measures)
+    v = (df.select(*u, F.col(value).cast("double").alias("_v"), *[c.alias(n) for n, c in measures.items()])
          .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
-         .withColumn("_bin", value_bin(F.col("_v"))))
-    # the join below would add these filters to its own branch, and the two branches would no longer share one shuffle
-    for c in (*keys, "_bin"):
-        v = v.where(F.col(c).isNotNull())
-    v = v.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
-    hist = v.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))
-    bins = (hist.withColumn("_before", _before(keys, "_bin", F.col("_n")))
-            .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))))
+         .withColumn("_fine", value_bin(F.col("_v"))).withColumn("_coarse", F.shiftright("_fine", FINE_BITS)))
+    v = write_and_read(v, "values")
+    sums = [F.sum(n).alias(n) for n in names]
+    held = [f"{kind}_{n}" for kind in ("before", "all") for n in names]
+
+    def running(level: DataFrame, group: list[str], bin_: str) -> list[Column]:
+        w = (Window.partitionBy(*group).orderBy(F.desc(bin_) if descending else F.asc(bin_))
+             .rowsBetween(Window.unboundedPreceding, -1))
+        return [F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names]
+
+    per = v.groupBy(*u, "_coarse").agg(*sums, F.min("_v").alias("low"))
+    if members is not None:
+        per = per.join(members, cells.PHOTO).groupBy(*keys, "_coarse").agg(*sums, F.min("low").alias("low"))
+    whole = Window.partitionBy(*keys)
+    level = per.withColumns({f"before_{n}": c for n, c in zip(names, running(per, keys, "_coarse"))}
+                            | {f"all_{n}": F.sum(n).over(whole) for n in names})
+    levels = [level]
+    for opened, bin_ in (("_coarse", "_fine"), ("_fine", "_v")):
+        chosen = pick(level).select(*keys, opened, *held)
+        if members is not None:
+            chosen = chosen.join(members, [k for k in keys if k in members.columns])
+        rows = v.join(chosen, [*u, opened])
+        group = [*keys, opened, *held]
+        level = rows.groupBy(*group, bin_).agg(*sums, *([] if bin_ == "_v" else [F.min("_v").alias("low")]))
+        level = level.withColumns({f"before_{n}": F.col(f"before_{n}") + c for n, c in zip(names, running(level, [*keys, opened], bin_))})
+        level = level.withColumnRenamed("_v", "low") if bin_ == "_v" else level
+        levels.append(level)
+    return levels
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                    members: DataFrame | None = None) -> DataFrame:
+    """Linear-interpolated percentiles per key, one column per entry of `probs`.
 
+    Running counts name the bins that hold the two neighbouring ranks of each percentile; only those are opened.
+    """
     def rank(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(p))
+        return (F.col("all_n") - 1) * F.lit(float(p))
 
     def low(p: float) -> Column:
         return F.floor(rank(p))
 
     def high(p: float) -> Column:
-        return F.least(low(p) + 1, F.col("_total") - 1)
+        return F.least(low(p) + 1, F.col("all_n") - 1)
 
     def holds(r: Column) -> Column:
-        return (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+        return (r >= F.col("before_n")) & (r < F.col("before_n") + F.col("n"))
 
     wanted = F.lit(False)
     for p in probs.values():
         wanted = wanted | holds(low(p)) | holds(high(p))
-    targets = bins.where(wanted).select(*keys, "_bin", "_before", "_total")
-    detail = (v.join(targets, keys + ["_bin"])
-              .withColumn("_start", F.col("_before") + _before(keys + ["_bin"], "_v", F.col("_c"))))
-
-    def at(r: Column) -> Column:
-        inside = (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c"))
-        return F.max(F.when(inside, F.col("_v")))
-
+    values = drill(df, keys, value, {"n": F.lit(1)}, lambda level: level.where(wanted), members)[-1]
     picks = []
     for name, p in probs.items():
-        picks += [at(low(p)).alias(f"_lo_{name}"), at(high(p)).alias(f"_hi_{name}")]
-    found = detail.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+        picks += [F.max(F.when(holds(r), F.col("low"))).alias(f"_{end}_{name}") for end, r in (("lo", low(p)), ("hi", high(p)))]
+    found = values.groupBy(*keys).agg(F.max("all_n").alias("all_n"), *picks)
     return found.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (rank(p) - low(p))).alias(n)
         for n, p in probs.items()])
@@ -106,7 +131,7 @@ def suffix_counts(df: DataFrame, keys: list[str], value: str, measures: list[str
     `df` holds one row per (key, value). Sums above a bin come from bin totals,
     sums above a value inside its bin from a window over that bin alone.
     """
-    binned = df.withColumn("_bin", value_bin(F.col(value)))
+    binned = df.withColumn("_bin", F.shiftright(value_bin(F.col(value)), FINE_BITS - 4))
     totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     above = totals.select(*keys, "_bin", *[
         _before(keys, "_bin", F.col(f"_t_{m}"), descending=True).alias(f"_a_{m}") for m in measures])

@@ -4,12 +4,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from granulith import constants as K
 from granulith.functions import classes, gates
-from granulith.operators import stats, volume
+from granulith.operators import cells, stats, volume
 
 SUMS = ["n", "d", "w", "w2", "n_scored", "score"]
 
 
-def page(df: DataFrame, keys: list[str]) -> DataFrame:
+def page(df: DataFrame, keys: list[str], members: DataFrame | None = None) -> DataFrame:
     """Everything the tiles are made of, one row per key, from a single pass over the particles.
 
     Particles are first summed per (key, segment, measured), at most fourteen
@@ -20,12 +20,12 @@ def page(df: DataFrame, keys: list[str]) -> DataFrame:
     m = stats.with_measured(df).withColumn("segment", classes.volume_segment())
     sized = F.col("measured") & (d != 0)
     scored = sized & gates.spherical_measurable()
-    cells = m.groupBy(*keys, "segment", "measured").agg(
-        F.count("*").alias("n"), F.sum(d).alias("d"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"),
-        F.count_if(sized).alias("n_sized"), F.count_if(scored).alias("n_scored"),
-        F.sum(F.when(scored, gates.sphericity_score())).alias("score"),
-        F.count_if(F.col("unclassified") & sized).alias("n_unclear"),
-        F.min(d).alias("lo"), F.max(d).alias("hi"))
+    parts = cells.summed(m, keys, {
+        "n": cells.count(), "d": cells.total(d), "w": cells.total(w), "w2": cells.total(w * w),
+        "n_sized": cells.count(sized), "n_scored": cells.count(scored),
+        "score": cells.total(F.when(scored, gates.sphericity_score())),
+        "n_unclear": cells.count(F.col("unclassified") & sized), "lo": cells.low(d), "hi": cells.high(d)},
+        members, {"segment": F.col("segment"), "measured": F.col("measured")})
     yes = lambda c: F.when(F.col("measured"), F.col(c))
     aggs = [F.sum("n").alias("total"), F.coalesce(F.sum(yes("n")), F.lit(0)).alias("measured"),
             F.sum(yes("d")).alias("d"), F.min(yes("lo")).alias("lo"), F.max(yes("hi")).alias("hi"),
@@ -33,7 +33,7 @@ def page(df: DataFrame, keys: list[str]) -> DataFrame:
             F.sum("n_unclear").alias("n_unclear")]
     for s in K.VOLUME_SEGMENTS:
         aggs += [F.coalesce(F.sum(F.when(F.col("segment") == s, F.col(c))), F.lit(0)).alias(f"{c}_{s}") for c in SUMS]
-    return cells.groupBy(*keys).agg(*aggs)
+    return parts.groupBy(*keys).agg(*aggs)
 
 
 def _per(a: Column, b: Column) -> Column:
@@ -48,10 +48,10 @@ def _total(c: str, names: list[str]) -> Column:
     return sum((F.col(f"{c}_{s}") for s in names), F.lit(0))
 
 
-def tiles(df: DataFrame, keys: list[str]) -> DataFrame:
+def tiles(df: DataFrame, keys: list[str], members: DataFrame | None = None) -> DataFrame:
     """All, plain, per-class, split and volume tiles of every key."""
     none = F.lit(None).cast("double")
-    p = page(df, keys).join(stats.d_values(df, keys), keys, "left")
+    p = page(df, keys, members).join(stats.d_values(df, keys, members), keys, "left")
     classed = _present(K.CLASS_ORDER) > 1
     n_classed = _total("n", K.CLASS_ORDER)
     count = {c: F.when(classed, F.col(f"n_{c}")).otherwise(0) for c in K.CLASS_ORDER}

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granulith import constants as K
 from granulith.functions import classes
-from granulith.operators.ranking import value_bin
+from granulith.operators import cells
+from granulith.operators.ranking import drill
 
 
 def _rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,20 +25,18 @@ def ratio(total_n: Column, total_w: Column, total_w2: Column, n: Column, w: Colu
             "ci_half": K.CI_Z * F.sqrt(spread) / total_w}
 
 
-def volume_shares(df: DataFrame, keys: list[str]) -> DataFrame:
+def volume_shares(df: DataFrame, keys: list[str], members: DataFrame | None = None) -> DataFrame:
     """One row per key and segment, plus "solid"; keys with a single segment give nothing.
 
-    One shuffle on the key over map-side combined sums; absent segments appear as zeros.
+    Sums of photos add up to those of their selections; absent segments appear as zeros.
     """
-    rows = _rows(df, keys)
-    sums = [F.count("*").alias("n_total"), F.sum("w").alias("_w"),
-            F.sum(F.col("w") * F.col("w")).alias("_w2")]
+    w = F.col("w")
+    sums = {"n_total": cells.count(), "_w": cells.total(w), "_w2": cells.total(w * w)}
     for s in K.VOLUME_SEGMENTS:
         hit = F.col("segment") == s
-        sums += [F.count_if(hit).alias(f"n_{s}"),
-                 F.sum(F.when(hit, F.col("w")).otherwise(0.0)).alias(f"w_{s}"),
-                 F.sum(F.when(hit, F.col("w") * F.col("w")).otherwise(0.0)).alias(f"w2_{s}")]
-    agg = rows.groupBy(*keys).agg(*sums)
+        sums |= {f"n_{s}": cells.count(hit), f"w_{s}": cells.total(F.when(hit, w).otherwise(0.0)),
+                 f"w2_{s}": cells.total(F.when(hit, w * w).otherwise(0.0))}
+    agg = cells.summed(_rows(df, cells.unit(keys, members)), keys, sums, members)
     present = sum((F.when(F.col(f"n_{s}") > 0, 1).otherwise(0) for s in K.VOLUME_SEGMENTS), F.lit(0))
 
     def entry(name: str, n: Column, w: Column, w2: Column) -> Column:
@@ -52,35 +51,22 @@ def volume_shares(df: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "n_total", "e.*"))
 
 
-def half_volume_count(df: DataFrame, keys: list[str]) -> DataFrame:
-    """How many of the largest particles hold half the volume.
+def half_volume_count(df: DataFrame, keys: list[str], members: DataFrame | None = None) -> DataFrame:
+    """How many of the largest particles hold half the volume; keys with a single segment give nothing.
 
-    Rows become counts per volume once, combined before the shuffle. Bin sums find
-    the one bin where the running volume crosses the half; only its volumes are ranked.
+    Only the bin where the running volume crosses the half is opened, then only its volumes are ranked.
     """
-    rows = _rows(df, keys).withColumn("_bin", value_bin(F.col("diam_nm")))
-    # the join below would add these filters to its own branch, and the two branches would no longer share one shuffle
-    for c in (*keys, "_bin"):
-        rows = rows.where(F.col(c).isNotNull())
-    rows = (rows.groupBy(*keys, "_bin", "w", "segment").agg(F.count("*").alias("_c")))
-    bins = rows.groupBy(*keys, "_bin").agg(
-        F.sum("_c").alias("_n"), F.sum(F.col("w") * F.col("_c")).alias("_w"),
-        F.collect_set("segment").alias("_segs"))
-    down = (Window.partitionBy(*keys).orderBy(F.desc("_bin"))
-            .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*keys)
-    cut = (bins.withColumn("_n0", F.coalesce(F.sum("_n").over(down), F.lit(0)))
-           .withColumn("_w0", F.coalesce(F.sum("_w").over(down), F.lit(0.0)))
-           .withColumn("_half", F.sum("_w").over(whole) / 2)
-           .withColumn("_segments", F.size(F.array_distinct(F.flatten(F.collect_set("_segs").over(whole)))))
-           .where((F.col("_segments") > 1) & (F.col("_w0") < F.col("_half"))
-                  & (F.col("_w0") + F.col("_w") >= F.col("_half"))))
-    inside = (rows.join(cut.select(*keys, "_bin", "_n0", "_w0", "_half"), keys + ["_bin"])
-              .groupBy(*keys, "_bin", "_n0", "_w0", "_half", "w").agg(F.sum("_c").alias("_c")))
-    down_in = (Window.partitionBy(*keys, "_bin").orderBy(F.desc("w"))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    start = F.col("_w0") + F.coalesce(F.sum(F.col("w") * F.col("_c")).over(down_in), F.lit(0.0))
-    below = F.greatest(F.lit(0), F.least(F.col("_c"),
-                                         F.ceil((F.col("_half") - F.col("_start")) / F.col("w")) - 1))
-    return (inside.withColumn("_start", start).groupBy(*keys)
-            .agg((F.max("_n0") + F.sum(below) + 1).alias("half_n")))
+    seen = {f"s{i}": (F.col("segment") == s).cast("long") for i, s in enumerate(K.VOLUME_SEGMENTS)}
+    kinds = sum((F.when(F.col(f"all_{s}") > 0, 1).otherwise(0) for s in seen), F.lit(0))
+    half = F.col("all_w") / 2
+
+    def crossing(level: DataFrame) -> DataFrame:
+        # the last bin, from the largest down, that starts below the half
+        last = F.min(F.when(F.col("before_w") < half, F.col("low"))).over(Window.partitionBy(*keys))
+        return level.where(kinds > 1).withColumn("_last", last).where(F.col("low") == F.col("_last"))
+
+    values = drill(_rows(df, cells.unit(keys, members)), keys, "diam_nm", {"n": F.lit(1), "w": F.col("w"), **seen}, crossing,
+                   members, descending=True)[-1]
+    one = F.col("low") * F.col("low") * F.col("low")
+    below = F.greatest(F.lit(0), F.least(F.col("n"), F.ceil((half - F.col("before_w")) / one) - 1))
+    return values.groupBy(*keys).agg((F.min("before_n") + F.sum(below) + 1).alias("half_n"))

@@ -62,10 +62,10 @@ E11 = """select selection_id, segment, n_total, n, round(number_share,6) as numb
  from st s left join dv on s.selection_id=dv.selection_id left join vshares v on s.selection_id=v.selection_id""")
 def _(w):
     """Sizes, D-values and volume shares of every selection: the flagship."""
-    df = w.selected
-    sizes = stats.image_stats(df, SEL, {"d10": 0.1, "d90": 0.9}).select(
+    df = w.scaled
+    sizes = stats.image_stats(df, SEL, {"d10": 0.1, "d90": 0.9}, members=w.members).select(
         *SEL, "count_total", "count_measured", "mean_nm", "std_nm", "median_nm", "d10", "d90")
-    shares = volume.volume_shares(df, SEL).select(*SEL, "segment", "n", "volume_share", "ci_half")
+    shares = volume.volume_shares(df, SEL, members=w.members).select(*SEL, "segment", "n", "volume_share", "ci_half")
     return rounded(sizes.join(shares, SEL, "left"), single=["mean_nm"])
 
 
@@ -80,7 +80,7 @@ def _(w):
    from selected group by selection_id, image_id) group by selection_id)
  select b.*, n_images, n_classifiable_images, detector from base b join det d on b.selection_id=d.selection_id""")
 def _(w):
-    pooled = stats.image_stats(w.selected, SEL).join(stats.pooled_detectors(w.selected, SEL), SEL)
+    pooled = stats.image_stats(w.scaled, SEL, members=w.members).join(stats.pooled_detectors(w.scaled, SEL, members=w.members), SEL)
     return rounded(pooled, single=["mean_nm"])
 
 
@@ -109,7 +109,7 @@ def _(w):
  round(case when d[2]<>0 then (d[3]-d[1])/d[2] else 0e0 end,8) as span
  from (select selection_id, quantile_cont(diam_nm,[0.1,0.5,0.9]) as d from selected where measured group by selection_id)""")
 def _(w):
-    return rounded(stats.d_values(w.selected, SEL), 8)
+    return rounded(stats.d_values(w.scaled, SEL, members=w.members), 8)
 
 
 _CLS = "case when classifiable and diam_nm<>0 and measured then case when not is_solid then 'undercooled' when pattern<>'' then pattern end end"
@@ -119,7 +119,7 @@ _CLS = "case when classifiable and diam_nm<>0 and measured then case when not is
  (select selection_id, cls, count(*) as n, cast(cast(avg(diam_nm) as float) as double) as mean_nm, round(min(diam_nm),6) as min_nm, round(max(diam_nm),6) as max_nm
   from (select selection_id, diam_nm, {_CLS} as cls from selected) where cls is not null group by selection_id, cls)) where k>1""")
 def _(w):
-    return rounded(stats.class_sizes(w.selected, SEL), single=["mean_nm"])
+    return rounded(stats.class_sizes(w.scaled, SEL, members=w.members), single=["mean_nm"])
 
 
 CLASS_COUNTS = f""", cc0 as (select selection_id, count(case when measured then 1 end) as measured, cast(0 as bigint) as unclassified,
@@ -134,7 +134,7 @@ CLASS_COUNTS = f""", cc0 as (select selection_id, count(case when measured then
 
 @query("e07_class_counts", CLASS_COUNTS + "select * from cc")
 def _(w):
-    return stats.class_counts(w.selected, SEL)
+    return stats.class_counts(w.scaled, SEL, members=w.members)
 
 
 _CIRC = "least(1e0, 4e0*pi()*(pi()*25e-2*diam_px*diam_px)/(perim_px*perim_px))"
@@ -152,7 +152,7 @@ SPHER = f""", sm as (select *, case when classifiable and is_solid then 'solid'
 @query("e08_sphericity", SPHER + """select selection_id, filter, value, cast(cast(mean_score as float) as double) as mean_score,
  cast(cast(raw_circularity as float) as double) as raw_circularity, n_scored, total from sp""")
 def _(w):
-    return rounded(stats.sphericity(w.selected, SEL), single=["mean_score", "raw_circularity"])
+    return rounded(stats.sphericity(w.scaled, SEL, members=w.members), single=["mean_score", "raw_circularity"])
 
 
 SPLIT = """, split as (select selection_id, count(case when is_solid then 1 end) as n_solid, count(case when not is_solid then 1 end) as n_undercooled,
@@ -165,7 +165,7 @@ SPLIT = """, split as (select selection_id, count(case when is_solid then 1 end)
 @query("e09_solid_split", SPLIT + """select selection_id, n_solid, n_undercooled, cast(cast(mean_solid as float) as double) as mean_solid,
  cast(cast(mean_undercooled as float) as double) as mean_undercooled from split""")
 def _(w):
-    return rounded(stats.solid_split(w.selected, SEL), single=["mean_solid", "mean_undercooled"])
+    return rounded(stats.solid_split(w.scaled, SEL, members=w.members), single=["mean_solid", "mean_undercooled"])
 
 
 @query("e10_majority_solid", SPLIT + """, r as (select s.selection_id, diam_nm, is_solid,
@@ -175,19 +175,19 @@ def _(w):
   from selected s join split p on s.selection_id=p.selection_id where classifiable and measured and diam_nm<>0)
  select selection_id, round(min(case when sn >= least(20,n) and ss*2>=sn then diam_nm end),6) as majority_solid_nm from r group by selection_id""")
 def _(w):
-    return rounded(stats.majority_solid_above(w.selected, SEL))
+    return rounded(stats.majority_solid_above(w.scaled, SEL, members=w.members))
 
 
 @query("e11_volume_shares", VOL + E11)
 def _(w):
-    return rounded(volume.volume_shares(w.selected, SEL))
+    return rounded(volume.volume_shares(w.scaled, SEL, members=w.members))
 
 
 @query("e12_half_volume_count", VOL + """, r as (select x.selection_id, sum(v) over (partition by x.selection_id order by v desc rows unbounded preceding) as cum, tv
   from vol x join tot t on x.selection_id=t.selection_id where kinds>1)
  select selection_id, count(case when cum < tv/2 then 1 end)+1 as half_n from r group by selection_id""")
 def _(w):
-    return volume.half_volume_count(w.selected, SEL)
+    return volume.half_volume_count(w.scaled, SEL, members=w.members)
 
 
 @query("e13_tiles", VOL + CLASS_COUNTS + SPHER + SPLIT + f""", st as (select selection_id, count(*) as ct, count(case when measured then 1 end) as cm,
@@ -212,13 +212,13 @@ def _(w):
  select selection_id, view, t.tile as tile, cast(cast(t.value as float) as double) as value, round(t.share,6) as share from u
  union all select selection_id, 'volume', segment, cast(cast(volume_share as float) as double), round(ci_half,6) from vshares where segment<>'nopattern'""")
 def _(w):
-    return rounded(tiles.tiles(w.selected, SEL), single=["value"])
+    return rounded(tiles.tiles(w.scaled, SEL, members=w.members), single=["value"])
 
 
 @query("e14_range_share", """select selection_id, count(case when diam_nm>=1e2 and diam_nm<15e1 then 1 end) as k, count(*) as n,
  cast(cast(avg(case when diam_nm>=1e2 and diam_nm<15e1 then diam_nm end) as float) as double) as mean_inside from selected where measured group by selection_id""")
 def _(w):
-    return rounded(stats.range_share(w.selected, SEL, 100.0, 150.0), single=["mean_inside"])
+    return rounded(stats.range_share(w.scaled, SEL, 100.0, 150.0, members=w.members), single=["mean_inside"])
 
 
 AXIS = """, ax0 as (select {key}, min(diam_nm) as mn, max(diam_nm) as mx from {src} group by {key}),
@@ -242,7 +242,7 @@ _BIN = "least(cast(floor((diam_nm-axis_lo)/width) as int), n_bins-1)"
   (axis_lo+bin0*width+width/2 >= 2e2 and axis_lo+bin0*width+width/2 < 6e2) as highlighted
  from bars b left join cnt c on b.selection_id=c.selection_id and b.bin0=c.bin""")
 def _(w):
-    return histogram.histogram(w.selected.where(gates.measurable()), SEL, 200.0, 600.0)
+    return histogram.histogram(w.scaled.where(gates.measurable()), SEL, 200.0, 600.0, members=w.members)
 
 
 @query("e16_stacked_histogram", ", msel as (select *, case when is_solid then 'solid' else 'undercooled' end as state from selected where measured and classifiable and diam_nm<>0)"
@@ -250,8 +250,8 @@ def _(w):
  select m.selection_id, state, {_BIN} as bin, axis_lo+{_BIN}*width as bin_lo, axis_lo+{_BIN}*width+width as bin_hi, count(*) as n
  from msel m join ax on m.selection_id=ax.selection_id group by all""")
 def _(w):
-    rows = w.selected.withColumn("state", classes.split_state()).where("state is not null")
-    return histogram.stacked(rows, SEL, "state")
+    rows = w.scaled.withColumn("state", classes.split_state()).where("state is not null")
+    return histogram.stacked(rows, SEL, "state", members=w.members)
 
 
 @query("e16b_class_histogram", f", msel as (select * from (select *, {_CLS} as cls from selected) where cls is not null)"
@@ -260,8 +260,8 @@ def _(w):
  from msel m join ax on m.selection_id=ax.selection_id and m.cls=ax.cls group by all""")
 def _(w):
     """Each class on its own axis."""
-    rows = w.selected.withColumn("cls", classes.composition_class()).where("cls is not null")
-    return (histogram.histogram(rows, SEL + ["cls"]).where("n > 0")
+    rows = w.scaled.withColumn("cls", classes.composition_class()).where("cls is not null")
+    return (histogram.histogram(rows, SEL + ["cls"], members=w.members).where("n > 0")
             .select(*SEL, "cls", "bin", "bin_lo", "n"))
 
 
@@ -270,15 +270,15 @@ def _(w):
  from msel m join ax on m.selection_id=ax.selection_id where cls is not null group by all)
  select *, round(n*1e0/sum(n) over (partition by selection_id, bin),6) as share from c""")
 def _(w):
-    rows = w.selected.where(gates.measurable()).withColumn("cls", classes.composition_class())
-    return rounded(histogram.composition_per_bin(rows, SEL, "cls"))
+    rows = w.scaled.where(gates.measurable()).withColumn("cls", classes.composition_class())
+    return rounded(histogram.composition_per_bin(rows, SEL, "cls", members=w.members))
 
 
 @query("e18_pattern_size", f"""select selection_id, cls, least(cast(floor(diam_nm/5e1) as int), 29) as bin, count(*) as n
  from (select *, {_CLS} as cls from selected) where cls is not null group by all""")
 def _(w):
-    rows = w.selected.withColumn("cls", classes.composition_class()).where("cls is not null")
-    return histogram.pattern_size(rows, SEL, "cls")
+    rows = w.scaled.withColumn("cls", classes.composition_class()).where("cls is not null")
+    return histogram.pattern_size(rows, SEL, "cls", members=w.members)
 
 
 _CS = "case when classifiable and diam_nm<>0 and not excluded then case when not is_solid then 'undercooled' when pattern<>'' then pattern end end"
@@ -288,9 +288,9 @@ _CS = "case when classifiable and diam_nm<>0 and not excluded then case when not
  select selection_id, cls, count(case when diam_nm>=4e2 and diam_nm<=9e2 then 1 end) as n_in, count(*) as n_all
  from (select *, {_CS} as cls from selected) where cls is not null group by selection_id, cls)""")
 def _(w):
-    rows = (w.selected.withColumn("cls", classes.classsize_class())
+    rows = (w.scaled.withColumn("cls", classes.classsize_class())
             .where(F.col("cls").isin(K.CLASS_ORDER)))
-    return histogram.in_range_composition(rows, SEL, "cls", 400.0, 900.0)
+    return histogram.in_range_composition(rows, SEL, "cls", 400.0, 900.0, members=w.members)
 
 
 @query("e20_volume_histogram", f""", msel as (select *, {SEGMENT} as segment from selected where measured and classifiable and diam_nm<>0)"""
@@ -299,8 +299,8 @@ def _(w):
  from msel m join ax on m.selection_id=ax.selection_id group by all)
  select selection_id, segment, bin, bin_lo, round(1e2*w/sum(w) over (partition by selection_id),6) as volume_pct from c""")
 def _(w):
-    rows = w.selected.withColumn("segment", classes.volume_segment()).where("segment is not null")
-    return rounded(histogram.volume_histogram(rows, SEL, "segment"))
+    rows = w.scaled.withColumn("segment", classes.volume_segment()).where("segment is not null")
+    return rounded(histogram.volume_histogram(rows, SEL, "segment", members=w.members))
 
 
 _STEP = "case " + " ".join(f"when greatest(1e0,n_bins*width)/6<={w} then {w}e0" for w in K.NICE_WIDTHS) + " else 2e3 end"
@@ -313,7 +313,7 @@ _STEP = "case " + " ".join(f"when greatest(1e0,n_bins*width)/6<={w} then {w}e0"
  select selection_id, width, n_bins, case when step%width<>0 then ceil(step/width)*width else step end as tick_step,
   case when n_bins>=4 and l<r then 'left' else 'right' end as quiet_corner from q""")
 def _(w):
-    return histogram.axis_helpers(w.selected.where(gates.measurable()), SEL)
+    return histogram.axis_helpers(w.scaled.where(gates.measurable()), SEL, members=w.members)
 
 
 @query("h01_pool_images", """select selection_id, count(distinct image_id) as n_images, count(*) as n_particles, cast(cast(sum(diam_nm) as float) as double) as sum_nm
