@@ -1,6 +1,10 @@
 """Reading sample, group and spelling out of free-form file names."""
 
-from pyspark.sql import Column, functions as F
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from granulith.session import settle
 
 # Known words and the folder each one stands for.
 REGION_WORDS = {"alt": "Alt", "asagi": "Alt", "ust": "Üst", "uest": "Üst", "yukari": "Üst",
@@ -19,29 +23,44 @@ LEADING = r"^\s*(\d{1,3})(?!\d)"
 TIDY = [(r"[|/\\_]+", " "), (rf"[{DASHES}]+", " "), (r"\s+", " "), (rf"^[ {DASHES}.,*#~+]+|[ {DASHES}.,*#~+]+$", ""),
         (r"(?<=\p{L})\d{1,3}\s*$|(?<!\S)\d{1,3}\s*$", "")]
 
-# Letters whose mark is dropped when names are compared (composed forms; marks
-# that come separately are removed by range).
-_PLAIN = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ",
-          "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő",
-          "r": "ŕŗř", "s": "śŝşšș", "t": "ţťț", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž"}
-_FROM = "".join(_PLAIN.values())
-_TO = "".join(k * len(v) for k, v in _PLAIN.items())
+_ICU = "com.ibm.icu.text.Normalizer"
+_NOT_ASCII = "[^\\x00-\\x7f]"
+
+
+def _combining() -> str:
+    """A pattern for every character that Unicode joins to the one before it (combining class above 0)."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.combining(chr(c)):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]+"
+
+
+MARKS = _combining()
+
+
+def _normal(s: Column, how: str, compatible: bool) -> Column:
+    """A normal form by the ICU library that Spark brings; plain ASCII is left alone."""
+    return F.when(s.rlike(_NOT_ASCII), F.reflect(F.lit(_ICU), F.lit(how), s, F.lit(compatible))).otherwise(s)
 
 
 def composed(s: Column) -> Column:
-    """Letters with separate marks, as some systems write file names, as single letters: NFC of any script, by the ICU
-    library that Spark brings."""
-    return F.when(s.rlike("[^\\x00-\\x7f]"), F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), s, F.lit(False))).otherwise(s)
+    """Letters with separate marks, as some systems write file names, as single letters: NFC of any script."""
+    return _normal(s, "compose", False)
 
 
 def fold(s: Column) -> Column:
-    """Lower case, no marks, separators as single spaces; all Turkish i's become "i"."""
-    t = F.translate(s, "İI", "ii")
-    t = F.regexp_replace(F.lower(t), "[\\u0300-\\u036f]", "")
-    t = F.translate(t, _FROM, _TO)
-    t = F.regexp_replace(t, rf"[|_/\\{DASHES}.,()\[\]*]+", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Lower case, no marks, separators as single spaces; all Turkish i's become "i".
+
+    Letters are taken apart first, in any script; ligatures, Roman numerals and full-width forms become the plain ones.
+    """
+    t = F.translate(_normal(s, "decompose", True), "ıİI", "iii")
+    t = F.when(s.rlike(_NOT_ASCII), F.regexp_replace(t, MARKS, "")).otherwise(t)
+    t = F.regexp_replace(F.lower(t), rf"[|_/\\{DASHES}.,()\[\]*]+", " ")
+    return F.trim(F.regexp_replace(t, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
 def _has(folded: Column, word: str) -> Column:
@@ -113,18 +132,28 @@ def _replace_first(s: Column, pattern: str) -> Column:
 
 def group(stem: Column) -> Column:
     """struct(name, key, known): region folder, "Patterned", or the leftover text."""
-    return _read(stem, _group)
+    return _read(stem, lambda s: _group(fold(s), _leftover(s)))
 
 
-def _group(stem: Column) -> Column:
-    folded = fold(stem)
+def _group(folded: Column, rest: Column) -> Column:
     reg = region(folded)
-    rest = _leftover(stem)
     name = F.when(reg.isNotNull(), reg).when(has_pattern_word(folded), PATTERNED).otherwise(rest)
     known = reg.isNotNull() | has_pattern_word(folded)
     return F.struct(name.alias("name"), fold(name).alias("key"), known.alias("known"))
 
 
+def read_once(photos: DataFrame) -> DataFrame:
+    """The photos with prefix, num, name, key and known read from their `stem`; each step is a column of its own, so no
+    name is composed or folded twice."""
+    s, reg, pat = F.col("_composed"), F.col("_region"), F.col("_pattern")
+    out = settle(photos, {"_composed": composed(F.col("stem"))})
+    out = settle(out, {"prefix": _found(F.regexp_extract(s, PREFIXED, 1)), "num": _sample_number(s), "_rest": _leftover(s), "_folded": fold(s)})
+    out = settle(out, {"_region": region(F.col("_folded")), "_pattern": has_pattern_word(F.col("_folded"))})
+    out = settle(out, {"name": F.when(reg.isNotNull(), reg).when(pat, PATTERNED).otherwise(F.col("_rest"))})
+    return settle(out, {"key": fold(F.col("name")), "known": reg.isNotNull() | pat}).select(
+        *photos.columns, "prefix", "num", "name", "key", "known")
+
+
 def safe_name(s: Column) -> Column:
     """A file name without characters that file systems refuse."""
     t = F.trim(F.regexp_replace(s, r'[\\/:*?"<>|]', "_"))

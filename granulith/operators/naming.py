@@ -9,9 +9,7 @@ from granulith.session import join_lookup
 
 def parsed(photos: DataFrame) -> DataFrame:
     """(photo columns, prefix, num, name, key, known) from a `stem` column."""
-    return (photos.withColumns({"prefix": N.sample_prefix(F.col("stem")), "num": N.sample_number(F.col("stem")),
-                                "_g": N.group(F.col("stem"))})
-            .select(*photos.columns, "prefix", "num", "_g.name", "_g.key", "_g.known"))
+    return N.read_once(photos)
 
 
 def _commonest(df: DataFrame, keys: list[str], value: str, path: str, name: str) -> DataFrame:

@@ -31,12 +31,13 @@ def volume_shares(df: DataFrame, keys: list[str], members: DataFrame | None = No
     Sums of photos add up to those of their selections; absent segments appear as zeros.
     """
     w = F.col("w")
-    sums = {"n_total": cells.count(), "_w": cells.total(w), "_w2": cells.total(w * w)}
-    for s in K.VOLUME_SEGMENTS:
-        hit = F.col("segment") == s
-        sums |= {f"n_{s}": cells.count(hit), f"w_{s}": cells.total(F.when(hit, w).otherwise(0.0)),
-                 f"w2_{s}": cells.total(F.when(hit, w * w).otherwise(0.0))}
-    agg = cells.summed(_rows(df, cells.unit(keys, members)), keys, sums, members)
+    parts = cells.summed(_rows(df, cells.unit(keys, members)), keys, {"n": cells.count(), "w": cells.total(w), "w2": cells.total(w * w)},
+                         members, {"segment": F.col("segment")})
+    # at most six rows per key are laid out as columns
+    agg = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n_total"), F.sum("w").alias("_w"), F.sum("w2").alias("_w2"),
+        *[F.coalesce(F.sum(F.when(F.col("segment") == s, F.col(c))), F.lit(0)).alias(f"{c}_{s}")
+          for s in K.VOLUME_SEGMENTS for c in ("n", "w", "w2")])
     present = sum((F.when(F.col(f"n_{s}") > 0, 1).otherwise(0) for s in K.VOLUME_SEGMENTS), F.lit(0))
 
     def entry(name: str, n: Column, w: Column, w2: Column) -> Column:

@@ -165,10 +165,12 @@ def _(w):
             .select(*IDS, classes.rule_note(F.col("label")).alias("note")))
 
 
-# Spellings that exercise the title and naming rules: composed, and the same with separate marks; long numbers.
+# Spellings that exercise the title and naming rules: composed, and the same with separate marks; long numbers; letters of
+# other alphabets, ligatures, Roman numerals and full-width forms.
 NAMES = ["ÄK - 11 Alt2", "07 | Große | Janus 3", "Janus 8 | 07 | Große", "QB - 11 y 2 mm 4", "ÄK - 02 Karışık 5", "KARIŞIK 9",
          "alternierend 6", "", "A\u0308K - 11 Alt2", "A\u0308K - 02 Karıs\u0327ık 5", "KARIS\u0327IK 9", "U\u0308st 3 | 04",
-         "a 123456789012345678901", "a 123456789012345678902", "a 0012345678901234567890"]
+         "a 123456789012345678901", "a 123456789012345678902", "a 0012345678901234567890",
+         "Mẫu - 05 thử 3", "Ma\u0302\u0303u - 05 thu\u031b\u0309 4", "Ǎb - 06 ǖn 2", "TD - 04 ﬁne Ⅳ mm", "TD - 04 ＡＢ１ mm", "ΆΛΦΑ Й 2", "đł ø"]
 NAMES_SQL = " union all ".join(f"select {i} as variant, '{n}' as extra" for i, n in enumerate(NAMES))
 
 

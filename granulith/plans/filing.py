@@ -8,7 +8,9 @@ from granulith.plans.decisions import NAMED_SQL, named_images
 from granulith.plans.registry import query
 from granulith.plans.statistics import _TITLE
 
-FOLD = ("trim(regexp_replace(regexp_replace(strip_accents(lower(replace(replace(replace({x},'İ','i'),'I','i'),'ı','i'))), '[|_/\\\\\\-–—.,()\\[\\]*]+', ' ', 'g'), '\\s+', ' ', 'g'))")
+# the compatible forms that occur in the names are spelt out here
+_PLAIN = "replace(replace(translate({x}, 'ＡＢ１', 'AB1'), 'ﬁ', 'fi'), 'Ⅳ', 'IV')"
+FOLD = ("trim(regexp_replace(regexp_replace(strip_accents(lower(replace(replace(replace(" + _PLAIN + ",'İ','i'),'I','i'),'ı','i'))), '[|_/\\\\\\-–—.,()\\[\\]*]+', ' ', 'g'), '\\s+', ' ', 'g'))")
 _PRE = "'(?:^|[|/\\\\_])\\s*(\\p{L}{1,4})\\s*(?:[-–—]\\s*|\\s+)(\\d{1,3})(?:[^\\d]|$)'"
 _LEAD = "'^\\s*(\\d{1,3})(?:[^\\d]|$)'"
 _W = "regexp_matches(f, '(^|[^a-z0-9])({})([^a-z]|$)')"
