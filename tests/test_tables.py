@@ -1,6 +1,7 @@
 """Scales, names, library, regions, sources, streaming and plan shapes."""
 
 import json
+import os
 import pathlib
 import random
 import re
@@ -303,6 +304,31 @@ def test_retention_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in _plan(plans.queries()["a05_run_history"](spark, SF))
 
 
+def test_rename_healing_of_a_large_folder(spark):
+    """One folder over all ranges, and small ones, against every pair; long gaps without a free file between lost ones."""
+    r = random.Random(6)
+    name = lambda: "".join(r.choice("ab") for _ in range(r.randint(3, 9))) + r.choice(["", " 1", " 2"])
+    free = sorted({f"/{r.choice('ddddde')}/{name()}.jpg" for _ in range(500)})
+    lost = sorted({f"/{r.choice('ddddde')}/{name()}{r.choice(['', 'x'])}.{r.choice(['jpg', 'png'])}" for _ in range(300)}
+                  | {f"/d/zzzz{i:04d}.jpg" for i in range(300)} - set(free))
+    free += ["/d/zzzz0299y.jpg"]
+    f = lambda p: spark.createDataFrame([(x,) for x in p], "path string")
+    part = lambda p: (*re.fullmatch(r"(.*)/([^/]*)\.(\w+)", p).groups(),)
+    number = lambda s: (re.search(r"(\d+)\s*$", s) or [None, None])[1]
+    want = {}
+    for old in lost:
+        d, stem, ext = part(old)
+        num, by = number(stem), {}
+        for new in free:
+            d2, stem2, ext2 = part(new)
+            if (d2, ext2) == (d, ext) and (num is None or number(stem2) == num):
+                by.setdefault(len(os.path.commonprefix([stem, stem2])), []).append(new)
+        if by and max(by) > 3 and len(by[max(by)]) == 1:
+            want[old] = by[max(by)][0]
+    got = library.find_renamed(f(lost), f(free), f([])).collect()
+    assert {r.old_path: r.new_path for r in got} == want and len(got) == len(want) > 20
+
+
 def test_fold_any_script(spark):
     """Against the rule itself: take apart, drop what joins, lower, plain separators."""
     def plain(x):
