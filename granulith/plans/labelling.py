@@ -125,15 +125,15 @@ def _(w):
     return match.match_labels(golden(w), w.counted).select("image_id", "label_id", "particle_id")
 
 
-# A 3 x 3 mask around every other centre; where masks meet, the lowest id owns the pixel.
+# A 3 x 3 mask around every centre; where masks meet, the lowest id owns the pixel.
 _MASK = """, mask as (select image_id, y, x, min(particle_id) as particle_id from (
-   select image_id, particle_id, cast(cy as int)+dy as y, cast(cx as int)+dx as x from counted cross join (select unnest([-1,0,1]) as dy) cross join (select unnest([-1,0,1]) as dx) where pk%2=0) group by image_id, y, x)
+   select image_id, particle_id, cast(cy as int)+dy as y, cast(cx as int)+dx as x from counted cross join (select unnest([-1,0,1]) as dy) cross join (select unnest([-1,0,1]) as dx)) group by image_id, y, x)
 """
 
 
 def centre_masks(w):
     off = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    pixels = (w.counted.where("pk % 2 = 0").select(*KEY, "cx", "cy", F.explode(off).alias("dy"))
+    pixels = (w.counted.select(*KEY, "cx", "cy", F.explode(off).alias("dy"))
               .select("*", F.explode(off).alias("dx"))
               .groupBy("image_id", (F.col("cy").cast("int") + F.col("dy")).alias("y"),
                        (F.col("cx").cast("int") + F.col("dx")).alias("x"))

@@ -25,6 +25,10 @@ def pixels(w):
             .withColumn("grey", (F.lit(100) + F.col("label") * 20 + (F.col("x") + F.col("y")) % 7).cast("int")))
 
 
+def masks(w):
+    return regions.runs(pixels(w))
+
+
 def frames(w):
     return w.images.select("image_id", "nm_per_px", F.lit(W).alias("width_px"), F.lit(H).alias("height_px"))
 
@@ -36,19 +40,19 @@ _G = f""", g as (select image_id, label, count(*) as area, avg(x) as cx, avg(y)
 
 @query("k01_region_basics", PX + _G + """select image_id, label, area, round(cx,6) as cx, round(cy,6) as cy, min_x, max_x, min_y, max_y, round(mean_grey,6) as mean_grey, round(sqrt(4*area/pi()),6) as diam_px from g""")
 def _(w):
-    return rounded(regions.basics(pixels(w), frames(w)).select(
+    return rounded(regions.basics(masks(w), frames(w)).select(
         "image_id", "label", "area", "cx", "cy", "min_x", "max_x", "min_y", "max_y", "mean_grey", "diam_px"))
 
 
 @query("k02_edge_contact", PX + _G + f"""select image_id, label, (min_y<=1 or min_x<=1 or max_y+1>={H-1} or max_x+1>={W-1}) as touches_edge, round(er/sqrt(4*area/pi()),6) as edge_cut from g""")
 def _(w):
-    return rounded(regions.basics(pixels(w), frames(w)).select("image_id", "label", "touches_edge", "edge_cut"))
+    return rounded(regions.basics(masks(w), frames(w)).select("image_id", "label", "touches_edge", "edge_cut"))
 
 
 @query("k03_axes", PX + _G + """select image_id, label, round(4*sqrt((vx+vy)/2+sqrt(pow(vx-vy,2)/4+vxy*vxy)),5) as major_px,
  round(4*sqrt(greatest(0e0,(vx+vy)/2-sqrt(pow(vx-vy,2)/4+vxy*vxy))),5) as minor_px from g""")
 def _(w):
-    return rounded(regions.basics(pixels(w), frames(w)).select("image_id", "label", "major_px", "minor_px"), 5)
+    return rounded(regions.basics(masks(w), frames(w)).select("image_id", "label", "major_px", "minor_px"), 5)
 
 
 # The hull's left border in a row is the least x between any side point above and any below it, the right one likewise.
@@ -64,7 +68,7 @@ HULL = """, ends as (select image_id, label, y, min(x) as x0, max(x) as x1, coun
 
 @query("k04_solidity", PX + HULL + "select image_id, label, round(solidity,6) as solidity from sol")
 def _(w):
-    return rounded(regions.solidity(pixels(w)))
+    return rounded(regions.solidity(masks(w)))
 
 
 PERIM = """, nb as (select image_id, label, y, x from px where label<>0),
@@ -77,20 +81,19 @@ PERIM = """, nb as (select image_id, label, y, x from px where label<>0),
 
 @query("k05_perimeter", PX + PERIM + "select image_id, label, round(perim_px,6) as perim_px from per")
 def _(w):
-    return rounded(regions.perimeter(pixels(w)))
+    return rounded(regions.perimeter(masks(w)))
 
 
 @query("k05b_perimeter_backfill", PX + PERIM + "select image_id, cast(label as bigint) as particle_id, round(case when label%2=0 then perim_px else 1e1 end,6) as perim_px from per")
 def _(w):
-    known = regions.foreground(pixels(w)).select("image_id", F.col("label").cast("long").alias("particle_id")).distinct()
+    known = masks(w).select("image_id", F.col("label").cast("long").alias("particle_id")).distinct()
     parts = known.withColumn("perim_px", F.when(F.col("particle_id") % 2 == 0, 0.0).otherwise(10.0))
-    return rounded(regions.backfill_perimeter(parts, pixels(w)))
+    return rounded(regions.backfill_perimeter(parts, masks(w)))
 
 
 @query("k06_brightness", PX + _G + """select g.image_id, label, median_grey, round(mean_grey-median_grey,6) as bright from g join (select image_id, quantile_cont(grey,0.5) as median_grey from px group by image_id) m on m.image_id=g.image_id""")
 def _(w):
-    px = pixels(w)
-    return rounded(regions.brightness(px, regions.basics(px, frames(w))).select("image_id", "label", "median_grey", "bright"))
+    return rounded(regions.brightness(pixels(w), regions.basics(masks(w), frames(w))).select("image_id", "label", "median_grey", "bright"))
 
 
 @query("k07_small_candidates", PX + _G + PERIM + HULL + f""", cand as (select g.image_id, g.label, area, cx, cy, perim_px, solidity, case when nm_per_px>0 then nm_per_px else 8e0 end as npp from g join per p on p.image_id=g.image_id and p.label=g.label join sol on sol.image_id=g.image_id and sol.label=g.label join images i on i.image_id=g.image_id where g.label in (1,2,4))
@@ -99,25 +102,25 @@ def _(w):
   and not exists (select 1 from px o where o.image_id=c.image_id and o.label=3 and abs(o.y-cast(floor(cy) as int))<=2 and abs(o.x-cast(floor(cx) as int))<=2)""")
 def _(w):
     """Candidates are all regions but the frame-cut disc; that disc occupies its pixels."""
-    px = pixels(w)
-    base = regions.basics(px.where("label <> 3"), frames(w)).join(regions.perimeter(px), ["image_id", "label"])
-    cand = base.join(regions.solidity(px), ["image_id", "label"]).select("image_id", "label", "area", "cx", "cy", "perim_px", "solidity")
-    return regions.small_candidates(cand, px.where("label = 3"), frames(w)).select("image_id", "label")
+    rows = masks(w)
+    base = regions.basics(rows.where("label <> 3"), frames(w)).join(regions.perimeter(rows), ["image_id", "label"])
+    cand = base.join(regions.solidity(rows), ["image_id", "label"]).select("image_id", "label", "area", "cx", "cy", "perim_px", "solidity")
+    return regions.small_candidates(cand, rows.where("label = 3"), frames(w)).select("image_id", "label")
 
 
 @query("k08_drop_ghosts", PX + "select image_id, label, count(*) as n from px where label in (1,2) or (label=3 and image_id%2=0) group by image_id, label")
 def _(w):
-    px = pixels(w)
-    alive = (regions.foreground(px).select("image_id", F.col("label").cast("long").alias("particle_id")).distinct()
+    rows = masks(w)
+    alive = (rows.select("image_id", F.col("label").cast("long").alias("particle_id")).distinct()
              .where("particle_id <= 2 or (particle_id = 3 and image_id % 2 = 0)"))
-    return regions.drop_ghosts(px, alive).groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    return regions.pixels_of(regions.drop_ghosts(rows, alive)).groupBy("image_id", "label").agg(F.count("*").alias("n"))
 
 
 @query("k08b_area_floor", PX + _G + "select image_id, cast(label as bigint) as particle_id from g where area >= pi()*4e0 and sqrt(4*area/pi()) >= 4e0")
 def _(w):
-    px = pixels(w)
-    parts = regions.basics(px, frames(w)).select("image_id", F.col("label").cast("long").alias("particle_id"), "diam_px")
-    return regions.area_floor(px, parts).select("image_id", "particle_id")
+    rows = masks(w)
+    parts = regions.basics(rows, frames(w)).select("image_id", F.col("label").cast("long").alias("particle_id"), "diam_px")
+    return regions.area_floor(rows, parts).select("image_id", "particle_id")
 
 
 @query("d19_particle_at_point", PX + """, pt as (select image_id, label_id, (cx/1536e0)*64e0 as px, (cy/1024e0)*48e0 as py from truth_labels where set_name='train' and cx>=0 and cy>=0)

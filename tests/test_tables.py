@@ -94,12 +94,12 @@ SHAPES = {1: lambda y, x: (y - 12) ** 2 + (x - 12) ** 2 <= 49, 2: lambda y, x: 3
 def test_region_properties(spark):
     px = _pixels(spark, SHAPES)
     images = spark.createDataFrame([(1, 50, 40)], "image_id long, width_px int, height_px int")
-    b = {r.label: r for r in regions.basics(px, images).collect()}
+    b = {r.label: r for r in regions.basics(regions.runs(px), images).collect()}
     assert b[2].area == 28 and (b[2].cx, b[2].cy) == (6.5, 33.0) and not b[2].touches_edge
     assert b[1].major_px == pytest.approx(b[1].minor_px) and b[2].major_px == pytest.approx(4 * np.sqrt(4.0))
-    per = {r.label: r.perim_px for r in regions.perimeter(px).collect()}
+    per = {r.label: r.perim_px for r in regions.perimeter(regions.runs(px)).collect()}
     assert 4 * np.pi * b[1].area / per[1] ** 2 == pytest.approx(1.0, abs=0.08)       # a disc is round
-    bright = {r.label: r.bright for r in regions.brightness(px, regions.basics(px, images)).collect()}
+    bright = {r.label: r.bright for r in regions.brightness(px, regions.basics(regions.runs(px), images)).collect()}
     assert bright[2] == 70.0
 
 
@@ -117,7 +117,7 @@ def _hull_count(pts):
 
 
 def test_solidity_equals_brute_force(spark):
-    got = {r.label: r.solidity for r in regions.solidity(_pixels(spark, SHAPES)).collect()}
+    got = {r.label: r.solidity for r in regions.solidity(regions.runs(_pixels(spark, SHAPES))).collect()}
     for lab, f in SHAPES.items():
         pts = np.array([(y, x) for y in range(40) for x in range(50) if f(y, x)], float)
         assert got[lab] == pytest.approx(len(pts) / _hull_count(pts))
@@ -329,6 +329,32 @@ def test_rename_healing_of_a_large_folder(spark):
     assert {r.old_path: r.new_path for r in got} == want and len(got) == len(want) > 20
 
 
+def test_runs_against_pixels(spark):
+    """Scattered pixels, combs and touching frames: every property of the runs is that of the pixels."""
+    g = np.random.default_rng(2)
+    mask = np.where(g.random((3, 24, 31)) < 0.45, g.integers(1, 4, (3, 24, 31)), 0)
+    mask[2, ::2] = 0
+    mask[2, 1::2, ::2] = 1
+    rows = [(i, y, x, int(mask[i, y, x]), int(g.integers(0, 255))) for i in range(3) for y in range(24) for x in range(31)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, label int, grey int")
+    runs = regions.runs(px)
+    assert {tuple(r) for r in regions.pixels_of(runs).collect()} == {(i, lab, y, x) for i, y, x, lab, _ in rows if lab}
+    images = spark.createDataFrame([(i, 31, 24) for i in range(3)], "image_id long, width_px int, height_px int")
+    got = {(r.image_id, r.label): r for r in regions.basics(runs, images).join(regions.perimeter(runs), ["image_id", "label"]).collect()}
+    for (i, lab), r in got.items():
+        y, x = np.nonzero(mask[i] == lab)
+        cov = np.cov(np.stack([x, y]).astype(float), bias=True)
+        low, high = np.linalg.eigvalsh(cov)
+        assert (r.area, r.min_x, r.max_x, r.min_y, r.max_y) == (len(x), x.min(), x.max(), y.min(), y.max())
+        assert [r.cx, r.cy, r.major_px, r.minor_px] == pytest.approx([x.mean(), y.mean(), 4 * high ** .5, 4 * low ** .5], abs=1e-6)
+        assert r.mean_grey == pytest.approx(np.mean([v for j, _, _, l, v in rows if (j, l) == (i, lab)]))
+        assert r.edge_cut * r.diam_px == pytest.approx(((x == 0) | (y == 0) | (x == 30) | (y == 23)).sum())
+        seen = set(zip(y.tolist(), x.tolist()))
+        miss = lambda dy, dx: sum((b - dy, a - dx) not in seen for b, a in seen)
+        assert r.perim_px == pytest.approx(np.pi / 4 * (miss(0, 1) + miss(1, 0) + (miss(1, 1) + miss(1, -1)) / 2 ** .5))
+    assert len(got) == 9 and regions.runs(px.where("label > 9")).count() == 0
+
+
 def test_fold_any_script(spark):
     """Against the rule itself: take apart, drop what joins, lower, plain separators."""
     def plain(x):
