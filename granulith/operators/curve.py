@@ -84,15 +84,28 @@ def capacity(points: DataFrame, keys: list[str], underfit: float = 0.90, gap_pts
                       F.col("_t.acc").alias("acc_test"), gap.alias("gap"))
 
 
-def export_table(points: DataFrame, by_instrument: DataFrame, instruments: list[str]) -> DataFrame:
-    """The curve as a flat export: one row per measured model, one column per instrument."""
+def export_table(points: DataFrame, by_instrument: DataFrame, instruments: list[str], recalls: DataFrame | None = None,
+                 classes: list[str] = K.PATTERNS) -> DataFrame:
+    """The curve as a flat export: one row per measured model, a column per instrument and one with the recall of each class.
+
+    `recalls` (run_id, frac, draw, class, recall) holds what was measured; a class without held-out particles is empty.
+    """
     key = ["run_id", "frac", "draw"]
     wide = (by_instrument.groupBy(*key).pivot("instrument", instruments)
             .agg(F.round(F.first("acc_instrument"), 5)))
     named = wide.select(*key, *[F.col(f"`{i}`").alias(f"acc_{i.replace(' ', '_')}") for i in instruments])
-    return (points.select(*key, "n_train", F.round("acc", 5).alias("held_out_accuracy"),
-                          F.round("acc_train", 5).alias("train_accuracy")).join(named, key, "left")
-            .withColumnsRenamed({"frac": "fraction_of_pool", "n_train": "particles_train"}))
+    out = (points.select(*key, "n_train", F.round("acc", 5).alias("held_out_accuracy"),
+                         F.round("acc_train", 5).alias("train_accuracy")).join(named, key, "left")
+           .withColumnsRenamed({"frac": "fraction_of_pool", "n_train": "particles_train"}))
+    if recalls is None:
+        return out
+    per_class = recalls.groupBy(*key).pivot("class", classes).agg(F.round(F.first("recall"), 5)).withColumnRenamed("frac", "fraction_of_pool")
+    return out.join(per_class, ["run_id", "fraction_of_pool", "draw"], "left")
+
+
+def write_csv(table: DataFrame, path: str) -> None:
+    """The export as CSV files with a header; missing measures are empty."""
+    table.write.mode("overwrite").option("header", True).csv(path)
 
 
 def keep_newest(runs: DataFrame, keys: list[str], ts: str, keep: int = K.HISTORY_KEEP,

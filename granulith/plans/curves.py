@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from granulith import constants as K
 from granulith.functions import gates
 from granulith.operators import curve, labels, sampling
 from granulith.plans.registry import query
 from granulith.plans.statistics import rounded
+from granulith.session import scratch_path
 
 INSTR = """, ci as (select c.*, instrument, round(acc - (case when instrument='ETD' then (run_id%3)*4e-2 else 0e0 end),6) as acc_instrument
   from curve_points c cross join (select 'CBS' as instrument union all select 'ETD') i where not (run_id%5=4 and instrument='ETD'))
@@ -79,11 +81,28 @@ def _(w):
     return rounded(curve.capacity(w.curve_points, ["run_id"]))
 
 
+# Recall of each class: those of larger numbers are found less often, the last one is not in every held-out set.
+_RECALL = "round(acc - 2e-2*{k}, 6)"
+
+
+def recalls(w):
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.round(F.col("acc") - 0.02 * k, 6).alias("recall"))
+                               for k, c in enumerate(K.PATTERNS)]))
+    rows = w.curve_points.select("run_id", "frac", "draw", each.alias("r")).select("run_id", "frac", "draw", "r.*")
+    return rows.where(~((F.col("class") == K.PATTERNS[-1]) & (F.col("run_id") % 3 == 0)))
+
+
 @query("a07_curve_export", INSTR + """select c.run_id, frac as fraction_of_pool, draw, n_train as particles_train, round(acc,5) as held_out_accuracy, round(acc_train,5) as train_accuracy,
  (select round(max(acc_instrument),5) from ci i where i.run_id=c.run_id and i.frac=c.frac and i.draw=c.draw and instrument='CBS') as "acc_CBS",
- (select round(max(acc_instrument),5) from ci i where i.run_id=c.run_id and i.frac=c.frac and i.draw=c.draw and instrument='ETD') as "acc_ETD" from curve_points c""")
+ (select round(max(acc_instrument),5) from ci i where i.run_id=c.run_id and i.frac=c.frac and i.draw=c.draw and instrument='ETD') as "acc_ETD", """
+       + ", ".join(f"round({_RECALL.format(k=k)},5) as {c}" if k < len(K.PATTERNS) - 1 else f"case when run_id%3<>0 then round({_RECALL.format(k=k)},5) end as {c}"
+                   for k, c in enumerate(K.PATTERNS)) + " from curve_points c")
 def _(w):
-    return curve.export_table(w.curve_points, by_instrument(w), ["CBS", "ETD"])
+    """Written as CSV and read back."""
+    path = scratch_path(w.spark, "curve-csv")
+    table = curve.export_table(w.curve_points, by_instrument(w), ["CBS", "ETD"], recalls(w))
+    curve.write_csv(table, path)
+    return w.spark.read.schema(table.schema).option("header", True).csv(path)
 
 
 @query("a05_run_history", """select scope, run_id, ts from (select o_custkey%10 as scope, o_orderkey as run_id, o_orderdate as ts,

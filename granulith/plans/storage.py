@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from granulith import schema
 from granulith.functions import gates
 from granulith.operators import labels as L
 from granulith.plans.filing import LIB_SQL, shelf
@@ -15,12 +16,21 @@ from granulith.streaming import ingest
 KEY = ["image_id", "particle_id"]
 
 
-@query("a01_load_session", "select image_id, particle_id, is_solid, pattern, measured from decided where image_id%10<>0")
+@query("a01_load_session", """select image_id, particle_id, is_solid, pattern, measured, unclassified, case when image_id%4=0 then 0e0 else round(perim_px,6) end as perim_px
+ from (select *, false as unclassified from decided) where image_id%10<>0""")
 def _(w):
+    """A store that grew over three versions, with one from a later program; photos without an image row are left out."""
     path = scratch_path(w.spark, "session")
-    session_tables.save_particles(w.decided, path)
+    i = F.col("image_id")
+    # older stores hold rows below the present floor in pixels
+    loose = w.particles.where("nm_per_px <= 0 or diam_nm > 15").withColumn("classifiable", gates.classifiable())
+    every = gates.reclassify(loose).select(*[c for c in w.decided.columns if c in schema.PARTICLES.replace(",", "").split()])
+    session_tables.save_particles(every.where(i % 4 == 0).drop("perim_px", "unclassified", "user_solid", "user_measurable"), path, 1)
+    session_tables.save_particles(every.where(i % 4 == 1), path, 2)
+    session_tables.save_particles(w.decided.where(i % 4 > 1), path)
+    session_tables.save_particles(w.decided.where(i % 5 == 0).withColumn("pattern", F.lit("later")), path, 9)
     stored = session_tables.load_particles(w.spark, path, w.images.where("image_id % 10 <> 0"))
-    return stored.select(*KEY, "is_solid", "pattern", gates.measurable().alias("measured"))
+    return stored.select(*KEY, "is_solid", "pattern", gates.measurable().alias("measured"), "unclassified", F.round("perim_px", 6).alias("perim_px"))
 
 
 @query("a02_image_files", LIB_SQL + "select distinct path, strlen(path) as size from (select path from lib where image_id%4<>0 union all select replace(path,'.jpeg','.TIFF') from lib where image_id%4=0)")

@@ -62,6 +62,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/granulith-{name}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a stored folder, in whatever file system its path names; nothing happens if it is gone already."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a stored folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read the files back.
 

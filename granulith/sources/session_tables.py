@@ -5,24 +5,39 @@ import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granulith import schema
+from granulith import constants as K, schema
 from granulith.operators.curve import keep_snapshots
-from granulith.session import join_lookup
+from granulith.session import delete_folder, folders, join_lookup
 
 BUCKETS = 256
+#: The stored form that is written, and those that can be read; others are from a later program.
+VERSION = 3
+READABLE = (1, 2, 3)
+#: What a field means where an older store does not have it; fields without an entry are null then.
+MISSING = {"edge_cut": 0.0, "perim_px": 0.0, "bright": 0.0, "pattern": "", "excluded": False, "unclassified": False, "user_solid": False}
 
 
 def load_particles(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
-    """Stored particles of known images. Columns added later than the file are null."""
-    stored = spark.read.schema(schema.PARTICLES).parquet(path)
-    return join_lookup(stored, images.select("image_id"), ["image_id"], "left_semi")
+    """Stored particles of known images, of every readable version in the store, brought to the present form.
+
+    Fields that came later get their meaning (a perimeter of 0 is one to be filled in, see `regions.backfill_perimeter`),
+    and rows are held to the present floor in pixels, which older stores may lie below. Folders of other versions are not
+    opened, nor are images dropped for them.
+    """
+    stored = (spark.read.schema(schema.PARTICLES + ", version int").option("basePath", path).parquet(path)
+              .where(F.col("version").isin(*READABLE)))
+    whole = stored.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in MISSING.items()} | {
+        "pattern_probs": F.coalesce("pattern_probs", F.array().cast("array<double>"))})
+    floored = whole.where(F.col("diam_px") >= K.MIN_COUNT_DIAM_PX).drop("version")
+    return join_lookup(floored, images.select("image_id"), ["image_id"], "left_semi")
 
 
-def save_particles(particles: DataFrame, path: str) -> None:
+def save_particles(particles: DataFrame, path: str, version: int = VERSION) -> None:
     """Store by image bucket: a bounded number of folders, pruned when an image is read."""
     bucket = F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("int")
     # rebalancing merges small writes and splits a bucket that one huge image fills
-    (particles.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
+    (particles.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite")
+     .partitionBy("bucket").parquet(f"{path}/version={version}"))
 
 
 def export_csv(particles: DataFrame, path: str, by_image: bool = False) -> None:
@@ -49,7 +64,8 @@ def guarded_save(df: DataFrame, root: str) -> int:
     """Save a new version of a store and return the version in force.
 
     An empty result never replaces a version that has rows. A save that loses rows leaves the version before as a
-    snapshot; the newest four snapshots and the fullest one are kept, other versions are no longer listed.
+    snapshot; the newest four snapshots and the fullest one are kept. Other versions leave the disk, once the ledger that
+    no longer lists them is written; one that an interrupted save left behind goes with the next.
     """
     spark = df.sparkSession
     saves = _ledger(spark, root)
@@ -59,12 +75,17 @@ def guarded_save(df: DataFrame, root: str) -> int:
     df.write.mode("overwrite").parquet(path)
     n = spark.read.parquet(path).count()
     if n == 0 and now is not None and now.n_rows:
+        delete_folder(spark, path)
         return now.version
     rows = [(root, r.version, r.ts, r.n_rows, "snapshot" if r.n_rows > n else "past") if r is now else tuple(r) for r in saves]
     snapshots = spark.createDataFrame([r for r in rows if r[4] == "snapshot"], LEDGER)
     kept = {r.version for r in keep_snapshots(snapshots, ["store"], "ts", "n_rows").collect()}
     rows = [r for r in rows if r[1] in kept] + [(root, version, datetime.datetime.now(), n, "in force")]
     spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{root}/ledger")
+    listed = {"ledger", *(f"version={r[1]}" for r in rows)}
+    for old in folders(spark, root):
+        if old not in listed:
+            delete_folder(spark, f"{root}/{old}")
     return version
 
 

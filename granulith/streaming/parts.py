@@ -12,6 +12,8 @@ writes the same again.
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from granulith.session import delete_folder
+
 KEY = "image_id"
 #: Every so many batches the index is read for parts to fold or delete.
 FOLD_EVERY = 8
@@ -47,11 +49,6 @@ def _of(rows: DataFrame, entries: DataFrame, batches: list[int]) -> DataFrame:
     return rows.where(F.col("batch_id").isin(batches)).join(live, [KEY, "version", "batch_id"], "left_semi")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def put(rows: DataFrame, images: DataFrame, root: str, batch_id: int, fold_every: int = FOLD_EVERY) -> None:
     """Store a batch: `rows` with image_id and version, and the (image_id, version) pairs it brings, also those without rows."""
     spark = rows.sparkSession
@@ -63,8 +60,8 @@ def put(rows: DataFrame, images: DataFrame, root: str, batch_id: int, fold_every
         before = _parts(known)
         for part in before:
             if part.live == 0:                                    # by batches that are done: no replay needs it
-                _delete(spark, f"{root}/rows/batch_id={part.batch_id}")
-                _delete(spark, f"{root}/index/batch_id={part.batch_id}")
+                delete_folder(spark, f"{root}/rows/batch_id={part.batch_id}")
+                delete_folder(spark, f"{root}/index/batch_id={part.batch_id}")
         gone = [part.batch_id for part in before if part.live == 0]
         known = known.where(~F.col("batch_id").isin(gone)) if gone else known
         coming = known.unionByName(brought.select(KEY, "version", F.lit(0).cast("long").alias("n_rows"), F.lit(False).alias("folded"),

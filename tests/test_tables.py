@@ -180,6 +180,19 @@ def test_history_and_guard(spark, tmp_path):
     assert session_tables.guarded_save(runs.limit(0), root) == 9
     got = {(r.version, r.state, r.n_rows) for r in session_tables.stored_versions(spark, root).collect()}
     assert got == {(9, "in force", 8), (2, "snapshot", 60), (5, "snapshot", 30), (6, "snapshot", 20), (7, "snapshot", 10), (8, "snapshot", 9)}
+    assert {f.name for f in pathlib.Path(root).iterdir()} == {"ledger", *(f"version={v}" for v, _, _ in got)}
+
+
+def test_stored_versions(spark, tmp_path, make):
+    path = str(tmp_path / "session")
+    rows = make([{"image_id": i, "perim_px": 5.0, "diam_px": 3.0 if i == 2 else 30.0, "unclassified": True} for i in range(6)])
+    late = ("perim_px", "unclassified", "user_solid", "user_measurable", "pattern_probs")
+    for version, images in ((1, "image_id = 0"), (2, "image_id in (1, 2)"), (3, "image_id in (3, 4)"), (4, "image_id = 5")):
+        some = rows.where(images)
+        session_tables.save_particles(some.drop(*late) if version == 1 else some, path, version)
+    got = {r.image_id: r for r in session_tables.load_particles(spark, path, rows.where("image_id <> 4").select("image_id")).collect()}
+    assert set(got) == {0, 1, 3} and (got[0].perim_px, got[0].unclassified, got[0].pattern_probs) == (0.0, False, [])
+    assert got[1].perim_px == 5.0 and got[3].unclassified and got[0].user_measurable is None
 
 
 def _size(folder):
