@@ -10,7 +10,10 @@ alone, stay these two pieces, and is forbidden otherwise. Exactly one path per p
 merges give.
 """
 
+import os
 import re
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,11 @@ from granulith.llm import flat
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Distinct words a task keeps from block to block before it starts anew.
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 18
 KEPT_PAIRS = 1 << 17
 BLOCK_CHARS = 2 << 20
+#: Longer words are walked in order.
+DEEP = 100
 UNIGRAM = 1
 
 
@@ -56,13 +61,17 @@ class Vocabulary:
         lens = np.array([len(r) for r in raw], np.int64)
         self.raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lens) - lens, lens
         self.stays: dict = {}
+        self.history: dict[int, list] = {}
         if not self.unigram:  # pieces that merging never produces can't be part of a path
             self.pieces = {p: i for p, i in self.pieces.items() if len(p) == 1 or self.merged(p) == [p]}
         #: Every ending of a piece, with the piece's id where the ending is itself a piece, else -1.
         self.endings = {p[k:]: -1 for p in self.pieces for k in range(len(p))} | self.pieces
 
-    def merged(self, text: str) -> list[str]:
-        """Merge the best-scored neighbouring pair, leftmost first, until none is a piece."""
+    def merged(self, text: str, steps: list | None = None) -> list[str]:
+        """Merge the best-scored neighbouring pair, leftmost first, until none is a piece.
+
+        `steps` takes, for each merge, its score and the first and last part that it leaves.
+        """
         parts, ids, score = list(text), self.pieces, self.score
         while len(parts) > 1:
             best, at = None, -1
@@ -73,66 +82,114 @@ class Vocabulary:
             if at < 0:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
         return parts
 
+    def _steps(self, piece: int) -> list:
+        if piece not in self.history:
+            steps: list = []
+            self.merged(self.text[piece], steps)
+            self.history[piece] = steps
+        return self.history[piece]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Replays the merges of a and of b side by side, the better one first, a's on a tie: nothing else can meet than
+        the part at a's right edge and the one at b's left edge."""
+        left, right, ids, score = self._steps(a), self._steps(b), self.pieces, self.score
+        edge, start, i, j = self.text[a][-1], self.text[b][0], 0, 0
+        while True:
+            x = left[i][0] if i < len(left) else None
+            y = right[j][0] if j < len(right) else None
+            met = ids.get(edge + start)
+            if met is not None and (x is None or score[met] > x) and (y is None or score[met] >= y):
+                return False
+            if x is None and y is None:
+                return True
+            if y is None or (x is not None and x >= y):
+                edge = left[i][2]
+                i += 1
+            else:
+                start = right[j][1]
+                j += 1
+
     def together(self, a: int, b: int) -> bool:
         """Whether pieces a and b, side by side, are left as they are by the merges."""
         key = a << 32 | b
         found = self.stays.get(key)
         if found is None:
             if len(self.stays) > KEPT_PAIRS:
-                self.stays.clear()
-            x, y = self.text[a], self.text[b]
-            found = self.stays[key] = self.merged(x + y) == [x, y]
+                self.stays = dict(islice(self.stays.items(), KEPT_PAIRS // 2, None))     # the older half goes
+            found = self.stays[key] = self._apart(a, b)
         return found
 
 
 class Trie:
-    """Forward states along the current path of the depth-first walk."""
+    """Forward states along the current path of the depth-first walk.
+
+    A unigram state needs those of all shorter prefixes. In a BPE vocabulary one path leads to each prefix, so only states
+    that a path asks for are made; they stay for the words that share the prefix.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.word = vocabulary, ""
         self.last, self.back, self.total = [-1], [0], [0.0]
 
+    def _pieces(self, i: int) -> list[tuple[int, int]]:
+        """Pieces that end at i, with their starts, shortest first."""
+        word, endings, found, j = self.word, self.v.endings, [], i - 1
+        while j >= 0 and (piece := endings.get(word[j:i])) is not None:
+            if piece >= 0:
+                found.append((piece, j))
+            j -= 1
+        return found
+
+    def _scored(self, i: int) -> None:
+        v, found, best = self.v, self._pieces(i), None
+        for piece, j in reversed(found):
+            s = self.total[j] + v.score[piece]
+            if best is None or s > best[0]:
+                best = s, piece, j
+        if not (found and found[0][1] == i - 1):
+            s = self.total[i - 1] + v.unknown_score
+            best = best if best and best[0] >= s else (s, -1, i - 1)
+        self.total[i], self.last[i], self.back[i] = best
+
+    def _merged(self, i: int) -> int:
+        """The last piece of the only path to i: the longest that stays apart from the path before it."""
+        last, together = self.last, self.v.together
+        for piece, j in reversed(self._pieces(i)):
+            before = last[j]
+            if before is None:
+                before = self._merged(j)
+            if before < 0 or together(before, piece):
+                last[i], self.back[i] = piece, j
+                return piece
+        last[i], self.back[i] = -1, i - 1                         # unknown character: its bytes
+        return -1
+
     def encode(self, word: str) -> list[int]:
-        v, endings = self.v, self.v.endings
-        shared = 0
-        for a, b in zip(word, self.word):
-            if a != b:
-                break
-            shared += 1
-        last, back, total = self.last, self.back, self.total
-        del last[shared + 1:], back[shared + 1:], total[shared + 1:]
-        for i in range(shared + 1, len(word) + 1):
-            found, j = [], i - 1
-            while j >= 0 and (piece := endings.get(word[j:i])) is not None:
-                if piece >= 0:
-                    found.append((piece, j))
-                j -= 1
-            best = None
-            for piece, j in reversed(found):  # longest first
-                if v.unigram:
-                    s = total[j] + v.score[piece]
-                    if best is None or s > best[0]:
-                        best = s, piece, j
-                elif last[j] < 0 or v.together(last[j], piece):
-                    best = 0.0, piece, j
-                    break
-            if v.unigram and not (found and found[0][1] == i - 1):
-                s = total[i - 1] + v.unknown_score
-                best = best if best and best[0] >= s else (s, -1, i - 1)
-            if best is None:
-                best = 0.0, -1, i - 1  # unknown character: its bytes
-            total.append(best[0])
-            last.append(best[1])
-            back.append(best[2])
+        v, shared = self.v, len(os.path.commonprefix([word, self.word]))
+        last, back = self.last, self.back
+        rest = len(word) - shared
+        for states, empty in ((last, None), (back, 0), (self.total, 0.0)):
+            del states[shared + 1:]
+            states += [empty] * rest
         self.word = word
+        if v.unigram or len(word) > DEEP:                            # in order, so that no state waits for many others
+            step = self._scored if v.unigram else self._merged
+            for i in range(1, len(word) + 1):
+                if last[i] is None:
+                    step(i)
         out, i = [], len(word)
         while i:
-            if last[i] < 0:
+            piece = last[i]
+            if piece is None:
+                piece = self._merged(i)
+            if piece < 0:
                 out += [v.byte_ids[b] for b in reversed(word[i - 1].encode())]
             else:
-                out.append(last[i])
+                out.append(piece)
             i = back[i]
         return out[::-1]
 
@@ -150,9 +207,11 @@ class Encoder:
 
     def __init__(self, model: bytes):
         self.v = _vocabulary(model)
-        self.v.stays.clear()
+        self.forget()
+
+    def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.rows: list[tuple[int, ...]] = []
+        self.kept, self.at = array("i"), array("q", [0])
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
@@ -165,17 +224,15 @@ class Encoder:
             else:
                 units.append(parts)
         if len(self.code) > KEPT_WORDS:
-            self.code, self.rows = {}, []
+            self.forget()
         code, trie = self.code, Trie(self.v)
         for w in sorted({u for us in units for u in us if u not in code}):
-            code[w] = len(self.rows)
-            self.rows.append(tuple(trie.encode(MARK + w)))
+            code[w] = len(code)
+            self.kept.extend(trie.encode(MARK + w))
+            self.at.append(len(self.kept))
         own = np.fromiter((code[u] for us in units for u in us), np.int64)
-        used, codes = np.unique(own, return_inverse=True)
-        rows = [self.rows[i] for i in used]
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        pieces = np.fromiter((i for r in rows for i in r), np.int32)
-        ids, n = ragged(pieces, np.cumsum(lens) - lens, lens, codes)
+        at = np.array(self.at)
+        ids, n = ragged(np.array(self.kept), at[:-1], np.diff(at), own)
         per_unit = np.concatenate([[0], np.cumsum(n)])
         at = np.cumsum([0, *map(len, units)])
         return ids, np.diff(per_unit[at])
