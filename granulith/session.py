@@ -90,8 +90,11 @@ def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     """Join a fact table to a lookup that holds one row per key (any rows for semi and anti joins).
 
     A plain equi-join, whatever the sizes: the adaptive planner sends the lookup around only if its measured size is
-    within the session's broadcast limit, and splits a key that owns a large part of the facts (see `tune`).
+    within the session's broadcast limit, and splits a key that owns a large part of the facts (see `tune`). It can split
+    only where both sides were shuffled for the join. A lookup that was grouped by the keys would go in as it is, so the
+    keys' hash joins too: the grouped rows, one per key, are then shuffled once more.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("a lookup join keeps the fact side")
-    return fact.join(lookup, keys, how)
+    own = F.hash(*keys)
+    return fact.withColumn("_own", own).join(lookup.withColumn("_own", own), [*keys, "_own"], how).drop("_own")

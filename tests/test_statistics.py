@@ -130,3 +130,26 @@ def test_sketch_is_close_to_exact(make):
     exact = stats.d_values(df, ["selection_id"]).collect()[0]
     sketch = stats.d_values_approx(df, ["selection_id"]).collect()[0]
     assert [sketch.d10, sketch.d50, sketch.d90] == pytest.approx([exact.d10, exact.d50, exact.d90], rel=0.05)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_heavy_key_of_a_grouped_lookup_is_split(spark, how):
+    """A third of the facts has one key, the lookup is an aggregate over that key: the final plan splits the join."""
+    from granulith.session import join_lookup
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"), F.sha1(F.col("id").cast("string")).alias("x"))
+        lookup = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"), "id").groupBy("k").agg(F.max("id").alias("m"))
+        out = join_lookup(fact, lookup, ["k"], how)
+        assert out.groupBy().agg(F.count("*")).first()[0] == 300_000 and "_own" not in out.columns
+        counted = out.agg(F.count("*"), F.max("x"), *[F.sum(c) for c in out.columns if c == "m"])
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
