@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granulith.session import write_and_read
+from granulith.session import join_lookup, write_and_read
 
 
 def _unite(batches):
@@ -36,16 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b), long and not null; component is the smallest node it reaches.
 
     Each round hangs nodes onto smaller ones (large star, then small star), with a minimum per node that is combined
-    before the shuffle, so a node with very many edges is no single task's work. Rounds are written to the shared
+    before the shuffle, and joins that split at run time, so a node with very many edges is no single task's work. Rounds are written to the shared
     folder; their number grows with the logarithm of the longest chain. No edges give no rows.
     """
     now = write_and_read(edges.select("a", "b").where("a <> b").mapInArrow(_unite, "v long, m long").distinct(), "components")
     while True:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).union(now.select("m", "v"))
         low = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("w > u").join(low, "u").select(F.col("w").alias("v"), F.col("low").alias("m"))
+        large = join_lookup(both.where("w > u"), low, ["u"]).select(F.col("w").alias("v"), F.col("low").alias("m"))
         least = large.groupBy("v").agg(F.min("m").alias("low"))
-        small = large.join(least, "v").select(F.inline(F.array(
+        small = join_lookup(large, least, ["v"]).select(F.inline(F.array(
             F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))))
         now = write_and_read(small.where("v <> m").distinct(), "components")
         # done once no node hangs on two, and none that others hang on hangs on another

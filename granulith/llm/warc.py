@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from granulith.llm import flat
-from granulith.session import scratch_path, write_and_read
+from granulith.session import join_lookup, scratch_path, write_and_read
 
 #: Frame that carries a dictionary in front of the records.
 DICTIONARY_FRAME = 0x184D2A5D
