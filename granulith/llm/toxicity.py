@@ -15,7 +15,9 @@ from granulith.llm import flat
 FIT_ROWS = 20_000
 #: Words a score may use, at most.
 FEATURES = 512
-#: A word enters if toxic texts hold it more or less often than others by so many standard errors.
+#: A word enters if so many of the texts hold it; those with the clearest difference between the classes come first.
+MIN_DOCS = 2
+#: A word's weight is held back the more, the fewer standard errors under this its difference between the classes is.
 EVIDENCE = 5.0
 SWAP_WEIGHT = 10.0
 RIDGE = 0.3
@@ -114,7 +116,7 @@ def train(toxic: np.ndarray, at: np.ndarray, slots: np.ndarray, swap_weight: flo
     z = np.abs(bad / n1 - (total - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     terms = [_slots(ts) for ts in IDENTITY]
     identity = np.isin(all_slots, np.concatenate(terms))
-    chosen = np.flatnonzero((z >= EVIDENCE) | identity)
+    chosen = np.flatnonzero((total >= MIN_DOCS) | identity)
     chosen = chosen[np.lexsort((-z[chosen], ~identity[chosen]))][:FEATURES]
     used = np.sort(all_slots[chosen])
     # swaps of a term that the texts never name lead to a word without weight: one more column each
@@ -124,22 +126,25 @@ def train(toxic: np.ndarray, at: np.ndarray, slots: np.ndarray, swap_weight: flo
     x[:, -1] = 1
     keep = np.isin(slots, used)
     x[text[keep], [columns[s] for s in slots[keep].tolist()]] = 1
-    # penalty on the change of the score when term a of a list becomes term b, for each text that names a
+    # penalty on the change of the score of each text that names a when it names b of the list instead; where it names
+    # both, b is there already and only a goes
     swaps = np.zeros((x.shape[1], x.shape[1]))
     for ts in terms:
         cols = [columns[s] for s in ts.tolist()]
-        for a in cols:
-            named = float(x[:, a].sum())
-            for b in cols:
-                if a != b and named:
-                    swaps[a, a] += named
-                    swaps[b, b] += named
-                    swaps[a, b] -= named
-                    swaps[b, a] -= named
+        both = x[:, cols].T.astype(float) @ x[:, cols]
+        for k, a in enumerate(cols):
+            for m, b in enumerate(cols):
+                if a != b:
+                    alone = both[k, k] - both[k, m]
+                    swaps[a, a] += both[k, k]
+                    swaps[b, b] += alone
+                    swaps[a, b] -= alone
+                    swaps[b, a] -= alone
     # the same texts with the term absent: a mention by itself must not move the score either
     for a in {columns[s] for ts in terms for s in ts.tolist()}:
         swaps[a, a] += float(x[:, a].sum())
     ridge = np.full(x.shape[1], RIDGE)
+    ridge[:len(used)] *= np.maximum(1.0, EVIDENCE / np.maximum(z[np.searchsorted(all_slots, used)], 1e-3)) ** 2
     ridge[-1] = 1e-6
     w = np.zeros(x.shape[1])
     w[-1] = base
@@ -160,7 +165,11 @@ def train(toxic: np.ndarray, at: np.ndarray, slots: np.ndarray, swap_weight: flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The model from the bounded sample; what reaches the driver is at most `rows` lists of distinct words."""
+    """The model from the bounded sample; what reaches the driver is at most `rows` lists of distinct words.
+
+    Null ids, null labels and null texts are not learned from or count as texts without words; an id with several labels
+    takes the largest, one with several rows counts each; ties in the order of the sample go to the smaller id. Without
+    labelled rows, or with one class, every score is the rate of the labels."""
     got = fit_rows(docs, labels, rows).toArrow()
     lists = got.column("slots").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -186,7 +195,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns as they were, whose text is not predicted to be toxic."""
+    """The rows of docs, all columns as they were, whose text is not predicted to be toxic. Null and empty texts get the
+    intercept's verdict, repeated rows and null ids are rows like others, an empty table stays empty."""
     def clean(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text], names=["text"])
         return pa.array(np.concatenate([np.zeros(0, bool), *[

@@ -32,6 +32,10 @@ def test_pipeline_stages(spark, tmp_path):
         out = spark.read.parquet(f"{tmp_path}/{k}")
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == columns
+        if name == "toxicity":
+            said = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").join(docs, "doc_id").where("crc32(cast(doc_id as string)) % 5 <> 0")
+            left = out.join(said, "doc_id", "left_semi").count()
+            assert said.count() >= 10 and left <= said.count() // 5 and out.count() >= before - 2 * said.count()
         if name == "line dedup":
             assert out.count() == before and out.where("n_chars <> length(text)").count() == 0
         if name == "near duplicates":
@@ -56,5 +60,13 @@ def test_pipeline_stages_take_odd_rows(spark, make_docs, corpus, tmp_path):
     assert docs.where("doc_id is null").count() == 2
 
 
+def test_pipeline_of_an_empty_table(spark, make_docs, tmp_path):
+    docs = make_docs([]).selectExpr("*", "length(text) as n_chars")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() == 0
+
+
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

@@ -249,6 +249,37 @@ def test_toxicity_held_out_and_swaps(make_docs, spark):
     assert toxicity.keep_clean(docs, model).count() == sum(r.predicted == 0 for r in got)
 
 
+def test_toxicity_fit_is_the_optimum(monkeypatch):
+    """The slope of the loss, summed over plain texts and their swapped copies one by one, is zero at the fitted weights."""
+    monkeypatch.setattr(toxicity, "IDENTITY", [["women", "men", "girls"], ["deaf", "blind"]])
+    r = np.random.default_rng(3)
+    texts = [set(r.choice(["good", "bad", "ugly", "women", "men", "deaf", "day", "sun"], r.integers(1, 6)).tolist()) for _ in range(80)]
+    toxic = np.array([int("bad" in t or ("men" in t and r.random() < .6)) for t in texts])
+    slot = dict(zip(names := ["good", "bad", "ugly", "women", "men", "girls", "deaf", "blind", "day", "sun"], toxicity._slots(names).tolist()))
+    lists = [sorted(slot[w] for w in t) for t in texts]
+    model = toxicity.train(toxic, np.cumsum([0, *map(len, lists)]), np.concatenate(lists))
+    w = dict(zip(model.slots.tolist(), model.weights.tolist()))
+    z = lambda t: model.intercept + sum(w.get(slot[x], 0.0) for x in t)
+    y, n1 = toxic, toxic.sum()
+
+    def slope(word):
+        total = sum((1 / (1 + math.exp(-z(t))) - y[i]) for i, t in enumerate(texts) if word in t)
+        for group in toxicity.IDENTITY:
+            for t in texts:
+                for a in set(group) & t:
+                    copies = [t - {a} | {b} for b in group if b != a] + [t - {a}]     # swapped for each other term, and without
+                    total += toxicity.SWAP_WEIGHT / 2 * sum((z(c) - z(t)) * ((word in c) - (word in t)) for c in copies)
+        held = np.array([word in t for t in texts])
+        p = held.mean()
+        se = math.sqrt(p * (1 - p) * (1 / n1 + 1 / (len(y) - n1))) if 0 < p < 1 else 1e-6
+        evidence = abs(held[y == 1].mean() - held[y == 0].mean()) / se
+        strength = toxicity.RIDGE * (max(1.0, toxicity.EVIDENCE / max(evidence, 1e-3)) ** 2 if held.any() else 1.0)
+        return total + strength * w.get(slot[word], 0.0)
+
+    assert any({"women", "men"} <= t for t in texts) and len(w) >= 9
+    assert max(abs(slope(word)) for word in names) < 0.02 and w[slot["bad"]] > 1.0
+
+
 def test_toxicity_without_labels(make_docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(make_docs([(1, "a")]), none)
