@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from granulith.functions import naming as N
 from granulith.operators.ranking import distributed_row_number
-from granulith.session import join_lookup
+from granulith.session import join_lookup, write_and_read
 
 
 def parsed(photos: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def plan(photos: DataFrame, path: str) -> DataFrame:
     Numbers take the code most of their photos spell out; a number without one
     borrows the library's only code. A leftover group needs two photos.
     """
-    p = parsed(photos)
+    p = write_and_read(parsed(photos), "names")               # read five times below
     coded = p.where("num is not null and prefix is not null")
     codes = _commonest(coded, ["num"], "prefix", path, "_code")
     lone = (coded.groupBy("prefix").agg(F.count("*").alias("_n"))
