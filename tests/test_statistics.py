@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granulith.operators import histogram, ranking, stats, volume
+from granulith.operators import histogram, ranking, stats, tiles, volume
 
 RNG = np.random.default_rng(3)
 
@@ -153,3 +153,61 @@ def test_heavy_key_of_a_grouped_lookup_is_split(spark, how):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture(scope="module")
+def shared(make, spark):
+    """Photos of several selections, the particles, and the same particles once per selection."""
+    r = np.random.default_rng(12)
+    rows = [dict(image_id=int(i), diam_nm=float(np.round(r.lognormal(5.7, .5), 1)), is_solid=bool(r.random() < .5), perim_px=float(r.uniform(110, 150)),
+                 pattern=str(r.choice(["", "janus", "stripe", "lamellar"])), solidity=float(r.choice([.95, .95, .5])), excluded=bool(r.random() < .1),
+                 detector=["CBS", "ETD", ""][i % 3], unclassified=bool(r.random() < .1)) for i in r.integers(0, 12, 1500)]
+    df = make(rows)
+    members = spark.createDataFrame([(i, s) for i in range(12) for s in ("all", f"g{i % 4}", f"i{i}") if (i, s) != (3, "g3")] + [(99, "none")],
+                                    "image_id long, selection_id string")
+    return df, members, df.join(members, "image_id")
+
+
+def _close(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    return a == b
+
+
+@pytest.mark.parametrize("name", ["size_summary", "image_stats", "pooled_detectors", "d_values", "class_sizes", "class_counts", "sphericity", "solid_split",
+                                  "majority_solid_above", "range_share", "volume_shares", "half_volume_count", "histogram", "stacked", "composition_per_bin",
+                                  "volume_histogram", "pattern_size", "in_range_composition", "axis_helpers", "tiles"])
+def test_members_give_what_copied_rows_give(shared, name):
+    df, members, copied = shared
+    fn = next(getattr(m, name) for m in (stats, volume, histogram, tiles) if hasattr(m, name))
+    more = {"range_share": (200.0, 400.0), "stacked": ("pattern",), "composition_per_bin": ("pattern",), "volume_histogram": ("pattern",),
+            "pattern_size": ("pattern",), "in_range_composition": ("pattern", 200.0, 400.0)}.get(name, ())
+    rows = [sorted((tuple(r) for r in fn(d, ["selection_id"], *more, **k).collect()), key=lambda r: repr(r[:1]) + repr([x for x in r[1:] if not isinstance(x, float)]))
+            for d, k in ((df, {"members": members}), (copied, {}))]
+    assert len(rows[0]) == len(rows[1]) > 0
+    assert all(_close(a, b) for x, y in zip(*rows) for a, b in zip(x, y))
+
+
+def test_only_crossing_bins_are_opened(spark):
+    """Of values that hardly repeat, a percentile opens a few coarse bins and then a few fine ones."""
+    df = spark.range(200_000).select(F.col("id") % 40, F.exp(5 + F.randn(3) / 2).alias("v")).toDF("image_id", "v")
+    members = spark.range(40).select(F.col("id").alias("image_id"), F.lit("all").alias("s"))
+    half = F.floor((F.col("all_n") - 1) / 2)
+    pick = lambda level: level.where((half >= F.col("before_n")) & (half < F.col("before_n") + F.col("n")))
+    coarse, fine, values = ranking.drill(df, ["s"], "v", {"n": F.lit(1)}, pick, members)
+    seen = [level.agg(F.sum("n")).first()[0] for level in (coarse, fine, values)]
+    assert seen[0] == 200_000 and seen[1] < 0.03 * seen[0] and seen[2] < 0.01 * seen[1]
+
+
+def test_no_particle_is_copied_for_a_selection(spark):
+    """In the plans the members join sums of photos: between the scan of the particles and that join stands an aggregate."""
+    from granulith import plans
+    for name in ("e07_class_counts", "e11_volume_shares", "e15_histogram"):
+        text = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        lines = text.splitlines()
+        assert not any("explode" in x and "lineitem" in x for x in lines)
+        for k, line in enumerate(lines):
+            if "Generate explode(array(concat(image-" in line:      # the memberships: a leaf side of a join on sums
+                own = line.index("Generate")
+                join = max(j for j in range(k) if "Join" in lines[j] and lines[j].index("Join") < own)
+                assert "Aggregate" in lines[join + 1] or "Aggregate" in lines[join + 2] or "Aggregate" in lines[join + 3], (name, text)
