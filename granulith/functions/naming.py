@@ -52,14 +52,21 @@ def composed(s: Column) -> Column:
     return _normal(s, "compose", False)
 
 
+def bare(s: Column) -> Column:
+    """Letters taken apart, in any script, without their marks; ligatures, Roman numerals and full-width forms become the
+    plain ones, all Turkish i's become "i"."""
+    t = F.translate(_normal(s, "decompose", True), "ıİI", "iii")
+    return F.when(s.rlike(_NOT_ASCII), F.regexp_replace(t, MARKS, "")).otherwise(t)
+
+
 def fold(s: Column) -> Column:
-    """Lower case, no marks, separators as single spaces; all Turkish i's become "i".
+    """Lower case, no marks, separators as single spaces."""
+    return folded(bare(s))
 
-    Letters are taken apart first, in any script; ligatures, Roman numerals and full-width forms become the plain ones.
-    """
-    t = F.translate(_normal(s, "decompose", True), "ıİI", "iii")
-    t = F.when(s.rlike(_NOT_ASCII), F.regexp_replace(t, MARKS, "")).otherwise(t)
-    t = F.regexp_replace(F.lower(t), rf"[|_/\\{DASHES}.,()\[\]*]+", " ")
+
+def folded(s: Column) -> Column:
+    """`fold` of what is bare already."""
+    t = F.regexp_replace(F.lower(s), rf"[|_/\\{DASHES}.,()\[\]*]+", " ")
     return F.trim(F.regexp_replace(t, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
@@ -130,18 +137,6 @@ def _replace_first(s: Column, pattern: str) -> Column:
     return F.when(at > 0, F.concat(head, F.lit(" "), tail)).otherwise(s)
 
 
-def group(stem: Column) -> Column:
-    """struct(name, key, known): region folder, "Patterned", or the leftover text."""
-    return _read(stem, lambda s: _group(fold(s), _leftover(s)))
-
-
-def _group(folded: Column, rest: Column) -> Column:
-    reg = region(folded)
-    name = F.when(reg.isNotNull(), reg).when(has_pattern_word(folded), PATTERNED).otherwise(rest)
-    known = reg.isNotNull() | has_pattern_word(folded)
-    return F.struct(name.alias("name"), fold(name).alias("key"), known.alias("known"))
-
-
 def read_once(photos: DataFrame) -> DataFrame:
     """The photos with prefix, num, name, key and known read from their `stem`; each step is a column of its own, so no
     name is composed or folded twice."""

@@ -73,12 +73,15 @@ def range_sentence(k: Column, n: Column, mean: Column, lo: float | None, hi: flo
 
 
 def natural_key(s: Column) -> Column:
-    """Sort key under which "Janus 2" comes before "Janus 10"; numbers of any length, their digit count in front."""
-    from granulith.functions.naming import fold
+    """Sort key under which "Janus 2" comes before "Janus 10"; numbers of any length, their digit count in front.
+
+    Full-width digits count as digits."""
+    from granulith.functions.naming import bare, folded
     digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
-    parts = F.regexp_extract_all(s, F.lit(r"(\d+|\D+)"), F.lit(1))
+    # a call into a library can't stand inside a lambda, so the whole text is made bare before it is cut
+    parts = F.regexp_extract_all(bare(s), F.lit(r"(\d+|\D+)"), F.lit(1))
     keyed = F.transform(parts, lambda p: F.when(
         p.rlike(r"^\d+$"),
         F.concat(F.lpad(F.length(digits(p)).cast("string"), F.lit(10), F.lit("0")), digits(p)))
-        .otherwise(fold(p)))
+        .otherwise(folded(p)))
     return F.array_join(keyed, "\u0001")

@@ -86,7 +86,7 @@ def _(w):
     return naming.export_names(w.images.select("image_id", stem.alias("stem"), text.clean_title(stem).alias("title")), "line")
 
 
-_KEYED = f"""list_aggregate(list_transform(regexp_extract_all(stem,'(\\d+|\\D+)'), lambda x: case when regexp_full_match(x,'\\d+') then lpad(cast(length(regexp_replace(x,'^0+(\\d)','\\1')) as varchar),10,'0')||regexp_replace(x,'^0+(\\d)','\\1') else {FOLD.format(x='x')} end), 'string_agg', chr(1))"""
+_KEYED = f"""list_aggregate(list_transform(regexp_extract_all(translate(stem,'１','1'),'(\\d+|\\D+)'), lambda x: case when regexp_full_match(x,'\\d+') then lpad(cast(length(regexp_replace(x,'^0+(\\d)','\\1')) as varchar),10,'0')||regexp_replace(x,'^0+(\\d)','\\1') else {FOLD.format(x='x')} end), 'string_agg', chr(1))"""
 
 
 @query("g06_natural_key", NAMED_SQL + f"select image_id, variant, coalesce({_KEYED},'') as sort_key from named_images")
