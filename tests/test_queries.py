@@ -1,8 +1,8 @@
-"""Registered queries against their SQL: every day another third by default, ALL_QUERIES=1 runs every one."""
+"""Registered queries against their SQL: a third, chosen by name, by default; ALL_QUERIES=1 runs every one."""
 
 import math
 import os
-import time
+import zlib
 
 import duckdb
 import pytest
@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SOME = ["b09_reclassify", "c06_cross_check", "d01_view_overlay", "e00_size_report", "e13_tiles", "f02_evaluation_report",
         "f06_fit_thresholds", "g01_review_queue", "i05_plan", "k05_perimeter", "a03_read_labels", "j01_incremental_ingest"]
 ALL = sorted(plans.queries())
-NAMES = ALL if os.environ.get("ALL_QUERIES") else sorted({*SOME, *ALL[int(time.time()) // 86400 % 3::3]})
+NAMES = ALL if os.environ.get("ALL_QUERIES") else sorted({*SOME, *(n for n in ALL if zlib.crc32(n.encode()) % 3 == 0)})
 
 
 @pytest.fixture(scope="module")
