@@ -35,8 +35,12 @@ MERGE = 3 << 20
 #: Bytes scored with one set of strings, and strings of whole trees worked on together.
 UNIT_BYTES = 16 << 20
 HELD_STRINGS = 1 << 18
-#: Strings in one row of a request.
+#: Strings in one row of a request or of counts.
 ROW_STRINGS = 1 << 13
+#: Buckets are the upper bits of a 16-bit hash of the two context bytes before a byte (of a word: of the word itself).
+BUCKET_BITS = 11
+#: Counts below this have their log gamma in a table.
+SMALL = 1 << 12
 WORD, GRAM = 0, 1
 
 
@@ -73,27 +77,73 @@ def _merged(parts):
 
 
 def strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each byte of the texts of `stream` with the DEPTH bytes before it, as a number, text by text."""
+    """Each byte of the texts of `stream` below the DEPTH bytes before it, as a number, text by text. The latest byte stands
+    first, so that sorted numbers keep the contexts of every depth together."""
     code = np.zeros(len(data) - DEPTH, np.int64)
-    for j in range(DEPTH + 1):
+    for j in range(DEPTH - 1, -1, -1):
         code = code << 8 | data[j:len(data) - DEPTH + j]
+    code = code << 8 | data[DEPTH:]
     scored = np.ones(len(code), bool)  # the padding in front of each text is context only
     scored[(at[1:-1, None] - DEPTH + np.arange(DEPTH)).ravel()] = False
     return code[scored]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted numbers as compressed byte planes of their steps."""
+    with np.errstate(over="ignore"):
+        return _planes(np.diff(keys, prepend=0))
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(packed))
+
+
+def _bucket(keys: np.ndarray, kind: int) -> np.ndarray:
+    own = keys >> 32 if kind == GRAM else keys
+    return ((own & 65535) * 40503 & 65535) >> 16 - BUCKET_BITS
+
+
+def _by_bucket(keys: np.ndarray, kind: int):
+    """Stretches (bucket, places) of sorted distinct keys, at most ROW_STRINGS in each, sorted within."""
+    bucket = _bucket(keys, kind)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else []
+    for lo, hi in zip(first, [*first[1:], len(keys)]):
+        for at in range(lo, hi, ROW_STRINGS):
+            yield int(bucket[lo]), order[at:min(hi, at + ROW_STRINGS)]
+
+
+COUNTS = "kind int, bucket int, keys binary, n binary"
+
+
+def _count_rows(kind: int, keys: np.ndarray, counts: np.ndarray):
+    rows = [(bucket, _pack(keys[i]), _planes(counts[i])) for bucket, i in _by_bucket(keys, kind)]
+    for lo in range(0, len(rows), 256):
+        bucket, k, n = zip(*rows[lo:lo + 256])
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k), pa.int32()), pa.array(bucket, pa.int32()), pa.array(k, pa.binary()),
+                                          pa.array(n, pa.binary())], names=["kind", "bucket", "keys", "n"])
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): words by hash in the training texts and strings of DEPTH + 1 bytes in all texts, with their number
-    in the training texts, summed in tasks first."""
+    """Packed counts (COUNTS): words by hash in the training texts and strings of DEPTH + 1 bytes in all texts, with their
+    number in the training texts, summed in tasks, then by bucket."""
     def run(batches):
         parts = {WORD: [], GRAM: []}
 
         def rows(kind):
             keys, counts = _merged(parts[kind])
             parts[kind] = []
-            for lo in range(0, len(keys), 1 << 16):
-                k = keys[lo:lo + (1 << 16)]
-                yield flat.records(["kind", "key", "n"], [np.full(len(k), kind, np.int8), k, counts[lo:lo + (1 << 16)]])
+            yield from _count_rows(kind, keys, counts)
 
         for block in flat.blocks(batches):
             words = flat.Words(block, flat.lower_table())
@@ -114,8 +164,34 @@ def counted(docs: DataFrame) -> DataFrame:
             if parts[kind]:
                 yield from rows(kind)
 
-    made = docs.select("text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, "kind byte, key long, n long")
-    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def join(batches):
+        own, parts, size = None, [], 0
+        for kind, bucket, rows in _runs(batches, "kind", "bucket"):
+            if (kind, bucket) != own:
+                if parts:
+                    yield from _count_rows(own[0], *_merged(parts))
+                own, parts, size = (kind, bucket), [], 0
+            for k, n in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist()):
+                parts.append((_unpack(k), _numbers(n)))
+                size += len(parts[-1][0])
+                if size > MERGE:
+                    parts = [_merged(parts)]
+                    size = len(parts[0][0]) // 2                  # merged again once half as much has come
+        if parts:
+            yield from _count_rows(own[0], *_merged(parts))
+
+    made = docs.select("text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, COUNTS)
+    return made.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(join, COUNTS)
+
+
+def unpacked(counts: DataFrame, kind: int, name: str) -> DataFrame:
+    """Rows (name, c) of packed counts."""
+    def run(batches):
+        for batch in batches:
+            for k, n in zip(*(c.to_pylist() for c in batch.columns)):
+                yield flat.records([name, "c"], [_unpack(k), _numbers(n)])
+
+    return counts.where(F.col("kind") == kind).select("keys", "n").mapInArrow(run, f"{name} long, c long")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -127,9 +203,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - shift
 
 
+_tables: dict[float, np.ndarray] = {}
+
+
+def _log_gamma_of(count: np.ndarray, more: float) -> np.ndarray:
+    """`log_gamma` of whole counts plus `more`, most of which are small."""
+    if more not in _tables:
+        _tables[more] = log_gamma(np.arange(SMALL) + more)
+    out = _tables[more][np.minimum(count, SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(count >= SMALL)
+    out[large] = log_gamma(count[large] + more)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimator gives a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+    return _log_gamma_of(a, 0.5) + _log_gamma_of(b, 0.5) - _log_gamma_of(a + b, 1.0) - np.log(np.pi)
 
 
 def _evidence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,68 +237,60 @@ def _mix(a, b, below, rest_a, rest_b):
 
 
 def _trees(code: np.ndarray, n: np.ndarray, least: int):
-    """Per bit of the last byte, the trees below contexts of two bytes: bit and row of each string, and of each row
-    (context of DEPTH bytes, bits before) its node of depth 2 and the probability of a one there."""
+    """Per bit of the last byte, the trees below contexts of two bytes: the strings' order, bit and row, and of each row
+    (context of DEPTH bytes, bits before) its node of depth 2 and the probability of a one there.
+
+    `code` has the strings of a context side by side. An order by the bits before alone keeps it so, and the contexts of
+    every depth are runs of neighbours.
+    """
+    context, byte = code >> 8, code & 255
     big = {}
     for d in range(2, DEPTH + 1):
-        _, i = np.unique(code >> 8 & (1 << 8 * d) - 1, return_inverse=True)
-        big[d] = np.bincount(i, n)[i] >= least
-    byte = code & 255
+        short = context >> 8 * (DEPTH - d)
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+        big[d] = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.append(first, len(code))))
     for j in range(8):
-        bit = byte >> 7 - j & 1
-        key, at, row = np.unique(code >> 8 << 8 | 1 << j | byte >> 8 - j, return_index=True, return_inverse=True)
-        a, b = np.bincount(row, n * (1 - bit)), np.bincount(row, n * bit)
-        mixed, p, node, up = _evidence(a, b), (b + 0.5) / (a + b + 1), big[DEPTH][at], np.arange(len(key))
+        before = 1 << j | byte >> 8 - j
+        order = np.argsort(before.astype(np.uint8), kind="stable") if j else np.arange(len(code))
+        c, t, bit, count = context[order], before[order], (byte >> 7 - j & 1)[order], n[order]
+        other, apart = t[1:] != t[:-1], c[1:] ^ c[:-1]
+        first = {d: np.concatenate([[True], other | (apart >> 8 * (DEPTH - d) != 0)]) for d in range(2, DEPTH + 1)}
+        at, row = np.flatnonzero(first[DEPTH]), np.cumsum(first[DEPTH]) - 1
+        a, b = np.add.reduceat(count * (1 - bit), at), np.add.reduceat(count * bit, at)
+        mixed, p, node, up = _evidence(a, b), (b + 0.5) / (a + b + 1), big[DEPTH][order[at]], np.arange(len(at))
         for d in range(DEPTH - 1, 1, -1):
-            key, first, i = np.unique((key >> 8 & (1 << 8 * d) - 1) << 8 | key & 255, return_index=True, return_inverse=True)
-            size, rest = len(key), ~node
-            below, rest_a, rest_b = (np.bincount(i, x, size) for x in (mixed * node, a * rest, b * rest))
-            a, b = np.bincount(i, a, size), np.bincount(i, b, size)
+            head = first[d][at]
+            begin, i, rest = np.flatnonzero(head), np.cumsum(head) - 1, ~node
+            below, rest_a, rest_b = (np.add.reduceat(x, begin) for x in (mixed * node, a * rest, b * rest))
+            a, b = np.add.reduceat(a, begin), np.add.reduceat(b, begin)
             mixed, stay, estimate, leaf = _mix(a, b, below, rest_a, rest_b)
             deep, up = np.where(node[up], p, leaf[i[up]]), i[up]
             p = stay[up] * estimate[up] + (1 - stay[up]) * deep
-            at = at[first]
-            node = big[d][at]
-        yield bit, row, up, p, key, a, b, mixed, node
+            at = at[begin]
+            node = big[d][order[at]]
+        # of each node: its two context bytes, the later one first, and the bits before
+        yield order, bit, row, up, p, c[at] >> 8 * (DEPTH - 2), t[at], a, b, mixed, node
 
 
 def _whole_trees(batches):
-    """(code, n) of all strings below some contexts of two bytes; rows come sorted by these."""
+    """(code, n) of all strings below some contexts of two bytes; rows come sorted by bucket."""
     held, size = [], 0
-    for batch in batches:
-        held.append(tuple(c.to_numpy() for c in batch.columns))
-        size += batch.num_rows
-        if size >= HELD_STRINGS:
-            suffix, code, n = (np.concatenate(x) for x in zip(*held))
-            last = int(np.searchsorted(suffix, suffix[-1]))
-            if last:
-                yield code[:last], n[:last]
-            held, size = [(suffix[last:], code[last:], n[last:])], 0
+    for _, _, rows in _runs(batches, "bucket", "kind"):
+        bucket = rows.column(rows.schema.names.index("bucket"))[0].as_py()
+        if held and size >= HELD_STRINGS and bucket != held[-1][0]:
+            yield np.concatenate([k for _, k, _ in held]), np.concatenate([n for _, _, n in held])
+            held, size = [], 0
+        for k, n in zip(*(rows.column(rows.schema.names.index(c)).to_pylist() for c in ("keys", "n"))):
+            held.append((bucket, _unpack(k), _numbers(n)))
+            size += len(held[-1][1])
     if held:
-        _, code, n = (np.concatenate(x) for x in zip(*held))
-        if len(code):
-            yield code, n
+        yield np.concatenate([k for _, k, _ in held]), np.concatenate([n for _, _, n in held])
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted numbers as compressed byte planes of their steps."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
-
-
-def _requests(unit: int, keys: np.ndarray, shift: int):
+def _requests(unit: int, keys: np.ndarray):
     """(unit, bucket, keys) of a unit's sorted distinct strings."""
-    bucket = ((keys >> 8 & 65535) * 40503 & 65535) >> shift
-    order = np.argsort(bucket, kind="stable")
-    keys, bucket = keys[order], bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for lo, hi in zip(first, [*first[1:], len(keys)]):
-        for at in range(lo, hi, ROW_STRINGS):
-            yield unit, int(bucket[lo]), _pack(keys[at:min(hi, at + ROW_STRINGS)])
+    for bucket, i in _by_bucket(keys, GRAM):
+        yield unit, bucket, _pack(keys[i])
 
 
 def _runs(batches, *names):
@@ -222,27 +303,28 @@ def _runs(batches, *names):
                 yield x[lo], y[lo], batch.slice(lo, hi - lo)
 
 
-def bucket_shift(counts: DataFrame) -> int:
-    """Buckets are the upper bits of a 16-bit hash of two context bytes; how many bits to drop for about HELD_STRINGS each."""
-    return 16 - min(16, max(4, (counts.where(F.col("kind") == GRAM).count() // HELD_STRINGS).bit_length()))
+def _ordered(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings with those of a context side by side; parts of a bucket may come in any order."""
+    order = np.argsort(code, kind="stable")
+    return code[order], n[order]
 
 
-def answers(counts: DataFrame, requests: DataFrame, shift: int) -> DataFrame:
+def answers(counts: DataFrame, requests: DataFrame) -> DataFrame:
     """(unit, keys, p) for (unit, bucket, keys): log10 of the probability of each string's last byte after those before it."""
     grams = counts.where(F.col("kind") == GRAM)
-    total = grams.agg(F.sum("n")).first()[0] or 0
+    total = unpacked(counts, GRAM, "key").agg(F.sum("c")).first()[0] or 0 if SHARE < 62 else 0
     least = max(1, -(-total >> SHARE))
-    dealt = grams.select(F.expr("(key >> 8) & 65535").alias("suffix"), "key", "n").repartition("suffix").sortWithinPartitions("suffix")
 
     def sums(batches):
         for code, n in _whole_trees(batches):
-            for _, _, _, _, key, a, b, mixed, node in _trees(code, n, least):
-                k, i = np.unique((key >> 8 & 255) << 8 | key & 255, return_inverse=True)
+            for _, _, _, _, _, context, t, a, b, mixed, node in _trees(*_ordered(code, n), least):
+                k, i = np.unique(context >> 8 << 8 | t, return_inverse=True)
                 yield flat.records(["k", "a", "b", "mixed", "rest_a", "rest_b"], [k, *(
                     np.bincount(i, x, len(k)) for x in (a, b, mixed * node, a * ~node, b * ~node))])
 
     # at most 256 contexts of one byte with 255 decisions each
-    got = dealt.mapInArrow(sums, "k long, a double, b double, mixed double, rest_a double, rest_b double").groupBy("k").agg(
+    got = grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        sums, "k long, a double, b double, mixed double, rest_a double, rest_b double").groupBy("k").agg(
         *(F.sum(c).alias(c) for c in ("a", "b", "mixed", "rest_a", "rest_b"))).toArrow()
     a, b, below, rest_a, rest_b = np.zeros((5, 256, 256))
     k = got.column("k").to_numpy()
@@ -257,11 +339,11 @@ def answers(counts: DataFrame, requests: DataFrame, shift: int) -> DataFrame:
     def logs(code, n):
         node1, (stay1, estimate1, leaf1), (stay0, estimate0, leaf0) = head.value
         out = np.zeros(len(code))
-        for bit, row, up, p, key, _, _, _, node2 in _trees(code, n, least):
-            c, t = (key >> 8 & 255)[up], (key & 255)[up]
+        for order, bit, row, up, p, context, t, _, _, _, node2 in _trees(code, n, least):
+            c, t = (context >> 8)[up], t[up]
             p = stay1[c, t] * estimate1[c, t] + (1 - stay1[c, t]) * np.where(node2[up], p, leaf1[c, t])
             p = stay0[t] * estimate0[t] + (1 - stay0[t]) * np.where(node1[c], p, leaf0[t])
-            out += np.log10(np.where(bit == 1, p[row], 1 - p[row]))
+            out[order] += np.log10(np.where(bit == 1, p[row], 1 - p[row]))
         return out.astype(np.float32)
 
     def run(batches):
@@ -271,13 +353,11 @@ def answers(counts: DataFrame, requests: DataFrame, shift: int) -> DataFrame:
                 bucket, parts, code = own, [], None
             column = dict(zip(rows.schema.names, rows.columns))
             if not asked:
-                parts.append((column["key"].to_numpy(), column["n"].to_numpy()))
+                parts += [(_unpack(k), _numbers(n)) for k, n in zip(column["keys"].to_pylist(), column["n"].to_pylist())]
                 continue
             if code is None:
-                code, n = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(code)
-                code, parts = code[order], []
-                p = logs(code, n[order])
+                code, n = _ordered(*(np.concatenate(x) for x in zip(*parts)))
+                parts, p = [], logs(code, n)
             got = []
             for packed in column["keys"].to_pylist():
                 keys = _unpack(packed)
@@ -287,10 +367,8 @@ def answers(counts: DataFrame, requests: DataFrame, shift: int) -> DataFrame:
                 got.append(p[i].tobytes())
             yield flat.records(["unit", "keys", "p"], [column["unit"], column["keys"], pa.array(got, pa.binary())])
 
-    trees = grams.select(F.expr(f"cast((((key >> 8) & 65535) * 40503 & 65535) >> {shift} as int)").alias("bucket"),
-                         F.lit(False).alias("asked"), "key", "n", F.lit(0).cast("long").alias("unit"), F.lit(None).cast("binary").alias("keys"))
-    asked = requests.select("bucket", F.lit(True).alias("asked"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"),
-                            "unit", "keys")
+    trees = grams.select("bucket", F.lit(False).alias("asked"), F.lit(0).cast("long").alias("unit"), "keys", "n")
+    asked = requests.select("bucket", F.lit(True).alias("asked"), "unit", "keys", F.lit(None).cast("binary").alias("n"))
     return trees.union(asked).repartition("bucket").sortWithinPartitions("bucket", "asked").mapInArrow(
         run, "unit long, keys binary, p binary")
 
@@ -315,7 +393,7 @@ def _scored(batches):
         at = np.cumsum([0, *map(len, data)])
         code = strings(np.frombuffer(b"".join(data), np.uint8), at)
         score = np.bincount(np.repeat(np.arange(len(data)), np.diff(at) - DEPTH), p[np.searchsorted(key, code)], len(data))
-        yield flat.records([*field, "score"], [*field.values(), score])
+        yield flat.records([*field, "unit", "score"], [*field.values(), np.full(len(data), own), score])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -327,28 +405,27 @@ def score(docs: DataFrame) -> DataFrame:
     frequent words reach every task; those of all others are joined per word and text.
     """
     spark = flat.in_small_batches(docs).sparkSession
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    rows = docs.select("doc_id", "text")
     counts = write_and_read(counted(docs), "counts")
-    words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    words = unpacked(counts, WORD, "word")
     tokens, kinds = words.agg(F.sum("c"), F.count("*")).first()
     tokens, kinds = tokens or 0, kinds or 0
     ends = words.where(F.col("word") == int(END_TOKEN)).agg(F.sum("c")).first()[0] or 0  # known to every text, however rare
     top = words.where(F.col("word") != int(END_TOKEN)).orderBy(F.desc("c"), "word").limit(TOP_WORDS).toArrow()
     key, c = top.column("word").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(key)
-    shift = bucket_shift(counts)
     most = spark.sparkContext.broadcast((key[order], c[order]))
     floor = float(np.log10(tokens + kinds + 1))
     rest = kinds - (ends > 0) > len(key)
 
     def run(batches):
         top, top_n = most.value
-        unit, size, met = uuid.uuid4().int >> 65, 0, []
+        unit, size, met, place = uuid.uuid4().int >> 65, 0, [], 0
         z = zstandard.ZstdCompressor(level=3)
 
         def ask():
             keys = np.unique(np.concatenate(met))
-            rows = [{"unit": u, "bucket": k, "keys": x} for u, k, x in _requests(unit, keys, shift)]
+            rows = [{"unit": u, "bucket": k, "keys": x} for u, k, x in _requests(unit, keys)]
             for lo in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist(rows[lo:lo + 64], schema)
 
@@ -374,15 +451,15 @@ def score(docs: DataFrame) -> DataFrame:
             tf = np.diff(np.append(first, len(pair)))
             last = pa.array(np.searchsorted(text[pair[first]], np.arange(n + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                block.column("doc_id"), block.column("row"), pa.array(ws.counts() + 1), pa.array(n_known), pa.array(gain),
+                block.column("doc_id"), pa.array(np.arange(place, place + n)), pa.array(ws.counts() + 1), pa.array(n_known), pa.array(gain),
                 pa.array(np.diff(at) - DEPTH), pa.array([z.compress(raw[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary()),
                 pa.array(np.full(n, unit)), pa.ListArray.from_arrays(last, pa.array(h[pair[first]])),
                 pa.ListArray.from_arrays(last, pa.array(tf, pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 schema=schema)
-            size += len(data)
+            size, place = size + len(data), place + n
             if size >= UNIT_BYTES:
                 yield from ask()
-                unit, size, met = uuid.uuid4().int >> 65, 0, []
+                unit, size, met, place = uuid.uuid4().int >> 65, 0, [], 0
         if met:
             yield from ask()
 
@@ -392,17 +469,17 @@ def score(docs: DataFrame) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(made))
     both = write_and_read(rows.mapInArrow(run, made), "texts")
     texts = both.where("bucket is null")
-    answered = answers(counts, both.where("bucket is not null").select("unit", "bucket", "keys"), shift)
+    answered = answers(counts, both.where("bucket is not null").select("unit", "bucket", "keys"))
     text = F.struct("doc_id", "row", "n_tokens", "known", "gain", "n_bytes", "data")
     scored = texts.select("unit", F.lit(True).alias("is_text"), text.alias("text")).unionByName(
         answered.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
-    scored = scored.repartition("unit").sortWithinPartitions("unit", "is_text").mapInArrow(_scored, f"{own}, score double")
-    rare = texts.select("doc_id", "row", F.explode(F.arrays_zip("word", "tf")).alias("w")).select(
-        "doc_id", "row", "w.word", "w.tf").distinct()
-    found = rare.join(words, "word").groupBy("doc_id", "row").agg(
+    scored = scored.repartition("unit").sortWithinPartitions("unit", "is_text").mapInArrow(_scored, f"{own}, unit long, score double")
+    # a text is its unit and its place there
+    rare = texts.select("unit", "row", F.explode(F.arrays_zip("word", "tf")).alias("w")).select("unit", "row", "w.word", "w.tf")
+    found = rare.join(words, "word").groupBy("unit", "row").agg(
         F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more_gain"), F.sum("tf").alias("more_known"))
     a, b = scored.alias("a"), found.alias("b")
-    out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row") == F.col("b.row")), "left")
+    out = a.join(b, ["unit", "row"], "left")
     return out.select(
         "a.doc_id", held_out(F.col("a.doc_id")).alias("held_out"), "a.n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
