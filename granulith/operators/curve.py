@@ -1,8 +1,9 @@
 """Learning-curve analysis: collapsed points, the saturating fit, verdicts and export."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granulith import constants as K
+from granulith.session import settle
 
 
 def collapsed(points: DataFrame, keys: list[str], y: str = "acc") -> DataFrame:
@@ -12,34 +13,52 @@ def collapsed(points: DataFrame, keys: list[str], y: str = "acc") -> DataFrame:
         F.max(y).alias("hi"), F.count("*").alias("reps")))
 
 
+def _bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _candidate(c: Column) -> Column:
+    """Least squares for one exponent, from a key's `_log` (log of n over the least n) and `_dy` (y less its mean)."""
+    k = F.size("_log")
+
+    def solved(x):
+        return _bound(F.struct((_sum(x) / k).alias("mx"), _sum(F.zip_with(x, "_dy", lambda u, v: u * v)).alias("xy"),
+                           _sum(F.transform(x, lambda u: u * u)).alias("xx")),
+                      lambda t: _bound(t["xy"] / F.nullif(t["xx"] - k * t["mx"] * t["mx"], F.lit(0.0)), lambda slope: F.struct(
+                          F.greatest(F.lit(0.0), F.col("_yy") - slope * t["xy"]).alias("sse"), c.alias("c"),
+                          (F.col("_my") - slope * (t["mx"] + 1)).alias("a"), (-slope * F.pow("n_min", c)).alias("b"))))
+
+    # n^-c over its largest value, less 1: no digits are lost where all n are alike
+    return _bound(F.transform("_log", lambda v: F.expm1(-c * v)), solved)
+
+
 def fit(points: DataFrame, keys: list[str]) -> DataFrame:
     """y = a - b * n^-c per key: scan 196 exponents, least squares for a and b, lowest error wins.
 
-    Per exponent the regression needs five sums, so all keys are fitted in one
-    aggregation; a degenerate design (one size only) drops out as null.
+    A key's collapsed points, one for each fraction measured, are one row, and the scan is an expression of that row: no
+    exponent becomes a row, so nothing is shuffled or broadcast for them. A degenerate design (one size only) drops out
+    as null; so does a key with a size that is not above 0.
     """
-    rows = collapsed(points, keys)
-    whole = rows.groupBy(*keys).agg(
-        F.count("*").alias("_k"), F.max("y").alias("_ymax"), F.avg("y").alias("_ymean"),
-        F.var_pop("y").alias("_yvar"), F.min("n").alias("n_min"), F.max("n").alias("n_max")).where("_k >= 3")
     first, last, count = K.CURVE_C
-    c = F.lit(first) + F.col("_i") * F.lit((last - first) / (count - 1))
-    scan = (rows.select(*keys, "n", "y", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_i"))
-            .withColumn("c", c).withColumn("x", F.pow(F.col("n"), -F.col("c"))))
-    sums = scan.groupBy(*keys, "_i", "c").agg(
-        F.count("*").alias("_n"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"),
-        F.covar_pop("x", "y").alias("_sxy"), F.var_pop("x").alias("_sxx"), F.var_pop("y").alias("_syy"))
-    slope = F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0))
-    cand = (sums.withColumn("_slope", slope).where("_slope is not null")
-            .withColumn("b", -F.col("_slope"))
-            .withColumn("a", F.col("_my") - F.col("_slope") * F.col("_mx"))
-            .withColumn("sse", F.greatest(F.lit(0.0), F.col("_n") * (F.col("_syy") - F.col("_slope") * F.col("_sxy")))))
-    best = (cand.join(whole, keys)
-            .where((F.col("b") > 0) & (F.col("a") > F.col("_ymax") - 1e-9) & (F.col("a") <= 1.0))
-            .groupBy(*keys).agg(F.min(F.struct("sse", "c", "a", "b", "_k", "_yvar", "n_min", "n_max")).alias("f")))
-    ss_tot = F.col("f._k") * F.col("f._yvar")
+    point = F.when(F.col("n").isNotNull(), F.struct("n", "y"))
+    whole = collapsed(points, keys).groupBy(*keys).agg(
+        F.count("*").alias("_k"), F.max("y").alias("_ymax"), F.var_pop("y").alias("_yvar"), F.min("n").alias("n_min"),
+        F.max("n").alias("n_max"), F.array_sort(F.collect_list(point)).alias("_p")).where("_k >= 3 and n_min > 0")
+    whole = settle(whole, {"_my": _sum(F.col("_p.y")) / F.size("_p"), "_log": F.transform("_p", lambda p: F.ln(p["n"] / F.col("n_min")))})
+    whole = settle(whole, {"_dy": F.transform("_p", lambda p: p["y"] - F.col("_my"))})
+    whole = settle(whole, {"_yy": _sum(F.transform("_dy", lambda d: d * d))})
+    scan = F.transform(F.sequence(F.lit(0), F.lit(count - 1)),
+                       lambda i: _bound(F.lit(first) + i * F.lit((last - first) / (count - 1)), _candidate))
+    usable = F.filter(scan, lambda f: (f["b"] > 0) & (f["a"] > F.col("_ymax") - 1e-9) & (f["a"] <= 1.0))
+    best = settle(whole, {"f": F.array_min(usable)}).where("f is not null")
+    ss_tot = F.col("_k") * F.col("_yvar")
     return best.select(*keys, "f.a", "f.b", "f.c", "f.sse", (F.col("f.a") < 0.99).alias("ceiling_identified"),
-                       (1 - F.col("f.sse") / F.nullif(ss_tot, F.lit(0.0))).alias("r2"), "f.n_min", "f.n_max")
+                       (1 - F.col("f.sse") / F.nullif(ss_tot, F.lit(0.0))).alias("r2"), "n_min", "n_max")
 
 
 def project(fits: DataFrame, n: str) -> DataFrame:

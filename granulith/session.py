@@ -75,6 +75,14 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found if f.isDirectory())
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are about to become many, dealt out by `keys` over all shuffle partitions.
+
+    A number that is given is kept: the adaptive planner would merge partitions by what they hold before the rows multiply.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read the files back.
 
