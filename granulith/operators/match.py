@@ -46,7 +46,10 @@ def match_labels(labels: DataFrame, particles: DataFrame, pixels: DataFrame | No
 
 
 def at_points(points: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Particle under each query point (image_id, point_id, px, py); background gives null."""
+    """Particle under each query point (image_id, point_id, px, py); background gives null.
+
+    Both sides are shuffled and sorted: pixels often come from few rows, whose size would have them all sent around.
+    """
     cut = (points.withColumn("x", F.col("px").cast("int")).withColumn("y", F.col("py").cast("int")))
     mask = pixels.where("label <> 0").select("image_id", "x", "y", F.col("label").alias("particle_id"))
-    return cut.join(mask, ["image_id", "x", "y"], "left").select("image_id", "point_id", "particle_id")
+    return cut.join(mask.hint("merge"), ["image_id", "x", "y"], "left").select("image_id", "point_id", "particle_id")

@@ -6,6 +6,7 @@ from granulith import constants as K
 from granulith.operators import match, regions
 from granulith.plans.registry import query
 from granulith.plans.statistics import rounded
+from granulith.session import spread
 
 W, H = 64, 48
 # a disc, an ellipse, a disc cut by the left frame and a thin bar; sizes follow the image number
@@ -19,7 +20,7 @@ PX = f""", px0 as (select image_id, cast(y as int) as y, cast(x as int) as x fro
 
 
 def pixels(w):
-    grid = (w.images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(H - 1))).alias("y"))
+    grid = (spread(w.images.select("image_id"), "image_id").select("image_id", F.explode(F.sequence(F.lit(0), F.lit(H - 1))).alias("y"))
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(W - 1)))))
     return (grid.withColumn("label", F.expr(_LABEL).cast("int"))
             .withColumn("grey", (F.lit(100) + F.col("label") * 20 + (F.col("x") + F.col("y")) % 7).cast("int")))

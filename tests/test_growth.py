@@ -49,3 +49,16 @@ def test_power_law_equals_least_squares(spark):
         if found:
             assert (got[run].sse, got[run].c, got[run].a, got[run].b) == pytest.approx(min(found), rel=1e-6)
     assert 30 not in got and len(got) > 6
+
+
+def test_pixels_made_from_few_rows_are_not_sent_around(spark):
+    """A few image rows look small enough for a broadcast, their pixels are not."""
+    from granulith.operators import match
+    side = F.sequence(F.lit(0), F.lit(39))
+    pixels = (spark.range(3).select(F.col("id").alias("image_id"), F.explode(side).alias("y")).withColumn("x", F.explode(side))
+              .withColumn("label", F.when(F.col("x") > F.col("y"), F.col("x")).otherwise(0)))
+    points = spark.range(300).selectExpr("id % 4 image_id", "id point_id", "id % 45 + 0.5 px", "id % 7 + 0.9 py")
+    found = match.at_points(points, pixels)
+    assert "Broadcast" not in _plan(found)
+    want = {i: i % 45 if i % 4 < 3 and i % 45 < 40 and i % 45 > i % 7 else None for i in range(300)}
+    assert {r.point_id: r.particle_id for r in found.collect()} == want
