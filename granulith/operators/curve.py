@@ -110,15 +110,16 @@ def export_table(points: DataFrame, by_instrument: DataFrame, instruments: list[
     `recalls` (run_id, frac, draw, class, recall) holds what was measured; a class without held-out particles is empty.
     """
     key = ["run_id", "frac", "draw"]
-    wide = (by_instrument.groupBy(*key).pivot("instrument", instruments)
-            .agg(F.round(F.first("acc_instrument"), 5)))
-    named = wide.select(*key, *[F.col(f"`{i}`").alias(f"acc_{i.replace(' ', '_')}") for i in instruments])
+    # a plain maximum per column is one hash aggregation; a pivot is two, and sorts
+    of = lambda column, name, value: F.round(F.max(F.when(F.col(column) == name, F.col(value))), 5)
+    named = by_instrument.groupBy(*key).agg(*[of("instrument", i, "acc_instrument").alias(f"acc_{i.replace(' ', '_')}") for i in instruments])
     out = (points.select(*key, "n_train", F.round("acc", 5).alias("held_out_accuracy"),
                          F.round("acc_train", 5).alias("train_accuracy")).join(named, key, "left")
            .withColumnsRenamed({"frac": "fraction_of_pool", "n_train": "particles_train"}))
     if recalls is None:
         return out
-    per_class = recalls.groupBy(*key).pivot("class", classes).agg(F.round(F.first("recall"), 5)).withColumnRenamed("frac", "fraction_of_pool")
+    per_class = (recalls.groupBy(*key).agg(*[of("class", c, "recall").alias(c) for c in classes])
+                 .withColumnRenamed("frac", "fraction_of_pool"))
     return out.join(per_class, ["run_id", "fraction_of_pool", "draw"], "left")
 
 
