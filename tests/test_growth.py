@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from granulith import constants as K, plans
+from granulith.fixtures import Workbench
 from granulith.operators import curve
+from granulith.plans import curves
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +64,19 @@ def test_pixels_made_from_few_rows_are_not_sent_around(spark):
     assert "Broadcast" not in _plan(found)
     want = {i: i % 45 if i % 4 < 3 and i % 45 < 40 and i % 45 > i % 7 else None for i in range(300)}
     assert {r.point_id: r.particle_id for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["a07_curve_export", "f12_curve_points", "f12b_curve_by_instrument", "f15_instrument_gap", "f15b_capacity"])
+def test_runs_are_dealt_out_before_they_become_points(spark, name):
+    """The tasks that read the small file of runs hold no points; one run's points lie together, so nothing else moves them."""
+    w = Workbench(spark, SF)
+    if name == "a07_curve_export":                               # the query itself reads what was written
+        text = _plan(curve.export_table(w.curve_points, curves.by_instrument(w), ["CBS", "ETD"], curves.recalls(w)))
+    else:
+        text = _sql_plan(name, spark)
+    dealt = [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x]
+    assert dealt and "pivotfirst" not in text
+    lines = text.splitlines()
+    made = [i for i, x in enumerate(lines) if "BroadcastNestedLoopJoin" in x]
+    assert made and all(any("REPARTITION_BY_NUM" in x for x in lines[i:i + 4]) for i in made)
+    assert not any("HashAggregate" in x or "Generate" in x for i in made for x in lines[i:i + 4])
