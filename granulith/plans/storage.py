@@ -140,7 +140,7 @@ def _(w):
 def _(w):
     """Two streams over an inbox: the whole table first, then corrections, then a part of the photos again, cut differently.
 
-    The statistics are what the stateful stream wrote, after a restart from its checkpoint.
+    The statistics are what the second stream wrote, after a restart from its checkpoint.
     """
     from granulith.fixtures import Workbench
     inbox, table, totals, edits, marks, more_marks = (scratch_path(w.spark, n) for n in ("inbox", "ingested", "totals", "edits", "marks", "marks"))

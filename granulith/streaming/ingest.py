@@ -2,13 +2,11 @@
 
 Photos arrive as particle files in folders `delivery=N`; a photo that comes again in a later delivery replaces what was
 there. Two streams read the same inbox, each with its own checkpoint: `start` stores the decided particles, `run_stats`
-keeps each photo's size statistics in a state store.
+keeps each photo's size statistics, as sums of what each batch brought.
 """
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from granulith import constants as K, schema as S
 from granulith.functions import gates
@@ -77,80 +75,59 @@ def current_overrides(spark: SparkSession, table: str, path: str) -> DataFrame:
 
 # --- running statistics ---------------------------------------------------------------
 _COUNTS = ["count_total", "count_measured", "n_solid", "n_flat", "n_excluded", *[f"n_{p}" for p in K.PATTERNS]]
-_SIZES = ["mean_nm", "m2", "min_nm", "max_nm"]
-_STATE = ("delivery long, classifiable boolean, has_patterns boolean, " + ", ".join(f"{c} long" for c in _COUNTS)
-          + ", " + ", ".join(f"{c} double" for c in _SIZES))
-_FIELDS = [f.split()[0] for f in _STATE.split(", ")]
+_FLAGS = ["classifiable", "has_patterns"]
 STATS = ("image_id long, delivery long, classifiable boolean, has_patterns boolean, " + ", ".join(f"{c} long" for c in _COUNTS)
          + ", mean_nm double, std_nm double, min_nm double, max_nm double")
 
 
-def _add(s: dict, rows: pd.DataFrame) -> None:
-    """Merge rows of one photo into its state; means and squared deviations merge without cancellation."""
-    flat = rows.classifiable & ~rows.is_solid & ~rows.excluded & ~rows.unclassified
-    s["count_total"] += len(rows)
-    s["n_solid"] += int((rows.classifiable & rows.is_solid).sum())
-    s["n_flat"] += int(flat.sum())
-    s["n_excluded"] += int(rows.excluded.sum())
-    s["classifiable"] |= bool(rows.classifiable.any())
-    s["has_patterns"] |= bool((rows.classifiable & rows.has_probs).any())
-    for p in K.PATTERNS:
-        s[f"n_{p}"] += int((rows.is_solid & (rows.pattern == p)).sum())
-    sizes = rows.diam_nm[rows.measured].dropna()
-    if len(sizes):
-        held, n = s["count_measured"], s["count_measured"] + len(sizes)
-        mean = float(sizes.mean())
-        apart = mean - s["mean_nm"]
-        s["m2"] += float(((sizes - mean) ** 2).sum()) + apart * apart * held * len(sizes) / n
-        s["mean_nm"] += apart * len(sizes) / n
-        s["min_nm"] = min(s["min_nm"], float(sizes.min())) if held else float(sizes.min())
-        s["max_nm"] = max(s["max_nm"], float(sizes.max()))
-    s["count_measured"] += int(rows.measured.sum())
-
-
-def _update(key, frames, state: GroupState):
-    """State of a photo after a batch: a newer delivery starts anew, the same one adds, an older one is left out."""
-    s = dict(zip(_FIELDS, state.get)) if state.exists else None
-    for rows in frames:
-        newest = int(rows.delivery.max())
-        if s is None or newest > s["delivery"]:
-            s = dict.fromkeys(_FIELDS, 0) | dict.fromkeys(_SIZES, 0.0) | {"delivery": newest, "classifiable": False, "has_patterns": False}
-        rows = rows[(rows.delivery == s["delivery"]) & rows.counted]
-        if len(rows):
-            _add(s, rows)
-    state.update(tuple(s[f] for f in _FIELDS))
-    n = s["count_measured"]
-    out = {"image_id": key[0], **s, "std_nm": (s["m2"] / n) ** 0.5 if n else 0.0}
-    if not s["classifiable"]:
-        out |= {"n_solid": None, "n_flat": None}
-    yield pd.DataFrame([[out[f.split()[0]] for f in STATS.split(", ")]], columns=[f.split()[0] for f in STATS.split(", ")], dtype=object)
-
-
-def running_stats(decided: DataFrame) -> DataFrame:
-    """Size and class statistics of each photo of a streaming frame of decided rows, kept in the state store.
-
-    A photo's row comes again whenever a batch brings it (update mode). The order statistics are not among them: they
-    can't be kept in bounded state. Photos of any size pass in pieces of an Arrow batch.
+def partial_stats(decided: DataFrame) -> DataFrame:
+    """Size and class statistics of decided rows, per photo and delivery, in a form that adds up.
+
+    A photo without a counted row has its row too. The order statistics are not among them: they don't add up.
     """
-    flags = ["counted", "measured", "classifiable", "is_solid", "excluded", "unclassified"]
-    rows = decided.select("image_id", "delivery", "diam_nm", F.coalesce("pattern", F.lit("")).alias("pattern"),
-                          F.coalesce(gates.has_probs(), F.lit(False)).alias("has_probs"), *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])
-    return rows.groupBy("image_id").applyInPandasWithState(_update, STATS, _STATE, "update", GroupStateTimeout.NoTimeout)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    counted, judged, solid = yes(F.col("counted")), yes(F.col("classifiable")), yes(F.col("is_solid"))
+    flat = judged & ~solid & ~yes(F.col("excluded")) & ~yes(F.col("unclassified"))
+    size = F.when(counted & yes(F.col("measured")) & ~F.isnan("diam_nm"), F.col("diam_nm"))
+    n = lambda c: F.count_if(counted & c)
+    return decided.groupBy("image_id", "delivery").agg(
+        F.bool_or(counted & judged).alias("classifiable"),
+        F.bool_or(counted & judged & yes(gates.has_probs())).alias("has_patterns"),
+        F.count_if(counted).alias("count_total"), n(yes(F.col("measured"))).alias("count_measured"), n(judged & solid).alias("n_solid"),
+        n(flat).alias("n_flat"), n(yes(F.col("excluded"))).alias("n_excluded"),
+        *[n(solid & yes(F.col("pattern") == p)).alias(f"n_{p}") for p in K.PATTERNS],
+        F.count(size).alias("_n"), F.avg(size).alias("_mean"), (F.var_pop(size) * F.count(size)).alias("_m2"),
+        F.min(size).alias("min_nm"), F.max(size).alias("max_nm"))
+
+
+def merged_stats(partials: DataFrame) -> DataFrame:
+    """One row per photo from the partial statistics of its newest delivery; squared deviations merge without cancellation."""
+    own = Window.partitionBy("image_id")
+    mean = F.sum(F.col("_n") * F.col("_mean")).over(own) / F.nullif(F.sum("_n").over(own), F.lit(0))
+    apart = F.col("_mean") - F.col("mean_nm")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = partials.withColumn("mean_nm", mean).groupBy("image_id").agg(
+        F.max("delivery").alias("delivery"), *[F.bool_or(c).alias(c) for c in _FLAGS], *[F.sum(c).alias(c) for c in _COUNTS],
+        zero(F.max("mean_nm")).alias("mean_nm"),
+        zero(F.sqrt(F.sum(F.col("_m2") + F.col("_n") * apart * apart) / F.nullif(F.sum("_n"), F.lit(0)))).alias("std_nm"),
+        zero(F.min("min_nm")).alias("min_nm"), zero(F.max("max_nm")).alias("max_nm"))
+    judged = lambda c: F.when(F.col("classifiable"), F.col(c)).alias(c)
+    return out.select(*[judged(c) if c in ("n_solid", "n_flat") else c for c in out.columns])
 
 
 def run_stats(spark: SparkSession, schema: T.StructType, source: str, table: str, checkpoint: str,
               prepare=decide, files_per_batch: int = 1000, fold_every: int = parts.FOLD_EVERY, **options: str) -> StreamingQuery:
     """Bring the statistics of every photo under `source` up to date in `table`, then stop; a later call goes on from the
-    checkpoint's state. A batch writes the photos it changes."""
+    checkpoint. A batch adds one row for each photo it brings; a newer delivery voids a photo's rows, see `parts`."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        # written once: each action on the batch would run the stateful step again
-        rows = write_and_read(batch.withColumn("version", F.lit(batch_id).cast("long")), "stats")
+        # written once: each action on the batch would sum its particles again
+        rows = write_and_read(partial_stats(prepare(batch)).withColumnRenamed("delivery", "version"), "stats")
         parts.put(rows, rows, table, batch_id, fold_every)
 
-    return _run(running_stats(prepare(_inbox(spark, schema, source, files_per_batch, options))), write, checkpoint, "update")
+    return _run(_inbox(spark, schema, source, files_per_batch, options), write, checkpoint, "append")
 
 
 def stats_now(spark: SparkSession, table: str) -> DataFrame:
     """The newest statistics of every photo; no rows if there are none."""
     rows = parts.current(spark, table)
-    return spark.createDataFrame([], STATS) if rows is None else rows.drop("version")
+    return spark.createDataFrame([], STATS) if rows is None else merged_stats(rows.withColumnRenamed("version", "delivery"))

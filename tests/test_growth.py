@@ -80,3 +80,18 @@ def test_runs_are_dealt_out_before_they_become_points(spark, name):
     made = [i for i, x in enumerate(lines) if "BroadcastNestedLoopJoin" in x]
     assert made and all(any("REPARTITION_BY_NUM" in x for x in lines[i:i + 4]) for i in made)
     assert not any("HashAggregate" in x or "Generate" in x for i in made for x in lines[i:i + 4])
+
+
+def test_statistics_of_a_stream_are_sums(spark, tmp_path, make):
+    """A batch adds one row for each photo it brings, made by plain aggregation: no state is kept or updated photo by photo."""
+    from granulith.streaming import ingest
+    inbox, table, marks = (str(tmp_path / n) for n in ("inbox", "table", "marks"))
+    df = make([{"image_id": i % 4, "particle_id": i, "diam_nm": 100.0 + i} for i in range(40)])
+    df.orderBy("particle_id").repartitionByRange(4, "particle_id").write.parquet(f"{inbox}/delivery=0")
+    ingest.run_stats(spark, df.schema, inbox, table, marks, files_per_batch=1).awaitTermination()
+    assert not (tmp_path / "marks" / "state").exists()
+    assert spark.read.parquet(f"{table}/rows").count() == 16
+    got = {r.image_id: r for r in ingest.stats_now(spark, table).collect()}
+    for i in range(4):
+        sizes = 100.0 + np.arange(i, 40, 4)
+        assert (got[i].count_total, got[i].mean_nm, got[i].std_nm) == pytest.approx((10, sizes.mean(), sizes.std()))
