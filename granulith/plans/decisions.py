@@ -6,6 +6,7 @@ from granulith import constants as K
 from granulith.functions import classes, gates, text
 from granulith.operators import thresholds as thr
 from granulith.plans.registry import query
+from granulith.session import spread
 
 IDS = ["image_id", "particle_id"]
 
@@ -178,7 +179,8 @@ def named_images(w):
     """Every image once under its own name (variant -1) and once under each extra spelling."""
     spellings = [F.struct(F.lit(-1).alias("variant"), F.regexp_replace("image", r"\.jpeg$", "").alias("stem"))]
     spellings += [F.struct(F.lit(i).alias("variant"), F.lit(n).alias("stem")) for i, n in enumerate(NAMES)]
-    return (w.images.select("image_id", F.explode(F.array(*spellings)).alias("s"))
+    # names take long to read, and the few tasks that read the images would read them all
+    return (spread(w.images.select("image_id", "image"), "image_id").select("image_id", F.explode(F.array(*spellings)).alias("s"))
             .select("image_id", "s.variant", "s.stem"))
 
 

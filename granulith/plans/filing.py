@@ -7,6 +7,7 @@ from granulith.operators import library, naming
 from granulith.plans.decisions import NAMED_SQL, named_images
 from granulith.plans.registry import query
 from granulith.plans.statistics import _TITLE
+from granulith.session import settle
 
 # the compatible forms that occur in the names are spelt out here
 _PLAIN = "replace(replace(translate({x}, 'ＡＢ１', 'AB1'), 'ﬁ', 'fi'), 'Ⅳ', 'IV')"
@@ -56,9 +57,9 @@ def _(w):
 
 @query("i03_known_words", FILED + "select image_id, variant, region, pat as has_pattern from p2")
 def _(w):
-    f = N.fold(F.col("stem"))
-    return named_images(w).select("image_id", "variant", N.region(f).alias("region"),
-                                  N.has_pattern_word(f).alias("has_pattern"))
+    # folded once, not for each word that is looked for
+    folded, f = settle(named_images(w), {"_folded": N.fold(F.col("stem"))}), F.col("_folded")
+    return folded.select("image_id", "variant", N.region(f).alias("region"), N.has_pattern_word(f).alias("has_pattern"))
 
 
 @query("i04_group", FILED + "select image_id, variant, name, key, known from p4")

@@ -95,3 +95,11 @@ def test_statistics_of_a_stream_are_sums(spark, tmp_path, make):
     for i in range(4):
         sizes = 100.0 + np.arange(i, 40, 4)
         assert (got[i].count_total, got[i].mean_nm, got[i].std_nm) == pytest.approx((10, sizes.mean(), sizes.std()))
+
+
+def test_names_are_dealt_out_and_folded_once(spark):
+    text = plans.queries()["i03_known_words"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    made = [i for i, x in enumerate(lines) if "Generate explode" in x]
+    assert made and any("REPARTITION_BY_NUM" in x for x in lines[made[-1]:])
+    assert text.count("com.ibm.icu") <= 2
