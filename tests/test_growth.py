@@ -103,3 +103,21 @@ def test_names_are_dealt_out_and_folded_once(spark):
     made = [i for i, x in enumerate(lines) if "Generate explode" in x]
     assert made and any("REPARTITION_BY_NUM" in x for x in lines[made[-1]:])
     assert text.count("com.ibm.icu") <= 2
+
+
+def test_masks_as_runs_match_as_pixels(spark, make):
+    """Overlapping runs, some longer than a stretch and some left of the image, against pixels that the lowest id owns."""
+    from granulith.operators import match
+    rng = np.random.default_rng(2)
+    runs = [(int(i), int(p), int(y), int(x), int(x + n)) for i, p, y, x, n in zip(
+        rng.integers(0, 2, 60), rng.integers(1, 30, 60), rng.integers(0, 6, 60), rng.integers(-3, 150, 60), rng.integers(0, 90, 60))]
+    masks = spark.createDataFrame(runs, "image_id long, label long, y int, x0 int, x1 int")
+    owned = {}
+    for i, p, y, x0, x1 in runs:
+        for x in range(x0, x1 + 1):
+            owned[i, y, x] = min(p, owned.get((i, y, x), p))
+    parts = make([{"image_id": i, "particle_id": p, "cx": 1000.0, "cy": 1000.0} for i in range(2) for p in range(1, 25)])
+    labels = spark.createDataFrame([(i, 100 * y + x, x + 0.25, y - 0.25) for i in range(2) for y in range(6) for x in range(0, 200, 3)],
+                                   "image_id long, label_id long, cx double, cy double")
+    got = {(r.image_id, r.cy + 0.25, r.cx - 0.25): r.particle_id for r in match.match_labels(labels, parts, runs=masks).collect()}
+    assert got == {k: owned[k] if owned.get(k, 99) < 25 else None for k in got} and len(got) == 804 and any(got.values())
