@@ -129,7 +129,7 @@ def _(w):
     gold = w.labels.where("set_name = 'golden'")
     label_files.save_confirmed(rows, gold, path)
     label_files.save_confirmed(rows.where("image_id % 5 = 0 and label_id % 2 = 0"), gold, path)
-    return w.spark.read.parquet(path).groupBy("image_id").agg(
+    return label_files.read_confirmed(w.spark, path).groupBy("image_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("class") == "exclude").alias("n_excluded"))
 
 

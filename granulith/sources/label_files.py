@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granulith import schema
 from granulith.operators.labels import refuse_golden
+from granulith.streaming import parts
 
 _FIELDS = ["class", "source", "cx", "cy", "diam_nm", "model_cls", "conf", "rank", "n_items"]
 
@@ -47,9 +48,17 @@ def label_documents(labels: DataFrame, slice_ids: int = 10000) -> DataFrame:
 
 
 def save_confirmed(labels: DataFrame, golden: DataFrame, path: str) -> None:
-    """Upsert confirmed photos: their partitions are replaced, golden photos are refused.
+    """Upsert confirmed photos: what they held before is void, golden photos are refused.
 
-    `labels` and `golden` carry image_id; labels also carries the partition column `stem`.
+    `labels` and `golden` carry image_id. A save is a part of a table (see `streaming.parts`), so the folders grow with the
+    saves, not with the photos.
     """
-    (refuse_golden(labels, golden).hint("rebalance", "stem").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("stem").parquet(path))
+    number = parts.next_batch(labels.sparkSession, path)
+    rows = refuse_golden(labels, golden).withColumn("version", F.lit(number).cast("long"))
+    parts.put(rows, rows, path, number)
+
+
+def read_confirmed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The labels of every photo's newest save, or None if nothing is saved."""
+    rows = parts.current(spark, path)
+    return None if rows is None else rows.drop("version")

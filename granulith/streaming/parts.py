@@ -99,6 +99,13 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
     return rows.where(F.col("batch_id").isin(whole)).unionByName(_of(rows, index, partly)).drop("batch_id")
 
 
+def next_batch(spark: SparkSession, root: str) -> int:
+    """The number of the next batch, where no stream gives one. A batch that was interrupted has no entries; its number comes again."""
+    index = _read(spark, f"{root}/index")
+    last = None if index is None else index.agg(F.max("batch_id")).first()[0]
+    return 0 if last is None else int(last) + 1
+
+
 def newest(spark: SparkSession, root: str) -> DataFrame:
     """(image_id, version): the newest version stored of every image."""
     index = _read(spark, f"{root}/index")

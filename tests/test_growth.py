@@ -121,3 +121,16 @@ def test_masks_as_runs_match_as_pixels(spark, make):
                                    "image_id long, label_id long, cx double, cy double")
     got = {(r.image_id, r.cy + 0.25, r.cx - 0.25): r.particle_id for r in match.match_labels(labels, parts, runs=masks).collect()}
     assert got == {k: owned[k] if owned.get(k, 99) < 25 else None for k in got} and len(got) == 804 and any(got.values())
+
+
+def test_confirmed_photos_make_no_folders(spark, tmp_path):
+    """Many photos saved, a part of them again with fewer labels: folders grow with the saves."""
+    from granulith.sources import label_files
+    path = str(tmp_path / "confirmed")
+    rows = spark.range(900).selectExpr("id % 300 image_id", "concat('p', id % 300) stem", "id label_id", "'janus' class")
+    gold = spark.range(3).selectExpr("id image_id")
+    label_files.save_confirmed(rows, gold, path)
+    label_files.save_confirmed(rows.where("image_id % 5 = 0 and label_id < 300"), gold, path)
+    assert sum(p.is_dir() for p in (tmp_path / "confirmed").rglob("*")) < 10
+    got = {r.image_id: r["count"] for r in label_files.read_confirmed(spark, path).groupBy("image_id").count().collect()}
+    assert got == {i: 1 if i % 5 == 0 else 3 for i in range(3, 300)}
