@@ -40,12 +40,16 @@ def save_particles(particles: DataFrame, path: str, version: int = VERSION) -> N
      .partitionBy("bucket").parquet(f"{path}/version={version}"))
 
 
+#: Rows of one exported file: a compressed file is read by one task.
+EXPORT_ROWS = 1_000_000
+
+
 def export_csv(particles: DataFrame, path: str, by_image: bool = False) -> None:
-    """Per-particle CSV; arrays are written as text joined by spaces."""
+    """Per-particle CSV, compressed, in files of bounded size; arrays are written as text joined by spaces."""
     flat = particles.select(*[
         F.concat_ws(" ", F.transform(F.col(c), lambda v: v.cast("string"))).alias(c) if t.startswith("array")
         else F.col(c) for c, t in particles.dtypes])
-    w = flat.write.mode("overwrite").option("header", True)
+    w = flat.write.mode("overwrite").option("header", True).option("compression", "gzip").option("maxRecordsPerFile", EXPORT_ROWS)
     (w.partitionBy("image_id") if by_image else w).csv(path)
 
 

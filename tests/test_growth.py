@@ -134,3 +134,14 @@ def test_confirmed_photos_make_no_folders(spark, tmp_path):
     assert sum(p.is_dir() for p in (tmp_path / "confirmed").rglob("*")) < 10
     got = {r.image_id: r["count"] for r in label_files.read_confirmed(spark, path).groupBy("image_id").count().collect()}
     assert got == {i: 1 if i % 5 == 0 else 3 for i in range(3, 300)}
+
+
+@pytest.mark.parametrize("by_image", [False, True])
+def test_exported_files_are_compressed_and_bounded(spark, tmp_path, make, monkeypatch, by_image):
+    from granulith.sources import session_tables
+    monkeypatch.setattr(session_tables, "EXPORT_ROWS", 10, raising=False)
+    rows = make([{"image_id": i % 2, "particle_id": i, "pattern_probs": [0.5, 0.25]} for i in range(60)]).coalesce(1)
+    session_tables.export_csv(rows, str(tmp_path / "csv"), by_image)
+    assert len(list((tmp_path / "csv").rglob("*.csv.gz"))) == 6 and not list((tmp_path / "csv").rglob("*.csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
+    assert {(int(r.image_id), int(r.particle_id), r.pattern_probs) for r in back} == {(i % 2, i, "0.5 0.25") for i in range(60)}
