@@ -213,9 +213,9 @@ class Workbench:
 
     @cached_property
     def curve_points(self) -> DataFrame:
-        """Points of one run lie together. A file of customers is small and each becomes many points, so they are dealt out
+        """Points of one run lie together. A file of customers is small and each becomes seven points, so they are dealt out
         first: otherwise the few tasks that read the file hold the points of all."""
-        return self._sql(CURVE_SQL, customer=spread(self.table("customer").select("c_custkey"), "c_custkey"))
+        return self._sql(CURVE_SQL, customer=spread(self.table("customer").select("c_custkey"), "c_custkey", each=7))
 
 
 # --- the same tables as common table expressions for the checking engine ------

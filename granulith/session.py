@@ -75,12 +75,21 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found if f.isDirectory())
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows of one partition after they have multiplied.
+SPREAD_ROWS = 1 << 18
+
+
+def spread(df: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
     """Rows that are about to become many, dealt out by `keys` over all shuffle partitions.
 
+    With `each`, the rows that one becomes, partitions are added until one holds about SPREAD_ROWS: what a task keeps of them
+    then follows neither the input nor the session's number. The rows are counted for it, so give a plain table.
     A number that is given is kept: the adaptive planner would merge partitions by what they hold before the rows multiply.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if each:
+        parts = max(parts, -(-df.count() * each // SPREAD_ROWS))
+    return df.repartition(parts, *keys)
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:

@@ -82,6 +82,15 @@ def test_runs_are_dealt_out_before_they_become_points(spark, name):
     assert not any("HashAggregate" in x or "Generate" in x for i in made for x in lines[i:i + 4])
 
 
+@pytest.mark.parametrize("name", ["f12b_curve_by_instrument"])
+def test_runs_of_a_partition_do_not_grow_with_the_input(spark, monkeypatch, name):
+    """1050 points, at most about 100 in a partition: the session's four would hold 37 of the 150 runs each."""
+    monkeypatch.setattr("granulith.session.SPREAD_ROWS", 100, raising=False)
+    held = (plans.queries()[name](spark, SF).groupBy(F.spark_partition_id().alias("part"))
+            .agg(F.countDistinct("run_id").alias("runs")).collect())
+    assert len(held) > 8 and max(r.runs for r in held) < 30 and sum(r.runs for r in held) <= 150
+
+
 def test_statistics_of_a_stream_are_sums(spark, tmp_path, make):
     """A batch adds one row for each photo it brings, made by plain aggregation: no state is kept or updated photo by photo."""
     from granulith.streaming import ingest
