@@ -82,7 +82,7 @@ def test_runs_are_dealt_out_before_they_become_points(spark, name):
     assert not any("HashAggregate" in x or "Generate" in x for i in made for x in lines[i:i + 4])
 
 
-@pytest.mark.parametrize("name", ["f12b_curve_by_instrument", "f15_instrument_gap", "f12_curve_points"])
+@pytest.mark.parametrize("name", ["f12b_curve_by_instrument", "f15_instrument_gap", "f12_curve_points", "f15b_capacity"])
 def test_runs_of_a_partition_do_not_grow_with_the_input(spark, monkeypatch, name):
     """1050 points, at most about 100 in a partition: the session's four would hold 37 of the 150 runs each."""
     monkeypatch.setattr("granulith.session.SPREAD_ROWS", 100, raising=False)
