@@ -86,6 +86,7 @@ def test_runs_are_dealt_out_before_they_become_points(spark, name):
 def test_runs_of_a_partition_do_not_grow_with_the_input(spark, monkeypatch, name):
     """1050 points, at most about 100 in a partition: the session's four would hold 37 of the 150 runs each."""
     monkeypatch.setattr("granulith.session.SPREAD_ROWS", 100, raising=False)
+    monkeypatch.setattr("granulith.plans.registry._workbench", Workbench)       # no table that another test has dealt out
     held = (plans.queries()[name](spark, SF).groupBy(F.spark_partition_id().alias("part"))
             .agg(F.countDistinct("run_id").alias("runs")).collect())
     assert len(held) > 8 and max(r.runs for r in held) < 30 and sum(r.runs for r in held) <= 150
