@@ -28,7 +28,8 @@ UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Distinct words a task keeps from block to block before it starts anew.
 KEPT_WORDS = 1 << 18
 KEPT_PAIRS = 1 << 17
-BLOCK_CHARS = 2 << 20
+#: What a task holds of texts, words, ids and decoded bytes follows it, several times over.
+BLOCK_CHARS = 1 << 19
 #: Longer words are walked in order.
 DEEP = 100
 UNIGRAM = 1
@@ -277,6 +278,22 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _encoded(enc: Encoder, batch: pa.RecordBatch, names: list[str]):
+    """The batch's rows of `encode`, a block of texts at a time."""
+    size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    for part in _slices(batch, size, BLOCK_CHARS):
+        null = pc.is_null(part.column(1))
+        texts = pc.fill_null(part.column(1), "").to_pylist()
+        ids, counts = enc.block(texts)
+        out = [part.column(0), pa.array(counts, pa.int64()),
+               pc.if_else(null, pa.scalar(None, pa.list_(pa.int32())), _lists(counts, ids))]
+        if "round_trip" in names:
+            data, n = enc.decoded(ids, counts)
+            raw, at = data.tobytes(), np.concatenate([[0], np.cumsum(n)])
+            out.append(pa.array([raw[at[i]:at[i + 1]] == t.encode() for i, t in enumerate(texts)], pa.bool_()))
+        yield pa.RecordBatch.from_arrays(out, names=names)
+
+
 def encode(docs: DataFrame, model_path: str, check: bool = False) -> DataFrame:
     """doc_id, n_tokens long and ids array<int> per row; with `check` also round_trip: decoding gives the text again.
 
@@ -290,18 +307,7 @@ def encode(docs: DataFrame, model_path: str, check: bool = False) -> DataFrame:
     def run(batches):
         enc = Encoder(model)
         for batch in batches:
-            size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for part in _slices(batch, size, BLOCK_CHARS):
-                null = pc.is_null(part.column(1))
-                texts = pc.fill_null(part.column(1), "").to_pylist()
-                ids, counts = enc.block(texts)
-                out = [part.column(0), pa.array(counts, pa.int64()),
-                       pc.if_else(null, pa.scalar(None, pa.list_(pa.int32())), _lists(counts, ids))]
-                if check:
-                    data, n = enc.decoded(ids, counts)
-                    raw, at = data.tobytes(), np.concatenate([[0], np.cumsum(n)])
-                    out.append(pa.array([raw[at[i]:at[i + 1]] == t.encode() for i, t in enumerate(texts)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(out, names=names)
+            yield from _encoded(enc, batch, names)
 
     names = ["doc_id", "n_tokens", "ids"] + ["round_trip"] * check
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>" + ", round_trip boolean" * check

@@ -1,5 +1,6 @@
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -151,6 +152,22 @@ def test_encoding_is_the_library_s(make_docs, corpus):
     assert prefix_viterbi.encode(make_docs([]), TOKENIZER).collect() == []
 
 
+def test_what_a_task_holds_does_not_follow_its_batch(corpus):
+    """A batch of as many characters as four blocks: arrays of decoded bytes and lists of words are those of one block."""
+    texts = [t for _, t in corpus if t]
+    texts = (texts * (1 + (1 << 21) // sum(map(len, texts))))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    enc = prefix_viterbi.Encoder(prefix_viterbi.read_model(TOKENIZER))
+    enc.block(sorted(set(texts)))                                # the vocabulary and the words, which stay
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in prefix_viterbi._encoded(enc, batch, ["doc_id", "n_tokens", "ids", "round_trip"]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and most < 30e6
+
+
 def test_unigram_paths_have_the_best_score():
     from sentencepiece import sentencepiece_model_pb2 as pb
     spec = pb.ModelProto.FromString(prefix_viterbi.read_model(TOKENIZER))
